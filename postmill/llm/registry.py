@@ -1,14 +1,17 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from postmill.llm import chat, jaccard, mixing, pii, sharding, urls
+from postmill.llm import chat, decontaminate, jaccard, mixing, pii, quality, sharding, syncmers, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_pii": pii.op3_pii,
     "op4_url_filters": urls.op4_url_filters,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_mixing": mixing.op7_mixing,
     "op8_sharding": sharding.op8_sharding,
+    "op9_quality": quality.op9_quality,
+    "op10_fingerprints": syncmers.op10_fingerprints,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
