@@ -1,9 +1,10 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from postmill.llm import chat, decontaminate, jaccard, mixing, pii, quality, sharding, syncmers, urls
+from postmill.llm import chat, decontaminate, jaccard, lm, mixing, pii, quality, sharding, syncmers, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_pii": pii.op3_pii,
     "op4_url_filters": urls.op4_url_filters,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
