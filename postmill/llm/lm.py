@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from postmill.llm.common import flat, mix, table, word_hashes, words
 
 ALPHA = 0.1
-CHUNK_CHARS, BUCKET_CHARS = 8_000_000, 16_000_000
+CHUNK_CHARS, BUCKET_CHARS = 4_000_000, 8_000_000
 KEY_BITS = 48
 PACKED = "bucket int, chunk int, wide boolean, keys binary, background binary, target binary"
-ANSWER = "chunk int, bucket int, background binary, target binary"
+ANSWER = "chunk int, bucket int, n int, background binary, target binary"
 SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -75,6 +75,18 @@ def unpacked(wide: bool, data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(data[:8], dtype=np.uint64), steps.astype(np.uint64)]), dtype=np.uint64)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count, and eight more for those of 255 and above."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes()
+
+
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, dtype=np.uint8, count=n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[n:], dtype=np.int64)
+    return counts
+
+
 def chunk_keys(docs: pa.Table, marks: pa.Table):
     """What both passes over a chunk compute: rows, their words' keys, and which words are of target documents."""
     values, offsets = flat(docs["words"])
@@ -109,7 +121,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, alpha: float =
         for b in range(buckets):
             part = slice(bounds[b], bounds[b + 1])
             if part.stop > part.start:
-                rows.append((b, key[0].as_py(), *packed(unique[part]), background[part].tobytes(), in_target[part].tobytes()))
+                rows.append((b, key[0].as_py(), *packed(unique[part]), packed_counts(background[part]), packed_counts(in_target[part])))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "chunk", "wide", "keys", "background", "target"])
@@ -120,19 +132,20 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, alpha: float =
         ends = np.cumsum([len(k) for k in keys])
         answers = []
         for name in ("background", "target"):
-            own = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in group[name].to_pylist()])
+            own = np.concatenate([unpacked_counts(x, len(k)) for x, k in zip(group[name].to_pylist(), keys, strict=True)])
             total = np.bincount(inverse, weights=own, minlength=len(unique)).astype(np.int64)[inverse]
-            answers.append(pa.array([x.tobytes() for x in np.split(total, ends[:-1])], pa.binary()))
-        return pa.table([group["chunk"], group["bucket"], *answers], ["chunk", "bucket", "background", "target"])
+            answers.append(pa.array([packed_counts(x) for x in np.split(total, ends[:-1])], pa.binary()))
+        sizes = pa.array([len(k) for k in keys], pa.int32())
+        return pa.table([group["chunk"], group["bucket"], sizes, *answers], ["chunk", "bucket", "n", "background", "target"])
 
     def losses(key, left: pa.Table, right: pa.Table) -> pa.Table:
         marked = right.filter(pa.compute.is_valid(right["doc_id"]))
         answer = right.filter(pa.compute.is_null(right["doc_id"])).sort_by("bucket")
         ids, offsets, row, history, pair, chosen = chunk_keys(left, marked)
-        n = np.diff(offsets)
+        lengths = np.diff(offsets)
         keys = np.concatenate([history, pair])
         unique, inverse = np.unique(keys, return_inverse=True)
-        background, wanted = (np.concatenate([np.frombuffer(x, dtype=np.int64) for x in answer[c].to_pylist()] or [np.zeros(0, dtype=np.int64)]) for c in ("background", "target"))
+        background, wanted = (np.concatenate([unpacked_counts(x, n) for x, n in zip(answer[c].to_pylist(), answer["n"].to_pylist(), strict=True)] or [np.zeros(0, dtype=np.int64)]) for c in ("background", "target"))
         if len(background) != len(unique):
             raise ValueError("a chunk changed between its two passes")
         both = np.concatenate([row, row]).astype(np.int64) * len(unique) + inverse
@@ -146,16 +159,16 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, alpha: float =
         out = []
         for counts, less in ((wanted[inverse], np.where(of_target, own, 0)), (background[inverse], own)):
             loss = sign * np.log(counts - less + smooth)
-            out.append(np.bincount(where, weights=loss, minlength=len(ids)) / np.maximum(n, 1))
-        none = n == 0
+            out.append(np.bincount(where, weights=loss, minlength=len(ids)) / np.maximum(lengths, 1))
+        none = lengths == 0
         floats = [pa.array(x, pa.float64(), mask=none) for x in (*out, out[0] - out[1])]
-        return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *floats], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), *floats], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
     counts = texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(pack, PACKED)
     answers = counts.groupBy("bucket").applyInArrow(add_up, ANSWER)
     none = F.lit(None)
-    side = answers.select("chunk", none.cast("long").alias("doc_id"), "bucket", "background", "target").unionByName(
-        marks.select("chunk", "doc_id", none.cast("int").alias("bucket"), none.cast("binary").alias("background"), none.cast("binary").alias("target"))
+    side = answers.select("chunk", none.cast("long").alias("doc_id"), "bucket", "n", "background", "target").unionByName(
+        marks.select("chunk", "doc_id", none.cast("int").alias("bucket"), none.cast("int").alias("n"), none.cast("binary").alias("background"), none.cast("binary").alias("target"))
     )
     return texts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(losses, SCORES)
 
