@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
@@ -156,3 +157,28 @@ def without_padding(md: Column) -> Column:
     """Runs with eight invisible characters or more become a space between texts, and nothing at the ends of a line."""
     t = F.regexp_replace(md, rf"(?<=\S){PADDING_RUN}(?=\S)", " ")
     return F.regexp_replace(t, PADDING_RUN, "")
+
+
+def markdown_text(md: Column) -> Column:
+    """Markdown without images, with links and automatic links unwrapped and escapes undone."""
+    t = F.regexp_replace(md, r"!\[[^\]]*\]\([^)]*\)", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"<([a-z]+:[^>\s]+)>", "$1")
+    return F.regexp_replace(t, r"\\([\\`*_{}\[\]()#+.!|<>-])", "$1")
+
+
+def is_syntax(word: Column) -> Column:
+    """Words that Markdown's own marks make, not the text."""
+    return has(word, r"^(?:[#>|:=+-]+|[0-9]+[.)])$")
+
+
+def line_classes(md: Column) -> Column:
+    """Numbers of headings, list items, quotes, table rows and rules among the lines."""
+    lines = F.split(md, "\n")
+    count = lambda p: F.size(F.filter(lines, lambda x: has(x, p)))
+    return F.struct(count(r"^#{1,6} ").alias("headings"), count(r"^[ \t]*(?:[*+-]|[0-9]+[.)]) ").alias("items"), count(r"^>").alias("quotes"), count(r"^[ \t]*\|").alias("rows"), count(r"^(?:-{3,}|\*{3,})$").alias("rules"))
+
+
+@F.pandas_udf(T.StringType())
+def pretty(records: pd.Series) -> pd.Series:
+    """JSON laid out by two spaces, fields in their order, a newline at the end."""
+    return records.map(lambda r: json.dumps(json.loads(r), indent=2, ensure_ascii=False) + "\n", na_action="ignore")

@@ -78,3 +78,15 @@ def message_record(messages: DataFrame, staged_attachments: DataFrame) -> DataFr
         F.struct("extracted", "not_extracted", "failed").alias("attachments"), F.lit("partial").alias("status"), reasons.alias("reasons"),
     )
     return both.select("message_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def originals(bodies: DataFrame) -> DataFrame:
+    """The original bodies that are kept beside a message: those that aren't empty, with name, bytes and hash."""
+    forms = F.array(*(F.struct(F.lit(name).alias("name"), F.col(c).alias("body")) for name, c in (("body.html", "native_html"), ("body.txt", "plain_text"))))
+    kept = F.filter(forms, lambda x: x["body"].isNotNull() & (x["body"] != ""))
+    return bodies.select("message_id", F.explode(kept).alias("k")).select("message_id", "k.name", F.octet_length("k.body").cast("long").alias("size"), F.sha2("k.body", 256).alias("sha256"))
+
+
+def address(display: Column, kind: Column, email: Column, smtp: Column) -> Column:
+    """The four fields as one struct, null when all are absent."""
+    return F.when(F.coalesce(display, kind, email, smtp).isNotNull(), F.struct(display.alias("display_name"), kind.alias("address_type"), email.alias("email_address"), smtp.alias("smtp_address")))

@@ -713,3 +713,105 @@ def message_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def message_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.message_record(mail.messages(spark, sf_dir), archive.staged(mail.attachments(spark, sf_dir)))
+
+
+@query("SELECT message_id, 'body.html' AS name, strlen(native_html)::BIGINT AS size, sha256(native_html) AS sha256 FROM bodies WHERE native_html <> '' UNION ALL SELECT message_id, 'body.txt', strlen(plain_text)::BIGINT, sha256(plain_text) FROM bodies WHERE plain_text <> ''", "bodies")
+def kept_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.originals(mail.bodies(spark, sf_dir))
+
+
+@query(
+    f""", x AS (SELECT *, coalesce(smtp_address, CASE WHEN coalesce(upper(address_type), '') <> 'EX' THEN email_address END) AS a FROM recipients)
+    SELECT message_id, ord, coalesce(display_name, address_type, email_address, smtp_address) IS NOT NULL AS present, {ADDRESS_SQL} AS text, coalesce(upper(address_type) = 'EX', FALSE) AND smtp_address IS NULL AS hidden FROM x""",
+    "recipients",
+)
+def recipient_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = mail.recipients(spark, sf_dir)
+    four = [F.col(c) for c in ("display_name", "address_type", "email_address", "smtp_address")]
+    return r.select("message_id", "ord", archive.address(*four).isNotNull().alias("present"), texts.address_text(*four).alias("text"), codes.is_hidden_directory_address(four[1], four[3]).alias("hidden"))
+
+
+@query(
+    rf"""SELECT p_partkey, replace(replace(replace(url_encode(name), '+', '%20'), '*', '%2A'), '%7E', '~') AS link, contains(raw, '~') AS tilde FROM (WITH {CLEAN_SQL} SELECT * FROM c4)"""
+)
+def attachment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = names.cleaned(_raw_names(spark, sf_dir), "raw", "(no subject)")
+    return s.select("p_partkey", texts.link(F.col("safe.name")).alias("link"), F.contains("raw", F.lit("~")).alias("tilde"))
+
+
+@query(
+    rf"""WITH {RAW_SQL} SELECT p_partkey, raw <> '' AND length(raw) <= 255 AND NOT regexp_matches(raw, '[{names.CONTROL}{names.INVISIBLE}<>:"|?*/\\~]') AND NOT regexp_matches(raw, '[ .]$|  ') AND NOT regexp_matches(replace(raw, ' ', ''), '[{WHITE_SQL}]')
+    AND NOT regexp_matches(upper(regexp_replace(regexp_extract(raw, '^[^.]*'), ' +$', '')), '{names.DEVICE}') AS legal FROM raw"""
+)
+def legal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw_names(spark, sf_dir).select("p_partkey", names.is_legal(F.col("raw")).alias("legal"))
+
+
+@query(
+    r""", t AS (SELECT rel, string_split(rel, '/') AS parts FROM target) SELECT rel, parts[-1] AS leaf, regexp_replace(parts[-1], '\.[^.]*$', '') AS stem, len(parts) AS depth, array_to_string(list_transform(parts, lambda x: lower(x)), '/') AS key,
+    CASE WHEN lower(regexp_extract(rel, '\.([^./]*)$', 1)) = 'msg' THEN 'msg' WHEN lower(regexp_extract(rel, '\.([^./]*)$', 1)) = 'pst' THEN 'pst' ELSE 'unsupported' END AS kind FROM t""",
+    "manifest", "target",
+)
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postmill.sources.containers import input_kind
+
+    parts = F.split("rel", r"[/\\]")
+    leaf = F.element_at(parts, -1)
+    return mail.target(spark, sf_dir).select("rel", leaf.alias("leaf"), F.regexp_replace(leaf, r"\.[^.]*$", "").alias("stem"), F.size(parts).cast("long").alias("depth"), F.array_join(F.transform(parts, lambda p: F.lower(p)), "/").alias("key"), input_kind(F.col("rel")).alias("kind"))
+
+
+SET_GUIDS = (*codes.PROPERTY_SETS, "00112233445566778899AABBCCDDEEFF")
+
+
+@query(
+    f""", s AS (SELECT file, ord, ({mail._list(SET_GUIDS)})[value % {len(SET_GUIDS)} + 1] AS guid FROM properties), d AS (SELECT unnest({mail._list(codes.PROPERTY_SETS.keys())}) AS guid, unnest({mail._list(codes.PROPERTY_SETS.values())}) AS name)
+    SELECT coalesce(d.name, 'custom') AS property_set, count(*) AS n, count(DISTINCT file) AS files FROM s LEFT JOIN d ON d.guid = s.guid GROUP BY 1""",
+    "properties",
+)
+def property_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties by the set their GUID names; the sets are a dimension of nine rows, so its side is broadcast."""
+    guid = F.element_at(F.array(*map(F.lit, SET_GUIDS)), (F.col("value") % len(SET_GUIDS) + 1).cast("int"))
+    known = spark.createDataFrame(list(codes.PROPERTY_SETS.items()), "guid string, name string")
+    rows = mail.properties(spark, sf_dir).select("file", guid.alias("guid")).join(F.broadcast(known), "guid", "left")
+    return rows.groupBy(F.coalesce("name", F.lit("custom")).alias("property_set")).agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
+
+
+MD_SQL = "'# T' || chr(10) || '- item ![i](x) [link](http://y) \\*z\\* <http://q.r>' || chr(10) || '> ' || coalesce(text, '') || chr(10) || '| a | b |' || chr(10) || '---'"
+
+
+@query(
+    rf"""WITH m AS (SELECT conv_id, turn, {MD_SQL} AS md FROM conversations), t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<([a-z]+:[^>\s]+)>', '\1', 'g'), '\\([\\`*_{{}}\[\]()#+.!|<>-])', '\1', 'g') AS txt FROM m)
+    SELECT conv_id, turn, sha256(txt) AS sha256, len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}} '))) AS headings, len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^[ \t]*(?:[*+-]|[0-9]+[.)]) '))) AS items,
+    len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^>'))) AS quotes, len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^[ \t]*\|'))) AS "rows", len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^(?:-{{3,}}|\*{{3,}})$'))) AS rules,
+    len(list_filter(regexp_split_to_array(txt, '[{WHITE_SQL}]+'), lambda x: regexp_matches(x, '^(?:[#>|:=+-]+|[0-9]+[.)])$'))) AS syntax FROM t"""
+)
+def markdown_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    md = F.concat(F.lit("# T\n- item ![i](x) [link](http://y) \\*z\\* <http://q.r>\n> "), F.coalesce("text", F.lit("")), F.lit("\n| a | b |\n---"))
+    c = mail.table(spark, sf_dir, "conversations").select("conv_id", "turn", md.alias("md")).withColumn("txt", texts.markdown_text(F.col("md")))
+    kinds = texts.line_classes(F.col("md"))
+    syntax = F.size(F.filter(F.split("txt", f"[{names.WHITE}]+"), texts.is_syntax)).cast("long")
+    return c.select("conv_id", "turn", F.sha2("txt", 256).alias("sha256"), *(kinds[k].cast("long").alias(k) for k in ("headings", "items", "quotes", "rows", "rules")), syntax.alias("syntax"))
+
+
+@query()
+def content_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each page's visible text against those of its Markdown text, in order: matched, missing, extra."""
+    visible = texts.visible_text(F.col("html"))
+    p = mail.table(spark, sf_dir, "pages").select("page_id", texts.plain_words(visible).alias("a"), texts.plain_words(texts.markdown_text(visible)).alias("b"))
+    return p.select("page_id", F.size("a").alias("n_visible"), F.size("b").alias("n_markdown"), texts.word_alignment("a", "b").alias("w")).select("page_id", "n_visible", "n_markdown", "w.*")
+
+
+@query()
+def dry_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything an export would do, counted and not written: the source, the plan, its gates, what stands at the target."""
+    from postmill.operators.report import lines
+
+    m, f, a = mail.messages(spark, sf_dir), mail.folders(spark, sf_dir), mail.attachments(spark, sf_dir)
+    p = planner.plan(f, m, a)
+    preflight_ = compare.decision(compare.preflight(mail.manifest(spark, sf_dir), mail.target(spark, sf_dir))).drop("decision")
+    parts = [census.source_census(m, f, a), lines(planner.counters(p)), lines(planner.verify(p)), lines(preflight_)]
+    out = None
+    for i, part in enumerate(parts):
+        part = part.select((F.col("ord") + i * 100).alias("ord"), "key", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
