@@ -23,7 +23,6 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,8 +105,9 @@ class Vectors:
 
 
 def random_indexing(texts: list[str], vocabulary: int = VOCABULARY, dim: int = DIM) -> Vectors:
-    tokenized = [TOKEN.findall(t) for t in texts]
-    counts = Counter(chain.from_iterable(tokenized))
+    counts: Counter[str] = Counter()
+    for text in texts:
+        counts.update(TOKEN.findall(text))
     known = [t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:vocabulary] if counts[t] > 1]
     names = SHAPES + known
     places = {t: i for i, t in enumerate(names)}
@@ -115,8 +115,8 @@ def random_indexing(texts: list[str], vocabulary: int = VOCABULARY, dim: int = D
     context, seen = np.zeros_like(index), np.zeros(len(index))
     turned = {turn: np.roll(index, turn, axis=1) for turn in range(-WINDOW, WINDOW + 1)}
     vectors = Vectors(places, index, np.zeros(dim, dtype=np.float32))
-    for tokens in tokenized:
-        ids = vectors.ids(tokens)
+    for text in texts:  # token lists of all texts together would take many times the texts' memory
+        ids = vectors.ids(TOKEN.findall(text))
         seen += np.bincount(ids, minlength=len(seen))
         for step in range(1, WINDOW + 1):
             for a, b, turn in ((ids[:-step], ids[step:], step), (ids[step:], ids[:-step], -step)):
@@ -213,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Vecto
 
 
 def score(docs: DataFrame, model: tuple[Vectors, Network] | None) -> DataFrame:
-    """All columns of docs (text among them) with score, the probability of label 1; a column of that name is replaced."""
+    """All columns of docs (text among them) with score, the probability of label 1; a column of that name is replaced.
+    Scores are rounded, so that equal texts score equally in batches of any size."""
     docs = docs.drop("score")
     if model is None:
         return docs.withColumn("score", F.lit(PRIOR))
@@ -225,7 +226,7 @@ def score(docs: DataFrame, model: tuple[Vectors, Network] | None) -> DataFrame:
         for batch in batches:
             texts = batch["text"]
             scores = [network.probability(vectors.pooled([t or "" for t in texts.slice(at, 64).to_pylist()])) for at in range(0, batch.num_rows, 64)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(np.concatenate(scores), 9) if scores else [], pa.float64())], [*names, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
