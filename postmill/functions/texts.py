@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from urllib.parse import unquote_to_bytes
 
@@ -182,3 +183,9 @@ def line_classes(md: Column) -> Column:
 def pretty(records: pd.Series) -> pd.Series:
     """JSON laid out by two spaces, fields in their order, a newline at the end."""
     return records.map(lambda r: json.dumps(json.loads(r), indent=2, ensure_ascii=False) + "\n", na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(s: pd.Series) -> pd.Series:
+    """Entities and numeric references decoded, all those of HTML."""
+    return s.map(html.unescape, na_action="ignore")

@@ -107,3 +107,16 @@ def test_alignment_accounts_for_all_words(a, b):
     matched, missing, extra = texts.align(a, b)
     assert matched + missing == len(a) and matched + extra == len(b)
     assert texts.align(a, a) == (len(a), 0, 0)
+
+
+def test_rtf_kinds(spark):
+    cases = {
+        rb"{\rtf1\ansi\ansicpg1252\fromhtml1 \fbidis {\fonttbl}": "encapsulated_html", rb"{\rtf1\ansi\fromtext \deff0}": "encapsulated_text", rb"{\rtf1\ansi Hello}": "plain_rtf", b"Hello": "not_rtf", b"": "not_rtf", rb"{\rtf2\fromhtml1 }": "not_rtf",
+        rb"{\rtf1\a\b\c\d\e\g\h\fromhtml1 }": "encapsulated_html", rb"{\rtf1\a\b\c\d\e\g\h\i\fromhtml1 }": "plain_rtf", rb"{\rtf1 Hello\fromhtml1 }": "plain_rtf", rb"{\rtf1\ansi{\fonttbl}\fromhtml1 }": "plain_rtf", rb"{\rtf1\fromhtml0 }": "plain_rtf",
+    }
+    got = spark.createDataFrame([(k, v) for k, v in cases.items()], "d binary, want string").select("want", codes.rtf_kind(F.col("d")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_entities(spark):
+    assert column(spark, ["&lt;&#x41;&eacute;&nbsp;&unknown;", None]).orderBy("i").select(texts.unescaped("v")).first()[0] == "<Aé\xa0&unknown;"
