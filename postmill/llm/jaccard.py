@@ -166,6 +166,11 @@ def dealt(members: DataFrame, key: str) -> DataFrame:
     return members.select(key, "rep", F.explode(pairs).alias("p")).select(key, "rep", "p.*")
 
 
+def partitions(df: DataFrame) -> int:
+    """As many tasks as the session shuffles to: comparing takes time by pairs, so few bytes don't make a small task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     """Rows of the two blocks of a task; whether both are the same block."""
     i, j, side = (t[c].to_numpy() for c in ("i", "j", "side"))
@@ -197,7 +202,7 @@ def candidate_edges(signed: DataFrame, threshold: float) -> DataFrame:
                 edges = []
         yield edge_batch(edges)
 
-    return tasks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return tasks.repartition(partitions(tasks), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -261,7 +266,7 @@ def verified(docs: DataFrame, signed: DataFrame, clusters: DataFrame, sizes: Dat
             links = np.append(gained[some], np.zeros(len(edges), dtype=np.int64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(links)], ["a", "b", "links"])
 
-    return full.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long, links long")
+    return full.repartition(partitions(full), "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long, links long")
 
 
 def join_similar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
