@@ -289,3 +289,16 @@ def join_similar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, and who reaches whom by links: SQL for small tables, which has no candidates to prune.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c * 5 >= 4 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM n UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x)
+SELECT node AS doc_id, min(reach) AS class_id, count(DISTINCT y)::BIGINT AS n_links FROM r LEFT JOIN e ON e.x = r.node GROUP BY node
+"""

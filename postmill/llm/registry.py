@@ -16,5 +16,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
+    "op5_jaccard_join": jaccard.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
