@@ -44,12 +44,14 @@ def not_planned(found: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def tree_hash(manifest: DataFrame) -> DataFrame:
-    """One hash over all paths and their hashes in order. Two levels, so that no list holds all files: each directory's files in
-    order give its hash, and the directories in order give the tree's."""
-    lines_ = manifest.select(F.regexp_extract("rel", r"^(.*)/", 1).alias("dir"), F.concat("rel", F.lit("\t"), "sha256", F.lit("\n")).alias("line"))
-    per = lines_.groupBy("dir").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("sha"), F.count("*").alias("n"))
-    rows = F.array_sort(F.collect_list(F.struct("dir", "sha")))
-    return per.agg(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["dir"], F.lit("\t"), r["sha"], F.lit("\n"))), ""), 256).alias("tree_sha256"), F.sum("n").alias("files"))
+    """One hash over all paths and their hashes, independent of their order. Three levels by the leading digits of a path's MD5
+    (6, 3, none), each a hash over its sorted parts, so that no list grows with a directory or the tree."""
+    up = lambda rows: F.sha2(F.array_join(F.array_sort(F.collect_list(rows)), ""), 256).alias("sha")
+    leaves = manifest.select(F.substring(F.md5(F.col("rel").cast("binary")), 1, 6).alias("p"), F.concat("rel", F.lit("\t"), "sha256", F.lit("\n")).alias("line"))
+    low = leaves.groupBy("p").agg(up(F.col("line")), F.count("*").alias("n"))
+    part = F.concat("p", F.lit("\t"), "sha", F.lit("\n"))
+    middle = low.select(F.substring("p", 1, 3).alias("p"), part.alias("line"), "n").groupBy("p").agg(up(F.col("line")), F.sum("n").alias("n"))
+    return middle.agg(up(part).alias("tree_sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
 
 
 def by_position(left: DataFrame, right: DataFrame, value: str) -> DataFrame:

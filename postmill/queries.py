@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.functions import codes, names, texts
 from postmill.operators import archive, census, compare
+from postmill.operators.numbering import positions
 from postmill.plans import planner
 from postmill.sources import mail
 from postmill.sources.mail import sql
@@ -546,8 +546,9 @@ def unknown_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, d AS (SELECT regexp_extract(rel, '^(.*)/', 1) AS dir, sha256(string_agg(rel || chr(9) || sha256 || chr(10), '' ORDER BY rel || chr(9) || sha256 || chr(10))) AS sha, count(*) AS n FROM manifest GROUP BY 1)
-    SELECT sha256(string_agg(dir || chr(9) || sha || chr(10), '' ORDER BY dir)) AS tree_sha256, sum(n)::BIGINT AS files FROM d""",
+    """, a AS (SELECT md5(rel)[:6] AS p, sha256(string_agg(rel || chr(9) || sha256 || chr(10), '' ORDER BY rel || chr(9) || sha256 || chr(10))) AS sha, count(*) AS n FROM manifest GROUP BY 1),
+    b AS (SELECT p[:3] AS p, sha256(string_agg(p || chr(9) || sha || chr(10), '' ORDER BY p || chr(9) || sha || chr(10))) AS sha, sum(n) AS n FROM a GROUP BY 1)
+    SELECT sha256(string_agg(p || chr(9) || sha || chr(10), '' ORDER BY p || chr(9) || sha || chr(10))) AS tree_sha256, sum(n)::BIGINT AS files FROM b""",
     "manifest",
 )
 def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -596,17 +597,15 @@ def address_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT f.folder_id, count(m.message_id) AS messages, coalesce(array_to_string(list(m.message_id ORDER BY coalesce(delivery_ft, submit_ft) NULLS LAST, m.message_id), ','), '') AS children
-    FROM folders f JOIN messages m ON m.folder_id = f.folder_id GROUP BY f.folder_id""",
+    """, m AS (SELECT folder_id, message_id, coalesce(delivery_ft, submit_ft) AS t FROM messages)
+    SELECT m.folder_id, message_id, row_number() OVER (PARTITION BY m.folder_id ORDER BY t NULLS LAST, message_id) AS pos, count(*) OVER (PARTITION BY m.folder_id) AS group_size FROM m JOIN folders f ON f.folder_id = m.folder_id""",
     "folders", "messages",
 )
 def folder_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of each folder in the order of their time; a folder's list is as long as the folder."""
-    m = mail.messages(spark, sf_dir)
-    time = F.coalesce("delivery_ft", "submit_ft")
-    item = F.struct(time.isNull().alias("late"), time.alias("t"), F.col("message_id"))
-    rows = m.join(mail.folders(spark, sf_dir).select("folder_id"), "folder_id").groupBy("folder_id").agg(F.count("*").alias("messages"), F.array_sort(F.collect_list(item)).alias("c"))
-    return rows.select("folder_id", "messages", F.array_join(F.transform("c", lambda x: x["message_id"].cast("string")), ",").alias("children"))
+    """Messages of each folder in the order of their time."""
+    m = mail.messages(spark, sf_dir).select("folder_id", "message_id", F.coalesce("delivery_ft", "submit_ft").alias("time"))
+    inside = m.join(mail.folders(spark, sf_dir).select("folder_id"), "folder_id")
+    return positions(inside, "folder_id", "time", "message_id").select("folder_id", "message_id", "pos", "group_size")
 
 
 @query(
@@ -642,11 +641,10 @@ def content_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def duplicate_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain case of numbering: no numbered name is held by another message."""
-    m = mail.messages(spark, sf_dir)
-    group = W.partitionBy("folder_id", F.lower("subject"))
-    n = m.withColumn("place", F.row_number().over(group.orderBy(F.coalesce("delivery_ft", "submit_ft").asc_nulls_last(), "message_id"))).withColumn("size", F.count("*").over(group))
-    final = F.when(F.col("place") == 1, F.col("subject")).otherwise(F.concat("subject", names.suffix(F.col("place"), names.suffix_width(F.col("size")))))
-    return n.select("message_id", F.col("place").cast("long").alias("place"), "size", final.alias("final"))
+    m = mail.messages(spark, sf_dir).select("message_id", "subject", F.coalesce("delivery_ft", "submit_ft").alias("time"), F.concat_ws("/", F.col("folder_id").cast("string"), F.lower("subject")).alias("group"))
+    n = positions(m, "group", "time", "message_id")
+    final = F.when(F.col("pos") == 1, F.col("subject")).otherwise(F.concat("subject", names.suffix(F.col("pos"), names.suffix_width(F.col("group_size")))))
+    return n.select("message_id", F.col("pos").alias("place"), F.col("group_size").alias("size"), final.alias("final"))
 
 
 @query(
