@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,11 +66,10 @@ def internet_ids(messages: DataFrame) -> DataFrame:
     return counted(messages, missing=F.count_if(F.col("internet_message_id").isNull()), duplicates=F.count("internet_message_id") - F.count_distinct(t))
 
 
-def body_flags(bodies: DataFrame) -> DataFrame:
-    """Which bodies messages have; HTML by way of RTF is looked for only where there is no native HTML."""
+def body_flags(bodies: DataFrame, rtf: Column) -> DataFrame:
+    """Which bodies messages have; HTML by way of RTF (rtf: whether there is some) counts only where there is no native HTML."""
     native = F.octet_length(F.coalesce("native_html", F.lit(""))) > 0
     plain = F.octet_length(F.coalesce("plain_text", F.lit(""))) > 0
-    rtf = F.contains(F.coalesce("plain_text", F.lit("")), F.lit("the"))
     flags = bodies.select(native.alias("native"), plain.alias("plain"), (~native & rtf).alias("via_rtf"), F.octet_length("plain_text").alias("size"))
     return lines(counted(flags, native=F.count_if("native"), plain=F.count_if("plain"), via_rtf=F.count_if("via_rtf"), html=F.count_if(F.col("native") | F.col("via_rtf")), none=F.count_if(~F.col("native") & ~F.col("plain")), plain_bytes=F.sum("size"), largest=F.max("size")))
 
@@ -163,14 +162,14 @@ def envelope_tally(recipients: DataFrame, messages: DataFrame) -> DataFrame:
     return lines(r.crossJoin(m))
 
 
-def selected(bodies: DataFrame) -> DataFrame:
-    """Which body of a message is shown: native HTML that isn't blank, else plain text that isn't, else none; and its losses."""
+def selected(bodies: DataFrame, failed: Column) -> DataFrame:
+    """Which body of a message is shown: native HTML that isn't blank (unless its conversion failed), else plain text that isn't,
+    else none; and what was lost."""
     blank_html, blank_text = texts.is_blank(F.col("native_html")), texts.is_blank(F.col("plain_text"))
     source = F.when(~blank_html, "native_html").when(~blank_text, "plain_text").otherwise("none")
     html = F.when(~blank_html, F.col("native_html"))
     rows = F.when(html.isNull(), 0).otherwise(F.regexp_count(html, F.lit(r"(?i)<tr[>/\s]")))
     replaced = F.when(html.isNull(), 0).otherwise(F.char_length(html) - F.char_length(F.replace(html, F.lit("�"), F.lit(""))))
-    failed = F.col("message_id") % 37 == 0
     loss = F.array(
         F.struct(F.lit(texts.LOSSES[0]).alias("reason"), rows.cast("long").alias("count")),
         F.struct(F.lit(texts.LOSSES[2]).alias("reason"), replaced.cast("long").alias("count")),
@@ -180,9 +179,9 @@ def selected(bodies: DataFrame) -> DataFrame:
     return bodies.select("message_id", source.alias("source"), fallback.alias("shown"), F.filter(loss, lambda x: x["count"] > 0).alias("loss"))
 
 
-def body_tallies(bodies: DataFrame) -> DataFrame:
+def body_tallies(bodies: DataFrame, failed: Column) -> DataFrame:
     """Messages by the source of their body, and lossy messages and loss by reason."""
-    s = selected(bodies)
+    s = selected(bodies, failed)
     by_source = s.groupBy(F.concat(F.lit("source="), "shown").alias("key")).agg(F.count("*").alias("messages"), F.count("*").alias("total"))
     by_loss = s.select(F.explode("loss").alias("l")).groupBy(F.concat(F.lit("loss="), F.col("l.reason")).alias("key")).agg(F.count("*").alias("messages"), F.sum("l.count").alias("total"))
     return by_source.unionByName(by_loss)

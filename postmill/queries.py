@@ -108,7 +108,7 @@ def internet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     "bodies",
 )
 def body_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return census.body_flags(mail.bodies(spark, sf_dir))
+    return census.body_flags(mail.bodies(spark, sf_dir), F.contains(F.coalesce("plain_text", F.lit("")), F.lit("the")))
 
 
 @query(
@@ -223,7 +223,7 @@ SELECTED_SQL = f"""s AS (SELECT message_id, CASE WHEN NOT {blank_sql("native_htm
 
 @query(f", {SELECTED_SQL} SELECT message_id, source, shown, rows + replaced + failed AS lost FROM t", "bodies")
 def body_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = census.selected(mail.bodies(spark, sf_dir))
+    s = census.selected(mail.bodies(spark, sf_dir), F.col("message_id") % 37 == 0)
     return s.select("message_id", "source", "shown", F.aggregate("loss", F.lit(0).cast("long"), lambda acc, x: acc + x["count"]).alias("lost"))
 
 
@@ -233,7 +233,7 @@ def body_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     "bodies",
 )
 def body_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return census.body_tallies(mail.bodies(spark, sf_dir))
+    return census.body_tallies(mail.bodies(spark, sf_dir), F.col("message_id") % 37 == 0)
 
 
 @query(r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS word FROM documents) GROUP BY word")
