@@ -13,7 +13,10 @@ limit on their number:
 2. Each bucket adds up the counts of its keys over all chunks and answers each chunk in the order of its keys.
 3. Each chunk turns the answers into losses of its documents.
 
-Chunks and buckets hold a bounded number of characters and keys; their number grows with the input.
+Chunks and buckets hold a bounded number of characters and keys; their number grows with the input, and with it the packed
+rows, one for each chunk and bucket. chunk_chars and bucket_chars suit workers of some hundred MB; with N times the memory
+both can be N times as large, which makes the rows fewer by N squared and the keys fewer as well (a corpus of 100 TB wants
+chunks of some hundred million characters).
 
 Defined results: null and blank texts have no words, losses null and score null; a missing target set makes the target
 model empty (uniform over the vocabulary); repeated rows count as often as they occur and are scored each; rows without
