@@ -118,17 +118,31 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, root(x)) for x in list(parent) if root(x) != x]
 
 
+def keys(docs: DataFrame) -> DataFrame:
+    """docs with the key of their word sequences, two 64-bit hashes over all words: doc_id, text, k1, k2, n_words."""
+    words = word_hashes(F.col("text"))
+    return docs.select("doc_id", "text", F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2"), F.size(words).alias("n_words"))
+
+
 def classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal word sequences: members (doc_id, rep, n) without null ids, and (rep, n, words array of hashes).
+    """Classes of equal word sequences: members (doc_id, key, rows of the doc_id) without null ids, and (rep, n, key).
 
-    Two 64-bit hashes over all words tell sequences apart."""
-    hashed = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words"))
-    keyed = hashed.select("doc_id", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), F.size("words").alias("n_words"))
-    keyed = stash(keyed.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_words")).alias("k")).select("doc_id", "k.*"), "keys")
+    Of the rows of one doc_id the one of the smallest key counts."""
+    keyed = keys(docs.where("doc_id is not null")).groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_words")).alias("k"), F.count("*").alias("n_rows"))
+    keyed = stash(keyed.select("doc_id", "k.*", "n_rows"), "keys")
     sizes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("n_words").alias("n_words"))
     return keyed, stash(sizes, "classes")
 
 
+def once(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """docs with one row for each doc_id, the one whose key classes() chose. Repeats go within each task before texts are shuffled,
+    so a doc_id of many rows burdens no task; where none repeats, docs as they are."""
+    if keyed.where("n_rows > 1").isEmpty():
+        return docs
+    first = keys(docs).groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_words", "text")).alias("k"))
+    return stash(first.select("doc_id", "k.text"), "once")
+
+
 def sign(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, bytes of the signature, buckets) of the representatives with words."""
     keep = reps.where("n_words > 0").select(F.col("rep").alias("doc_id"))
@@ -276,6 +290,7 @@ def join_similar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
         raise ValueError(f"the bands are laid out for thresholds of {SIMILAR} and more")
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     keyed, reps = classes(docs)
+    docs = once(docs, keyed)
     signed = stash(sign(docs, reps), "signatures")
     clusters = components(stash(candidate_edges(signed, threshold), "candidates"))
     sizes = reps.select("rep", "n")

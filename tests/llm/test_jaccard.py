@@ -67,6 +67,25 @@ def test_repeated_rows_and_empty_tables(spark):
     assert jaccard.join_similar(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("other", ["", "quite other words that stand in a row of the same id"])
+def test_repeated_rows_beside_a_near_copy(spark, other):
+    base = " ".join(f"w{i}" for i in range(120))
+    near, far = base.replace("w60 ", "x "), " ".join(f"v{i}" for i in range(50))
+    df = documents(spark, [(1, base)] * 9 + [(2, near), (3, base), (4, far), (4, far)] + [(5, other), (5, other)])
+    got = sorted(map(tuple, jaccard.join_similar(df).collect()))
+    assert got == [(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 0), (5, 5, 0)]
+
+
+def test_rows_of_one_id_with_different_texts_count_by_one_of_them(spark):
+    base = " ".join(f"w{i}" for i in range(120))
+    near, far = base.replace("w60 ", "x "), " ".join(f"v{i}" for i in range(50))
+    rows = documents(spark, [(1, base), (1, far), (2, near), (3, far.replace("v20 ", "y "))])
+    chosen = {r.doc_id: r.text for r in jaccard.once(rows, jaccard.classes(rows)[0]).collect()}
+    texts = sorted(chosen.items())
+    assert len(texts) == 3 and chosen[1] in (base, far)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join_similar(rows).collect()} == by_hand(texts)
+
+
 def test_pruning_keeps_similar_pairs():
     """Posterior pruning: what is dropped at similarity 0.8 and above stays below the tolerance's order."""
     rng = np.random.default_rng(3)
