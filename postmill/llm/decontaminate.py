@@ -9,6 +9,10 @@ the five-word shingles of window and item (weights: how often a shingle stands t
 Windows that share no shingle with any item of their size can't pass the verification and get no fingerprint. This loses
 nothing and is decided for all windows of a batch at once.
 
+The distance of fingerprints only estimates the similarity: a passage cut off or overwritten at an end may pass the threshold
+beyond the radius. So windows that have as many shingles of an item as the threshold takes are verified too, whatever their
+distance. No window that reaches the threshold has fewer, so nothing is missed.
+
 The items are the fixed side. They are broadcast in blocks of at most BLOCK_WORDS words (a larger item is a block of its
 own), each block against all documents, so a benchmark of any size is handled with bounded memory.
 
@@ -91,8 +95,25 @@ class Items:
         return w[d <= self.radius], i[d <= self.radius], d[d <= self.radius]
 
 
+    def proposed(self, item: np.ndarray, place: np.ndarray, windows: int, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (start of a window, item) with at least as many shingles of the item as the threshold takes, from the places of
+        each item's shingles (sorted by item, then place) in a text of so many windows, each of `width` shingles."""
+        need = int(np.ceil(threshold * (width + self.size - self.gram + 1) / (1 + threshold) - 1e-6))
+        first = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        starts, owners = [], []
+        for a, b in zip(first, np.append(first[1:], len(item)), strict=True):
+            if b - a >= need:
+                p = place[a:b]
+                s = np.arange(max(0, p[0] - width + 1), min(windows, p[-1] + 1))
+                s = s[np.searchsorted(p, s + width) - np.searchsorted(p, s) >= need]
+                starts.append(s)
+                owners.append(np.full(len(s), item[a]))
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *starts]), np.concatenate([none, *owners])
+
+
 class Benchmark:
-    """Items by size, and which shingles they have."""
+    """Items by size, and which items have which shingles."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray], radius: int = RADIUS):
         sizes: dict[int, list[int]] = {}
@@ -101,39 +122,44 @@ class Benchmark:
         self.sizes = [Items(n, [ids[k] for k in ks], [words[k] for k in ks], radius) for n, ks in sorted(sizes.items())]
         self.grams = {}
         for g in sorted({s.gram for s in self.sizes}):
-            rows = [(h, at) for at, s in enumerate(self.sizes) if s.gram == g for item in s.shingles for h in np.unique(item)]
+            rows = [(h, at, k) for at, s in enumerate(self.sizes) if s.gram == g for k, item in enumerate(s.shingles) for h in np.unique(item)]
             keys = np.array([r[0] for r in rows], dtype=np.uint64)
             order = np.argsort(keys, kind="stable")
             seen = np.zeros(1 << FILTER_BITS, dtype=bool)
             seen[keys >> np.uint64(64 - FILTER_BITS)] = True
-            self.grams[g] = (seen, keys[order], np.array([r[1] for r in rows])[order])
+            self.grams[g] = (seen, keys[order], np.array([r[1] for r in rows])[order], np.array([r[2] for r in rows])[order])
 
     def search(self, doc_ids: list[int], values: np.ndarray, offsets: np.ndarray, threshold: float) -> list[tuple]:
         """Hits (doc_id, item_id, start, size, distance, similarity): the best window of each document and item."""
         hits = []
-        for gram, (seen, keys, owners) in self.grams.items():
+        for gram, (seen, keys, owners, members) in self.grams.items():
             hashes, bounds = shingles(values, offsets, gram)
             maybe = np.flatnonzero(seen[hashes >> np.uint64(64 - FILTER_BITS)])
             a, b = np.searchsorted(keys, hashes[maybe], "left"), np.searchsorted(keys, hashes[maybe], "right")
             place = np.repeat(maybe, b - a)
-            owner = owners[np.arange(len(place)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
+            at = np.arange(len(place)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+            owner, member = owners[at], members[at]
             row = np.searchsorted(bounds, place, "right") - 1
-            order = np.lexsort((place, owner, row))
-            row, owner, place = row[order], owner[order], place[order]
+            order = np.lexsort((place, member, owner, row))
+            row, owner, member, place = row[order], owner[order], member[order], place[order]
             starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]))) if len(row) else []
             for i, j in zip(starts, [*starts[1:], len(row)], strict=True) if len(row) else ():
                 r, items = row[i], self.sizes[owner[i]]
                 words = values[offsets[r] : offsets[r + 1]]
                 own = hashes[bounds[r] : bounds[r + 1]]
-                hits += self.compare(items, doc_ids[r], words, own, np.unique(place[i:j] - bounds[r]), threshold)
+                hits += self.compare(items, doc_ids[r], words, own, member[i:j], place[i:j] - bounds[r], threshold)
         return hits
 
     @staticmethod
-    def compare(items: Items, doc_id: int, words: np.ndarray, own: np.ndarray, places: np.ndarray, threshold: float) -> list[tuple]:
-        size = min(items.size, len(words))
+    def compare(items: Items, doc_id: int, words: np.ndarray, own: np.ndarray, member: np.ndarray, place: np.ndarray, threshold: float) -> list[tuple]:
+        size, places = min(items.size, len(words)), np.unique(place)
         reach = np.arange(-(size - min(items.gram, size)), 1)
         starts = np.unique(np.clip((places[:, None] + reach).ravel(), 0, len(words) - size))
-        w, i, d = items.within(window_fingerprints(words, starts, size))
+        prints = window_fingerprints(words, starts, size)
+        w, i, _ = items.within(prints)
+        at, k = items.proposed(member, place, len(words) - size + 1, max(1, size - items.gram + 1), threshold)
+        w, i = np.divmod(np.unique(np.append(w * len(items.ids) + i, np.searchsorted(starts, at) * len(items.ids) + k)), len(items.ids))
+        d = np.bitwise_count(prints[w] ^ items.prints[i]).astype(int)
         best: dict[int, tuple] = {}
         for window, item, distance in zip(w.tolist(), i.tolist(), d.tolist(), strict=True):
             at = int(starts[window])

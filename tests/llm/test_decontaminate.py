@@ -68,6 +68,20 @@ def test_index_finds_all_within_radius():
     assert got == want
 
 
+def test_windows_beyond_the_radius_are_found(spark):
+    """Passages overwritten at an end: some pass the threshold though their fingerprints are far from the item's."""
+    rng = np.random.default_rng(7)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(15, 300))))) for k in range(150)]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        n = max(1, len(w) // 10)
+        docs += [(10 * k, " ".join([*(f"a{x}" for x in rng.integers(0, 5000, n)), *w[n:]])), (10 * k + 1, " ".join([*w[:-n], *(f"b{x}" for x in rng.integers(0, 5000, n))]))]
+    found = dc.find_items(documents(spark, docs), spark.createDataFrame([(i, t, 0, 0.0) for i, t in items], SCHEMA)).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == by_hand(docs, items)
+    assert any(r.distance > dc.RADIUS for r in found)
+
+
 def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
