@@ -1,9 +1,11 @@
 r"""Personal data in texts, with DataFrame expressions only.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for account numbers) and words nearby
-raise or lower the score of a span. The base kinds are email, ip, card and phone; their confirmed spans always stay, the
+raise the score of a span, words before it may lower it. The base kinds are email, ip, card and phone; their confirmed spans always stay, the
 score only ranks them. Two further kinds, iban and ssn, count from a score of KEEP: an account number with the right check
-digits passes by itself, a social security number needs a word such as "ssn" within NEAR characters.
+digits passes by itself, a social security number needs a word such as "ssn" within NEAR characters before or after it.
+An account number may be written with blanks, so the run that looks like one may go on into the next words: where a word ends
+at its country's length it ends there; else it is also tried up to each blank, and the longest with the right digits counts.
 
 How positions are found: splitting a text by a pattern gives the pieces between the matches, so running sums over the
 lengths of pieces and matches are the offsets (code points). The patterns use possessive quantifiers and start only where
@@ -24,12 +26,18 @@ KEEP = 0.5
 NEAR = 40
 #: Kinds in the order that breaks ties between spans of one start. Fixed values.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+#: Countries by the length of their account numbers. Fixed values.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT",
+}
+USUAL = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in LENGTHS.items())
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{USUAL}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A cheap test that a text must pass to hold a span of the kind at all.
@@ -82,6 +90,18 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), step) == 1
 
 
+def account(m: Column) -> Column:
+    """The part of a match, all of it or up to a blank, that is an account number; null if none is."""
+
+    def bare(x):
+        return F.replace(x, F.lit(" "), F.lit(""))
+
+    words = F.split(m, " ")
+    parts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    good = F.filter(parts, lambda x: (F.char_length(bare(x)) >= 15) & mod97(bare(x)))
+    return F.get(good, F.size(good) - 1)
+
+
 def confirmed(kind: str, m: Column) -> Column:
     if kind == "ip":
         return F.rlike(m, F.lit(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"))
@@ -92,7 +112,7 @@ def confirmed(kind: str, m: Column) -> Column:
         n = F.char_length(digits(m))
         return (n >= 9) & (n <= 15)
     if kind == "iban":
-        return mod97(F.regexp_replace(m, " ", ""))
+        return account(m).isNotNull()
     return F.lit(True)
 
 
@@ -100,7 +120,13 @@ def found(kind: str, text: Column) -> Column:
     """Array of (start, rank of kind, end, kind, score) for one kind."""
     none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string, score: double>>")
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("piece"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("match"))
-    numbered = F.transform(pairs, lambda x: F.struct(x["piece"].alias("piece"), x["match"].alias("match")))
+    near = F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.left(x, F.lit(NEAR)))
+
+    def beside(x, i):
+        after = F.concat(*(F.coalesce(F.get(near, i + k), F.lit("")) for k in (1, 2)))
+        return F.struct(x["piece"].alias("piece"), x["match"].alias("match"), after.alias("after"))
+
+    numbered = F.transform(pairs, beside)
 
     def step(acc, x):
         start = acc["at"] + F.char_length(x["piece"])
@@ -108,11 +134,12 @@ def found(kind: str, text: Column) -> Column:
         before = F.concat(F.right(acc["last"], F.lit(NEAR)), F.right(x["piece"], F.lit(NEAR)))
         score = (
             F.lit(PRIOR[kind])
-            + F.when(F.rlike(before, F.lit(CONTEXT[kind])), RAISE).otherwise(0.0)
+            + F.when(F.rlike(before, F.lit(CONTEXT[kind])) | F.rlike(x["after"], F.lit(CONTEXT[kind])), RAISE).otherwise(0.0)
             + F.when(F.rlike(before, F.lit(AGAINST)), LOWER).otherwise(0.0)
         )
         score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2)
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
+        stop = start + F.char_length(account(x["match"])) if kind == "iban" else end
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), stop.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
         good = x["match"].isNotNull() & confirmed(kind, x["match"])
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"), F.right(x["piece"], F.lit(NEAR)).alias("last"))
 

@@ -61,6 +61,16 @@ def test_method_adds_confirmed_and_hinted_spans(spark):
     assert [s[0] for s in got[2]] == ["ssn"] and got[3] == []
 
 
+def test_context_after_a_span_and_accounts_followed_by_words(spark):
+    account = "DE89370400440532013000"
+    texts = ["123-45-6789 is my SSN", "123-45-6789 and 987-65-4321: each an ssn", f"IBAN {account} BIC COBADEFFXXX", f"{account} 2024", f"{account} GB82 WEST 1234 5698 7654 32 EUR", f"{account}BIC", "ssn " + "x " * 40 + "123-45-6789 " + "x " * 40 + "ssn"]
+    got = [[s for s in spans if s[0] in ("iban", "ssn")] for _, spans in sorted(found(spark, texts).items())]
+    assert got[0] == [("ssn", 0, 11)] and got[1] == [("ssn", 0, 11), ("ssn", 16, 27)]
+    assert got[2] == [("iban", 5, 27)] and got[3] == [("iban", 0, 22)]
+    assert got[4] == [("iban", 0, 22), ("iban", 23, 50)]
+    assert got[5] == [] and got[6] == []
+
+
 def test_odd_tables(spark):
     df = documents(spark, odd_texts())
     assert pii.find_personal_data(df).count() == df.count()
