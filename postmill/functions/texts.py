@@ -133,22 +133,39 @@ def table_rows(md: Column) -> Column:
     return F.size(F.filter(lines, lambda x: has(x, r"^[ \t]*\|") & ~has(x, r"^[ \t]*\|[ \t:|-]*$")))
 
 
-def align(a: list[str], b: list[str], reach: int = 64) -> tuple[int, int, int]:
-    """In-order comparison of word lists: (matched, missing from b, extra in b). After a difference the nearest common word within
-    reach on either side is taken up again."""
-    i = j = matched = missing = extra = 0
+def compared(a: list[str], b: list[str], reach: int = 64) -> tuple[int, int, int, int]:
+    """In-order comparison of word lists: (matched, missing from b, extra in b, steps without a resync). After a difference the
+    word that the other side is at is looked for within reach and the shorter skip taken; if neither side has it, both go on by
+    one word."""
+    i = j = matched = missing = extra = unresynced = 0
+
+    def skip(words, at, word):
+        try:
+            return words.index(word, at + 1, at + 1 + reach) - at
+        except ValueError:
+            return reach + 1
+
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             i, j, matched = i + 1, j + 1, matched + 1
             continue
-        best = min(((x + y, x, y) for x, w in enumerate(a[i : i + reach]) for y, v in enumerate(b[j : j + reach]) if w == v), default=(0, len(a) - i, len(b) - j))
-        i, j, missing, extra = i + best[1], j + best[2], missing + best[1], extra + best[2]
-    return matched, missing + len(a) - i, extra + len(b) - j
+        x, y = skip(a, i, b[j]), skip(b, j, a[i])
+        if x <= y and x <= reach:
+            i, missing = i + x, missing + x
+        elif y <= reach:
+            j, extra = j + y, extra + y
+        else:
+            i, j, missing, extra, unresynced = i + 1, j + 1, missing + 1, extra + 1, unresynced + 1
+    return matched, missing + len(a) - i, extra + len(b) - j, unresynced
+
+
+def align(a: list[str], b: list[str], reach: int = 64) -> tuple[int, int, int]:
+    return compared(a, b, reach)[:3]
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("matched", "missing", "extra")]))
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("matched", "missing", "extra", "unresynced")]))
 def word_alignment(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([align(list(a), list(b)) if a is not None and b is not None else (None, None, None) for a, b in zip(left, right, strict=True)], columns=["matched", "missing", "extra"]).astype("Int32")
+    return pd.DataFrame([compared(list(a), list(b)) if a is not None and b is not None else (None,) * 4 for a, b in zip(left, right, strict=True)], columns=["matched", "missing", "extra", "unresynced"]).astype("Int32")
 
 
 PADDING_RUN = r"[\x{034F}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF} \x{A0}]*(?:[\x{034F}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}][ \x{A0}]*){8}[\x{034F}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF} \x{A0}]*"

@@ -793,7 +793,7 @@ def markdown_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def content_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each page's visible text against those of its Markdown text, in order: matched, missing, extra."""
+    """Words of each page's visible text against those of its Markdown text, in order: matched, missing, extra, steps without a resync."""
     visible = texts.visible_text(F.col("html"))
     p = mail.table(spark, sf_dir, "pages").select("page_id", texts.plain_words(visible).alias("a"), texts.plain_words(texts.markdown_text(visible)).alias("b"))
     return p.select("page_id", F.size("a").alias("n_visible"), F.size("b").alias("n_markdown"), texts.word_alignment("a", "b").alias("w")).select("page_id", "n_visible", "n_markdown", "w.*")

@@ -109,6 +109,33 @@ def test_alignment_accounts_for_all_words(a, b):
     assert texts.align(a, a) == (len(a), 0, 0)
 
 
+def test_alignment_goes_on_after_a_long_difference():
+    same = [f"s{i}" for i in range(3000)]
+    a, b = [f"a{i}" for i in range(100)] + same, [f"b{i}" for i in range(100)] + same
+    assert texts.align(a, b) == (3000, 100, 100) and texts.compared(a, b) == (3000, 100, 100, 100)
+    assert texts.compared(a, b[30:]) == (3000, 100, 70, 70)
+    assert texts.compared(list("xyc"), list("pqc")) == (1, 2, 2, 2)  # each side's next word is nowhere on the other
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=30), st.lists(st.sampled_from("abcdefgh"), max_size=30), st.integers(1, 5))
+def test_alignment_follows_the_rule_of_the_reference(a, b, reach):
+    i = j = matched = missing = extra = unresynced = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j, matched = i + 1, j + 1, matched + 1
+            continue
+        h = next((k for k in range(1, reach + 1) if i + k < len(a) and a[i + k] == b[j]), None)
+        m = next((k for k in range(1, reach + 1) if j + k < len(b) and b[j + k] == a[i]), None)
+        if h is not None and (m is None or h <= m):
+            i, missing = i + h, missing + h
+        elif m is not None:
+            j, extra = j + m, extra + m
+        else:
+            i, j, missing, extra, unresynced = i + 1, j + 1, missing + 1, extra + 1, unresynced + 1
+    assert texts.compared(a, b, reach) == (matched, missing + len(a) - i, extra + len(b) - j, unresynced)
+
+
 def test_rtf_kinds(spark):
     cases = {
         rb"{\rtf1\ansi\ansicpg1252\fromhtml1 \fbidis {\fonttbl}": "encapsulated_html", rb"{\rtf1\ansi\fromtext \deff0}": "encapsulated_text", rb"{\rtf1\ansi Hello}": "plain_rtf", b"Hello": "not_rtf", b"": "not_rtf", rb"{\rtf2\fromhtml1 }": "not_rtf",
