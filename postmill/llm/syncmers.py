@@ -4,7 +4,9 @@ A text is cut into tokens (runs of non-space characters, long runs into pieces o
 hash. A window of K tokens is an anchor when the smallest of its token hashes (the inner substrings, one token long) stands
 at its first or last place. Whether a window is an anchor depends on its own tokens alone, so an edit changes only the
 anchors it touches, at least one of any K - 1 windows in a row is one, and equal passages have equal anchors wherever they
-stand. The fingerprint lists the anchors in order as position:hash (tokens, 8 hex digits), so that matches can be aligned.
+stand. This holds for texts with spaces. Long runs are cut by position from their start, so inside a run without spaces (Chinese,
+Japanese, Thai, base64, minified text) a character put in front changes all later tokens of the run, and equal passages at
+different offsets modulo PIECE share no anchors. The fingerprint lists the anchors in order as position:hash (tokens, 8 hex digits), so that matches can be aligned.
 Likeness is the share of common anchor hashes: twice the common ones over the distinct ones of both.
 
 Defined results: a null text counts as empty and has an empty fingerprint; a text of fewer than K tokens has one anchor,
