@@ -9,8 +9,9 @@ NEAR tokens is known as a repetition. A document is the mean of its tokens' vect
 The network (tanh, then a logistic output) is fitted by Adam; a temperature, fitted on rows kept from the fitting, turns
 its outputs into calibrated probabilities.
 
-Fitting uses SAMPLE labelled rows at most, those with the lowest hash of doc_id among the rows that may be learnt from;
-they and the model (VOCABULARY tokens) are the only data on the driver. Scoring reads every whole text.
+Fitting uses SAMPLE labelled rows of SAMPLE_CHARS characters at most, those with the lowest hash of doc_id among the rows that
+may be learnt from. Tasks read them and send token counts, token vectors and pooled vectors, all bounded by the sample; no
+text reaches the driver. Every token that occurs twice in the sample is known. Scoring reads every whole text.
 
 Defined results: a null text counts as empty and pools to the usual vector; repeated rows give repeated rows; repeated label rows of a
 document count as their largest label; rows without doc_id are scored and not held out; without usable labels every score
@@ -22,18 +23,23 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.common import mix, table
+from postmill.llm.common import mix, stash, table
 
-#: Most labelled rows that the model is fitted on, and most tokens that it knows.
-SAMPLE, VOCABULARY = 5000, 30_000
+#: Most labelled rows that the model is fitted on, and most characters of them together; a row of more than a share of these is not fitted on.
+SAMPLE, SAMPLE_CHARS, LONGEST_SHARE = 5000, 32_000_000, 32
+#: Tasks that share the fitting, tokens whose contexts are added up at a time, tokens of a text whose neighbours are added at a time.
+FIT_TASKS, GROUP, SLICE = 12, 4096, 1 << 16
+CONTEXTS = "token long, seen long, context binary"
 DIM, NONZERO, WINDOW, NEAR, SMOOTH, HIDDEN, EPOCHS = 64, 4, 2, 4, 8, 32, 60
 THRESHOLD, PRIOR = 0.3, 0.5
 SEED = 11
@@ -91,7 +97,7 @@ class Vectors:
         dim = self.rows.shape[1]
         out = np.tile(self.usual, (len(texts), 4))
         for i, text in enumerate(texts):
-            ids = self.ids(TOKEN.findall(text))
+            ids = self.ids(tokens(text))
             if not len(ids):
                 continue
             cuts = [len(ids) * k // 3 for k in range(4)]
@@ -104,24 +110,29 @@ class Vectors:
         return out
 
 
-def random_indexing(texts: list[str], vocabulary: int = VOCABULARY, dim: int = DIM) -> Vectors:
-    counts: Counter[str] = Counter()
+def tokens(text: str | None) -> list[str]:
+    return TOKEN.findall(text or "")
+
+
+def contexts(texts: Iterable[str | None], vectors: Vectors) -> tuple[np.ndarray, np.ndarray]:
+    """What each known token gathers in some texts: the sum of its neighbours' index vectors, and how often it occurs. Both are
+    whole numbers, so sums over any split of the texts agree to the last bit."""
+    context, seen = np.zeros(vectors.rows.shape, dtype=np.int32), np.zeros(len(vectors.rows), dtype=np.int64)
+    turned = {turn: np.roll(vectors.rows, turn, axis=1).astype(np.int32) for turn in range(-WINDOW, WINDOW + 1)}
     for text in texts:
-        counts.update(TOKEN.findall(text))
-    known = [t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:vocabulary] if counts[t] > 1]
-    names = SHAPES + known
-    places = {t: i for i, t in enumerate(names)}
-    index = index_vectors(names, dim)
-    context, seen = np.zeros_like(index), np.zeros(len(index))
-    turned = {turn: np.roll(index, turn, axis=1) for turn in range(-WINDOW, WINDOW + 1)}
-    vectors = Vectors(places, index, np.zeros(dim, dtype=np.float32))
-    for text in texts:  # token lists of all texts together would take many times the texts' memory
-        ids = vectors.ids(TOKEN.findall(text))
+        ids = vectors.ids(tokens(text))
         seen += np.bincount(ids, minlength=len(seen))
-        for step in range(1, WINDOW + 1):
-            for a, b, turn in ((ids[:-step], ids[step:], step), (ids[step:], ids[:-step], -step)):
-                if len(a):
-                    add_rows(context, a, turned[turn], b)
+        for at in range(0, len(ids), SLICE):  # with the neighbours on either side, so a slice's end loses none
+            here = ids[at : at + SLICE]
+            for step in range(1, WINDOW + 1):
+                after, before = ids[at + step : at + len(here) + step], ids[max(0, at - step) : max(0, at + len(here) - step)]
+                add_rows(context, here[: len(after)], turned[step], after)
+                add_rows(context, here[len(here) - len(before) :], turned[-step], before)
+    return context, seen
+
+
+def token_vectors(places: dict[str, int], index: np.ndarray, context: np.ndarray, seen: np.ndarray) -> Vectors:
+    """Own index vector and unit context, frequent tokens weighted down."""
     length = np.linalg.norm(context, axis=1, keepdims=True)
     rows = index / np.sqrt(NONZERO) + context / np.maximum(length, 1e-6)
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)
@@ -130,8 +141,48 @@ def random_indexing(texts: list[str], vocabulary: int = VOCABULARY, dim: int = D
     return Vectors(places, rows, (share @ rows).astype(np.float32))
 
 
+def random_indexing(sample: DataFrame) -> Vectors:
+    """Token vectors from a table with texts. Tasks count tokens and add up contexts; the driver gets a count for each token that
+    occurs twice and a vector for each of them, never a text."""
+    spark = sample.sparkSession
+
+    def count(batches):
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for text in batch["text"].to_pylist():
+                counts.update(tokens(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+
+    counted = sample.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    names = SHAPES + sorted(r.token for r in counted.select("token").collect())
+    places, index = {t: i for i, t in enumerate(names)}, index_vectors(names, DIM)
+    held = spark.sparkContext.broadcast(Vectors(places, index, np.zeros(DIM, dtype=np.float32)))
+
+    def gather(batches):
+        texts = (t for batch in batches for i in range(0, batch.num_rows, 64) for t in batch["text"].slice(i, 64).to_pylist())
+        context, seen = contexts(texts, held.value)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.array([x.tobytes() for x in context[some]], pa.binary())], ["token", "seen", "context"])
+
+    def add_up(group: pa.Table) -> pa.Table:
+        known, place = np.unique(group["token"].to_numpy(), return_inverse=True)
+        context = np.zeros((len(known), DIM), dtype=np.int64)
+        np.add.at(context, place, np.frombuffer(b"".join(group["context"].to_pylist()), dtype=np.int32).reshape(-1, DIM))
+        seen = np.bincount(place, weights=group["seen"].to_numpy()).astype(np.int64)
+        return pa.table([pa.array(known), pa.array(seen), pa.array([x.tobytes() for x in context], pa.binary())], ["token", "seen", "context"])
+
+    parts = sample.select("text").mapInArrow(gather, CONTEXTS)
+    context, seen = np.zeros((len(names), DIM)), np.zeros(len(names))
+    for r in parts.groupBy(F.expr(f"token div {GROUP}").alias("part")).applyInArrow(add_up, CONTEXTS).toLocalIterator():
+        context[r.token], seen[r.token] = np.frombuffer(r.context, dtype=np.int64), r.seen
+    held.destroy()
+    return token_vectors(places, index, context, seen)
+
+
 def add_rows(out: np.ndarray, to: np.ndarray, rows: np.ndarray, of: np.ndarray) -> None:
     """out[to] += rows[of], equal places adding up."""
+    if not len(to):
+        return
     order = np.argsort(to, kind="stable")
     to, of = to[order], of[order]
     starts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
@@ -198,18 +249,37 @@ def may_learn(doc_id: F.Column) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Vectors, Network] | None:
-    """labels: (doc_id, label 0 or 1). The sample is chosen by a hash, so it is the same in every run."""
+def fitting_sample(docs: DataFrame, labels: DataFrame, sample: int, chars: int) -> DataFrame:
+    """(doc_id, text, label) of the rows to fit on, written to the shared folder: chosen by a hash, so the same in every run."""
     marks = labels.where("label is not null").groupBy("doc_id").agg(F.max("label").alias("label")).where(may_learn(F.col("doc_id")))
-    texts = docs.select("doc_id", "text").join(marks, "doc_id")
-    ids = texts.select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    y = np.array([r.label for r in rows], dtype=float)
-    if len(rows) < 2 or y.min() == y.max():
+    sizes = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).join(marks, "doc_id").groupBy("doc_id", "label").agg(F.max("n").alias("n"))
+    few = sizes.where(F.col("n") <= chars // LONGEST_SHARE).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    upto = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))  # over the few
+    ids = few.withColumn("upto", upto).where(F.col("upto") <= chars).select("doc_id", "label")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return stash(texts.repartition(FIT_TASKS), "sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[Vectors, Network] | None:
+    """labels: (doc_id, label 0 or 1)."""
+    rows = fitting_sample(docs, labels, sample, chars)
+    low, high, n = rows.agg(F.min("label"), F.max("label"), F.count("*")).first()
+    if n < 2 or low == high:
         return None
-    vectors = random_indexing([r.text or "" for r in rows])
-    return vectors, fit_network(vectors.pooled([r.text or "" for r in rows]).astype(float), y)
+    vectors = random_indexing(rows)
+    held = rows.sparkSession.sparkContext.broadcast(vectors)
+
+    def pool(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                x = held.value.pooled([t or "" for t in part["text"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"].cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+
+    pooled = sorted(rows.mapInArrow(pool, "doc_id long, label int, x binary").collect(), key=lambda r: r.doc_id)  # a vector for each row of the sample
+    held.destroy()
+    x = np.frombuffer(b"".join(r.x for r in pooled), dtype=np.float32).reshape(len(pooled), -1).astype(float)
+    return vectors, fit_network(x, np.array([r.label for r in pooled], dtype=float))
 
 
 def score(docs: DataFrame, model: tuple[Vectors, Network] | None) -> DataFrame:
@@ -218,7 +288,7 @@ def score(docs: DataFrame, model: tuple[Vectors, Network] | None) -> DataFrame:
     docs = docs.drop("score")
     if model is None:
         return docs.withColumn("score", F.lit(PRIOR))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE and VOCABULARY bound its size
+    held = docs.sparkSession.sparkContext.broadcast(model)  # the sample bounds its size
     names = docs.columns
 
     def run(batches):
