@@ -14,14 +14,14 @@ are dropped.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import decontaminate, jaccard, mixing, quality, sharding
-from postmill.llm.common import scratch_dir, table
+from postmill.llm.common import stash, table
 
+#: Most ids (a number each) that are broadcast.
+BROADCAST_IDS = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -34,11 +34,18 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    firsts = jaccard.join_similar(docs).where("doc_id = class_id").select("doc_id")
-    kept = docs.join(firsts, "doc_id", "left_semi")
+    kept = without(docs, jaccard.join_similar(docs).where("doc_id <> class_id").select("doc_id"))
     if repeats(docs):
-        kept = kept.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return kept.union(docs.where("doc_id is null"))
+        named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+        kept = named.union(kept.where("doc_id is null"))
+    return kept
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for those of some ids (one row an id). Where these are BROADCAST_IDS at most, no text is shuffled for it."""
+    gone = stash(gone, "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeats(docs: DataFrame) -> bool:
@@ -47,8 +54,7 @@ def repeats(docs: DataFrame) -> bool:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs.select(*COLUMNS), decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            path = f"{scratch_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stash(docs, f"pipeline-{name}")
     return docs
