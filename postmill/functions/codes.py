@@ -292,7 +292,8 @@ def is_hidden_directory_address(kind: Column, smtp: Column) -> Column:
 
 
 def rtf_kind(data: Column) -> Column:
-    """encapsulated_html, encapsulated_text, plain_rtf or not_rtf, by the first ten tokens, all of them group starts or control words."""
-    head = F.decode(F.substring(data, 1, 1000), "ISO-8859-1")
-    mark = F.regexp_extract(head, r"(?s)^(?:[\r\n]*(?:\{|\\[A-Za-z]+(?:-?[0-9]+)? ?)){0,9}?[\r\n]*\\(fromhtml1(?![0-9])|fromtext(?![A-Za-z]))", 1)
+    """encapsulated_html, encapsulated_text, plain_rtf or not_rtf, by the first ten tokens, all of them group starts or control words
+    (line breaks between them are none), however long they are."""
+    head = F.decode(data, "ISO-8859-1")
+    mark = F.regexp_extract(head, r"(?s)^(?:[\r\n]*+(?:\{|\\(?!fromhtml1(?![0-9])|fromtext(?![A-Za-z]))[A-Za-z]++(?:-?[0-9]++)? ?)){0,9}+[\r\n]*+\\(fromhtml1(?![0-9])|fromtext(?![A-Za-z]))", 1)
     return F.when(~F.startswith(head, F.lit("{\\rtf1")), "not_rtf").when(mark == "fromhtml1", "encapsulated_html").when(mark == "fromtext", "encapsulated_text").otherwise("plain_rtf")

@@ -25,11 +25,16 @@ def preflight(planned: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("rel", what.alias("disposition"))
 
 
-def decision(dispositions: DataFrame, consent: bool = False, most: int = 0) -> DataFrame:
-    """The preflight's counts and what follows from them: go, or the refusal's label."""
+#: Why an export may not go on, by the state of its target. Fixed values.
+REFUSALS = {"not_owned": "refused_target_not_owned", "other_source": "refused_target_source_mismatch"}
+
+
+def decision(dispositions: DataFrame, consent: bool = False, state: str = "absent", over_budget: bool = False) -> DataFrame:
+    """The preflight's counts and what follows from them and from the target's state: go, or the refusal's label."""
     n = lambda x: F.count_if(F.col("disposition") == x)
     row = counted(dispositions, create=n("create"), identical=n("identical"), replace=n("replace"), blocked=n("blocked"), unknown=n("unknown"))
-    label = F.when(F.col("blocked") > 0, "refused_blocked").when((F.col("replace") > most) & F.lit(not consent), "refused_needs_consent").otherwise("go")
+    first = REFUSALS.get(state) or ("refused_plan_over_budget" if over_budget else None)
+    label = F.coalesce(F.lit(first).cast("string"), F.when(F.col("blocked") > 0, "refused_target_blocked").when((F.col("replace") > 0) & F.lit(not consent), "refused_needs_consent").otherwise("go"))
     return row.withColumn("decision", label)
 
 
@@ -44,7 +49,8 @@ def not_planned(found: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def tree_hash(manifest: DataFrame) -> DataFrame:
-    """One hash over all paths and their hashes, independent of their order. Three levels by the leading digits of a path's MD5
+    """One hash over all paths and their hashes, independent of their order; another hash than one over a sorted list of all lines
+    would be, which no single task could hold. Three levels by the leading digits of a path's MD5
     (6, 3, none), each a hash over its sorted parts, so that no list grows with a directory or the tree."""
     up = lambda rows: F.sha2(F.array_join(F.array_sort(F.collect_list(rows)), ""), 256).alias("sha")
     leaves = manifest.select(F.substring(F.md5(F.col("rel").cast("binary")), 1, 6).alias("p"), F.concat("rel", F.lit("\t"), "sha256", F.lit("\n")).alias("line"))

@@ -10,10 +10,12 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators import compare
+from postmill.sources.scratch import stash
 
 MARKER, TOOL, VERSION = "_postmill", "postmill", 1
 
@@ -22,27 +24,45 @@ class Refused(Exception):
     """The export may not go on; the label says why and nothing of any content."""
 
 
-def marker(spark: SparkSession, root: str) -> dict | None:
+def entries(spark: SparkSession, path: str) -> list[str] | None:
+    """Names directly below a folder, hidden ones too; None where nothing stands. A file, and whatever can't be read, raises."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
-        rows = spark.read.text(f"{root}/{MARKER}").limit(1).collect()
-    except Exception:  # no such folder: Spark has no class of its own for it in all file systems
+        status = files.getFileStatus(at)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getName() == "java.io.FileNotFoundException":
+            return None
+        raise
+    if not status.isDirectory():
+        raise NotADirectoryError("the target is a file")
+    return [s.getPath().getName() for s in files.listStatus(at)]
+
+
+def marker(spark: SparkSession, root: str) -> dict | None:
+    """The marker of an archive; None where there is none or where it is nobody's."""
+    if not entries(spark, f"{root}/{MARKER}"):
         return None
+    rows = spark.read.text(f"{root}/{MARKER}").limit(1).collect()
     try:
-        return json.loads(rows[0].value) if rows else None
+        found = json.loads(rows[0].value) if rows else None
     except ValueError:
         return None
+    return found if isinstance(found, dict) else None
 
 
 def state(spark: SparkSession, root: str, source: str) -> str:
-    """absent, owned (complete or not), other_source or not_owned: what a target is before anything is written."""
-    found = marker(spark, root)
-    if found is None:
-        try:
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path").limit(1).collect()
-        except Exception:
-            return "absent"
+    """absent, empty, owned (complete or not), other_source or not_owned: what a target is before anything is written. What can't be
+    read isn't owned."""
+    try:
+        names = entries(spark, root)
+        found = marker(spark, root) if names else None
+    except Exception:
         return "not_owned"
-    if found.get("tool") != TOOL:
+    if not names:
+        return "absent" if names is None else "empty"
+    if found is None or found.get("tool") != TOOL:
         return "not_owned"
     return "owned" if found.get("source") == source else "other_source"
 
@@ -62,27 +82,31 @@ def read(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/{found['files']}") if found and found.get("files") and found.get("status") == "complete" else None
 
 
-def export(files: DataFrame, root: str, source: str, consent: bool = False) -> dict:
+def export(files: DataFrame, root: str, source: str, consent: bool = False, over_budget: bool = False) -> dict:
     """Write files (rel, content binary) as the archive of source at root. Returns the preflight's counts and the tree's hash.
 
-    Raises Refused for a target of somebody else, of another source, or one that would change without consent. Writing the
-    same files again writes nothing."""
+    Raises Refused for a target of somebody else, of another source, one that would change without consent, or a plan over
+    budget. The files are computed once, into a part of their own that only the marker makes the archive's; where they equal what
+    the archive holds, nothing at the target changes."""
     spark = files.sparkSession
     found = state(spark, root, source)
-    if found in ("not_owned", "other_source"):
-        raise Refused({"not_owned": "refused_not_owned", "other_source": "refused_source_mismatch"}[found])
-    part = f"files-{uuid.uuid4().hex}"
+    if found in compare.REFUSALS:
+        raise Refused(compare.REFUSALS[found])
+    if over_budget:
+        raise Refused("refused_plan_over_budget")
+    staged = stash(files.select("rel", "content"), "staged")
+    planned = manifest_of(staged)
     old = read(spark, root)
-    planned = manifest_of(files)
     before = manifest_of(old) if old is not None else planned.limit(0)
-    counts = compare.decision(compare.preflight(planned, before.withColumn("is_file", F.lit(True))), consent).first().asDict()
+    counts = compare.decision(compare.preflight(planned, before.withColumn("is_file", F.lit(True))), consent, found).first().asDict()
     if counts["decision"] != "go":
         raise Refused(counts["decision"])
     if old is not None and not counts["create"] + counts["replace"] + counts["unknown"]:
         return counts | {"written": False, **compare.tree_hash(before).first().asDict()}
     if old is None:
         put_marker(spark, root, source, None, "incomplete")
-    files.select("rel", "content").write.parquet(f"{root}/{part}")
+    part = f"files-{uuid.uuid4().hex}"
+    staged.write.parquet(f"{root}/{part}")
     written = manifest_of(spark.read.parquet(f"{root}/{part}"))
     wrong = compare.preflight(planned, written.withColumn("is_file", F.lit(True))).where("disposition <> 'identical'").count()
     if wrong:

@@ -1,8 +1,13 @@
 """Planning where every folder, message and attachment goes: names that are unique in their directory and paths that fit.
 
-The tree is planned level by level from the top, one DataFrame for all directories of a level. Within a level names are
-shortened to what the deepest path below them leaves, grouped by collision key, and numbered by a join: the numbers a
-group may use are those whose names nobody holds already, and members take them in order.
+The tree is planned level by level from the top, one DataFrame for all directories of a level, however deep it is. Within a
+level names are shortened to what the deepest path below them leaves, grouped by collision key, and numbered by a join: the
+numbers a group may use are those whose names nobody holds already, and members take them in order. Messages embedded in
+attachments follow, nesting by nesting, down to the policy's cap.
+
+Nothing is lost silently: folders whose parent is unknown, or that lie in a circle of parents or below one, and messages whose
+folder is unknown go to the root. Attachments of an unknown message have no place; missing() counts them, and apart from them
+what lies within capped messages. Ids of folders and of messages (embedded ones too) are unique, those of folders not 0.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ FLOORS = {"folder": 16, "message": 24, "attachment": 16}
 #: Tails below a directory: \folder.json, \metadata.json, \attachments\ and attachments itself. Fixed values.
 FOLDER_TAIL, MESSAGE_TAIL, ATTACHMENTS_TAIL, ATTACHMENTS = 12, 14, 13, 11
 FOLDER_FILE = "folder.json"
-DEEPEST = 128
+#: The parent of what lies in the root.
+ROOT = 0
 
 
 @dataclass(frozen=True)
@@ -32,6 +38,7 @@ class Policy:
     path_units: int = PATH_UNITS
     directory_units: int = DIRECTORY_UNITS
     attachment_units: int = ATTACHMENT_UNITS
+    nesting: int = 3
 
 
 def directory_floor(natural: Column, floor: int) -> Column:
@@ -62,27 +69,69 @@ def natural_names(folders: DataFrame, messages: DataFrame, attachments: DataFram
     return f, m, a.withColumn("natural", kept).drop("_raw")
 
 
-def message_tails(messages: DataFrame, attachments: DataFrame) -> DataFrame:
-    """(message_id, tail): the longest path below each message with every attachment at its shortest."""
-    need = attachments.groupBy("message_id").agg(F.max(file_floor(F.col("natural.name"))).alias("need"))
-    tail = F.when(F.col("need").isNull(), MESSAGE_TAIL).otherwise(F.greatest(F.lit(MESSAGE_TAIL), F.lit(ATTACHMENTS_TAIL) + F.col("need")))
-    return messages.select("message_id").join(need, "message_id", "left").select("message_id", tail.cast("int").alias("tail"))
+def nestings(messages: DataFrame, attachments: DataFrame, most: int) -> list[DataFrame]:
+    """(message_id) of the messages in folders, then of those embedded once, twice and so on to the cap."""
+    inner = attachments.where("inner_id is not null").select("message_id", F.col("inner_id").alias("inner"))
+    out = [stash(messages.select("message_id").join(inner.select(F.col("inner").alias("message_id")), "message_id", "left_anti"), "nesting")]
+    while len(out) <= most:
+        deeper = stash(inner.join(out[-1], "message_id").select(F.col("inner").alias("message_id")).distinct(), "nesting")
+        if deeper.isEmpty():
+            break
+        out.append(deeper)
+    return out
+
+
+def message_tails(messages: DataFrame, attachments: DataFrame, parts: list[DataFrame] | None = None) -> DataFrame:
+    """(message_id, tail): the longest path below each message with everything below it at its shortest. parts: the messages by
+    nesting, where some are embedded; what is embedded in the last of them is capped and counts without content."""
+    files = attachments.where("inner_id is null") if parts else attachments
+    need = files.groupBy("message_id").agg(F.max(file_floor(F.col("natural.name"))).alias("need"))
+    own = F.greatest(F.lit(MESSAGE_TAIL), F.lit(ATTACHMENTS_TAIL) + F.col("need")).cast("int").alias("tail")  # greatest passes over nulls
+    if not parts or len(parts) == 1:
+        return messages.select("message_id").join(need, "message_id", "left").select("message_id", own)
+    floor = messages.select(F.col("message_id").alias("inner_id"), directory_floor(F.col("natural.name"), FLOORS["message"]).alias("floor"))
+    holds = attachments.where("inner_id is not null").select("message_id", "inner_id").join(floor, "inner_id")
+    out = below = None
+    for part in reversed(parts):
+        inside = holds.join(below, "inner_id", "left") if below is not None else holds.withColumn("inner_tail", F.lit(None).cast("int"))
+        dirs = inside.groupBy("message_id").agg(F.max(F.col("floor") + F.coalesce("inner_tail", F.lit(MESSAGE_TAIL))).alias("dirs"))
+        both = part.join(need, "message_id", "left").join(dirs, "message_id", "left").select("message_id", F.greatest("need", "dirs").alias("need"))
+        tails = stash(both.select("message_id", own), "tails")
+        below = tails.select(F.col("message_id").alias("inner_id"), F.col("tail").alias("inner_tail"))
+        out = tails if out is None else out.unionByName(tails)
+    return out
+
+
+def leveled(folders: DataFrame) -> DataFrame:
+    """(folder_id, parent, level): where each folder lies, level 0 in the root. The way to the root is found by doubling: each round
+    a folder looks from as far up as it has come, so the rounds are the logarithm of the depth."""
+    known = folders.select(F.col("folder_id").alias("known"))
+    up = folders.select("folder_id", "parent_id").join(known, (F.col("parent_id") == F.col("known")) & (F.col("parent_id") != F.col("folder_id")), "left")
+    step = stash(up.select("folder_id", F.col("known").alias("parent"), F.col("known").alias("up"), F.col("known").isNotNull().cast("long").alias("level")), "up")
+    rounds = folders.count().bit_length() + 1
+    while rounds and not step.where("up is not null").isEmpty():
+        far = step.select(F.col("folder_id").alias("at"), F.col("up").alias("further"), F.col("level").alias("more"))
+        step = stash(step.join(far, F.col("up") == F.col("at"), "left").select("folder_id", "parent", F.col("further").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "up")
+        rounds -= 1
+    circle = F.col("up").isNotNull()
+    return step.select("folder_id", F.when(circle, ROOT).otherwise(F.coalesce("parent", F.lit(ROOT))).alias("parent"), F.when(circle, 0).otherwise(F.col("level")).cast("int").alias("level"))
 
 
 def folder_tails(folders: DataFrame, messages: DataFrame, tails: DataFrame) -> DataFrame:
-    """(folder_id, tail) from the deepest level up."""
+    """(folder_id, tail) of folders (folder_id, parent, level, natural), from the deepest level up."""
     of_messages = messages.join(tails, "message_id").groupBy("folder_id").agg(F.max(F.lit(1) + directory_floor(F.col("natural.name"), FLOORS["message"]) + F.col("tail")).alias("below"))
-    base = folders.join(of_messages, "folder_id", "left").select("folder_id", "parent_id", "depth", "natural", F.greatest(F.lit(FOLDER_TAIL), F.coalesce("below", F.lit(0))).alias("own"))
-    deepest = base.agg(F.max("depth")).first()[0]
-    done = None
-    for depth in range(min(deepest if deepest is not None else -1, DEEPEST), -1, -1):
-        level = base.where(F.col("depth") == depth)
-        if done is not None:
-            up = done.where(F.col("depth") == depth + 1).groupBy(F.col("parent_id").alias("folder_id")).agg(F.max(F.lit(1) + directory_floor(F.col("natural.name"), FLOORS["folder"]) + F.col("tail")).alias("below"))
-            level = level.join(up, "folder_id", "left").withColumn("own", F.greatest("own", F.coalesce("below", F.lit(0)))).drop("below")
-        level = level.withColumnRenamed("own", "tail")
-        done = level if done is None else done.unionByName(level)
-    return done.select("folder_id", "tail") if done is not None else base.select("folder_id", F.col("own").alias("tail"))
+    base = folders.join(of_messages, "folder_id", "left").select("folder_id", "parent", "level", "natural", F.greatest(F.lit(FOLDER_TAIL), F.col("below")).alias("own"))
+    base = stash(base, "own")
+    deepest = base.agg(F.max("level")).first()[0]
+    out = below = None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        level = base.where(F.col("level") == depth)
+        if below is not None:
+            level = level.join(below, "folder_id", "left").withColumn("own", F.greatest("own", "below")).drop("below")
+        level = stash(level.withColumnRenamed("own", "tail"), "below")
+        below = level.groupBy(F.col("parent").alias("folder_id")).agg(F.max(F.lit(1) + directory_floor(F.col("natural.name"), FLOORS["folder"]) + F.col("tail")).alias("below"))
+        out = level.select("folder_id", "tail") if out is None else out.unionByName(level.select("folder_id", "tail"))
+    return out if out is not None else base.select("folder_id", F.col("own").alias("tail"))
 
 
 def numbered(items: DataFrame, reserved: list[str]) -> DataFrame:
@@ -121,16 +170,16 @@ def numbered(items: DataFrame, reserved: list[str]) -> DataFrame:
     final = F.concat(F.regexp_replace("stem", " +$", ""), names.suffix(F.col("number"), F.col("width")), F.col("ext"))
     numbers = done.select("parent", "id", "kind_rank", final.alias("numbered"), "number", (F.col("width") + 3).alias("suffix_units"))
     out = keyed.join(numbers, ["parent", "id", "kind_rank"], "left")
-    return out.select(*items.columns, F.coalesce("numbered", F.concat("stem", "ext")).alias("final"), "number", F.coalesce("suffix_units", F.lit(0)).alias("suffix_units"))
+    return out.select(*items.columns, "key", F.coalesce("numbered", F.concat("stem", "ext")).alias("final"), "number", F.coalesce("suffix_units", F.lit(0)).alias("suffix_units"))
 
 
 def assigned(items: DataFrame, reserved: list[str]) -> DataFrame:
-    """Items (parent, id, kind_rank, natural, time, ord, most, floor) with their final names and flags: shortened, then numbered.
+    """Items (parent, id, kind_rank, is_file, natural, time, ord, most, floor) with their final names and flags: shortened, then numbered.
     Where a directory needs wider numbers than were kept free, its names are shortened a little more."""
 
     def attempt(rows: DataFrame) -> DataFrame:
         name = F.col("natural.name")
-        is_file = F.col("kind_rank") == 2
+        is_file = F.col("is_file")
         stem, ext = F.when(is_file, names.stem(name)).otherwise(name), F.when(is_file, names.extension(name)).otherwise("")
         s = rows.withColumn("whole", stem).withColumn("ext", ext)
         most = F.greatest(F.col("most") - F.col("reserve") - names.units(F.col("ext")), F.least(F.col("floor"), names.units(F.col("whole"))))
@@ -147,41 +196,87 @@ def assigned(items: DataFrame, reserved: list[str]) -> DataFrame:
     return out.withColumn("flags", F.concat("natural.flags", flags))
 
 
+def entry_columns(kind: Column, source_id: Column, components: Column, tail: Column, flags: Column) -> list[Column]:
+    return [kind.alias("kind"), source_id.alias("source_id"), F.col("parent"), components.alias("components"), F.col("path_units"), (F.col("path_units") + tail).alias("worst_units"), flags.alias("flags"), F.col("original"), F.col("key").alias("base")]
+
+
+def positioned(attachments: DataFrame) -> DataFrame:
+    """attachments with their position in the message, from 1."""
+    order = W.partitionBy("message_id").orderBy("ord", "long_name", "short_name", "method", "size", "inner_id")
+    return attachments.withColumn("position", F.row_number().over(order).cast("long"))
+
+
+def embedding(messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """attachments with inner_id, the message that an attachment is; null where it is a file, or a message that is unknown."""
+    if "inner_id" not in attachments.columns:
+        return attachments.withColumn("inner_id", F.lit(None).cast("long"))
+    known = messages.select(F.col("message_id").alias("known"))
+    return attachments.join(known, F.col("inner_id") == F.col("known"), "left").withColumn("inner_id", F.col("known")).drop("known")
+
+
 def plan(folders: DataFrame, messages: DataFrame, attachments: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Entries (kind, source_id, parent, components, path_units, worst_units, flags, original), folders of parent null lying in the root."""
-    f, m, a = (stash(x, "natural") for x in natural_names(folders, messages, attachments))
-    tails = stash(message_tails(m, a), "tails")
-    below = stash(folder_tails(f, m, tails), "below")
-    deepest = f.agg(F.max("depth")).first()[0]
-    out = None
-    parents = None
-    for depth in range(0, min(deepest if deepest is not None else -1, DEEPEST) + 2):
-        level = f.where(F.col("depth") == depth).join(below, "folder_id").select(F.coalesce("parent_id", F.lit(0)).alias("parent"), F.col("folder_id").alias("id"), F.lit(0).alias("kind_rank"), "natural", F.lit(None).cast("long").alias("time"), F.col("folder_id").alias("ord"), F.lit(FLOORS["folder"]).alias("floor"), "tail", F.col("name").alias("original"))
+    """Entries (kind, source_id, parent, components, path_units, worst_units, flags, original, base): folders, messages, attachments
+    by position in their message, embedded messages. Parents are folders, or messages of what is in them; base is the key before
+    numbering. attachments may have inner_id, the message that an attachment is; such messages lie nowhere else."""
+    f, m, a = natural_names(folders, messages, embedding(messages, attachments))
+    f, m, a = stash(f, "natural"), stash(m, "natural"), stash(positioned(a), "natural")
+    parts = nestings(m, a, policy.nesting)
+    tails = stash(message_tails(m, a, parts), "tails")
+    places = leveled(f)
+    placed, mail = f.join(places, "folder_id"), m.join(parts[0], "message_id")
+    below = folder_tails(placed, mail, tails)
+    of_folders = placed.join(below, "folder_id").select(
+        "level", "parent", F.col("folder_id").alias("id"), F.lit(0).alias("kind_rank"), "natural", F.lit(None).cast("long").alias("time"), F.col("folder_id").alias("ord"), F.lit(FLOORS["folder"]).alias("floor"), "tail", F.col("name").alias("original")
+    )
+    above = places.select(F.col("folder_id").alias("above"), F.col("level").alias("up_level"))
+    of_messages = mail.join(tails, "message_id").join(above, F.col("folder_id") == F.col("above"), "left").select(
+        F.coalesce(F.col("up_level") + 1, F.lit(0)).alias("level"), F.coalesce("above", F.lit(ROOT)).alias("parent"), F.col("message_id").alias("id"), F.lit(1).alias("kind_rank"), "natural",
+        F.coalesce("delivery_ft", "submit_ft").alias("time"), F.col("message_id").alias("ord"), F.lit(FLOORS["message"]).alias("floor"), "tail", F.coalesce("subject", F.lit("")).alias("original"),
+    )
+    candidates = stash(of_folders.unionByName(of_messages).withColumn("is_file", F.lit(False)), "candidates", "level")
+    deepest = candidates.agg(F.max("level")).first()[0]
+    out = parents = None
+    for depth in range((deepest if deepest is not None else -1) + 1):
+        level = candidates.where(F.col("level") == depth).drop("level")
         if parents is None:
             level = level.withColumn("up", F.array().cast("array<string>")).withColumn("up_units", F.lit(policy.root_units))
         else:
-            mail = m.join(tails, "message_id").select(F.col("folder_id").alias("parent"), F.col("message_id").alias("id"), F.lit(1).alias("kind_rank"), "natural", F.coalesce("delivery_ft", "submit_ft").alias("time"), F.col("message_id").alias("ord"), F.lit(FLOORS["message"]).alias("floor"), "tail", F.coalesce("subject", F.lit("")).alias("original"))
-            level = level.unionByName(mail).join(parents, "parent")
+            level = level.join(parents, "parent")
         level = stash(level.withColumn("most", directory_limit(F.col("up_units"), F.col("tail"), policy)), "level")
         named = assigned(level, [FOLDER_FILE]).withColumn("path_units", F.col("up_units") + 1 + names.units(F.col("final")))
-        entries = named.select(
-            F.when(F.col("kind_rank") == 0, "folder").otherwise("message").alias("kind"), F.col("id").alias("source_id"), "parent", F.concat("up", F.array("final")).alias("components"), "path_units",
-            (F.col("path_units") + F.when(F.col("kind_rank") == 0, FOLDER_TAIL).otherwise(MESSAGE_TAIL)).alias("worst_units"), "flags", "original",
-        )
+        is_folder = F.col("kind_rank") == 0
+        entries = named.select(entry_columns(F.when(is_folder, "folder").otherwise("message"), F.col("id"), F.concat("up", F.array("final")), F.when(is_folder, FOLDER_TAIL).otherwise(MESSAGE_TAIL), F.col("flags")))
         entries = stash(entries, "entries")
         out = entries if out is None else out.unionByName(entries)
         parents = entries.where("kind = 'folder'").select(F.col("source_id").alias("parent"), F.col("components").alias("up"), F.col("path_units").alias("up_units"))
     if out is None:
-        raise ValueError("no folders")
-    at = out.where("kind = 'message'").select(F.col("source_id").alias("message_id"), "components", F.col("path_units").alias("message_units"))
-    position = F.row_number().over(W.partitionBy("message_id").orderBy("ord", "long_name", "short_name", "method", "size")).cast("long")
-    files = a.withColumn("position", position).join(at, "message_id").select(
-        F.col("message_id").alias("parent"), F.col("position").alias("id"), F.lit(2).alias("kind_rank"), "natural", F.lit(None).cast("long").alias("time"), F.col("position").alias("ord"), F.lit(FLOORS["attachment"]).alias("floor"),
-        F.least(F.lit(policy.attachment_units), F.greatest(F.lit(0), F.lit(policy.path_units) - F.col("message_units") - ATTACHMENTS_TAIL)).alias("most"), "components", "message_units", F.coalesce("long_name", "short_name", F.lit("")).alias("original"),
+        raise ValueError("neither folders nor messages")
+    holders = out.where("kind = 'message'")
+    inner = m.select(F.col("message_id").alias("inner_id"), F.col("natural").alias("inner_natural"), F.coalesce("subject", F.lit("")).alias("inner_subject")).join(tails.withColumnRenamed("message_id", "inner_id"), "inner_id", "left")
+    for depth in range(len(parts)):
+        entries = stash(inside_messages(a, inner, holders, depth >= policy.nesting, policy), "entries")
+        out = out.unionByName(entries)
+        holders = entries.where("kind = 'embedded_message'")
+    return out
+
+
+def inside_messages(attachments: DataFrame, inner: DataFrame, holders: DataFrame, capped: bool, policy: Policy) -> DataFrame:
+    """Entries of the attachments in the messages that holders plan: files, and embedded messages as directories."""
+    at = holders.select(F.col("source_id").alias("message_id"), "components", F.col("path_units").alias("message_units"))
+    is_file = F.col("inner_id").isNull()
+    files = attachments.join(at, "message_id").join(inner, "inner_id", "left")
+    below = F.lit(MESSAGE_TAIL) if capped else F.coalesce("tail", F.lit(MESSAGE_TAIL))
+    room = F.least(F.lit(policy.attachment_units), F.lit(names.COMPONENT_UNITS), F.greatest(F.lit(0), F.lit(policy.path_units) - F.col("message_units") - ATTACHMENTS_TAIL))
+    items = files.select(
+        F.col("message_id").alias("parent"), F.col("position").alias("id"), F.lit(2).alias("kind_rank"), is_file.alias("is_file"), "inner_id", F.when(is_file, F.col("natural")).otherwise(F.col("inner_natural")).alias("natural"),
+        F.lit(None).cast("long").alias("time"), F.col("position").alias("ord"), F.when(is_file, FLOORS["attachment"]).otherwise(FLOORS["message"]).alias("floor"), "components", "message_units",
+        F.when(is_file, room).otherwise(directory_limit(F.col("message_units") + 1 + ATTACHMENTS, below, policy)).alias("most"), F.when(is_file, F.coalesce("long_name", "short_name", F.lit(""))).otherwise(F.col("inner_subject")).alias("original"),
     )
-    units = F.col("message_units") + 1 + ATTACHMENTS + 1 + names.units(F.col("final"))
-    placed = assigned(stash(files, "files"), []).select(F.lit("attachment").alias("kind"), F.col("id").alias("source_id"), "parent", F.concat("components", F.array(F.lit("attachments"), F.col("final"))).alias("components"), units.alias("path_units"), units.alias("worst_units"), "flags", "original")
-    return out.unionByName(placed)
+    named = assigned(stash(items, "files"), []).withColumn("path_units", F.col("message_units") + 1 + ATTACHMENTS + 1 + names.units(F.col("final")))
+    file, flags = F.col("is_file"), F.col("flags")
+    if capped:
+        flags = F.when(file, flags).otherwise(F.concat(flags, F.array(F.lit("depth_capped"))))
+    return named.select(entry_columns(F.when(file, "attachment").otherwise("embedded_message"), F.when(file, F.col("id")).otherwise(F.col("inner_id")), F.concat("components", F.array(F.lit("attachments"), F.col("final"))), F.when(file, 0).otherwise(MESSAGE_TAIL), flags))
 
 
 def over_budget(entries: DataFrame, policy: Policy = Policy()) -> Column:
@@ -195,19 +290,45 @@ def verify(entries: DataFrame, policy: Policy = Policy()) -> DataFrame:
     units = F.aggregate("components", F.lit(policy.root_units), lambda acc, c: acc + 1 + names.units(c))
     e = entries.withColumn("dir", F.array_join(F.slice("components", F.lit(1), F.size("components") - 1), "\\")).withColumn("last", last)
     e = e.withColumn("key", names.collision_key(F.col("last"))).withColumn("units", units)
-    reserved = (F.col("kind") != "attachment") & (F.col("key") == FOLDER_FILE)
-    twice = e.groupBy("dir", F.col("kind") == "attachment", "key").agg((F.count("*") - 1 + F.max(reserved.cast("int"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("collisions"))
+    reserved = F.col("kind").isin("folder", "message") & (F.col("key") == FOLDER_FILE)
+    twice = e.groupBy("dir", F.col("kind").isin("folder", "message"), "key").agg((F.count("*") - 1 + F.max(reserved.cast("int"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("collisions"))
     rest = e.agg(F.count_if(over_budget(e, policy)).alias("over_budget"), F.count_if(~names.is_legal(F.col("last"))).alias("invalid_names"), F.count_if(F.col("units") != F.col("path_units")).alias("unit_mismatches"))
     return twice.crossJoin(rest)  # one row each
 
 
+def missing(entries: DataFrame, folders: DataFrame, messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """(unplanned, beyond_cap): folders, messages and files that no entry plans, and how many of them lie within a capped message."""
+    a = stash(positioned(embedding(messages, attachments)).select("message_id", "position", "inner_id"), "positions")
+    ids = lambda *kinds: entries.where(F.col("kind").isin(*kinds)).select(F.col("source_id").alias("planned"))
+    without = lambda df, c, *kinds: df.select(F.col(c).alias("id")).join(ids(*kinds), F.col("id") == F.col("planned"), "left_anti")
+    files = a.where("inner_id is null").join(entries.where("kind = 'attachment'").select(F.col("parent").alias("message_id"), F.col("source_id").alias("position")), ["message_id", "position"], "left_anti")
+    inner = a.where("inner_id is not null").select("message_id", "inner_id")
+    edge = stash(entries.where(F.array_contains("flags", "depth_capped")).select(F.col("source_id").alias("message_id")).distinct(), "capped")
+    hidden = edge
+    while not (edge := stash(inner.join(edge, "message_id").select(F.col("inner_id").alias("message_id")).distinct().join(hidden, "message_id", "left_anti"), "capped")).isEmpty():
+        hidden = hidden.unionByName(edge)
+    hidden = hidden.select(F.col("message_id").alias("hidden"))
+    lost = files.select(F.col("message_id").alias("of")).unionByName(without(messages, "message_id", "message", "embedded_message").select(F.col("id").alias("of")))
+    counted = lost.join(hidden, F.col("of") == F.col("hidden"), "left").agg(F.count_if(F.col("hidden").isNull()).alias("lost"), F.count("hidden").alias("beyond_cap"))
+    return counted.crossJoin(without(folders, "folder_id", "folder").agg(F.count("*").alias("folders"))).select((F.col("lost") + F.col("folders")).alias("unplanned"), "beyond_cap")  # one row each
+
+
 def counters(entries: DataFrame) -> DataFrame:
     """Counts over a plan, one row."""
     flag = lambda x: F.count_if(F.array_contains("flags", x))
     kind = lambda k: F.count_if(F.col("kind") == k)
-    return entries.agg(
-        F.count("*").alias("entries_total"), kind("folder").alias("folders"), kind("message").alias("messages"), kind("attachment").alias("attachment_files"),
-        F.count_if(F.exists("flags", lambda f: f.isin(*names.FLAGS[:6], "special_name_protected"))).alias("names_sanitized"), flag("empty_fallback").alias("names_fallback"), flag("truncated").alias("names_truncated"),
-        flag("device_name_mangled").alias("reserved_name_hits"), F.count_if(over_budget(entries)).alias("budget_exceeded"), F.max("worst_units").alias("max_path_units"),
+    in_folder = F.col("kind").isin("folder", "message")
+    per = entries.select(F.array_join(F.slice("components", F.lit(1), F.size("components") - 1), "\\").alias("dir"), in_folder.alias("in_folder"), "base")
+    groups = per.groupBy("dir", "in_folder", "base").agg(F.count("*").alias("n")).withColumn("size", F.col("n") + (F.col("in_folder") & (F.col("base") == FOLDER_FILE)).cast("int"))
+    dirs = groups.groupBy("dir", "in_folder").agg((F.sum("n") + F.first("in_folder").cast("int")).alias("n"), F.count_if(F.col("size") > 1).alias("many"), F.max(F.when(F.col("size") > 1, F.col("size"))).alias("largest"), F.count_if(F.col("size") >= 100).alias("hundred"))
+    of_groups = dirs.agg(
+        F.coalesce(F.sum("many"), F.lit(0)).alias("collision_groups"), F.coalesce(F.max("largest"), F.lit(0)).alias("largest_collision_group"), F.coalesce(F.sum("hundred"), F.lit(0)).alias("collision_groups_100_plus"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("max_entries_in_directory"),
+    )
+    rest = entries.agg(
+        F.count("*").alias("entries_total"), kind("folder").alias("folders"), kind("message").alias("messages"), kind("attachment").alias("attachment_files"), kind("embedded_message").alias("embedded_messages"),
+        F.count_if(F.exists("flags", lambda f: f.isin(*names.FLAGS[:6], "special_name_protected"))).alias("names_sanitized"), flag("truncated").alias("names_truncated"), flag("empty_fallback").alias("names_fallback"),
+        flag("device_name_mangled").alias("reserved_name_hits"), flag("depth_capped").alias("embedded_depth_capped"), F.count_if(over_budget(entries)).alias("budget_exceeded"), F.max("worst_units").alias("max_path_units"),
         F.max(names.units(F.element_at("components", -1))).alias("max_component_units"), F.max(F.size("components")).alias("max_depth"),
     )
+    return rest.crossJoin(of_groups)  # one row each

@@ -442,23 +442,23 @@ def name_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH t AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) AS run,
-      regexp_replace(regexp_replace(regexp_replace(text[:200], '[\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '[{WHITE_SQL}]+', ' ', 'g'), '^ | $', '', 'g') AS line FROM documents)
+    rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), t AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) AS run,
+      regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '[{WHITE_SQL}]+', ' ', 'g'), '^ | $', '', 'g') AS line FROM d)
     SELECT doc_id, strlen(text) AS bytes, repeat('`', greatest(run, 2)::INT + 1) AS fence, CASE WHEN line = '' THEN '(no subject)' ELSE line END AS title,
     (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS l) WHERE regexp_matches(l, '^[ \t]*\|') AND NOT regexp_matches(l, '^[ \t]*\|[ \t:|-]*$')) AS table_rows FROM t"""
 )
 def text_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal newlines, a fence longer than any run of backticks, a title from the head of the text (a title is no more), table rows."""
-    d = mail.table(spark, sf_dir, "documents").where("text is not null")
+    """Normal newlines, a fence longer than any run of backticks, the whole text as a title, table rows; a null text counts as empty."""
+    d = mail.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     t = texts.newlines(F.col("text"))
-    return d.select("doc_id", F.octet_length(t).cast("long").alias("bytes"), texts.fence(F.col("text")).alias("fence"), texts.title(F.left("text", F.lit(200))).alias("title"), texts.table_rows(t).cast("long").alias("table_rows"))
+    return d.select("doc_id", F.octet_length(t).cast("long").alias("bytes"), texts.fence(F.col("text")).alias("fence"), texts.title(F.col("text")).alias("title"), texts.table_rows(t).cast("long").alias("table_rows"))
 
 
 @query(
-    rf"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[{WHITE_SQL}]+'), lambda w: regexp_replace(w, '[*_~`]', '', 'g')), lambda w: w <> ''), ' ') AS words, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS runs FROM conversations WHERE text IS NOT NULL"""
+    rf"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[{WHITE_SQL}]+'), lambda w: regexp_replace(w, '[*_~`]', '', 'g')), lambda w: w <> ''), ' ') AS words, len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+')) AS runs FROM conversations"""
 )
 def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = mail.table(spark, sf_dir, "conversations").where("text is not null")
+    c = mail.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     return c.select("conv_id", "turn", F.array_join(texts.plain_words(F.col("text")), " ").alias("words"), F.size(texts.alphanumeric_words(F.col("text"))).cast("long").alias("runs"))
 
 
@@ -529,7 +529,7 @@ def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """, j AS (SELECT CASE WHEN p.rel IS NULL THEN 'unknown' WHEN f.rel IS NULL THEN 'create' WHEN NOT is_file THEN 'blocked' WHEN p.size <> f.size THEN 'replace' WHEN p.sha256 = f.sha256 THEN 'identical' ELSE 'replace' END AS d FROM manifest p FULL JOIN target f ON p.rel = f.rel)
     SELECT count(*) FILTER (d = 'create') AS "create", count(*) FILTER (d = 'identical') AS identical, count(*) FILTER (d = 'replace') AS "replace", count(*) FILTER (d = 'blocked') AS blocked, count(*) FILTER (d = 'unknown') AS unknown,
-    CASE WHEN count(*) FILTER (d = 'blocked') > 0 THEN 'refused_blocked' WHEN count(*) FILTER (d = 'replace') > 0 THEN 'refused_needs_consent' ELSE 'go' END AS decision FROM j""",
+    CASE WHEN count(*) FILTER (d = 'blocked') > 0 THEN 'refused_target_blocked' WHEN count(*) FILTER (d = 'replace') > 0 THEN 'refused_needs_consent' ELSE 'go' END AS decision FROM j""",
     "manifest", "target",
 )
 def export_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -620,14 +620,14 @@ def attachment_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """, st AS (SELECT message_id, lower(content_id) AS cid, method IN (1, 5) AND size IS NOT NULL AND NOT (method = 1 AND size = 0) AS good FROM attachments WHERE content_id IS NOT NULL),
-    f AS (SELECT message_id, cid, count(*) AS n, count(*) FILTER (good) AS g FROM st GROUP BY 1, 2), r AS (SELECT l_orderkey AS message_id, lower('IMG' || (l_partkey % 50)::VARCHAR || '@x') AS cid FROM lineitem WHERE l_linenumber < 5)
+    f AS (SELECT message_id, cid, count(*) AS n, count(*) FILTER (good) AS g FROM st GROUP BY 1, 2), r AS (SELECT l_orderkey AS message_id, lower('IMG' || (l_partkey % 50)::VARCHAR || '@x') AS cid FROM lineitem)
     SELECT CASE WHEN n IS NULL THEN 'no_attachment' WHEN g = 0 THEN 'not_extracted' WHEN g > 1 THEN 'ambiguous' ELSE 'rewritten' END AS outcome, count(*) AS n FROM (SELECT f.n, f.g FROM r LEFT JOIN f ON f.message_id = r.message_id AND f.cid = r.cid) GROUP BY 1""",
     "attachments",
 )
 def content_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links to content ids, read out of Markdown, resolved against the attachments of the message."""
     md = F.concat(F.lit("see [a](cid:IMG"), (F.col("l_partkey") % 50).cast("string"), F.lit("@x) and [b](http://x)"))
-    refs = mail.table(spark, sf_dir, "lineitem").where("l_linenumber < 5").select(F.col("l_orderkey").alias("message_id"), F.explode(texts.cid_links(md)).alias("cid"))
+    refs = mail.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.explode(texts.cid_links(md)).alias("cid"))
     return compare.resolved_links(refs, archive.staged(mail.attachments(spark, sf_dir)))
 
 
@@ -657,18 +657,60 @@ def message_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.message_tails(m, a)
 
 
-@query()
+NUMBERED_SQL = "CASE WHEN k = 1 THEN {0} || {1} ELSE {0} || ' (' || lpad(k::VARCHAR, greatest(2, length(n::VARCHAR))::INT, '0') || ')' || {1} END"
+#: The plan of the given tables, whose names are all short enough and hold no other's number; entries as e.
+PLAN_SQL = f""", fn AS (SELECT folder_id, coalesce(parent_id, 0) AS parent, depth, name, row_number() OVER g AS k, count(*) OVER (PARTITION BY coalesce(parent_id, 0), lower(name)) AS n FROM folders WINDOW g AS (PARTITION BY coalesce(parent_id, 0), lower(name) ORDER BY folder_id)),
+  ff AS (SELECT folder_id, parent, depth, lower(name) AS base, k, {NUMBERED_SQL.format("name", "''")} AS final FROM fn),
+  f0 AS (SELECT *, '' AS dir, final AS path FROM ff WHERE depth = 0), f1 AS (SELECT ff.*, f0.path AS dir, f0.path || '/' || ff.final AS path FROM ff JOIN f0 ON f0.folder_id = ff.parent WHERE ff.depth = 1),
+  f2 AS (SELECT ff.*, f1.path AS dir, f1.path || '/' || ff.final AS path FROM ff JOIN f1 ON f1.folder_id = ff.parent WHERE ff.depth = 2), fs AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2),
+  mn AS (SELECT *, row_number() OVER (PARTITION BY folder_id, lower(subject) ORDER BY coalesce(delivery_ft, submit_ft) NULLS LAST, message_id) AS k, count(*) OVER (PARTITION BY folder_id, lower(subject)) AS n FROM messages),
+  mf AS (SELECT message_id, folder_id, lower(subject) AS base, k, {NUMBERED_SQL.format("subject", "''")} AS final FROM mn), ms AS (SELECT mf.*, fs.path AS dir, fs.path || '/' || mf.final AS path FROM mf JOIN fs ON fs.folder_id = mf.folder_id),
+  ap AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY ord, long_name NULLS FIRST, short_name NULLS FIRST, method NULLS FIRST, size NULLS FIRST, inner_id NULLS FIRST) AS position,
+    CASE WHEN inner_id IS NULL THEN coalesce(long_name, short_name, 'attachment-' || ord::VARCHAR) ELSE 'FW: ' || flag END AS raw FROM planned_attachments),
+  ac AS (SELECT *, replace(replace(raw, '~', '_'), ':', '_') AS name FROM ap), ax AS (SELECT *, CASE WHEN inner_id IS NULL THEN regexp_extract(name, '^.+(\\.[^. ]+)$', 1) ELSE '' END AS ext FROM ac),
+  an AS (SELECT *, name[:length(name) - length(ext)] AS stem, row_number() OVER (PARTITION BY message_id, lower(name) ORDER BY position) AS k, count(*) OVER (PARTITION BY message_id, lower(name)) AS n FROM ax),
+  af AS (SELECT *, {NUMBERED_SQL.format("stem", "ext")} AS leaf FROM an), fa AS (SELECT af.*, ms.path || '/attachments' AS dir, ms.path || '/attachments/' || leaf AS final FROM af JOIN ms ON ms.message_id = af.message_id),
+  ii AS (SELECT i.slot, i.flag, u.k AS k, i.most, fa.final || repeat('/attachments/FW_ ' || i.flag, (u.k - 1)::INT) AS path FROM inner_messages i JOIN fa ON fa.inner_id = i.slot - 1, (SELECT unnest(range(1, 6)) AS k) u WHERE u.k <= i.most),
+  e AS (SELECT 'folder' AS kind, folder_id AS source_id, parent, dir, base, path, 12 AS below, CASE WHEN k > 1 THEN 'suffixed' ELSE '' END AS flags FROM fs
+    UNION ALL SELECT 'message', message_id, folder_id, dir, base, path, 14, CASE WHEN k > 1 THEN 'suffixed' ELSE '' END FROM ms
+    UNION ALL SELECT CASE WHEN inner_id IS NULL THEN 'attachment' ELSE 'embedded_message' END, coalesce(inner_id, position), message_id, dir, lower(name), final, CASE WHEN inner_id IS NULL THEN 0 ELSE 14 END,
+      array_to_string(list_filter([CASE WHEN contains(raw, ':') THEN 'reserved_char_replaced' END, CASE WHEN contains(raw, '~') THEN 'tilde_replaced' END, CASE WHEN k > 1 THEN 'suffixed' END], lambda x: x IS NOT NULL), ',') FROM fa
+    UNION ALL SELECT 'attachment', 1, slot - k, path || '/attachments', 'note.txt', path || '/attachments/note.txt', 0, '' FROM ii WHERE k <= 3
+    UNION ALL SELECT 'embedded_message', slot - k, slot - k + 1, regexp_replace(path, '/[^/]*$', ''), lower('FW_ ' || flag), path, 14, CASE WHEN k = 4 THEN 'reserved_char_replaced,depth_capped' ELSE 'reserved_char_replaced' END FROM ii WHERE k BETWEEN 2 AND 4)"""
+PLAN_VIEWS = ("folders", "messages", "inner_messages", "planned_attachments")
+
+
+@query(f"{PLAN_SQL} SELECT kind, source_id, parent, path, (21 + length(path))::INT AS path_units, (21 + length(path) + below)::INT AS worst_units, flags FROM e", *PLAN_VIEWS)
 def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where every folder, message and attachment of the archive goes."""
-    p = planner.plan(mail.folders(spark, sf_dir), mail.messages(spark, sf_dir), mail.attachments(spark, sf_dir))
+    """Where every folder, message, attachment and embedded message of the archive goes."""
+    p = planner.plan(*mail.planned(spark, sf_dir))
     return p.select("kind", "source_id", "parent", F.array_join("components", "/").alias("path"), "path_units", "worst_units", F.array_join("flags", ",").alias("flags"))
 
 
-@query()
+GATES_SQL = """g AS (SELECT dir, kind IN ('folder', 'message') AS outer_, base, count(*) AS n FROM e GROUP BY ALL), d AS (SELECT dir, outer_, sum(n) + CASE WHEN outer_ THEN 1 ELSE 0 END AS n FROM g GROUP BY dir, outer_),
+  hidden AS (SELECT coalesce(sum(greatest(most - 4, 0) + greatest(most - 3, 0)), 0)::BIGINT AS n FROM inner_messages), gates AS (
+  SELECT (count(*) - count(DISTINCT lower(path))) AS collisions, count(*) FILTER (21 + length(path) + below > 259 OR (below > 0 AND 21 + length(path) > 247)) AS over_budget,
+    count(*) FILTER (regexp_matches(regexp_extract(path, '[^/]*$'), '[<>:"|?*~]|[ .]$|^$')) AS invalid_names, 0::BIGINT AS unit_mismatches,
+    (SELECT count(*) FROM folders) + (SELECT count(*) FROM messages) + (SELECT count(*) FROM planned_attachments) + (SELECT coalesce(sum(2 * most - 1), 0)::BIGINT FROM inner_messages) - count(*) - (SELECT n FROM hidden) AS unplanned, (SELECT n FROM hidden) AS beyond_cap,
+    count(*) AS entries_total, count(*) FILTER (kind = 'folder') AS folders, count(*) FILTER (kind = 'message') AS messages, count(*) FILTER (kind = 'attachment') AS attachment_files, count(*) FILTER (kind = 'embedded_message') AS embedded_messages,
+    count(*) FILTER (contains(flags, 'replaced')) AS names_sanitized, 0::BIGINT AS names_truncated, 0::BIGINT AS names_fallback, 0::BIGINT AS reserved_name_hits, count(*) FILTER (contains(flags, 'depth_capped')) AS embedded_depth_capped, count(*) FILTER (21 + length(path) + below > 259) AS budget_exceeded,
+    max(21 + length(path) + below)::INT AS max_path_units, max(length(regexp_extract(path, '[^/]*$')))::INT AS max_component_units, max(length(path) - length(replace(path, '/', '')) + 1)::INT AS max_depth,
+    (SELECT count(*) FROM g WHERE n > 1) AS collision_groups, (SELECT coalesce(max(n), 0) FROM g WHERE n > 1) AS largest_collision_group, (SELECT count(*) FROM g WHERE n >= 100) AS collision_groups_100_plus, (SELECT max(n)::BIGINT FROM d) AS max_entries_in_directory FROM e)"""
+
+
+def planned_with_gates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The plan, and one row with its gates and counters."""
+    from postmill.sources.scratch import stash
+
+    entities = mail.planned(spark, sf_dir)
+    p = stash(planner.plan(*entities), "plan")
+    return p, planner.verify(p).crossJoin(planner.missing(p, *entities)).crossJoin(planner.counters(p))  # one row each
+
+
+@query(f"{PLAN_SQL}, {GATES_SQL} SELECT * FROM gates", *PLAN_VIEWS)
 def plan_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan checked anew, and its counters."""
-    p = planner.plan(mail.folders(spark, sf_dir), mail.messages(spark, sf_dir), mail.attachments(spark, sf_dir))
-    return planner.verify(p).crossJoin(planner.counters(p))  # one row each
+    """The plan checked anew and against what it was made from, and its counters."""
+    return planned_with_gates(spark, sf_dir)[1]
 
 
 @query(
@@ -805,9 +847,9 @@ def dry_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from postmill.operators.report import lines
 
     m, f, a = mail.messages(spark, sf_dir), mail.folders(spark, sf_dir), mail.attachments(spark, sf_dir)
-    p = planner.plan(f, m, a)
+    gates = planned_with_gates(spark, sf_dir)[1]
     preflight_ = compare.decision(compare.preflight(mail.manifest(spark, sf_dir), mail.target(spark, sf_dir))).drop("decision")
-    parts = [census.source_census(m, f, a), lines(planner.counters(p)), lines(planner.verify(p)), lines(preflight_)]
+    parts = [census.source_census(m, f, a), lines(gates), lines(preflight_)]
     out = None
     for i, part in enumerate(parts):
         part = part.select((F.col("ord") + i * 100).alias("ord"), "key", "value")

@@ -54,7 +54,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attachments(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity").cast("long")
     return li.select(
@@ -65,9 +65,30 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
         skip("l_suppkey", 13, F.concat(F.lit("report-"), "l_returnflag", F.lit("."), F.when(F.col("l_linestatus") == "O", "pdf").otherwise("DOCX"))).alias("long_name"),
         F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("REP"), "l_returnflag", F.lit("~1.PDF"))).alias("short_name"),
         F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("Img"), (F.col("l_partkey") % 50).cast("string"), F.lit("@x"))).alias("content_id"),
+        *more,
     )
 
 
+#: Attachments that are messages hold NEST - 1 messages at most, one within the other.
+NEST = 6
+
+
+def planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Folders, messages and attachments as a plan takes them: some attachments (inner_id) are messages that hold a note and, up to
+    a depth that their part key gives, another message."""
+    q, mail = F.col("l_quantity").cast("long"), messages(spark, sf_dir).select("message_id", "folder_id", "subject", "delivery_ft", "submit_ft")
+    is_message = (F.col("l_linenumber") == 5) & (F.col("l_partkey") % 11 != 0) & ((q % 5 == 0) | (q % 7 != 0)) & (F.col("l_partkey") % NEST > 0)
+    slot = ((F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey") % 1000) * 8
+    outer = attachments(spark, sf_dir, F.when(is_message, -(slot + 1)).alias("inner_id")).drop("content_id")
+    held = table(spark, sf_dir, "lineitem").where(is_message).select((-slot).alias("slot"), "l_returnflag", F.explode(F.sequence(F.lit(1), (F.col("l_partkey") % NEST).cast("int"))).alias("k"), (F.col("l_partkey") % NEST).alias("most"))
+    null = lambda kind: F.lit(None).cast(kind)
+    inner = held.select((F.col("slot") - F.col("k")).alias("message_id"), null("long").alias("folder_id"), F.concat(F.lit("FW: "), "l_returnflag").alias("subject"), null("long").alias("delivery_ft"), null("long").alias("submit_ft"))
+    file = lambda ord_, method, name, inner_id: ((F.col("slot") - F.col("k")).alias("message_id"), F.lit(ord_).cast("long").alias("ord"), F.lit(method).alias("method"), F.col("k").cast("long").alias("size"), name.alias("long_name"), null("string").alias("short_name"), inner_id.alias("inner_id"))
+    notes = held.select(*file(1, 1, F.lit("note.txt"), null("long")))
+    deeper = held.where("k < most").select(*file(2, 5, null("string"), F.col("slot") - F.col("k") - 1))
+    return folders(spark, sf_dir), mail.unionByName(inner), outer.unionByName(notes).unionByName(deeper)
+
+
 def recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     s, p = F.col("l_suppkey"), F.col("l_partkey")
@@ -170,6 +191,15 @@ SELECT l_orderkey AS message_id, l_linenumber AS ord, CASE WHEN l_partkey % 11 <
   CASE WHEN l_suppkey % 13 <> 0 THEN 'report-' || l_returnflag || '.' || CASE WHEN l_linestatus = 'O' THEN 'pdf' ELSE 'DOCX' END END AS long_name,
   CASE WHEN l_suppkey % 2 = 0 THEN 'REP' || l_returnflag || '~1.PDF' END AS short_name,
   CASE WHEN l_suppkey % 3 = 0 THEN 'Img' || (l_partkey % 50)::VARCHAR || '@x' END AS content_id FROM lineitem""",
+    "inner_messages": f"""
+SELECT -(((l_orderkey * 1000000 + l_partkey) * 1000 + l_suppkey % 1000) * 8) AS slot, l_orderkey AS message_id, l_returnflag AS flag, l_partkey % {NEST} AS most FROM lineitem WHERE l_linenumber = 5 AND l_partkey % 11 <> 0 AND (l_quantity::BIGINT % 5 = 0 OR l_quantity::BIGINT % 7 <> 0) AND l_partkey % {NEST} > 0""",
+    "planned_attachments": f"""
+SELECT l_orderkey AS message_id, l_linenumber AS ord, CASE WHEN l_partkey % 11 <> 0 THEN l_linenumber % 8 END AS method,
+  (CASE WHEN l_quantity::BIGINT % 5 = 0 THEN 0 WHEN l_quantity::BIGINT % 7 <> 0 THEN l_quantity::BIGINT END)::BIGINT AS size,
+  CASE WHEN l_suppkey % 13 <> 0 THEN 'report-' || l_returnflag || '.' || CASE WHEN l_linestatus = 'O' THEN 'pdf' ELSE 'DOCX' END END AS long_name,
+  CASE WHEN l_suppkey % 2 = 0 THEN 'REP' || l_returnflag || '~1.PDF' END AS short_name, l_returnflag AS flag,
+  CASE WHEN l_linenumber = 5 AND l_partkey % 11 <> 0 AND (l_quantity::BIGINT % 5 = 0 OR l_quantity::BIGINT % 7 <> 0) AND l_partkey % {NEST} > 0
+    THEN -(((l_orderkey * 1000000 + l_partkey) * 1000 + l_suppkey % 1000) * 8 + 1) END AS inner_id FROM lineitem""",
     "recipients": """
 SELECT l_orderkey AS message_id, l_linenumber AS ord,
   CASE WHEN l_suppkey % 17 <> 0 THEN l_suppkey % 5 + CASE WHEN l_partkey % 4 = 0 THEN 268435456 ELSE 0 END END AS raw_type,

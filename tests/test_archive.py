@@ -26,16 +26,39 @@ def test_export_is_repeatable_and_owned(spark, tmp_path):
         sink.export(files(spark, a__b="z", c="y"), root, "s1")
     changed = sink.export(files(spark, a__b="z", c="y"), root, "s1", consent=True)
     assert changed["replace"] == 1 and {(r.rel, bytes(r.content)) for r in sink.read(spark, root).collect()} == {("a/b", b"z"), ("c", b"y")}
-    with pytest.raises(sink.Refused, match="refused_source_mismatch"):
+    with pytest.raises(sink.Refused, match="refused_target_source_mismatch"):
         sink.export(files(spark, c="y"), root, "s2")
 
 
 def test_foreign_targets_are_refused(spark, tmp_path):
     (tmp_path / "x.txt").write_text("mine")
     assert sink.state(spark, str(tmp_path), "s") == "not_owned"
-    with pytest.raises(sink.Refused, match="refused_not_owned"):
+    with pytest.raises(sink.Refused, match="refused_target_not_owned"):
         sink.export(files(spark, c="y"), str(tmp_path), "s")
     assert sink.state(spark, f"{tmp_path}/none", "s") == "absent"
+    assert sink.state(spark, f"{tmp_path}/x.txt", "s") == "not_owned"
+
+
+def test_an_empty_folder_is_free_and_a_hidden_file_is_somebodys(spark, tmp_path):
+    assert sink.state(spark, str(tmp_path), "s") == "empty"
+    (tmp_path / ".hidden").write_text("mine")
+    assert sink.state(spark, str(tmp_path), "s") == "not_owned"
+    (tmp_path / ".hidden").unlink()
+    assert sink.export(files(spark, c="y"), str(tmp_path), "s")["written"]
+    with pytest.raises(sink.Refused, match="refused_plan_over_budget"):
+        sink.export(files(spark, c="y"), str(tmp_path), "s", over_budget=True)
+
+
+def test_a_target_that_can_not_be_read_is_left_alone(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/out"
+    sink.export(files(spark, c="y"), root, "s")
+    (tmp_path / "out" / sink.MARKER).rename(tmp_path / "marker")
+    (tmp_path / "out" / sink.MARKER).write_text("{}")  # a file where Spark would read a folder
+    assert sink.state(spark, root, "s") == "not_owned"
+    monkeypatch.setattr(sink, "marker", lambda *a: 1 / 0)
+    assert sink.state(spark, root, "s") == "not_owned"
+    with pytest.raises(sink.Refused, match="refused_target_not_owned"):
+        sink.export(files(spark, c="y"), root, "s")
 
 
 def test_an_incomplete_archive_is_written_anew(spark, tmp_path):
