@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from postmill.llm.common import table
 
 KEEP = 0.5
-NEAR = 40
+NEAR, CHUNK = 40, 64
 #: Kinds in the order that breaks ties between spans of one start. Fixed values.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 #: Countries by the length of their account numbers. Fixed values.
@@ -116,38 +116,51 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def found(kind: str, text: Column) -> Column:
-    """Array of (start, rank of kind, end, kind, score) for one kind."""
-    none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string, score: double>>")
-    pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("piece"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("match"))
-    near = F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.left(x, F.lit(NEAR)))
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: what a lambda takes from outside would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    def beside(x, i):
-        after = F.concat(*(F.coalesce(F.get(near, i + k), F.lit("")) for k in (1, 2)))
-        return F.struct(x["piece"].alias("piece"), x["match"].alias("match"), after.alias("after"))
 
-    numbered = F.transform(pairs, beside)
+def found(kind: str, text: Column) -> Column:
+    """Array of (start, rank of kind, end, kind, score) for one kind.
+
+    Pieces and matches run side by side, each match with the beginnings of the pieces after it. They are gone through CHUNK at a
+    time, so that the spans found so far are copied for each chunk and not for each span."""
+    none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string, score: double>>")
+    state = lambda at, out, last: F.struct(at.alias("at"), out.alias("out"), last.alias("last"))
 
     def step(acc, x):
         start = acc["at"] + F.char_length(x["piece"])
         end = start + F.coalesce(F.char_length(x["match"]), F.lit(0))
         before = F.concat(F.right(acc["last"], F.lit(NEAR)), F.right(x["piece"], F.lit(NEAR)))
+        after = F.concat(*(F.coalesce(x[c], F.lit("")) for c in ("next", "second")))
         score = (
             F.lit(PRIOR[kind])
-            + F.when(F.rlike(before, F.lit(CONTEXT[kind])) | F.rlike(x["after"], F.lit(CONTEXT[kind])), RAISE).otherwise(0.0)
+            + F.when(F.rlike(before, F.lit(CONTEXT[kind])) | F.rlike(after, F.lit(CONTEXT[kind])), RAISE).otherwise(0.0)
             + F.when(F.rlike(before, F.lit(AGAINST)), LOWER).otherwise(0.0)
         )
         score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2)
         stop = start + F.char_length(account(x["match"])) if kind == "iban" else end
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), stop.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
         good = x["match"].isNotNull() & confirmed(kind, x["match"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"), F.right(x["piece"], F.lit(NEAR)).alias("last"))
+        return state(end, F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]), F.right(x["piece"], F.lit(NEAR)))
+
+    def chunk(acc, part):
+        inside = F.aggregate(part, state(acc["at"], none, acc["last"]), step)
+        return let(inside, lambda x: state(x["at"], F.concat(acc["out"], F.array(x["out"])), x["last"]))
+
+    def beside(pieces):
+        heads = lambda k: F.transform(F.slice(pieces, F.lit(k), F.size(pieces)), lambda x: F.left(x, F.lit(NEAR)))
+        return F.arrays_zip(pieces.alias("piece"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("match"), heads(2).alias("next"), heads(3).alias("second"))
+
+    def spans(rows):
+        chunks = F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(CHUNK)), lambda i: F.slice(rows, i, CHUNK))
+        return F.flatten(F.aggregate(chunks, state(F.lit(0), F.array(none), F.lit("")), chunk)["out"])
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"), F.lit("").alias("last"))
-    spans = F.aggregate(numbered, start, step, lambda acc: acc["out"])
+    every = let(F.split(text, PATTERNS[kind], -1), lambda pieces: let(beside(pieces), spans))
     if kind in ("iban", "ssn"):
-        spans = F.filter(spans, lambda s: s["score"] >= KEEP)
-    return F.when(HINTS[kind](text), spans).otherwise(none)
+        every = F.filter(every, lambda s: s["score"] >= KEEP)
+    return F.when(HINTS[kind](text), every).otherwise(none)
 
 
 def joined(spans: Column) -> Column:

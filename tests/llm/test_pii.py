@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from helpers import documents, odd_texts
 from hypothesis import HealthCheck, given, settings
@@ -83,3 +84,17 @@ def test_query(spark, sf_dir):
         spans = base_spans(texts[r.doc_id] or "")
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x[0] for x in spans) for k in BASE)
+
+
+def test_time_follows_the_spans(spark):
+    """A text of 100,000 spans, and one of 12,500: eight times the spans may not take much more than eight times as long."""
+
+    def seconds(n):
+        df = documents(spark, [(1, " ".join(f"u{i}@mail{i % 7}.org" for i in range(n)))])
+        began = time.perf_counter()
+        spans = pii.find_personal_data(df).first().spans
+        assert len(spans) == n and (spans[-1].start, spans[-1].end) == (len(df.first().text) - len(f"u{n - 1}@mail{(n - 1) % 7}.org"), len(df.first().text))
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 24 * seconds(12_500) + 10
