@@ -11,7 +11,7 @@ its outputs into calibrated probabilities.
 
 Fitting uses SAMPLE labelled rows of SAMPLE_CHARS characters at most, those with the lowest hash of doc_id among the rows that
 may be learnt from. Tasks read them and send token counts, token vectors and pooled vectors, all bounded by the sample; no
-text reaches the driver. Every token that occurs twice in the sample is known. Scoring reads every whole text.
+text reaches the driver. Every token that occurs OFTEN times in the sample is known. Scoring reads every whole text.
 
 Defined results: a null text counts as empty and pools to the usual vector; repeated rows give repeated rows; repeated label rows of a
 document count as their largest label; rows without doc_id are scored and not held out; without usable labels every score
@@ -40,7 +40,7 @@ SAMPLE, SAMPLE_CHARS, LONGEST_SHARE = 5000, 32_000_000, 32
 #: Tasks that share the fitting, tokens whose contexts are added up at a time, tokens of a text whose neighbours are added at a time.
 FIT_TASKS, GROUP, SLICE = 12, 4096, 1 << 16
 CONTEXTS = "token long, seen long, context binary"
-DIM, NONZERO, WINDOW, NEAR, SMOOTH, HIDDEN, EPOCHS = 64, 4, 2, 4, 8, 32, 60
+OFTEN, DIM, NONZERO, WINDOW, NEAR, SMOOTH, HIDDEN, EPOCHS = 4, 64, 4, 2, 4, 8, 32, 60
 THRESHOLD, PRIOR = 0.3, 0.5
 SEED = 11
 TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
@@ -132,18 +132,19 @@ def contexts(texts: Iterable[str | None], vectors: Vectors) -> tuple[np.ndarray,
 
 
 def token_vectors(places: dict[str, int], index: np.ndarray, context: np.ndarray, seen: np.ndarray) -> Vectors:
-    """Own index vector and unit context, frequent tokens weighted down."""
-    length = np.linalg.norm(context, axis=1, keepdims=True)
-    rows = index / np.sqrt(NONZERO) + context / np.maximum(length, 1e-6)
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)
+    """Own index vector and unit context, frequent tokens weighted down. Works in the given arrays, to hold no more of them."""
+    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
+    index /= np.sqrt(NONZERO)
+    index += context
+    index /= np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-6)
     share = seen / max(1.0, seen.sum())
-    rows = (rows * (1e-3 / (1e-3 + share))[:, None]).astype(np.float32)
-    return Vectors(places, rows, (share @ rows).astype(np.float32))
+    index *= (1e-3 / (1e-3 + share))[:, None]
+    return Vectors(places, index, (share @ index).astype(np.float32))
 
 
 def random_indexing(sample: DataFrame) -> Vectors:
-    """Token vectors from a table with texts. Tasks count tokens and add up contexts; the driver gets a count for each token that
-    occurs twice and a vector for each of them, never a text."""
+    """Token vectors from a table with texts. Tasks count tokens and add up contexts; the driver gets each token that
+    occurs OFTEN and a vector for each of them, never a text."""
     spark = sample.sparkSession
 
     def count(batches):
@@ -153,7 +154,7 @@ def random_indexing(sample: DataFrame) -> Vectors:
                 counts.update(tokens(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
-    counted = sample.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = sample.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     names = SHAPES + sorted(r.token for r in counted.select("token").collect())
     places, index = {t: i for i, t in enumerate(names)}, index_vectors(names, DIM)
     held = spark.sparkContext.broadcast(Vectors(places, index, np.zeros(DIM, dtype=np.float32)))
@@ -172,7 +173,7 @@ def random_indexing(sample: DataFrame) -> Vectors:
         return pa.table([pa.array(known), pa.array(seen), pa.array([x.tobytes() for x in context], pa.binary())], ["token", "seen", "context"])
 
     parts = sample.select("text").mapInArrow(gather, CONTEXTS)
-    context, seen = np.zeros((len(names), DIM)), np.zeros(len(names))
+    context, seen = np.zeros((len(names), DIM), dtype=np.float32), np.zeros(len(names), dtype=np.float32)  # sums of ones, exact up to 2^24
     for r in parts.groupBy(F.expr(f"token div {GROUP}").alias("part")).applyInArrow(add_up, CONTEXTS).toLocalIterator():
         context[r.token], seen[r.token] = np.frombuffer(r.context, dtype=np.int64), r.seen
     held.destroy()
@@ -278,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
 
     pooled = sorted(rows.mapInArrow(pool, "doc_id long, label int, x binary").collect(), key=lambda r: r.doc_id)  # a vector for each row of the sample
     held.destroy()
-    x = np.frombuffer(b"".join(r.x for r in pooled), dtype=np.float32).reshape(len(pooled), -1).astype(float)
+    x = np.frombuffer(b"".join(r.x for r in pooled), dtype=np.float32).reshape(len(pooled), -1)
     return vectors, fit_network(x, np.array([r.label for r in pooled], dtype=float))
 
 
