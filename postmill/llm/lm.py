@@ -6,21 +6,24 @@ distinct words. A document's loss under a model is the mean of -log p over its w
 out of both models, so that a document isn't scored by what the models learnt from it. score = target loss - background
 loss: the lower, the more a document is like the target.
 
-Everything goes through counts of hashed keys (one for each history, one for each pair), all of them exact and without a
-limit on their number:
+Everything goes through counts of hashed keys (one for each history, one for each pair), without a limit on their number. Counts
+are exact by key; a key is a hash of 47 bits, so of N distinct keys a share of about N / 1.4e14 is counted together with another
+(7e-6 of a thousand million). V is a HyperLogLog count, within about 1 %.
 1. Documents are dealt to chunks by doc_id; each chunk gives its distinct keys and counts, packed by bucket of key. A word
-   in every document costs a chunk one entry, so frequent words make no task large.
+   in every document costs a chunk one entry, so frequent words make no task large. Rows of a doc_id that more than HEAVY rows
+   have, or of those without one, are dealt on by their place in the input.
 2. Each bucket adds up the counts of its keys over all chunks and answers each chunk in the order of its keys.
 3. Each chunk turns the answers into losses of its documents.
 
-Chunks and buckets hold a bounded number of characters and keys; their number grows with the input, and with it the packed
-rows, one for each chunk and bucket. chunk_chars and bucket_chars suit workers of some hundred MB; with N times the memory
-both can be N times as large, which makes the rows fewer by N squared and the keys fewer as well (a corpus of 100 TB wants
-chunks of some hundred million characters).
+Sizes: a chunk holds chunk_chars characters on average and at least a document, a bucket the keys of bucket_chars; the defaults
+suit workers of some hundred MB. Packed rows are one for each chunk and bucket that a chunk has keys of, so never more than
+distinct keys of chunks, which are fewer than words. A chunk of C characters has about C / 8 keys, so rows hold 64 keys and more,
+and the packing pays, up to C / 512 buckets: 60 GB at the defaults. With N times the memory both sizes can be N times as large,
+which carries that to N squared as much (a corpus of 100 TB wants 160 million characters a chunk and 320 million a bucket).
 
 Defined results: null and blank texts have no words, losses null and score null; a missing target set makes the target
 model empty (uniform over the vocabulary); repeated rows count as often as they occur and are scored each; rows without
-doc_id are in the background only; columns other than doc_id and text are ignored; empty in, empty out.
+doc_id are in the background only; a text of any length is one document of one chunk; columns other than doc_id and text are ignored; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import flat, mix, table, word_hashes, words
+from postmill.llm.common import flat, mix, stash, table, word_hashes, words
 
 ALPHA = 0.1
 CHUNK_CHARS, BUCKET_CHARS = 4_000_000, 8_000_000
+#: Rows of one doc_id from which they are dealt to several chunks; most such ids that are broadcast.
+HEAVY, BROADCAST_IDS = 1000, 1_000_000
 KEY_BITS = 48
 PACKED = "bucket int, chunk int, wide boolean, keys binary, background binary, target binary"
 ANSWER = "chunk int, bucket int, n int, background binary, target binary"
@@ -101,7 +106,7 @@ def chunk_keys(docs: pa.Table, marks: pa.Table):
     return ids, offsets, row, history, pair, chosen
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, alpha: float = ALPHA, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, alpha: float = ALPHA, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, text) with the target documents (doc_id) to (doc_id, n_words, target_loss, background_loss, score)."""
     chars, = docs.agg(F.sum(F.char_length("text").cast("long"))).first()
     vocabulary, = docs.select(F.explode(words(F.col("text"))).alias("w")).agg(F.approx_count_distinct("w", 0.01)).first()
@@ -109,11 +114,19 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, alpha: float =
     buckets = max(1, -(-(chars or 0) // bucket_chars))
     prior = alpha * max(1, vocabulary)
 
-    def chunk(key):
-        return F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk")
-
-    texts = docs.select(chunk(F.coalesce("doc_id", F.xxhash64("text"))), "doc_id", "text").repartition("chunk").select("chunk", "doc_id", word_hashes(F.col("text")).alias("words"))
-    marks = target.select("doc_id").where("doc_id is not null").distinct().select(chunk("doc_id"), "doc_id")
+    def chunk(key, part):
+        return F.pmod(F.xxhash64(key, part), F.lit(chunks)).cast("int").alias("chunk")
+
+    often = stash(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select(F.col("doc_id").alias("id"), F.ceil(F.col("n") / heavy).cast("int").alias("parts")), "heavy")
+    wanted, some = target.select("doc_id").where("doc_id is not null").distinct(), not often.isEmpty()
+    rows, marked = docs.select("doc_id", "text"), wanted
+    if some:
+        side = F.broadcast(often) if often.count() <= BROADCAST_IDS else often
+        rows, marked = (df.join(side, F.col("doc_id").eqNullSafe(F.col("id")), "left") for df in (rows, wanted))
+    of_row = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0)) if some else F.lit(0)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)) if some else F.lit(0)
+    texts = rows.select(chunk(F.coalesce("doc_id", F.xxhash64("text")), of_row.cast("int")), "doc_id", "text").repartition("chunk").select("chunk", "doc_id", word_hashes(F.col("text")).alias("words"))
+    marks = marked.select("doc_id", every.alias("part")).select(chunk("doc_id", "part"), "doc_id").distinct()
 
     def pack(key, left: pa.Table, right: pa.Table) -> pa.Table:
         _, _, row, history, pair, chosen = chunk_keys(left, right)
