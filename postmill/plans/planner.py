@@ -138,39 +138,46 @@ def numbered(items: DataFrame, reserved: list[str]) -> DataFrame:
     """(parent, id, stem, ext, kind_rank, time, ord) with final name and number: the first of equal names stays bare, others get
     the next number whose name is free. Reserved names count as a first member. A group's numbers are as wide as its largest."""
     keyed = items.withColumn("key", names.collision_key(F.concat("stem", "ext")))
-    order = W.partitionBy("parent", "key").orderBy("kind_rank", F.col("time").asc_nulls_last(), "ord", "id")
+    group = W.partitionBy("parent", "key")
     phantom = F.col("key").isin([r.lower() for r in reserved]).cast("int")
-    ranked = stash(keyed.withColumn("place", F.row_number().over(order) + phantom), "ranked")
-    keyed = ranked
-    groups = ranked.groupBy("parent", "key").agg(F.max("place").alias("size")).where("size > 1")
-    claims = keyed.select("parent", "key").distinct()
+    place = F.row_number().over(group.orderBy("kind_rank", F.col("time").asc_nulls_last(), "ord", "id")) + phantom
+    ranked = stash(keyed.withColumn("place", place).withColumn("size", F.count("*").over(group) + phantom), "ranked")
     # A name that looks like another group's numbered name may take a number from it.
-    looks = claims.select("parent", F.regexp_replace("key", r" \([0-9]{2,}\)(\.[^. ]{1,16})?$", "$1").alias("base"), F.col("key").alias("held")).where("base <> held")
-    extra = looks.groupBy("parent", F.col("base").alias("key")).agg(F.count("*").alias("claims"))
-    sized = groups.join(extra, ["parent", "key"], "left").withColumn("claims", F.coalesce("claims", F.lit(0))).withColumn("width", names.suffix_width(F.col("size")))
-    members = ranked.join(sized, ["parent", "key"]).where("place > 1")
-    done = None
+    looks = ranked.select("parent", F.regexp_replace("key", NUMBER, "$1").alias("base"), F.col("key").alias("held")).where("base <> held").distinct()
+    claims = looks.groupBy("parent", F.col("base").alias("key")).agg(F.count("*").alias("claims"))
+    contested = stash(claims.join(ranked.where("size > 1").select("parent", "key", "size").distinct(), ["parent", "key"]), "contested")
+    if contested.isEmpty():
+        given = ranked.withColumn("given", F.lit(None).cast("long")).withColumn("width", F.lit(None).cast("int"))
+    else:
+        given = ranked.join(contested_numbers(ranked, contested), ["parent", "id", "kind_rank"], "left")
+    number = F.coalesce("given", F.when(F.col("place") > 1, F.col("place")))
+    width = F.coalesce("width", names.suffix_width(F.col("size")))
+    final = F.concat(F.regexp_replace("stem", " +$", ""), names.suffix(F.col("number"), width), F.col("ext"))
+    out = given.withColumn("number", number)
+    has = F.col("number").isNotNull()
+    return out.select(*items.columns, "key", F.when(has, final).otherwise(F.concat("stem", "ext")).alias("final"), "number", F.when(has, width + 3).otherwise(0).alias("suffix_units"))
+
+
+#: The number of a numbered name's key, in front of its extension.
+NUMBER = r" \([0-9]{2,}\)(\.[^. ]{1,16})?$"
+
+
+def contested_numbers(ranked: DataFrame, contested: DataFrame) -> DataFrame:
+    """(parent, id, kind_rank, given, width) of the members of groups (parent, key, size, claims) some of whose numbered names are held."""
+    held = ranked.select("parent", F.col("key").alias("offer")).distinct()
+    sized = contested.withColumn("width", names.suffix_width(F.col("size")))
     while True:
-        simple = members.where("claims = 0").withColumn("number", F.col("place"))
-        clash = members.where("claims > 0")
-        heads = clash.groupBy("parent", "key", "size", "claims", "width").agg(F.min_by(F.struct("stem", "ext"), "place").alias("n"))
-        offers = heads.select("parent", "key", "n", "width", F.explode(F.sequence(F.lit(2), F.col("size") + F.col("claims"))).alias("number"))
+        members = ranked.drop("size").join(sized, ["parent", "key"]).where("place > 1")
+        heads = members.groupBy("parent", "key", "size", "claims", "width").agg(F.min_by(F.struct("stem", "ext"), "place").alias("n"))
+        offers = heads.select("parent", "key", "n", "width", F.explode(F.sequence(F.lit(2).cast("long"), F.col("size") + F.col("claims"))).alias("number"))
         offers = offers.withColumn("offer", names.collision_key(F.concat(F.regexp_replace("n.stem", " +$", ""), names.suffix(F.col("number"), F.col("width")), F.col("n.ext"))))
-        free = offers.join(claims.select("parent", F.col("key").alias("offer")), ["parent", "offer"], "left_anti")
-        free = free.select("parent", "key", "number", (F.row_number().over(W.partitionBy("parent", "key").orderBy("number")) + 1).alias("place"))
-        given = simple.unionByName(clash.join(free, ["parent", "key", "place"]).select(simple.columns))
-        given = stash(given, "given")
-        widest = given.groupBy("parent", "key").agg(F.max(F.char_length(F.col("number").cast("string"))).alias("needs"))
-        wider = widest.join(sized, ["parent", "key"]).where("needs > width")
-        done = given
+        free = offers.join(held, ["parent", "offer"], "left_anti")
+        free = free.select("parent", "key", F.col("number").alias("given"), (F.row_number().over(W.partitionBy("parent", "key").orderBy("number")) + 1).alias("place"))
+        given = stash(members.join(free, ["parent", "key", "place"]).select("parent", "key", "id", "kind_rank", "given", "width"), "given")
+        wider = stash(given.groupBy("parent", "key", "width").agg(F.max(F.char_length(F.col("given").cast("string"))).alias("needs")).where("needs > width").drop("width"), "wider")
         if wider.isEmpty():
-            break
-        sized = sized.join(wider.select("parent", "key", "needs"), ["parent", "key"], "left").withColumn("width", F.coalesce("needs", "width")).drop("needs")
-        members = ranked.join(sized, ["parent", "key"]).where("place > 1")
-    final = F.concat(F.regexp_replace("stem", " +$", ""), names.suffix(F.col("number"), F.col("width")), F.col("ext"))
-    numbers = done.select("parent", "id", "kind_rank", final.alias("numbered"), "number", (F.col("width") + 3).alias("suffix_units"))
-    out = keyed.join(numbers, ["parent", "id", "kind_rank"], "left")
-    return out.select(*items.columns, "key", F.coalesce("numbered", F.concat("stem", "ext")).alias("final"), "number", F.coalesce("suffix_units", F.lit(0)).alias("suffix_units"))
+            return given.drop("key")
+        sized = sized.join(wider, ["parent", "key"], "left").withColumn("width", F.coalesce("needs", "width")).drop("needs")
 
 
 def assigned(items: DataFrame, reserved: list[str]) -> DataFrame:
@@ -187,7 +194,7 @@ def assigned(items: DataFrame, reserved: list[str]) -> DataFrame:
         return numbered(s, reserved)
 
     rows = items.withColumn("reserve", F.lit(RESERVE))
-    out = stash(attempt(rows), "named")
+    out = attempt(rows)
     wide = out.groupBy("parent").agg(F.max("suffix_units").alias("need")).where(F.col("need") > RESERVE)
     if not wide.isEmpty():
         rows = rows.join(wide, "parent", "left").withColumn("reserve", F.least(F.lit(RESERVE_MOST), F.coalesce("need", F.lit(RESERVE)))).drop("need")
@@ -242,7 +249,7 @@ def plan(folders: DataFrame, messages: DataFrame, attachments: DataFrame, policy
             level = level.withColumn("up", F.array().cast("array<string>")).withColumn("up_units", F.lit(policy.root_units))
         else:
             level = level.join(parents, "parent")
-        level = stash(level.withColumn("most", directory_limit(F.col("up_units"), F.col("tail"), policy)), "level")
+        level = level.withColumn("most", directory_limit(F.col("up_units"), F.col("tail"), policy))
         named = assigned(level, [FOLDER_FILE]).withColumn("path_units", F.col("up_units") + 1 + names.units(F.col("final")))
         is_folder = F.col("kind_rank") == 0
         entries = named.select(entry_columns(F.when(is_folder, "folder").otherwise("message"), F.col("id"), F.concat("up", F.array("final")), F.when(is_folder, FOLDER_TAIL).otherwise(MESSAGE_TAIL), F.col("flags")))
@@ -272,7 +279,7 @@ def inside_messages(attachments: DataFrame, inner: DataFrame, holders: DataFrame
         F.lit(None).cast("long").alias("time"), F.col("position").alias("ord"), F.when(is_file, FLOORS["attachment"]).otherwise(FLOORS["message"]).alias("floor"), "components", "message_units",
         F.when(is_file, room).otherwise(directory_limit(F.col("message_units") + 1 + ATTACHMENTS, below, policy)).alias("most"), F.when(is_file, F.coalesce("long_name", "short_name", F.lit(""))).otherwise(F.col("inner_subject")).alias("original"),
     )
-    named = assigned(stash(items, "files"), []).withColumn("path_units", F.col("message_units") + 1 + ATTACHMENTS + 1 + names.units(F.col("final")))
+    named = assigned(items, []).withColumn("path_units", F.col("message_units") + 1 + ATTACHMENTS + 1 + names.units(F.col("final")))
     file, flags = F.col("is_file"), F.col("flags")
     if capped:
         flags = F.when(file, flags).otherwise(F.concat(flags, F.array(F.lit("depth_capped"))))
