@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,8 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="postmill-")
+    """The shared folder the cluster names. Where none is set a local one will do in one process, as in tests; on a cluster it wouldn't."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="postmill-")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -130,8 +134,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("root").alias("near"))
         lower = labels.join(near, labels.node == near.src).select("node", F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        labels = stash(lower.join(up, "root").select("node", F.least("root", "above").alias("root")), "labels")
+        roots = lower.select("root").distinct()  # so that a label of many nodes is looked up once; only those that go lower travel on
+        up = labels.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("above")).join(roots, "root", "left_semi")
+        labels = stash(lower.join(up, "root", "left").select("node", F.least("root", "above").alias("root")), "labels")
         now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == total:
             return labels

@@ -2,15 +2,20 @@
 
 1. Texts with the same words are one class, kept once; its members follow by a key, so copies are never paired.
 2. Each class gets a MinHash signature of BANDS x ROWS values. Classes that agree on all values of a band meet in a bucket.
-   Buckets above BLOCK members are dealt to pairs of blocks, so no task holds more than two blocks.
 3. In a bucket the signatures are compared in steps of STEP values. After each step the posterior probability that the
    similarity reaches the threshold, given the matches so far and a uniform prior, is read from a table; pairs below
    TOLERANCE are dropped. What is left is reduced to a spanning forest, whose components are candidate clusters.
-4. Within each cluster all pairs are compared again, pruned the same way, and verified exactly by the sizes of
-   intersections of the full shingle sets (sparse columns, dense products of blocks). Large clusters are again dealt to
-   pairs of blocks. Rows that leave a task are link counts and spanning edges: linear in the members, whatever the links.
+4. Within each cluster all pairs are verified exactly by the sizes of intersections of the full shingle sets.
 5. Components of the verified links are the groups.
 
+Large buckets and clusters are cut into blocks, each of which gets the smallest member, the pivot, as well:
+- In a bucket members that outlive the comparison with the pivot are joined through it, whatever they are to each other.
+- In a cluster each member is written as what it lacks of the pivot and what it has beyond it. Members whose difference is at
+  most half of what the threshold allows are surely linked to each other, so their links are counted, not compared.
+Only members far from the pivot are compared with all members, block by block, again pruned; a cluster of edited copies has few.
+So the rows that travel are linear in the members, but for the far ones times the blocks; what leaves a task are link counts and
+spanning edges.
+
 At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^32 = 3e-6, and the tolerance drops fewer than 1e-4
 of the true pairs; above 0.85 both are below 1e-7. Verified links are exact.
 
@@ -36,8 +41,10 @@ from postmill.llm.common import SHINGLE, SIMILAR, components, flat, mix, shingle
 BANDS, ROWS = 32, 5
 STEP = 16
 TOLERANCE = 1e-5
-#: Members of a block: a task compares the pairs of two blocks at most.
-BLOCK = 192
+#: Members of a block, and words of them: a task compares the pairs of two blocks at most.
+BLOCK, BLOCK_WORDS = 192, 2_000_000
+#: Most rows (two numbers each) that are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Columns of a dense product at a time.
 COLUMNS = 8192
 SEED = 20240229
@@ -170,14 +177,30 @@ def sign(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "rep long, sig binary, buckets array<long>").join(keep, F.col("rep") == keep.doc_id, "left_semi")
 
 
-def dealt(members: DataFrame, key: str) -> DataFrame:
-    """Rows (key, n members of the key, ...) to the pairs of blocks that compare them: adds i, j and side.
+def blocks_of(n, most: int = BLOCK):
+    return F.ceil(n / most).cast("int")
+
+
+def block_of(blocks, seed: int):
+    """A block is told by the hash of the representative."""
+    return F.pmod(F.xxhash64("rep", F.lit(seed)), blocks).cast("int")
+
 
-    A block is told by the hash of the representative; of b blocks each row goes to the b pairs that hold its block."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), own.alias("side")))
-    return members.select(key, "rep", F.explode(pairs).alias("p")).select(key, "rep", "p.*")
+def with_pivot(members: DataFrame, key: str, blocks: F.Column) -> DataFrame:
+    """Rows (key, rep, pivot, ...) with the block of each; the pivot's row comes to all blocks."""
+    every = F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block_of(blocks, 7)))
+    return members.withColumn("block", F.explode(every))
+
+
+def far_and_all(members: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows (key, rep, far) of keys that have far members to the pairs of blocks that compare these with all members: key, rep, i, j
+    and side, 0 for the far ones and 1 for all."""
+    counts = members.groupBy(key).agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).where("n_far > 0")
+    both = members.join(counts, key).withColumn("few", blocks_of(F.col("n_far"), most)).withColumn("many", blocks_of(F.col("n"), most))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = both.where("far").select(key, "rep", "far", block_of(F.col("few"), 11).alias("i"), upto("many").alias("j"), F.lit(0).alias("side"))
+    right = both.select(key, "rep", "far", upto("few").alias("i"), block_of(F.col("many"), 13).alias("j"), F.lit(1).alias("side"))
+    return left.unionByName(right)
 
 
 def partitions(df: DataFrame) -> int:
@@ -185,43 +208,64 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Rows of the two blocks of a task; whether both are the same block."""
-    i, j, side = (t[c].to_numpy() for c in ("i", "j", "side"))
-    return np.flatnonzero(side == i), np.flatnonzero(side == j), bool(i[0] == j[0])
+def few_broadcast(df: DataFrame, name: str) -> DataFrame:
+    """df, written, to be broadcast in joins where it has BROADCAST_ROWS at most; beyond that the session splits what is skewed."""
+    df = stash(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def grouped(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.repartition(partitions(rows), *by).sortWithinPartitions(*by)
 
 
 def bytes_of(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
 
 
-def candidate_edges(signed: DataFrame, threshold: float) -> DataFrame:
+def candidate_edges(signed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Spanning edges (a, b) of the pairs that share a bucket and outlive the pruning."""
     rows = signed.select("rep", F.explode("buckets").alias("bucket"))
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    tasks = dealt(rows.join(crowded, "bucket"), "bucket").join(signed.select("rep", "sig"), "rep")
-
-    def run(batches):
-        edges: list[tuple[int, int]] = []
-        for t in whole_groups(batches, ["bucket", "i", "j"]):
-            left, right, same = pairs_of(t)
-            sig, reps = bytes_of(t), t["rep"].to_numpy()
-            alive = surviving(sig[left], sig[right], threshold)
-            if same:
-                alive = np.triu(alive, 1)
-            x, y = np.nonzero(alive)
-            edges += forest(reps[left[x]], reps[right[y]])
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
+    members = stash(rows.join(crowded, "bucket"), "buckets")
+    signs = signed.select("rep", "sig")
+
+    def star(batches):
+        edges: list[tuple] = []
+        for t in whole_groups(batches, ["bucket", "block"]):
+            sig, reps, bucket, pivot = bytes_of(t), t["rep"].to_numpy(), t["bucket"][0].as_py(), t["pivot"][0].as_py()
+            if t["n"][0].as_py() <= block:
+                x, y = np.nonzero(np.triu(surviving(sig, sig, threshold), 1))
+                edges += [(bucket, *e) for e in forest(reps[x], reps[y])]
+            else:
+                near = surviving(sig, sig[reps == pivot][:1], threshold)[:, 0] | (reps == pivot)
+                edges += [(bucket, r, pivot if ok else None) for r, ok in zip(reps.tolist(), near.tolist(), strict=True) if r != pivot]
             if len(edges) > 50_000:
-                yield edge_batch(edges)
+                yield table_of(edges, ["bucket", "a", "b"])
                 edges = []
-        yield edge_batch(edges)
+        yield table_of(edges, ["bucket", "a", "b"])
+
+    def rest(batches):
+        for t in whole_groups(batches, ["bucket", "i", "j"]):
+            sig, reps, side = bytes_of(t), t["rep"].to_numpy(), t["side"].to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            x, y = np.nonzero(surviving(sig[left], sig[right], threshold))
+            yield table_of(forest(reps[left[x]], reps[right[y]]), ["a", "b"])
 
-    return tasks.repartition(partitions(tasks), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    first = with_pivot(members, "bucket", blocks_of(F.col("n"), block)).join(signs, "rep")
+    found = stash(grouped(first, "bucket", "block").mapInArrow(star, "bucket long, a long, b long"), "stars")
+    far = found.where("b is null").select("bucket", F.col("a").alias("rep"), F.lit(True).alias("far"))
+    edges = found.where("b is not null").select("a", "b")
+    if not far.isEmpty():
+        crowd = members.where(F.col("n") > block).select("bucket", "rep").join(far, ["bucket", "rep"], "left").select("bucket", "rep", F.coalesce("far", F.lit(False)).alias("far"))
+        tasks = far_and_all(crowd, "bucket", block).join(signs, "rep")
+        edges = edges.unionByName(grouped(tasks, "bucket", "i", "j").mapInArrow(rest, "a long, b long"))
+    return edges.distinct()
 
 
-def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    a = np.array(edges, dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+def table_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows of whole numbers and nulls."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -242,48 +286,96 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return total
 
 
-def verified(docs: DataFrame, signed: DataFrame, clusters: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """Exact links within the clusters: rows (a, b, links) where links is the documents that b's side adds to a, and b is null
-    but for spanning edges (links 0)."""
-    crowd = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    members = clusters.join(crowd, "root").select("root", "n", F.col("node").alias("rep"))
-    tasks = dealt(members, "root")
-    texts = docs.join(clusters, docs.doc_id == clusters.node, "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    data = texts.join(signed.select("rep", "sig"), "rep").join(sizes, "rep")
-    full = tasks.join(data, "rep").select("root", "i", "j", "side", "rep", "n", "sig", word_hashes(F.col("text")).alias("words"))
+def differences(docs: DataFrame, clusters: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Members of the clusters (root, rep, n documents) against the pivot's shingle set, which is the root's: size of it, less and
+    more (the shingles that a member lacks and has beyond it, as hashes that tell the two apart), far."""
+    words = F.sum(F.col("n_words").cast("long"))
+    members = clusters.select("root", F.col("node").alias("rep")).join(reps.select("rep", "n", "n_words"), "rep")
+    blocks = F.greatest(blocks_of(F.count("*"), block), blocks_of(words, BLOCK_WORDS)).alias("blocks")
+    large = few_broadcast(members.groupBy("root").agg(blocks).where("blocks > 1"), "large")  # the others' rows needn't meet to be counted
+    dealt = with_pivot(members.join(large, "root", "left").withColumn("pivot", F.col("root")), "root", F.coalesce("blocks", F.lit(1)))
+    texts = docs.join(clusters, docs.doc_id == clusters.node, "left_semi").select(F.col("doc_id").alias("rep"), word_hashes(F.col("text")).alias("words_"))
+    rows = dealt.select("root", "block", "rep", "n", F.col("blocks").isNotNull().alias("large")).join(texts, "rep")
+    other = np.uint64(0xA0761D6478BD642F)
+
+    def run(batches):
+        for t in whole_groups(batches, ["root", "block"]):
+            root, reps = t["root"][0].as_py(), t["rep"].to_numpy()
+            values, offsets = shingles(*flat(t["words_"]))
+            own = lambda k: np.unique(values[offsets[k] : offsets[k + 1]])
+            pivot = own(int(np.flatnonzero(reps == root)[0]))
+            block_no, out = t["block"][0].as_py(), []
+            for k, (rep, n) in enumerate(zip(reps.tolist(), t["n"].to_pylist(), strict=True)):
+                if rep == root and block_no:
+                    continue
+                mine = own(k)
+                less, more = np.setdiff1d(pivot, mine, assume_unique=True), np.setdiff1d(mine, pivot, assume_unique=True)
+                far = len(less) + threshold * len(more) > (1 - threshold) * len(pivot) / 2 + 1e-9
+                out.append((root, rep, n, len(pivot), len(less), far, t["large"][0].as_py(), np.concatenate([less ^ other, more]).view(np.int64)))
+                if len(out) == 512:
+                    yield member_batch(out)
+                    out = []
+            yield member_batch(out)
+
+    return grouped(rows, "root", "block").mapInArrow(run, MEMBERS)
+
+
+MEMBERS = "root long, rep long, n long, pivot_size long, less long, far boolean, large boolean, parts array<long>"
+
+
+def member_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 8
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["root", "rep", "n", "pivot_size", "less", "far", "large", "parts"])
+
+
+def verified(docs: DataFrame, signed: DataFrame, clusters: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Exact links within the clusters: rows (a, b, links) where links is a part of the documents linked to a, and b is null but for
+    spanning edges (links 0).
+
+    With less and more for what two members lack of the pivot and have beyond it, the union is at most the pivot and both mores, the
+    intersection at least the pivot without both lesses: near members, those of less + threshold * more at most half of
+    (1 - threshold) * pivot, are linked whatever the rest. Other pairs are counted: the intersection is the pivot without both
+    lesses, plus what the lesses share, plus what the mores share."""
+    members = stash(differences(docs, clusters, reps, threshold, block), "members")
+    near = members.where("not far")
+    whole = near.groupBy("root", "large").agg(F.sum("n").alias("whole"))
+    none = F.lit(None).cast("long")
+    of_large = few_broadcast(whole.where("large").drop("large"), "whole")
+    both = near.where("large").join(of_large, "root").unionByName(near.where("not large").join(whole.where("not large").drop("large"), "root"))
+    sure = both.where(F.col("whole") > F.col("n")).select(F.col("rep").alias("a"), none.alias("b"), (F.col("whole") - F.col("n")).alias("links"))
+    edges = near.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"), F.lit(0).cast("long").alias("links"))
+    out = sure.unionByName(edges)
+    if members.where("far").isEmpty():
+        return out
+    tasks = far_and_all(members.select("root", "rep", "far"), "root", block)
+    full = tasks.join(members.drop("root", "far"), "rep").join(signed.select("rep", "sig"), "rep")
 
     def run(batches):
         for t in whole_groups(batches, ["root", "i", "j"]):
-            left, right, same = pairs_of(t)
-            sig, reps, weight = bytes_of(t), t["rep"].to_numpy(), t["n"].to_numpy()
-            alive = surviving(sig[left], sig[right], threshold)
-            if same:
-                np.fill_diagonal(alive, False)
+            side, sig, reps, weight = t["side"].to_numpy(), bytes_of(t), t["rep"].to_numpy(), t["n"].to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            alive = surviving(sig[left], sig[right], threshold) & (reps[left][:, None] != reps[right][None, :])
             if not alive.any():
                 continue
-            values, offsets = shingles(*flat(t["words"]))
-            sets = [np.unique(values[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            lengths = np.array([len(s) for s in sets])
-            both = common_counts(sets, left, right)
-            near = alive & (both >= threshold * (lengths[left][:, None] + lengths[right][None, :] - both) - 1e-6)
-            x, y = np.nonzero(near)
-            edges = np.array(forest(reps[left[x]], reps[right[y]]), dtype=np.int64).reshape(-1, 2)
-            gained = near @ weight[right]
-            ids = [reps[left]]
-            if not same:
-                gained = np.append(gained, near.T @ weight[left])
-                ids.append(reps[right])
-            ids = np.concatenate(ids)
-            some = gained > 0
-            a = np.append(ids[some], edges[:, 0])
-            b = pa.array(np.append(np.zeros(some.sum(), dtype=np.int64), edges[:, 1]), mask=np.append(np.ones(some.sum(), dtype=bool), np.zeros(len(edges), dtype=bool)))
-            links = np.append(gained[some], np.zeros(len(edges), dtype=np.int64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(links)], ["a", "b", "links"])
-
-    return full.repartition(partitions(full), "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long, links long")
-
-
-def join_similar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+            values, offsets = flat(t["parts"])
+            sets = [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+            less, pivot = t["less"].to_numpy(), int(t["pivot_size"][0].as_py())
+            lengths = np.diff(offsets) - 2 * less + pivot
+            both = common_counts(sets, left, right) + pivot - less[left][:, None] - less[right][None, :]
+            linked = alive & (both >= threshold * (lengths[left][:, None] + lengths[right][None, :] - both) - 1e-6)
+            x, y = np.nonzero(linked)
+            is_near = ~t["far"].to_numpy(zero_copy_only=False)[right]  # far ones are on the left of another task, or of this
+            a = np.append(reps[left], reps[right[is_near]])
+            links = np.append(linked @ weight[right], linked.T[is_near] @ weight[left]).astype(np.int64)
+            some = links > 0
+            rows = [(p, None, q) for p, q in zip(a[some].tolist(), links[some].tolist(), strict=True)]
+            yield table_of([*rows, *((p, q, 0) for p, q in forest(reps[left[x]], reps[right[y]]))], ["a", "b", "links"])
+
+    return out.unionByName(grouped(full, "root", "i", "j").mapInArrow(run, "a long, b long, links long"))
+
+
+def join_similar(docs: DataFrame, threshold: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """(doc_id, text) to one row per document: doc_id, class_id (smallest doc_id of the group that its links connect) and
     n_links (other documents with similarity at least the threshold, copies included)."""
     if not math.isclose(threshold, SIMILAR) and threshold < SIMILAR:
@@ -292,9 +384,8 @@ def join_similar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     keyed, reps = classes(docs)
     docs = once(docs, keyed)
     signed = stash(sign(docs, reps), "signatures")
-    clusters = components(stash(candidate_edges(signed, threshold), "candidates"))
-    sizes = reps.select("rep", "n")
-    found = stash(verified(docs, signed, clusters, sizes, threshold), "links")
+    clusters = components(stash(candidate_edges(signed, threshold, block), "candidates"))
+    found = stash(verified(docs, signed, clusters, reps, threshold, block), "links")
     groups = components(found.where("b is not null").select("a", "b"))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     whole = reps.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")

@@ -52,15 +52,34 @@ def test_links_and_groups_are_those_of_all_pairs(spark, seed):
     assert got == by_hand(texts)
 
 
-def test_large_groups_are_dealt_to_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+@pytest.mark.parametrize("most", [2, 5, 9])  # edits of a member: near the pivot, some far from it, many far
+def test_large_groups_are_dealt_to_blocks(spark, most):
     rng = random.Random(5)
     base = " ".join(f"w{i}" for i in range(200))
-    texts = [(i, edited(base, rng, i % 4)) for i in range(60)] + [(i, base) for i in range(100, 140)]
-    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join_similar(documents(spark, texts)).collect()}
+    texts = [(i, edited(base, rng, i % most)) for i in range(60)] + [(i, base) for i in range(100, 140)] + [(i, edited(texts_of(base, i), rng, i % 3)) for i in range(200, 230)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join_similar(documents(spark, texts), block=8).collect()}
     assert got == by_hand(texts)
 
 
+def texts_of(base, i):
+    """A text that some links lead to from base, though it isn't like it."""
+    w = base.split()
+    return " ".join([*w[: 200 - (i - 200)], *(f"z{k}" for k in range(i - 200))])
+
+
+def test_few_rows_travel_for_a_large_group_of_near_copies(spark):
+    """Members of a cluster that lie near its smallest are compared with it and nothing else."""
+    rng = random.Random(6)
+    base = " ".join(f"w{i}" for i in range(400))
+    df = documents(spark, [(i, edited(base, rng, 1 + i % 3)) for i in range(400)])
+    keyed, reps = jaccard.classes(df.select("doc_id", "text"))
+    signed = jaccard.sign(df, reps).cache()
+    clusters = jaccard.components(jaccard.candidate_edges(signed, 0.8, 8))
+    members = jaccard.differences(df, clusters, reps, 0.8, 8).cache()
+    assert members.count() == 400 and members.where("far").count() == 0
+    assert jaccard.far_and_all(members.select("root", "rep", "far"), "root", 8).count() == 0
+
+
 def test_repeated_rows_and_empty_tables(spark):
     df = documents(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])
     assert sorted(map(tuple, jaccard.join_similar(df).collect())) == [(1, 1, 1), (2, 1, 1)]
