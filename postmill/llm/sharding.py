@@ -5,10 +5,11 @@ hash; when that shard is full, the key continues clockwise to the next virtual n
 the bounds are the counts themselves (the floor or the ceiling of rows / shards), so loads differ by one row at most.
 
 Only counts by arc (the stretch of ring before a virtual node: shards x VNODES numbers, however many rows there are) reach
-the driver, which fills the shards arc by arc: rows of an arc that fit stay, in the order of their hashes; then the rest
-of each arc continues clockwise. The plan comes back as (arc, from rank, to rank, shard, first slot), again bounded, and a
-join by arc gives every row its shard and slot. Ranks within an arc are counted by arc and, where a cluster of equal hashes
-makes an arc large, still by sorting only that arc.
+the driver, which fills the shards arc by arc: rows of an arc that fit stay, then the rest of each arc continues clockwise. The
+plan comes back as (arc, from rank, to rank, shard, first slot), again bounded, and a join by arc gives every row its shard and
+slot. Texts are read once, for a narrow table of the rows' hashes; it also says which task read a row. Where an arc is large,
+by the number of rows or by a cluster of equal ones, it is cut into lanes by these tasks: ranks are counted within the lanes of
+LANE rows or so, and the lanes' sums put them in a row.
 
 Defined results: a null text counts as empty; rows are placed by a hash of doc_id, text checksum and size, so rows without
 doc_id are spread as well; repeated rows get slots of their own; columns other than doc_id and text are ignored.
@@ -22,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postmill.llm.common import mix, table
+from postmill.llm.common import mix, stash, table
 
 SHARDS = 16
 VNODES = 128
+#: Rows of a lane.
+LANE = 50_000
 PLAN = "arc int, low long, high long, shard int, first_slot long"
 
 
@@ -71,7 +74,7 @@ def fill(counts: dict[int, int], shards: int, vnodes: int = VNODES, slack: float
     return plan
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: float = 0.0) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: float = 0.0, lane: int = LANE) -> DataFrame:
     """(doc_id, text) to (doc_id, size, text_crc32, shard, slot)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -82,11 +85,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: f
     def arc_of(h: pd.Series) -> pd.Series:
         return pd.Series((np.searchsorted(positions, h.to_numpy()) % len(positions)).astype(np.int32))
 
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("arc", arc_of("h"))
-    counts = {r.arc: r.n for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # shards x vnodes numbers at most
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size"))
+    rows = stash(rows.withColumn("arc", arc_of("h")).withColumn("task", F.spark_partition_id()), "hashes")
+    by_task = stash(rows.groupBy("arc", "task").agg(F.count("*").alias("n")), "arcs")
+    counts = {r.arc: r.n for r in by_task.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # shards x vnodes numbers at most
+    lanes = -(-max(counts.values(), default=1) // lane)
+    cut = lambda df: df.withColumn("lane", F.pmod("task", F.lit(lanes)))
+    before = F.sum("n").over(W.partitionBy("arc").orderBy("lane").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    offsets = cut(by_task).groupBy("arc", "lane").agg(F.sum("n").alias("n")).select("arc", "lane", before.alias("before"))
     plan = pd.DataFrame(fill(counts, shards, vnodes, slack), columns=["arc", "low", "high", "shard", "first_slot"])
     pieces = spark.createDataFrame(plan, PLAN) if len(plan) else spark.createDataFrame([], PLAN)
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("arc").orderBy("h", "doc_id", "text_crc32", "size")) - 1)
+    ranked = cut(rows).withColumn("rank", F.row_number().over(W.partitionBy("arc", "lane").orderBy("h", "doc_id", "text_crc32", "size")) - 1)
+    ranked = ranked.join(offsets, ["arc", "lane"]).withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(F.broadcast(pieces), (ranked.arc == pieces.arc) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("low")).alias("slot"))
 

@@ -73,7 +73,27 @@ def test_repeated_rows_and_empty_tables(spark):
     assert sharding.assign(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lane", [1, 7])
+def test_large_arcs_are_cut_into_lanes(spark, lane):
+    df = documents(spark, [*((1, "same") for _ in range(300)), *((None, None) for _ in range(200)), *((i, f"text {i}") for i in range(100, 400))]).repartition(5)
+    rows = sharding.assign(df, 16, lane=lane).collect()
+    per = Counter(r.shard for r in rows)
+    assert len(rows) == 800 and set(per.values()) == {50}
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(50)) for s in range(16))
+
+
+def test_movement_without_slack(spark):
+    """Exact bounds pass overflow on from shard to shard, so more rows move than the new shard takes; the ring still keeps most."""
+    df = documents(spark, [(i, f"t{i}") for i in range(4000)])
+    before, after = ({r.doc_id: r.shard for r in sharding.assign(df, n).collect()} for n in (16, 17))
+    moved = sum(before[k] != after[k] for k in before)
+    assert 4000 / 17 <= moved < 0.3 * 4000, moved  # dealing by remainder would move 94 %
+
+
 def test_query(spark, sf_dir):
     rows = sharding.op8_sharding(spark, sf_dir).collect()
+    keys = spark.createDataFrame([(r.doc_id, r.text_crc32, r.size) for r in rows], "doc_id long, c long, s long").selectExpr("xxhash64(doc_id, c, s) as h").collect()
+    walk = walked(np.array([k.h for k in keys]), sharding.SHARDS, sharding.VNODES, 0.0)
+    assert [walk[i] for i in range(len(rows))] == [r.shard for r in rows]
     assert {r.law for r in rows} == {"rows"} and all(r.grown_shard is None for r in rows)
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
