@@ -5,10 +5,12 @@ Targets: the sources in code point order (null last) have weights that repeat; t
 level after filling the first k is (budget - their limits) / (weights of the rest), and the first level that its source
 can hold is the one that stands.
 
-Sampling: whole epochs of a source come first. For the rest each document draws u from a hash of its doc_id and gets the
-key -ln(u) / weight; in order of keys, documents are taken until the budget in words is met, the document at the edge if
-more than half of it fits. Keys are dealt to buckets of about BUCKET documents, so that running sums need one task for a
-bucket only; a source's buckets are summed apart. Reruns draw the same keys.
+Sampling: whole epochs of a source come first. For the rest each document draws u from a hash of its doc_id (of its text, where it
+has no id) and gets the key -ln(u) / weight; in order of keys, documents are taken until the budget in words is met, the
+document at the edge if more than half of it fits. Rows that agree in source, key, id and size are one class, counted before
+anything is ordered. Keys are dealt to buckets of about BUCKET documents, so that running sums need one task for a bucket only; a
+source's buckets are summed apart. Rows of a class are alike, so what comes out is a class's
+row as often as it stands there, with the copies that its places in the order give.
 
 Defined results: a null text has size 0; documents of size 0 are never more than their epochs; a null source is a source of
 its own; a missing or non-positive weight counts as 1; repeated rows are documents of their own with equal keys (which of
@@ -27,6 +29,8 @@ from postmill.llm.common import WORD, table
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 BUCKET = 1024
+#: Rows of a class that one row stands for at most when the class is written out.
+CLASS = 10_000
 SEED = "mix-1"
 #: Weight of a document by its quality label, and without one.
 LIKED, DISLIKED, UNKNOWN = 2.0, 0.5, 1.0
@@ -48,37 +52,47 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return levels.select("source", "source_size", "source_rows", F.least("limit", stands * F.col("w")).alias("target"))
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) from the MD5 of the id and the seed."""
-    h = F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed)).cast("binary"))
+def uniform(doc_id: Column, other: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) from the MD5 of the id and the seed; rows without an id go by another text."""
+    h = F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), other, F.lit("")), F.lit(seed)).cast("binary"))
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
 
 
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
-    """(doc_id, source, size long, weight double) to (doc_id, size, source_size, target, copies, taken): how often each document
-    is taken, and the words that makes."""
+    """(doc_id, source, size long, weight double, and other, a text that tells rows without doc_id apart) to (doc_id, size,
+    source_size, target, copies, taken): how often each document is taken, and the words that makes."""
     goal = targets(docs, **how).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "of")
-    key = -F.ln(uniform(F.col("doc_id"), seed)) / F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
-    rows = docs.select("doc_id", "source", "size", key.alias("key")).join(goal, F.col("source").eqNullSafe(F.col("of")))
+    key = -F.ln(uniform(F.col("doc_id"), F.col("other"), seed)) / F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
+    rows = docs.select("doc_id", "source", "size", key.alias("key"))
+    classes = rows.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("n")).join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     buckets = F.ceil(F.col("source_rows") / BUCKET)
-    rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), buckets - 1)).drop("of")
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
+    classes = classes.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), buckets - 1)).withColumn("words", F.col("size") * F.col("n"))
+    sums = classes.groupBy("source", "bucket").agg(F.sum("words").alias("in_bucket"))
     before = F.coalesce(F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select(F.col("source").alias("of"), F.col("bucket").alias("b"), before.alias("offset"))
-    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", inside).join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
-    twice = (F.col("offset") + F.col("upto")) * 2 - F.col("size")
-    copies = F.col("epochs") + F.when((F.col("size") > 0) & (twice <= F.col("rest") * 2), 1).otherwise(0)
-    return rows.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    inside = F.sum("words").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    classes = classes.withColumn("start", inside - F.col("words")).join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
+    at = F.col("offset") + F.col("start")
+    fits = lambda k: (at + k * F.col("size")) * 2 - F.col("size") <= F.col("rest") * 2  # noqa: E731  whether the k-th of a class is taken
+    near = F.floor((F.col("rest") - at) / F.col("size") + 0.5).cast("long")  # rounding may be one off
+    many = F.when(fits(near + 1), near + 1).when(fits(near), near).otherwise(near - 1)
+    extra = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("n"), many))).otherwise(0)
+    classes = classes.select("source", "key", "doc_id", "size", "source_size", "target", "epochs", "n", extra.cast("long").alias("extra"))
+    large = classes.where(F.col("n") > CLASS).withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(CLASS).cast("long"))))
+    parts = classes.where(F.col("n") <= CLASS).withColumn("from", F.lit(1).cast("long")).unionByName(large.repartition("source", "key", "doc_id", "size", "from"))
+    each = parts.withColumn("nth", F.explode(F.sequence("from", F.least(F.col("n"), F.col("from") + (CLASS - 1)))))
+    copies = (F.col("epochs") + (F.col("nth") <= F.col("extra")).cast("int")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def sized(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, size, weight) of documents, with weights by their quality labels (doc_id, quality)."""
+    """(doc_id, source, size, weight, other) of documents, with weights by their quality labels (doc_id, quality)."""
     liked = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumnRenamed("doc_id", "labelled")
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    other = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), other.alias("other"))
     weight = F.when(F.col("quality") == 1, LIKED).when(F.col("quality") == 0, DISLIKED).otherwise(UNKNOWN)
-    return sizes.join(liked, F.col("doc_id") == F.col("labelled"), "left").select("doc_id", "source", "size", weight.alias("weight"))
+    return sizes.join(liked, F.col("doc_id") == F.col("labelled"), "left").select("doc_id", "source", "size", weight.alias("weight"), "other")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +103,7 @@ OP7_SQL = r"""
 WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 d AS (
   SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':mix-1'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, md5(coalesce(d.text, ''))) || ':mix-1'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
       / CASE WHEN quality = 1 THEN 2.0::DOUBLE WHEN quality = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
   FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),

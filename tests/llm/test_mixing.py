@@ -25,7 +25,7 @@ def targets_by_hand(sizes, weights=(5, 2, 1), share=1.5, most=2):
 
 
 def taken(spark, rows):
-    return mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long, weight double")).collect()
+    return mixing.mix(spark.createDataFrame([(*r, None) for r in rows], "doc_id long, source string, size long, weight double, other string")).collect()
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 12])
@@ -67,6 +67,16 @@ def test_selection_is_a_prefix_of_the_keys(spark, monkeypatch):
             before += size
 
 
+def test_many_equal_rows_are_taken_up_to_the_edge(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CLASS", 64)
+    rows = [(None, "a", 10, 1.0)] * 1000 + [(7, "a", 3, 1.0)] * 500 + [(i, "b", 20, 1.0) for i in range(100, 200)]
+    got = taken(spark, rows)
+    assert len(got) == 1600
+    for source, ids in (("a", {None, 7}), ("b", set(range(100, 200)))):
+        mine = [r for r in got if r.doc_id in ids]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 10 and {r.copies for r in mine} <= {0, 1, 2}, source
+
+
 def test_heavier_documents_come_more_often(spark):
     rows = [(i, f"s{i % 3}", 10, 2.0 if i % 2 else 0.5) for i in range(3000)]
     got = taken(spark, rows)
