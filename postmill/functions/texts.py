@@ -50,8 +50,8 @@ def code_span(c: Column) -> Column:
 
 
 def address_text(display: Column, kind: Column, email: Column, smtp: Column) -> Column:
-    """Name and address; of a directory address only an SMTP address is shown."""
-    address = F.coalesce(smtp, F.when(F.coalesce(upper_ascii(kind), F.lit("")) != "EX", email))
+    """Name and address; an address of another kind than SMTP is shown only by its SMTP address."""
+    address = F.coalesce(smtp, F.when(F.coalesce(upper_ascii(kind), F.lit("SMTP")) == "SMTP", email))
     name = one_line(display)
     return F.when(name.isNotNull() & address.isNotNull() & (name != address), F.concat(name, F.lit(" <"), address, F.lit(">"))).otherwise(F.coalesce(address, name))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import codes, texts
+from postmill.functions.names import WHITE
 
 #: Why an attachment's data isn't in the archive, by method. Fixed values.
 REASONS = {0: "method_none", 2: "by_reference", 3: "by_reference", 4: "by_reference", 6: "ole_object"}
@@ -34,27 +35,107 @@ def attachment_name(long_name: Column, short_name: Column, ord_: Column) -> Colu
     return F.coalesce(*named, F.concat(F.lit("attachment-"), ord_.cast("string")))
 
 
-def header_lines(subject: Column, sender: Column, to: Column, cc: Column, date: Column) -> Column:
-    """The head of a message's Markdown: a title, then a line for each field that is there."""
-    field = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"**{name}:** "), c))
-    rows = F.array(F.concat(F.lit("# "), texts.title(subject)), F.lit(""), field("From", sender), field("To", to), field("Cc", cc), field("Date", date))
-    return F.concat(F.array_join(F.filter(rows, lambda x: x.isNotNull()), "\n"), F.lit("\n"))
+#: Words for importance and sensitivity; the usual values have none. Fixed values.
+IMPORTANCE, SENSITIVITY = {0: "low", 1: None, 2: "high"}, {0: None, 1: "personal", 2: "private", 3: "company confidential"}
+FOUR = ("display_name", "address_type", "email_address", "smtp_address")
+
+
+def address_of(prefix: str = "") -> Column:
+    """The text of an address as a code span; null where all its fields are."""
+    four = [F.col(prefix + c) for c in FOUR]
+    return F.when(F.coalesce(*four).isNotNull(), texts.code_span(F.coalesce(texts.address_text(*four), F.lit("(unknown)"))))
+
+
+def header_lines(sender: Column, represented: Column, to: Column, cc: Column, bcc: Column, date: Column, importance: Column, sensitivity: Column) -> Column:
+    """The list of a message's envelope fields, one line for each that is there; null fields and empty ones have none."""
+
+    def field(name: str, value: Column) -> Column:
+        return F.when(value != "", F.concat(F.lit(f"- **{name}:** "), value))
+
+    def word(value: Column, words: dict) -> Column:
+        out = F.when(value.isNull(), F.lit(None).cast("string"))
+        for k, w in words.items():
+            out = out.when(value == k, F.lit(w).cast("string"))
+        return out.otherwise(F.concat(F.lit("unknown ("), value.cast("string"), F.lit(")")))
+
+    rows = (("From", sender), ("On behalf of", represented), ("To", to), ("Cc", cc), ("Bcc", bcc), ("Date", date), ("Importance", word(importance, IMPORTANCE)), ("Sensitivity", word(sensitivity, SENSITIVITY)))
+    return F.array_compact(F.array(*(field(*r) for r in rows)))
 
 
 def listed(recipients: DataFrame) -> DataFrame:
-    """Recipients of a message as texts, by kind, in the order of their rows."""
+    """Recipients of a message as code spans, by kind, in the order of their rows: one row a message, as its head shows them all."""
     kind = codes.recipient_kind(F.col("raw_type"))
-    text = texts.address_text(F.col("display_name"), F.col("address_type"), F.col("email_address"), F.col("smtp_address"))
-    rows = recipients.select("message_id", kind.alias("kind"), F.struct("ord", F.coalesce(text, F.lit("")).alias("text")).alias("r")).where("kind is not null")
-    of = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("r")))), lambda x: x["text"]), "; ").alias(f"{k}_text")
+    text = F.coalesce(address_of(), F.lit("`(unknown)`"))
+    rows = recipients.select("message_id", kind.alias("kind"), F.struct("ord", text.alias("text")).alias("r")).where("kind is not null")
+    of = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("r")))), lambda x: x["text"]), ", ").alias(f"{k}_text")
     return rows.groupBy("message_id").agg(of("to"), of("cc"), of("bcc"), F.count("*").alias("n_listed"))
 
 
-def message_markdown(messages: DataFrame, recipients: DataFrame) -> DataFrame:
-    """message_id, markdown of the head; the date shown is that of submission, else of delivery."""
+def message_markdown(messages: DataFrame, senders: DataFrame, recipients: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """message_id, markdown: a title, the list of envelope fields, the body. The date shown is that of submission, else of delivery.
+
+    bodies (message_id, markdown, plain_text): Markdown stands as it is, without blank lines around it; plain text stands in a fence
+    longer than any run of backticks in it. Without either a message is its head."""
     date = codes.filetime_text(F.coalesce("submit_ft", "delivery_ft"))
-    both = messages.join(listed(recipients), "message_id", "left")
-    return both.select("message_id", header_lines(F.col("subject"), F.lit(None).cast("string"), F.col("to_text"), F.col("cc_text"), date).alias("markdown"))
+    people = senders.select("message_id", address_of("sender_").alias("sender"), address_of("represented_").alias("represented"))
+    both = messages.join(people, "message_id", "left").join(listed(recipients), "message_id", "left")
+    lines = header_lines(F.col("sender"), F.col("represented"), F.col("to_text"), F.col("cc_text"), F.col("bcc_text"), date, F.col("importance"), F.col("sensitivity"))
+    head = F.concat(F.lit("# "), texts.title(F.col("subject")), F.lit("\n"), F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise(""))
+    if bodies is None:
+        return both.select("message_id", head.alias("markdown"))
+    md = F.regexp_replace(F.regexp_replace(texts.newlines(F.col("body_md")), "^\n+", ""), f"[{WHITE}]+$", "")
+    plain = F.regexp_replace(texts.newlines(F.col("body_text")), "\n+$", "")
+    fence = texts.fence(plain)
+    body = F.when(F.col("body_md").isNotNull(), F.when(md != "", F.concat(F.lit("\n"), md, F.lit("\n"))).otherwise("")).when(
+        F.col("body_text").isNotNull(), F.concat(F.lit("\n"), fence, F.lit("text\n"), plain, F.lit("\n"), fence, F.lit("\n"))
+    )
+    with_body = both.join(bodies.select("message_id", F.col("markdown").alias("body_md"), F.col("plain_text").alias("body_text")), "message_id")
+    return with_body.select("message_id", F.concat(head, F.coalesce(body, F.lit(""))).alias("markdown"))
+
+
+def shown_bodies(bodies: DataFrame) -> DataFrame:
+    """(message_id, markdown, plain_text) of the body that each message shows: the visible text of native HTML that isn't blank, else
+    plain text that isn't, else neither."""
+    html, text = ~texts.is_blank(F.col("native_html")), ~texts.is_blank(F.col("plain_text"))
+    return bodies.select("message_id", F.when(html, texts.visible_text(F.col("native_html"))).alias("markdown"), F.when(~html & text, F.col("plain_text")).alias("plain_text"))
+
+
+def envelope_record(messages: DataFrame, senders: DataFrame, recipients: DataFrame) -> DataFrame:
+    """(message_id, envelope): sender, represented sender, recipients in order, how many aren't listed, times, importance, sensitivity."""
+    four = lambda p: F.when(F.coalesce(*(p + c for c in FOUR)).isNotNull(), F.struct(*(F.col(p + c).alias(c) for c in FOUR)))
+    kind = codes.recipient_kind(F.col("raw_type")).alias("kind")
+    one = F.struct("ord", kind, *FOUR)
+    rows = recipients.select("message_id", kind, one.alias("r"))
+    per = rows.groupBy("message_id").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.col("r")))).alias("rows"), F.count_if(F.col("kind").isNull()).alias("unlisted"))
+    people = senders.select("message_id", four("sender_").alias("sender"), four("represented_").alias("sent_representing"))
+    both = messages.join(people, "message_id", "left").join(per, "message_id", "left")
+    people_of = F.transform(F.coalesce("rows", F.array().cast(per.schema["rows"].dataType)), lambda r: F.struct(r["kind"].alias("kind"), *(r[c].alias(c) for c in FOUR)))
+    return both.select("message_id", F.struct(
+        "sender", "sent_representing", people_of.alias("recipients"), F.coalesce("unlisted", F.lit(0)).alias("recipients_unlisted"), F.col("submit_ft").alias("submit_time_filetime"), F.col("delivery_ft").alias("delivery_time_filetime"),
+        codes.filetime_text(F.coalesce("submit_ft", "delivery_ft")).alias("date_utc"), "importance", "sensitivity",
+    ).alias("envelope"))
+
+
+def body_record(bodies: DataFrame) -> DataFrame:
+    """(message_id, body): which form is shown, what was done to it, the originals kept beside it with bytes and hash."""
+    html, text = F.col("native_html"), F.col("plain_text")
+    shown = F.when(~texts.is_blank(html), "native_html").when(~texts.is_blank(text), "plain_text").otherwise("none")
+    one = lambda c, name, note: F.when(c.isNotNull() & (c != ""), F.struct(F.lit(name).alias("file"), F.octet_length(c).cast("long").alias("bytes"), F.sha2(c, 256).alias("sha256"), F.lit(note).cast("string").alias("note")))
+    originals = F.array_compact(F.array(one(html, "body.html", "as_stored"), one(text, "body.txt", None)))
+    steps = F.when(shown == "native_html", texts.applied(html)).otherwise(F.array().cast("array<string>"))
+    return bodies.select("message_id", F.struct(shown.alias("source"), steps.alias("preprocessing"), originals.alias("originals")).alias("body"), (html.isNotNull() & (shown != "native_html")).alias("fell_back"))
+
+
+def message_metadata(messages: DataFrame, senders: DataFrame, recipients: DataFrame, bodies: DataFrame, staged_attachments: DataFrame) -> DataFrame:
+    """(message_id, json) of messages with bodies: the whole record. Its status is always partial, with the reasons that hold."""
+    n = staged_attachments.groupBy("message_id").agg(F.count("*").alias("attachments"), F.count_if(F.col("status") != "extracted").alias("not_extracted"))
+    both = messages.join(body_record(bodies), "message_id").join(envelope_record(messages, senders, recipients), "message_id").join(n, "message_id", "left").na.fill(0, ["attachments", "not_extracted"])
+    reasons = F.array_compact(F.array(F.lit("other_properties_not_preserved"), F.when(F.col("not_extracted") > 0, "attachments_not_extracted"), F.when(F.col("fell_back"), "formatted_bodies_not_converted")))
+    record = F.struct(
+        F.lit(1).alias("schema_version"), F.lit("message").alias("kind"), "subject", "internet_message_id", F.coalesce("delivery_ft", "submit_ft").alias("time_filetime"), "body", "envelope",
+        "attachments", F.col("not_extracted").alias("attachments_not_extracted"), F.lit("partial").alias("status"), reasons.alias("status_reasons"),
+    )
+    return both.select("message_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def folder_record(folders: DataFrame, messages: DataFrame) -> DataFrame:

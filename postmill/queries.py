@@ -723,10 +723,24 @@ def folder_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.folder_record(mail.folders(spark, sf_dir), mail.messages(spark, sf_dir))
 
 
-ADDRESS_SQL = """CASE WHEN display_name IS NOT NULL AND a IS NOT NULL AND display_name <> a THEN display_name || ' <' || a || '>' ELSE coalesce(a, display_name) END"""
-LISTED_SQL = f"""x AS (SELECT *, coalesce(smtp_address, CASE WHEN coalesce(upper(address_type), '') <> 'EX' THEN email_address END) AS a FROM recipients),
-  y AS (SELECT message_id, ord, {KIND_SQL} AS kind, coalesce({ADDRESS_SQL}, '') AS t FROM x),
-  z AS (SELECT message_id, coalesce(string_agg(t, '; ' ORDER BY ord, t) FILTER (kind = 'to'), '') AS to_text, coalesce(string_agg(t, '; ' ORDER BY ord, t) FILTER (kind = 'cc'), '') AS cc_text, coalesce(string_agg(t, '; ' ORDER BY ord, t) FILTER (kind = 'bcc'), '') AS bcc_text, count(kind) AS n_listed FROM y WHERE kind IS NOT NULL GROUP BY 1)"""
+def address_sql(p: str = "") -> str:
+    """Name and address as one code span, null where there is none; an address of another kind than SMTP shows by its SMTP address only."""
+    a = f"coalesce({p}smtp_address, CASE WHEN coalesce(upper({p}address_type), 'SMTP') = 'SMTP' THEN {p}email_address END)"
+    t = f"coalesce(CASE WHEN {p}display_name <> {a} THEN {p}display_name || ' <' || {a} || '>' ELSE coalesce({a}, {p}display_name) END, '(unknown)')"
+    ticks = f"CASE WHEN contains({t}, '`') THEN '``' ELSE '`' END"
+    return f"CASE WHEN coalesce({p}display_name, {p}address_type, {p}email_address, {p}smtp_address) IS NOT NULL THEN {ticks} || {t} || {ticks} END"
+
+
+LISTED_SQL = f"""y AS (SELECT message_id, ord, {KIND_SQL} AS kind, coalesce({address_sql()}, '`(unknown)`') AS t FROM recipients),
+  z AS (SELECT message_id, coalesce(string_agg(t, ', ' ORDER BY ord, t) FILTER (kind = 'to'), '') AS to_text, coalesce(string_agg(t, ', ' ORDER BY ord, t) FILTER (kind = 'cc'), '') AS cc_text, coalesce(string_agg(t, ', ' ORDER BY ord, t) FILTER (kind = 'bcc'), '') AS bcc_text, count(kind) AS n_listed FROM y WHERE kind IS NOT NULL GROUP BY 1)"""
+#: The senders with the columns that all of them lack.
+PEOPLE_SQL = "p AS (SELECT *, NULL::VARCHAR AS represented_address_type, NULL::VARCHAR AS represented_email_address, NULL::VARCHAR AS represented_smtp_address FROM senders)"
+DATE_SQL = "strftime(make_timestamp((coalesce(submit_ft, delivery_ft) - 116444736000000000) // 10), '%Y-%m-%dT%H:%M:%SZ')"
+HEAD_SQL = f"""{LISTED_SQL}, {PEOPLE_SQL}, x AS (SELECT m.*, {address_sql("sender_")} AS sender, {address_sql("represented_")} AS represented, to_text, cc_text, bcc_text FROM messages m LEFT JOIN p ON p.message_id = m.message_id LEFT JOIN z ON z.message_id = m.message_id),
+  h AS (SELECT message_id, '# ' || subject || chr(10) AS title, list_filter(['- **From:** ' || sender, '- **On behalf of:** ' || represented, '- **To:** ' || nullif(to_text, ''), '- **Cc:** ' || nullif(cc_text, ''), '- **Bcc:** ' || nullif(bcc_text, ''), '- **Date:** ' || {DATE_SQL},
+    '- **Importance:** ' || CASE WHEN importance = 1 THEN NULL WHEN importance = 0 THEN 'low' WHEN importance = 2 THEN 'high' WHEN importance IS NOT NULL THEN 'unknown (' || importance::VARCHAR || ')' END,
+    '- **Sensitivity:** ' || CASE WHEN sensitivity = 0 THEN NULL WHEN sensitivity = 1 THEN 'personal' WHEN sensitivity = 2 THEN 'private' WHEN sensitivity = 3 THEN 'company confidential' WHEN sensitivity IS NOT NULL THEN 'unknown (' || sensitivity::VARCHAR || ')' END], lambda x: x IS NOT NULL) AS lines FROM x),
+  hd AS (SELECT message_id, title || CASE WHEN len(lines) > 0 THEN chr(10) || array_to_string(lines, chr(10)) || chr(10) ELSE '' END AS head FROM h)"""
 
 
 @query(f", {LISTED_SQL} SELECT message_id, to_text, cc_text, bcc_text, n_listed FROM z", "recipients")
@@ -734,13 +748,45 @@ def listed_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.listed(mail.recipients(spark, sf_dir))
 
 
+@query(f", {HEAD_SQL} SELECT message_id, head AS markdown FROM hd", "messages", "senders", "recipients")
+def message_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.message_markdown(mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir))
+
+
 @query(
-    f""", {LISTED_SQL} SELECT m.message_id, '# ' || m.subject || chr(10) || chr(10) || CASE WHEN to_text <> '' THEN '**To:** ' || to_text || chr(10) ELSE '' END || CASE WHEN cc_text <> '' THEN '**Cc:** ' || cc_text || chr(10) ELSE '' END
-    || coalesce('**Date:** ' || strftime(make_timestamp((coalesce(submit_ft, delivery_ft) - 116444736000000000) // 10), '%Y-%m-%dT%H:%M:%SZ') || chr(10), '') AS markdown FROM messages m LEFT JOIN z ON z.message_id = m.message_id""",
-    "messages", "recipients",
+    rf""", {HEAD_SQL}, b AS (SELECT message_id, CASE WHEN NOT {blank_sql("native_html")} THEN {VISIBLE_SQL.replace("(html,", "(native_html,")} END AS md, CASE WHEN {blank_sql("native_html")} AND NOT {blank_sql("plain_text")} THEN plain_text END AS txt FROM bodies),
+    n AS (SELECT message_id, md IS NOT NULL AS is_md, regexp_replace(regexp_replace(replace(replace(md, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\n+', ''), '[{WHITE_SQL}]+$', '') AS md, regexp_replace(replace(replace(txt, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n+$', '') AS txt FROM b),
+    f AS (SELECT *, repeat('`', greatest(coalesce(list_max(list_transform(regexp_extract_all(txt, '`+'), lambda x: length(x))), 0), 2)::INT + 1) AS fence FROM n)
+    SELECT hd.message_id, head || CASE WHEN is_md THEN CASE WHEN md <> '' THEN chr(10) || md || chr(10) ELSE '' END WHEN txt IS NOT NULL THEN chr(10) || fence || 'text' || chr(10) || txt || chr(10) || fence || chr(10) ELSE '' END AS markdown FROM hd JOIN f ON f.message_id = hd.message_id""",
+    "messages", "senders", "recipients", "bodies",
 )
-def message_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.message_markdown(mail.messages(spark, sf_dir), mail.recipients(spark, sf_dir))
+def message_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents of the messages that have bodies: head and body."""
+    return archive.message_markdown(mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir), archive.shown_bodies(mail.bodies(spark, sf_dir)))
+
+
+def _four_sql(p: str) -> str:
+    return "{" + ", ".join(f"'{c}': {p}{c}" for c in archive.FOUR) + "}"
+
+
+STEPS_SQL = "list_filter([" + ", ".join(f"CASE WHEN len(list_filter(hidden, lambda x: starts_with(lower(x), '{mark}'))) > 0 THEN '{step}' END" for mark, step in (("<!--", "comments"), ("<style", "style"), ("<script", "script"), ("<title", "title"))) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    rf""", {PEOPLE_SQL}, r AS (SELECT message_id, list({{'kind': {KIND_SQL}, {", ".join(f"'{c}': {c}" for c in archive.FOUR)}}} ORDER BY ord, {KIND_SQL} NULLS FIRST, {", ".join(f"{c} NULLS FIRST" for c in archive.FOUR)}) FILTER ({KIND_SQL} IS NOT NULL) AS recipients, count(*) FILTER ({KIND_SQL} IS NULL) AS unlisted FROM recipients GROUP BY 1),
+    b AS (SELECT *, CASE WHEN NOT {blank_sql("native_html")} THEN 'native_html' WHEN NOT {blank_sql("plain_text")} THEN 'plain_text' ELSE 'none' END AS source, regexp_extract_all(native_html, '(?is)<!--.*?(?:-->|$)|<style[>/\s].*?(?:</style>|$)|<script[>/\s].*?(?:</script>|$)|<title[>/\s].*?(?:</title>|$)') AS hidden FROM bodies),
+    a AS (SELECT message_id, count(*) AS n, count(*) FILTER (NOT coalesce(method IN (1, 5) AND size IS NOT NULL AND NOT (method = 1 AND size = 0), FALSE)) AS lost FROM attachments GROUP BY 1)
+    SELECT m.message_id, to_json({{'schema_version': 1, 'kind': 'message', 'subject': subject, 'internet_message_id': internet_message_id, 'time_filetime': coalesce(delivery_ft, submit_ft),
+      'body': {{'source': source, 'preprocessing': CASE WHEN source = 'native_html' THEN {STEPS_SQL} ELSE [] END, 'originals': list_filter([CASE WHEN native_html <> '' THEN {{'file': 'body.html', 'bytes': strlen(native_html), 'sha256': sha256(native_html), 'note': 'as_stored'}} END, CASE WHEN plain_text <> '' THEN {{'file': 'body.txt', 'bytes': strlen(plain_text), 'sha256': sha256(plain_text), 'note': NULL}} END], lambda x: x IS NOT NULL)}},
+      'envelope': {{'sender': CASE WHEN coalesce({", ".join("sender_" + c for c in archive.FOUR)}) IS NOT NULL THEN {_four_sql("sender_")} END, 'sent_representing': CASE WHEN represented_display_name IS NOT NULL THEN {_four_sql("represented_")} END, 'recipients': coalesce(recipients, []), 'recipients_unlisted': coalesce(unlisted, 0),
+        'submit_time_filetime': submit_ft, 'delivery_time_filetime': delivery_ft, 'date_utc': {DATE_SQL}, 'importance': importance, 'sensitivity': sensitivity}},
+      'attachments': coalesce(a.n, 0), 'attachments_not_extracted': coalesce(lost, 0), 'status': 'partial', 'status_reasons': list_filter(['other_properties_not_preserved', CASE WHEN lost > 0 THEN 'attachments_not_extracted' END, CASE WHEN native_html IS NOT NULL AND source <> 'native_html' THEN 'formatted_bodies_not_converted' END], lambda x: x IS NOT NULL)}})::VARCHAR AS json
+    FROM messages m JOIN b ON b.message_id = m.message_id LEFT JOIN p ON p.message_id = m.message_id LEFT JOIN r ON r.message_id = m.message_id LEFT JOIN a ON a.message_id = m.message_id""",
+    "messages", "senders", "recipients", "bodies", "attachments",
+)
+def message_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records of the messages that have bodies: body, envelope, attachments, status and reasons."""
+    return archive.message_metadata(mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir), mail.bodies(spark, sf_dir), archive.staged(mail.attachments(spark, sf_dir)))
 
 
 @query(
@@ -761,8 +807,8 @@ def kept_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f""", x AS (SELECT *, coalesce(smtp_address, CASE WHEN coalesce(upper(address_type), '') <> 'EX' THEN email_address END) AS a FROM recipients)
-    SELECT message_id, ord, coalesce(display_name, address_type, email_address, smtp_address) IS NOT NULL AS present, {ADDRESS_SQL} AS text, coalesce(upper(address_type) = 'EX', FALSE) AND smtp_address IS NULL AS hidden FROM x""",
+    """, x AS (SELECT *, coalesce(smtp_address, CASE WHEN coalesce(upper(address_type), 'SMTP') = 'SMTP' THEN email_address END) AS a FROM recipients)
+    SELECT message_id, ord, coalesce(display_name, address_type, email_address, smtp_address) IS NOT NULL AS present, CASE WHEN display_name <> a THEN display_name || ' <' || a || '>' ELSE coalesce(a, display_name) END AS text, coalesce(upper(address_type) = 'EX', FALSE) AND smtp_address IS NULL AS hidden FROM x""",
     "recipients",
 )
 def recipient_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:

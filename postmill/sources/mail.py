@@ -105,6 +105,18 @@ def recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def senders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who sent each message, and for whom: message_id, the four address fields as sender_* and represented_*; some have neither."""
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    known = k % 8 != 7
+    return o.select(
+        k.alias("message_id"), F.when(known & (k % 2 == 0), F.concat(F.lit("Sender "), c)).alias("sender_display_name"), F.when(known, F.when(k % 3 == 0, "EX").otherwise("SMTP")).alias("sender_address_type"),
+        F.when(known, F.when(k % 3 == 0, F.concat(F.lit("/o=x/cn="), c)).otherwise(F.concat(F.lit("s"), c, F.lit("@mail.org")))).alias("sender_email_address"), F.when(known & (k % 5 == 0), F.concat(F.lit("s"), c, F.lit("@smtp.org"))).alias("sender_smtp_address"),
+        F.when(k % 6 == 0, F.concat(F.lit("Chief ` "), c)).alias("represented_display_name"), *(F.lit(None).cast("string").alias(f"represented_{x}") for x in ("address_type", "email_address", "smtp_address")),
+    )
+
+
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as messages: plain text, and the page of the same id as native HTML (blank for some)."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), F.col("text").alias("plain_text"))
@@ -207,6 +219,12 @@ SELECT l_orderkey AS message_id, l_linenumber AS ord,
   CASE l_partkey % 3 WHEN 0 THEN 'EX' WHEN 1 THEN 'smtp' END AS address_type,
   CASE l_partkey % 3 WHEN 0 THEN '/o=org/cn=' || l_suppkey::VARCHAR WHEN 1 THEN 'u' || l_suppkey::VARCHAR || '@mail.org' END AS email_address,
   CASE WHEN l_partkey % 5 < 2 THEN 'u' || l_suppkey::VARCHAR || '@smtp.org' END AS smtp_address FROM lineitem""",
+    "senders": """
+SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 8 <> 7 AND o_orderkey % 2 = 0 THEN 'Sender ' || o_custkey::VARCHAR END AS sender_display_name,
+  CASE WHEN o_orderkey % 8 <> 7 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'EX' ELSE 'SMTP' END END AS sender_address_type,
+  CASE WHEN o_orderkey % 8 <> 7 THEN CASE WHEN o_orderkey % 3 = 0 THEN '/o=x/cn=' || o_custkey::VARCHAR ELSE 's' || o_custkey::VARCHAR || '@mail.org' END END AS sender_email_address,
+  CASE WHEN o_orderkey % 8 <> 7 AND o_orderkey % 5 = 0 THEN 's' || o_custkey::VARCHAR || '@smtp.org' END AS sender_smtp_address,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'Chief ` ' || o_custkey::VARCHAR END AS represented_display_name FROM orders""",
     "bodies": """
 SELECT d.doc_id AS message_id, CASE WHEN d.doc_id % 8 = 0 THEN '  ' ELSE d.text END AS plain_text,
   CASE WHEN p.page_id % 6 = 0 THEN ' ' || chr(9) || chr(10) ELSE p.html END AS native_html FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id""",
