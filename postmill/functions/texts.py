@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import html
 import json
+from html.entities import html5, name2codepoint
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
@@ -17,7 +17,19 @@ from postmill.functions.names import WHITE, has, lower_ascii, upper_ascii
 STEPS = ("comments", "style", "script", "title", "downlevel_markers", "office_paragraph_tags")
 LOSSES = ("tables_flattened", "rtf_not_converted", "undecodable_bytes_replaced", "invisible_padding_removed", "html_conversion_failed", "rtf_decompression_failed")
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(style|script|title)(?=[>/\s]).*?(?:</\1(?=[>/\s]|\z)[^>]*(?:>|\z)|\z)"
-BLOCK_TAGS = r"(?i)</?(?:address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\s/][^>]*)?>"
+#: Elements whose tags separate words. Fixed values.
+BLOCKS = (
+    "address article aside blockquote body br caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
+)
+BLOCK_TAGS = rf"(?i)</?(?:{BLOCKS.replace(' ', '|')})(?:[\s/][^>]*)?>"
+#: Entities beyond those of Latin-1 that are decoded. Fixed values.
+NAMES = (
+    "amp lt gt quot apos ensp emsp thinsp zwnj zwj lrm rlm ndash mdash lsquo rsquo sbquo ldquo rdquo bdquo dagger Dagger bull hellip permil lsaquo rsaquo "
+    "euro trade larr uarr rarr darr minus ne le ge infin hearts OElig oelig Scaron scaron Yuml fnof circ tilde"
+)
+ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items(), key=lambda x: x[1]) if 0xA0 <= c <= 0xFF} | {n: html5[f"{n};"] for n in NAMES.split()}
+ENTITY = r"&#?[0-9A-Za-z]{1,32};"
 
 
 def newlines(c: Column) -> Column:
@@ -110,12 +122,29 @@ def applied(html: Column) -> Column:
     return F.filter(F.array(*(F.when(t, label) for t, label in zip(tests, STEPS, strict=True))), lambda x: x.isNotNull())
 
 
+def entity(m: Column) -> Column:
+    """The character that an entity or a numeric reference stands for; null for one that is unknown. References into the C1 range mean
+    what Windows-1252 has there; what is no character is U+FFFD."""
+    body = F.substr(m, F.lit(2), F.char_length(m) - 2)
+    digits, hexa = F.regexp_extract(body, r"^#0*([0-9]{1,10})$", 1), F.regexp_extract(body, r"^#[xX]0*([0-9A-Fa-f]{1,8})$", 1)
+    value = F.when(digits != "", digits.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
+    value = F.when(value < 1 << 32, value)
+    c1 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)]
+    char = F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
+    number = F.when((value == 0) | value.between(0xD800, 0xDFFF) | (value > 0x10FFFF), "\uFFFD").when(value.between(0x80, 0x9F), F.get(F.array(*map(F.lit, c1)), (value - 0x80).cast("int"))).when(value.isNotNull(), char)
+    named = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+    return F.coalesce(number, F.try_element_at(named, body))
+
+
+def decoded(c: Column) -> Column:
+    """Entities and numeric references decoded, once; unknown ones stay."""
+    parts = F.zip_with(F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), lambda piece, m: F.concat(piece, F.coalesce(entity(m), m, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+
+
 def visible_text(html: Column) -> Column:
-    """Text outside tags: tags that start a block are a space, others nothing; the commonest entities decoded."""
-    t = F.regexp_replace(F.regexp_replace(preprocessed(html), BLOCK_TAGS, " "), r"<[^>]*>", "")
-    for name, sign in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(sign))
-    return t
+    """Text outside tags: tags that start a block are a space, others nothing; entities decoded."""
+    return decoded(F.regexp_replace(F.regexp_replace(preprocessed(html), BLOCK_TAGS, " "), r"<[^>]*>", ""))
 
 
 def plain_words(c: Column) -> Column:
@@ -200,9 +229,3 @@ def line_classes(md: Column) -> Column:
 def pretty(records: pd.Series) -> pd.Series:
     """JSON laid out by two spaces, fields in their order, a newline at the end."""
     return records.map(lambda r: json.dumps(json.loads(r), indent=2, ensure_ascii=False) + "\n", na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def unescaped(s: pd.Series) -> pd.Series:
-    """Entities and numeric references decoded, all those of HTML."""
-    return s.map(html.unescape, na_action="ignore")

@@ -475,7 +475,20 @@ def html_preprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.sha2("clean", 256).alias("sha256"), F.char_length("clean").cast("long").alias("chars"), F.array_join("steps", ",").alias("steps"))
 
 
-VISIBLE_SQL = rf"""replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({HTML_SQL}, '{texts.BLOCK_TAGS}', ' ', 'g'), '<[^>]*>', '', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')"""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def decoded_sql(t: str) -> str:
+    """Entities and numeric references of an expression decoded, piece by piece."""
+    names = ", ".join(f"'&{k};': {_quoted(v)}" for k, v in texts.ENTITIES.items())
+    c1 = ", ".join(_quoted(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(0x80, 0xA0))
+    value = "CASE WHEN regexp_full_match(x[2], '&#0*[0-9]{1,10};') THEN regexp_extract(x[2], '[0-9]+')::BIGINT WHEN regexp_full_match(x[2], '&#[xX]0*[0-9A-Fa-f]{1,7};') THEN ('0x' || regexp_extract(x[2], '[xX]([0-9A-Fa-f]+)', 1))::BIGINT END"
+    char = f"CASE WHEN ({value}) IS NULL THEN NULL WHEN ({value}) = 0 OR ({value}) BETWEEN 55296 AND 57343 OR ({value}) > 1114111 THEN chr(65533) WHEN ({value}) BETWEEN 128 AND 159 THEN ([{c1}])[({value}) - 127] ELSE chr(({value})::INT) END"
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({t}, '{texts.ENTITY}'), regexp_extract_all({t}, '{texts.ENTITY}')), lambda x: coalesce(x[1], '') || coalesce({char}, (MAP {{{names}}})[x[2]], x[2], '')), '')"
+
+
+VISIBLE_SQL = decoded_sql(rf"regexp_replace(regexp_replace({HTML_SQL}, '{texts.BLOCK_TAGS}', ' ', 'g'), '<[^>]*>', '', 'g')")
 
 
 @query(rf"WITH v AS (SELECT page_id, {VISIBLE_SQL} AS t FROM pages), w AS (SELECT page_id, list_filter(regexp_split_to_array(t, '[{WHITE_SQL}]+'), lambda x: x <> '') AS words FROM v) SELECT page_id, len(words) AS n_words, sha256(array_to_string(words, ' ')) AS sha256 FROM w")

@@ -146,4 +146,10 @@ def test_rtf_kinds(spark):
 
 
 def test_entities(spark):
-    assert column(spark, ["&lt;&#x41;&eacute;&nbsp;&unknown;", None]).orderBy("i").select(texts.unescaped("v")).first()[0] == "<Aé\xa0&unknown;"
+    cases = {
+        "&lt;&#x41;&eacute;&nbsp;&unknown;": "<Aé\xa0&unknown;", "&amp;lt; &a&amp;b & c;": "&lt; &a&b & c;", "&#0;&#128;&#x81;&#xD800;&#1114112;": "\uFFFD\u20ac\x81\uFFFD\uFFFD", "&#x1F600;&hearts;&Dagger;&dagger;": "\U0001F600\u2665\u2021\u2020",
+        "&#99999999999;&#;&#xG;&;": "&#99999999999;&#;&#xG;&;", "plain": "plain", "": "", "&yuml;&Yuml;&#00065;": "\xff\u0178A",
+    }
+    got = {r.v: r.d for r in spark.createDataFrame([(k,) for k in cases], "v string").select("v", texts.decoded(F.col("v")).alias("d")).collect()}
+    assert got == cases
+    assert len(texts.ENTITIES) == 96 + 47
