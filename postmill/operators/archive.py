@@ -71,11 +71,11 @@ def listed(recipients: DataFrame) -> DataFrame:
     return rows.groupBy("message_id").agg(of("to"), of("cc"), of("bcc"), F.count("*").alias("n_listed"))
 
 
-def message_markdown(messages: DataFrame, senders: DataFrame, recipients: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+def message_markdown(messages: DataFrame, senders: DataFrame, recipients: DataFrame, bodies: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """message_id, markdown: a title, the list of envelope fields, the body. The date shown is that of submission, else of delivery.
 
     bodies (message_id, markdown, plain_text): Markdown stands as it is, without blank lines around it; plain text stands in a fence
-    longer than any run of backticks in it. Without either a message is its head."""
+    longer than any run of backticks in it. Without either a message is its head; how says whether those that bodies lacks stay."""
     date = codes.filetime_text(F.coalesce("submit_ft", "delivery_ft"))
     people = senders.select("message_id", address_of("sender_").alias("sender"), address_of("represented_").alias("represented"))
     both = messages.join(people, "message_id", "left").join(listed(recipients), "message_id", "left")
@@ -89,7 +89,7 @@ def message_markdown(messages: DataFrame, senders: DataFrame, recipients: DataFr
     body = F.when(F.col("body_md").isNotNull(), F.when(md != "", F.concat(F.lit("\n"), md, F.lit("\n"))).otherwise("")).when(
         F.col("body_text").isNotNull(), F.concat(F.lit("\n"), fence, F.lit("text\n"), plain, F.lit("\n"), fence, F.lit("\n"))
     )
-    with_body = both.join(bodies.select("message_id", F.col("markdown").alias("body_md"), F.col("plain_text").alias("body_text")), "message_id")
+    with_body = both.join(bodies.select("message_id", F.col("markdown").alias("body_md"), F.col("plain_text").alias("body_text")), "message_id", how)
     return with_body.select("message_id", F.concat(head, F.coalesce(body, F.lit(""))).alias("markdown"))
 
 

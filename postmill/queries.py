@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import codes, names, texts
-from postmill.operators import archive, census, compare
+from postmill.operators import archive, census, compare, export, sink
 from postmill.operators.numbering import positions
 from postmill.plans import planner
 from postmill.sources import mail
@@ -726,12 +726,11 @@ def plan_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned_with_gates(spark, sf_dir)[1]
 
 
-@query(
-    """, RECURSIVE""".replace(", RECURSIVE", "")
-    + """, t AS (SELECT folder_id, name, depth, (SELECT count(*) FROM folders s WHERE s.parent_id = f.folder_id) AS folders, coalesce(m.n, 0) AS messages FROM folders f LEFT JOIN (SELECT folder_id AS id, count(*) AS n FROM messages GROUP BY 1) m ON m.id = f.folder_id)
-    SELECT folder_id, '{"folder_id":' || folder_id::VARCHAR || ',"name":"' || name || '","depth":' || depth::VARCHAR || ',"folders":' || folders::VARCHAR || ',"messages":' || messages::VARCHAR || ',"status":"partial"}' AS json FROM t""",
-    "folders", "messages",
-)
+FOLDER_JSON_SQL = """ft AS (SELECT folder_id, name, depth, (SELECT count(*) FROM folders s WHERE s.parent_id = f.folder_id) AS folders, coalesce(m.n, 0) AS messages FROM folders f LEFT JOIN (SELECT folder_id AS id, count(*) AS n FROM messages GROUP BY 1) m ON m.id = f.folder_id),
+    fj AS (SELECT folder_id, '{"folder_id":' || folder_id::VARCHAR || ',"name":"' || name || '","depth":' || depth::VARCHAR || ',"folders":' || folders::VARCHAR || ',"messages":' || messages::VARCHAR || ',"status":"partial"}' AS json FROM ft)"""
+
+
+@query(f", {FOLDER_JSON_SQL} SELECT folder_id, json FROM fj", "folders", "messages")
 def folder_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.folder_record(mail.folders(spark, sf_dir), mail.messages(spark, sf_dir))
 
@@ -766,18 +765,32 @@ def message_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.message_markdown(mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir))
 
 
-@query(
-    rf""", {HEAD_SQL}, b AS (SELECT message_id, CASE WHEN NOT {blank_sql("native_html")} THEN {VISIBLE_SQL.replace("(html,", "(native_html,")} END AS md, CASE WHEN {blank_sql("native_html")} AND NOT {blank_sql("plain_text")} THEN plain_text END AS txt FROM bodies),
+SHOWN_SQL = rf"""b AS (SELECT message_id, CASE WHEN NOT {blank_sql("native_html")} THEN {VISIBLE_SQL.replace("(html,", "(native_html,")} END AS md, CASE WHEN {blank_sql("native_html")} AND NOT {blank_sql("plain_text")} THEN plain_text END AS txt FROM bodies),
     n AS (SELECT message_id, md IS NOT NULL AS is_md, regexp_replace(regexp_replace(replace(replace(md, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\n+', ''), '[{WHITE_SQL}]+$', '') AS md, regexp_replace(replace(replace(txt, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n+$', '') AS txt FROM b),
-    f AS (SELECT *, repeat('`', greatest(coalesce(list_max(list_transform(regexp_extract_all(txt, '`+'), lambda x: length(x))), 0), 2)::INT + 1) AS fence FROM n)
-    SELECT hd.message_id, head || CASE WHEN is_md THEN CASE WHEN md <> '' THEN chr(10) || md || chr(10) ELSE '' END WHEN txt IS NOT NULL THEN chr(10) || fence || 'text' || chr(10) || txt || chr(10) || fence || chr(10) ELSE '' END AS markdown FROM hd JOIN f ON f.message_id = hd.message_id""",
-    "messages", "senders", "recipients", "bodies",
-)
+    f AS (SELECT *, repeat('`', greatest(coalesce(list_max(list_transform(regexp_extract_all(txt, '`+'), lambda x: length(x))), 0), 2)::INT + 1) AS fence FROM n)"""
+BODY_SQL = "CASE WHEN is_md THEN CASE WHEN md <> '' THEN chr(10) || md || chr(10) ELSE '' END WHEN txt IS NOT NULL THEN chr(10) || fence || 'text' || chr(10) || txt || chr(10) || fence || chr(10) ELSE '' END"
+
+
+@query(f", {HEAD_SQL}, {SHOWN_SQL} SELECT hd.message_id, head || {BODY_SQL} AS markdown FROM hd JOIN f ON f.message_id = hd.message_id", "messages", "senders", "recipients", "bodies")
 def message_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents of the messages that have bodies: head and body."""
     return archive.message_markdown(mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir), archive.shown_bodies(mail.bodies(spark, sf_dir)))
 
 
+@query(
+    f"""{PLAN_SQL}, {HEAD_SQL}, {SHOWN_SQL}, d AS (SELECT hd.message_id, head || coalesce({BODY_SQL}, '') AS markdown FROM hd LEFT JOIN f ON f.message_id = hd.message_id), {FOLDER_JSON_SQL}
+    SELECT path || '/folder.json' AS rel, strlen(json)::BIGINT AS size, sha256(json) AS sha256 FROM e JOIN fj ON fj.folder_id = e.source_id WHERE kind = 'folder'
+    UNION ALL SELECT path || '/message.md', strlen(markdown)::BIGINT, sha256(markdown) FROM e JOIN d ON d.message_id = e.source_id WHERE kind = 'message'""",
+    *PLAN_VIEWS, "senders", "recipients", "bodies",
+)
+def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export writes for folders and messages, where its plan puts it: path, size and hash of every file."""
+    f, m, a = mail.planned(spark, sf_dir)
+    whole, people, named, bodies = mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir), archive.shown_bodies(mail.bodies(spark, sf_dir))
+    documents = archive.message_markdown(whole, people, named, bodies, "left")
+    return sink.manifest_of(export.archive_files(planner.plan(f, m, a), archive.folder_record(f, whole), documents))
+
+
 def _four_sql(p: str) -> str:
     return "{" + ", ".join(f"'{c}': {p}{c}" for c in archive.FOUR) + "}"
 

@@ -7,7 +7,8 @@ import pytest
 
 from postmill.__main__ import main
 from postmill.functions import texts
-from postmill.operators import sink
+from postmill.operators import archive, export, sink
+from postmill.plans import planner
 from postmill.sources import containers
 from postmill.streaming import manifest
 
@@ -68,6 +69,32 @@ def test_an_incomplete_archive_is_written_anew(spark, tmp_path):
     assert sink.export(files(spark, c="y"), root, "s")["written"]
 
 
+def test_a_planned_archive_is_written(spark, tmp_path):
+    folders = spark.createDataFrame([(1, None, 0, 0, "Inbox"), (2, 1, 1, 0, "a/b")], "folder_id long, parent_id long, depth int, ord long, name string")
+    address = dict.fromkeys(("sender_display_name", "sender_address_type", "sender_email_address", "sender_smtp_address", "represented_display_name", "represented_address_type", "represented_email_address", "represented_smtp_address"))
+    messages = spark.createDataFrame(
+        [(10, 2, "Hi: all", 5, None, 2, 0), (11, 2, "hi_ all", 3, None, None, None), (12, None, "inner", None, None, 9, 9)],
+        "message_id long, folder_id long, subject string, delivery_ft long, submit_ft long, importance int, sensitivity int",
+    )
+    senders = spark.createDataFrame([(10, *{**address, "sender_display_name": "A `x`", "sender_smtp_address": "a@x"}.values())], "message_id long, " + ", ".join(f"{k} string" for k in address))
+    recipients = spark.createDataFrame([(10, 2, 1, "B", "EX", "/o", None), (10, 1, 1, None, None, None, None), (10, 3, 3, None, "smtp", "c@x", None)], "message_id long, ord int, raw_type int, display_name string, address_type string, email_address string, smtp_address string")
+    attachments = spark.createDataFrame([(10, 1, "f.txt", None, 1, 3, None), (10, 2, None, None, 5, 1, 12)], "message_id long, ord int, long_name string, short_name string, method int, size long, inner_id long")
+    bodies = spark.createDataFrame([(10, None, "text with ``` in it\r\n\n"), (11, "\n*md*\n\n", None)], "message_id long, markdown string, plain_text string")
+    plan = planner.plan(folders, messages, attachments)
+    documents = archive.message_markdown(messages, senders, recipients, bodies, "left")
+    payloads = spark.createDataFrame([(10, 1, bytearray(b"abc"))], "message_id long, position long, content binary")
+    files_ = export.archive_files(plan, archive.folder_record(folders, messages), documents, payloads=payloads)
+    assert sink.export(files_, f"{tmp_path}/out", "box")["create"] == 6
+    got = {r.rel: bytes(r.content).decode() for r in sink.read(spark, f"{tmp_path}/out").collect()}
+    assert set(got) == {"Inbox/folder.json", "Inbox/a-b/folder.json", "Inbox/a-b/Hi_ all (02)/message.md", "Inbox/a-b/hi_ all/message.md", "Inbox/a-b/Hi_ all (02)/attachments/f.txt", "Inbox/a-b/Hi_ all (02)/attachments/inner/message.md"}
+    assert got["Inbox/a-b/Hi_ all (02)/message.md"] == (
+        "# Hi: all\n\n- **From:** `` A `x` <a@x> ``\n- **To:** `(unknown)`, `B`\n- **Bcc:** `c@x`\n- **Date:** 1601-01-01T00:00:00Z\n- **Importance:** high\n\n````text\ntext with ``` in it\n````\n"
+    ).replace("`` A `x` <a@x> ``", "``A `x` <a@x>``")
+    assert got["Inbox/a-b/hi_ all/message.md"] == "# hi_ all\n\n- **Date:** 1601-01-01T00:00:00Z\n\n*md*\n"
+    assert got["Inbox/a-b/Hi_ all (02)/attachments/inner/message.md"] == "# inner\n\n- **Importance:** unknown (9)\n- **Sensitivity:** unknown (9)\n"
+    assert not sink.export(files_, f"{tmp_path}/out", "box")["written"]
+
+
 def test_containers(spark, tmp_path):
     for rel in ("a.msg", "sub/B.MSG", "sub/deep/c.msg", "sub/no.txt"):
         p = tmp_path / rel
