@@ -100,7 +100,8 @@ def internet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ", f AS (SELECT strlen(coalesce(native_html, '')) > 0 AS native, strlen(coalesce(plain_text, '')) > 0 AS plain, strlen(coalesce(native_html, '')) = 0 AND contains(coalesce(plain_text, ''), 'the') AS via_rtf, strlen(plain_text) AS size FROM bodies), "
+    r""", x AS (SELECT *, CASE WHEN message_id % 5 <> 0 THEN '{\rtf1\ansi' || CASE message_id % 3 WHEN 0 THEN '\fromhtml1 ' WHEN 1 THEN '\fromtext ' ELSE ' ' END || coalesce(plain_text, '') || '}' END AS rtf FROM bodies),
+    f AS (SELECT strlen(coalesce(native_html, '')) > 0 AS native, strlen(coalesce(plain_text, '')) > 0 AS plain, strlen(coalesce(native_html, '')) = 0 AND coalesce(regexp_matches(rtf, '^\{\\rtf1(\\[a-z]+[0-9]* ?)*\\fromhtml1 '), FALSE) AS via_rtf, strlen(plain_text) AS size FROM x), """
     + lines_sql(
         "SELECT count(*) FILTER (native) AS native, count(*) FILTER (plain) AS plain, count(*) FILTER (via_rtf) AS via_rtf, count(*) FILTER (native OR via_rtf) AS html, count(*) FILTER (NOT native AND NOT plain) AS none, sum(size) AS plain_bytes, max(size) AS largest FROM f",
         "native", "plain", "via_rtf", "html", "none", "plain_bytes", "largest",
@@ -108,7 +109,11 @@ def internet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     "bodies",
 )
 def body_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return census.body_flags(mail.bodies(spark, sf_dir), F.contains(F.coalesce("plain_text", F.lit("")), F.lit("the")))
+    """Messages carry their text as RTF as well, some with HTML or text encapsulated in it, some plain, some none."""
+    k = F.col("message_id")
+    mark = F.when(k % 3 == 0, "\\fromhtml1 ").when(k % 3 == 1, "\\fromtext ").otherwise(" ")
+    rtf = F.when(k % 5 != 0, F.concat(F.lit("{\\rtf1\\ansi"), mark, F.coalesce("plain_text", F.lit("")), F.lit("}")))
+    return census.body_flags(mail.bodies(spark, sf_dir), F.coalesce(codes.rtf_kind(rtf.cast("binary")) == "encapsulated_html", F.lit(False)))
 
 
 @query(
@@ -165,16 +170,13 @@ def structural_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census.gates(mail.entries(spark, sf_dir), mail.properties(spark, sf_dir))
 
 
-@query(
-    ", "
-    + lines_sql(
-        """SELECT * FROM (SELECT count(*) AS messages, count(*) FILTER (coalesce(delivery_ft, submit_ft) IS NULL) AS without_time, count(*) FILTER (delivery_ft IS NULL AND submit_ft IS NOT NULL) AS from_submit, count(*) FILTER (internet_message_id IS NULL) AS without_id FROM messages),
+SOURCE_SQL = """SELECT * FROM (SELECT count(*) AS messages, count(*) FILTER (coalesce(delivery_ft, submit_ft) IS NULL) AS without_time, count(*) FILTER (delivery_ft IS NULL AND submit_ft IS NOT NULL) AS from_submit, count(*) FILTER (internet_message_id IS NULL) AS without_id FROM messages),
         (SELECT count(*) AS folders, max(depth) AS deepest, count(*) FILTER (parent_id IS NULL) AS roots FROM folders),
-        (SELECT count(*) AS attachments, count(*) FILTER (method = 1) AS by_value, count(*) FILTER (method = 5) AS embedded, count(*) FILTER (coalesce(long_name, short_name) IS NULL) AS nameless FROM attachments)""",
-        "messages", "without_time", "from_submit", "without_id", "folders", "deepest", "roots", "attachments", "by_value", "embedded", "nameless",
-    ),
-    "messages", "folders", "attachments",
-)
+        (SELECT count(*) AS attachments, count(*) FILTER (method = 1) AS by_value, count(*) FILTER (method = 5) AS embedded, count(*) FILTER (coalesce(long_name, short_name) IS NULL) AS nameless FROM attachments)"""
+SOURCE_KEYS = ("messages", "without_time", "from_submit", "without_id", "folders", "deepest", "roots", "attachments", "by_value", "embedded", "nameless")
+
+
+@query(", " + lines_sql(SOURCE_SQL, *SOURCE_KEYS), "messages", "folders", "attachments")
 def source_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census.source_census(mail.messages(spark, sf_dir), mail.folders(spark, sf_dir), mail.attachments(spark, sf_dir))
 
@@ -913,7 +915,25 @@ def content_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.size("a").alias("n_visible"), F.size("b").alias("n_markdown"), texts.word_alignment("a", "b").alias("w")).select("page_id", "n_visible", "n_markdown", "w.*")
 
 
-@query()
+GATE_KEYS = (
+    "collisions", "over_budget", "invalid_names", "unit_mismatches", "unplanned", "beyond_cap", "entries_total", "folders", "messages", "attachment_files", "embedded_messages", "names_sanitized", "names_truncated", "names_fallback",
+    "reserved_name_hits", "embedded_depth_capped", "budget_exceeded", "max_path_units", "max_component_units", "max_depth", "collision_groups", "largest_collision_group", "collision_groups_100_plus", "max_entries_in_directory",
+)
+DISPOSITIONS = ("create", "identical", "replace", "blocked", "unknown")
+PREFLIGHT_SQL = """SELECT CASE WHEN p.rel IS NULL THEN 'unknown' WHEN f.rel IS NULL THEN 'create' WHEN NOT is_file THEN 'blocked' WHEN p.size <> f.size THEN 'replace' WHEN p.sha256 = f.sha256 THEN 'identical' ELSE 'replace' END AS d FROM manifest p FULL JOIN target f ON p.rel = f.rel"""
+
+
+def _part_sql(at: int, source: str, keys: tuple[str, ...]) -> str:
+    """A one-row table as (ord, key, value), numbered from a place on."""
+    pairs = ", ".join(f"{{'ord': {at + i}, 'key': '{k}', 'value': coalesce(\"{k}\", 0)::BIGINT}}" for i, k in enumerate(keys))
+    return f"SELECT u.ord, u.key, u.value FROM (SELECT unnest([{pairs}]) AS u FROM {source})"
+
+
+@query(
+    f"""{PLAN_SQL}, {GATES_SQL}, src AS ({SOURCE_SQL}), pf AS ({PREFLIGHT_SQL}), pre AS (SELECT {", ".join(f"count(*) FILTER (d = '{k}') AS \"{k}\"" for k in DISPOSITIONS)} FROM pf)
+    {_part_sql(0, "src", SOURCE_KEYS)} UNION ALL {_part_sql(100, "gates", GATE_KEYS)} UNION ALL {_part_sql(200, "pre", DISPOSITIONS)}""",
+    *PLAN_VIEWS, "attachments", "manifest", "target",
+)
 def dry_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything an export would do, counted and not written: the source, the plan, its gates, what stands at the target."""
     from postmill.operators.report import lines
