@@ -118,7 +118,7 @@ def contexts(texts: Iterable[str | None], vectors: Vectors) -> tuple[np.ndarray,
     """What each known token gathers in some texts: the sum of its neighbours' index vectors, and how often it occurs. Both are
     whole numbers, so sums over any split of the texts agree to the last bit."""
     context, seen = np.zeros(vectors.rows.shape, dtype=np.int32), np.zeros(len(vectors.rows), dtype=np.int64)
-    turned = {turn: np.roll(vectors.rows, turn, axis=1).astype(np.int32) for turn in range(-WINDOW, WINDOW + 1)}
+    turned = {turn: np.roll(vectors.rows, turn, axis=1).astype(np.int8) for turn in range(-WINDOW, WINDOW + 1)}
     for text in texts:
         ids = vectors.ids(tokens(text))
         seen += np.bincount(ids, minlength=len(seen))
@@ -187,7 +187,7 @@ def add_rows(out: np.ndarray, to: np.ndarray, rows: np.ndarray, of: np.ndarray)
     order = np.argsort(to, kind="stable")
     to, of = to[order], of[order]
     starts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-    out[to[starts]] += np.add.reduceat(rows[of], starts, axis=0)
+    out[to[starts]] += np.add.reduceat(rows[of], starts, axis=0, dtype=out.dtype)
 
 
 @dataclass
