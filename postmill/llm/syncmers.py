@@ -91,9 +91,14 @@ def stretches(docs: DataFrame) -> Column:
     return F.when(F.col("doc_id").isNull(), -1).when(row == 0, 0).otherwise((row - 1) * width + inside)
 
 
-def with_next(docs: DataFrame, extra: dict[str, Column]) -> DataFrame:
-    """Each document (doc_id, text, extra columns) with text and extra columns of the next by descending doc_id, as next_*;
-    after the last comes the first.
+def with_codes(docs: DataFrame) -> DataFrame:
+    """Adds codes, the anchors of the text. The hashes are a column first, which the anchors look into again and again."""
+    return docs.withColumn("hashes", token_hashes(F.col("text"))).withColumn("codes", anchors(F.col("hashes"))).drop("hashes")
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """Each document (doc_id, text) with its codes, and text and codes of the next by descending doc_id, as next_*; after the last
+    comes the first. Codes are made once for a text, before texts are put in order.
 
     Documents are dealt to stretches of ids, and each stretch gets a copy of the first document of the stretch that follows,
     so every stretch is complete by itself. The driver sees one id for each stretch."""
@@ -104,21 +109,21 @@ def with_next(docs: DataFrame, extra: dict[str, Column]) -> DataFrame:
     heads = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(follows)), "array<struct<at: int, top: bigint>>")).alias("h")).select("h.*")
     copies = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("at").agg(F.min("text").alias("text"))
     rows = docs.select("stretch", F.lit(0).alias("copy"), "doc_id", "text").union(copies.select("at", F.lit(1), F.lit(None).cast("long"), "text"))
-    rows = rows.repartition("stretch").select("*", *(c.alias(name) for name, c in extra.items()))
+    rows = with_codes(rows.repartition("stretch"))
     order = W.partitionBy("stretch").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
-    after = {f"next_{c}": F.lead(c).over(order) for c in ("text", *extra)}
-    return rows.select("copy", "doc_id", "text", *extra, *(c.alias(name) for name, c in after.items())).where("copy = 0").drop("copy")
+    after = (F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "codes"))
+    return rows.select("copy", "doc_id", "text", "codes", *after).where("copy = 0").drop("copy")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_next(docs, {"hashes": token_hashes(F.col("text"))})
+    rows = with_next(docs)
     n = F.char_length("text")
     kept = n - F.floor(n / 2).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), kept), F.substr(F.col("next_text"), F.lit(1), n - kept))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "hashes", "next_hashes", edited.alias("edited"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "codes", "next_codes", edited.alias("edited"))
     rows = rows.select("*", token_hashes(F.col("edited")).alias("edited_hashes"))
-    rows = rows.select("doc_id", "n_chars", "edited", *(anchors(F.col(f"{p}hashes")).alias(f"{p}codes") for p in ("", "edited_", "next_")))
+    rows = rows.select("doc_id", "n_chars", "edited", "codes", "next_codes", anchors(F.col("edited_hashes")).alias("edited_codes"))
     rows = rows.select("doc_id", "n_chars", "edited", "codes", "edited_codes", *(hash_set(F.col(f"{p}codes")).alias(f"{p}set") for p in ("", "edited_", "next_")))
     return rows.select(
         "doc_id",
