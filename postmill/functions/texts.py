@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from html.entities import html5, name2codepoint
-from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,14 +21,14 @@ BLOCKS = (
     "address article aside blockquote body br caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
 )
-BLOCK_TAGS = rf"(?i)</?(?:{BLOCKS.replace(' ', '|')})(?:[\s/][^>]*)?>"
 #: Entities beyond those of Latin-1 that are decoded. Fixed values.
 NAMES = (
     "amp lt gt quot apos ensp emsp thinsp zwnj zwj lrm rlm ndash mdash lsquo rsquo sbquo ldquo rdquo bdquo dagger Dagger bull hellip permil lsaquo rsaquo "
     "euro trade larr uarr rarr darr minus ne le ge infin hearts OElig oelig Scaron scaron Yuml fnof circ tilde"
 )
 ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items(), key=lambda x: x[1]) if 0xA0 <= c <= 0xFF} | {n: html5[f"{n};"] for n in NAMES.split()}
-ENTITY = r"&#?[0-9A-Za-z]{1,32};"
+#: Characters that words are compared without. Fixed values.
+MARKS = r"[*_~`\x{034F}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 
 
 def newlines(c: Column) -> Column:
@@ -77,19 +76,11 @@ def link(name: Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def percent_decoded(text: str | None) -> str | None:
+def percent_decode(c: Column) -> Column:
     """Decoded where that gives UTF-8, else unchanged; malformed escapes stay."""
-    if text is None or "%" not in text:
-        return text
-    try:
-        return unquote_to_bytes(text).decode("utf-8")
-    except UnicodeDecodeError:
-        return text
-
-
-@F.pandas_udf(T.StringType())
-def percent_decode(s: pd.Series) -> pd.Series:
-    return s.map(percent_decoded, na_action="ignore")
+    parts = F.regexp_extract_all(c, F.lit(r"%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
+    data = F.transform(parts, lambda t: F.when(has(t, "^%.."), F.substring(t, 2, 2)).otherwise(F.hex(t)))
+    return F.when(F.contains(c, F.lit("%")), F.coalesce(F.try_validate_utf8(F.unhex(F.array_join(data, "")).cast("string")), c)).otherwise(c)
 
 
 def content_id_key(c: Column) -> Column:
@@ -98,11 +89,6 @@ def content_id_key(c: Column) -> Column:
     return lower_ascii(percent_decode(F.regexp_replace(t, r"^<(.*)>$", "$1")))
 
 
-def cid_links(md: Column) -> Column:
-    """Destinations of cid: links, without the scheme."""
-    return F.regexp_extract_all(md, F.lit(r"\]\(<?(?i:cid:)([^)>\s]*)"), F.lit(1))
-
-
 def preprocessed(html: Column) -> Column:
     """HTML without comments, style, script and title elements, downlevel markers and office paragraph tags."""
     h = F.regexp_replace(html, HIDDEN, "")
@@ -136,20 +122,9 @@ def entity(m: Column) -> Column:
     return F.coalesce(number, F.try_element_at(named, body))
 
 
-def decoded(c: Column) -> Column:
-    """Entities and numeric references decoded, once; unknown ones stay."""
-    parts = F.zip_with(F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), lambda piece, m: F.concat(piece, F.coalesce(entity(m), m, F.lit(""))))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
-
-
-def visible_text(html: Column) -> Column:
-    """Text outside tags: tags that start a block are a space, others nothing; entities decoded."""
-    return decoded(F.regexp_replace(F.regexp_replace(preprocessed(html), BLOCK_TAGS, " "), r"<[^>]*>", ""))
-
-
 def plain_words(c: Column) -> Column:
-    """Words without marks of emphasis."""
-    return F.filter(F.transform(F.split(c, f"[{WHITE}]+"), lambda w: F.regexp_replace(w, "[*_~`]", "")), lambda w: w != "")
+    """Words without marks of emphasis and invisible characters."""
+    return F.filter(F.split(F.regexp_replace(c, MARKS, ""), f"[{WHITE}]+"), lambda w: w != "")
 
 
 def alphanumeric_words(c: Column) -> Column:
@@ -206,16 +181,9 @@ def without_padding(md: Column) -> Column:
     return F.regexp_replace(t, PADDING_RUN, "")
 
 
-def markdown_text(md: Column) -> Column:
-    """Markdown without images, with links and automatic links unwrapped and escapes undone."""
-    t = F.regexp_replace(md, r"!\[[^\]]*\]\([^)]*\)", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"<([a-z]+:[^>\s]+)>", "$1")
-    return F.regexp_replace(t, r"\\([\\`*_{}\[\]()#+.!|<>-])", "$1")
-
-
 def is_syntax(word: Column) -> Column:
     """Words that Markdown's own marks make, not the text."""
-    return has(word, r"^(?:[#>|:=+-]+|[0-9]+[.)])$")
+    return has(word, r"^(?:[#>|:=+-]+|[0-9]{1,9}[.)])$")
 
 
 def line_classes(md: Column) -> Column:

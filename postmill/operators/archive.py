@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions import codes, texts
+from postmill.functions import codes, markup, texts
 from postmill.functions.names import WHITE
 
 #: Why an attachment's data isn't in the archive, by method. Fixed values.
@@ -97,7 +97,7 @@ def shown_bodies(bodies: DataFrame) -> DataFrame:
     """(message_id, markdown, plain_text) of the body that each message shows: the visible text of native HTML that isn't blank, else
     plain text that isn't, else neither."""
     html, text = ~texts.is_blank(F.col("native_html")), ~texts.is_blank(F.col("plain_text"))
-    return bodies.select("message_id", F.when(html, texts.visible_text(F.col("native_html"))).alias("markdown"), F.when(~html & text, F.col("plain_text")).alias("plain_text"))
+    return bodies.select("message_id", F.when(html, markup.visible_text(F.col("native_html"))).alias("markdown"), F.when(~html & text, F.col("plain_text")).alias("plain_text"))
 
 
 def envelope_record(messages: DataFrame, senders: DataFrame, recipients: DataFrame) -> DataFrame:

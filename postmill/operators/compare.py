@@ -126,11 +126,3 @@ def custom_roots(entries: DataFrame) -> DataFrame:
     up = entries.where("parent <> ''").select("file", "ord", "path", F.explode(ups).alias("up"))
     loose = up.join(shaped.withColumnRenamed("parent", "up"), ["file", "up"], "left_anti")
     return loose.groupBy("file", "ord", "path").agg(F.min_by("up", F.char_length("up")).alias("custom_root"))
-
-
-def resolved_links(refs: DataFrame, attachments: DataFrame) -> DataFrame:
-    """cid: references (message_id, cid) against attachments (message_id, content_id, status): resolved by exactly one extracted one."""
-    files = attachments.where("content_id is not null").groupBy("message_id", F.lower("content_id").alias("cid")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "extracted").alias("good"))
-    both = refs.select("message_id", F.lower("cid").alias("cid")).join(files, ["message_id", "cid"], "left")
-    what = F.when(F.col("n").isNull(), "no_attachment").when(F.col("good") == 0, "not_extracted").when(F.col("good") > 1, "ambiguous").otherwise("rewritten")
-    return both.groupBy(what.alias("outcome")).agg(F.count("*").alias("n"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.functions import codes, names, texts
-from postmill.operators import archive, census, compare, export, sink
+from postmill.functions import codes, markup, names, texts
+from postmill.operators import archive, census, compare, export, links, sink
 from postmill.operators.numbering import positions
 from postmill.plans import planner
 from postmill.sources import mail
@@ -443,6 +443,12 @@ def name_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Texts
 
 
+def words_sql(t: str) -> str:
+    """Words without marks and invisible characters."""
+    strip = "".join(["*_~`", *map(chr, (0x34F, 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))])
+    return f"list_filter(list_transform(regexp_split_to_array({t}, '[{WHITE_SQL}]+'), lambda w: translate(w, '{strip}', '')), lambda w: w <> '')"
+
+
 @query(
     rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), t AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) AS run,
       regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '[{WHITE_SQL}]+', ' ', 'g'), '^ | $', '', 'g') AS line FROM d)
@@ -457,7 +463,7 @@ def text_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[{WHITE_SQL}]+'), lambda w: regexp_replace(w, '[*_~`]', '', 'g')), lambda w: w <> ''), ' ') AS words, len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+')) AS runs FROM conversations"""
+    rf"""SELECT conv_id, turn, array_to_string({words_sql("coalesce(text, '')")}, ' ') AS words, len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+')) AS runs FROM conversations"""
 )
 def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = mail.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
@@ -481,36 +487,77 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def decoded_sql(t: str) -> str:
-    """Entities and numeric references of an expression decoded, piece by piece."""
+def entity_sql(m: str) -> str:
+    """What a reference stands for; null for an unknown name or a malformed number."""
     names = ", ".join(f"'&{k};': {_quoted(v)}" for k, v in texts.ENTITIES.items())
     c1 = ", ".join(_quoted(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(0x80, 0xA0))
-    value = "CASE WHEN regexp_full_match(x[2], '&#0*[0-9]{1,10};') THEN regexp_extract(x[2], '[0-9]+')::BIGINT WHEN regexp_full_match(x[2], '&#[xX]0*[0-9A-Fa-f]{1,7};') THEN ('0x' || regexp_extract(x[2], '[xX]([0-9A-Fa-f]+)', 1))::BIGINT END"
-    char = f"CASE WHEN ({value}) IS NULL THEN NULL WHEN ({value}) = 0 OR ({value}) BETWEEN 55296 AND 57343 OR ({value}) > 1114111 THEN chr(65533) WHEN ({value}) BETWEEN 128 AND 159 THEN ([{c1}])[({value}) - 127] ELSE chr(({value})::INT) END"
-    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({t}, '{texts.ENTITY}'), regexp_extract_all({t}, '{texts.ENTITY}')), lambda x: coalesce(x[1], '') || coalesce({char}, (MAP {{{names}}})[x[2]], x[2], '')), '')"
+    value = f"CASE WHEN regexp_full_match({m}, '&#0*[0-9]{{1,10}};') THEN regexp_extract({m}, '[0-9]+')::BIGINT WHEN regexp_full_match({m}, '&#[xX]0*[0-9A-Fa-f]{{1,7}};') THEN ('0x' || regexp_extract({m}, '[xX]([0-9A-Fa-f]+)', 1))::BIGINT END"
+    char = f"CASE WHEN ({value}) IS NULL OR ({value}) >= 4294967296 THEN NULL WHEN ({value}) = 0 OR ({value}) BETWEEN 55296 AND 57343 OR ({value}) > 1114111 THEN chr(65533) WHEN ({value}) BETWEEN 128 AND 159 THEN ([{c1}])[({value}) - 127] ELSE chr(({value})::INT) END"
+    return f"coalesce({char}, (MAP {{{names}}})[{m}])"
+
+
+def visible_sql(source: str) -> str:
+    """Common tables up to visible (id, t, unknown), of a source (id, html): a walk along each text from mark to mark, by its rules."""
+    blocks = ", ".join(f"'{b}'" for b in texts.BLOCKS.split())
+    head, name = f"</head([>/{WHITE_SQL}]|$)", "[A-Za-z][A-Za-z0-9:_.-]*"
+    return rf"""seen AS (SELECT id, {HTML_SQL} AS html FROM ({source})),
+    walk AS (SELECT id, 1::BIGINT AS i, 'text' AS mode, FALSE AS head, '' AS quote, '<' AS prev, '' AS put, 0 AS unknown FROM seen WHERE html IS NOT NULL
+      UNION ALL SELECT id,
+        CASE WHEN mode = 'text' THEN CASE WHEN c NOT IN ('<', '&') THEN i + length(run) WHEN c = '&' AND (sign IS NOT NULL OR named) THEN i + length(ref) ELSE i + 1 END
+          WHEN quote <> '' THEN CASE WHEN strpos(rest, quote) > 0 THEN i + strpos(rest, quote) ELSE i + length(rest) END
+          WHEN c = '>' THEN CASE WHEN skips THEN i + 2 + length(regexp_extract(rest, '(?is)^.(.*?){head}', 1)) ELSE i + 1 END
+          WHEN c IN ('"', '''', '=') THEN i + 1 ELSE i + length(run) END,
+        CASE WHEN mode = 'text' THEN CASE WHEN opens THEN 'tag' ELSE 'text' END WHEN quote = '' AND c = '>' AND NOT skips THEN 'text' ELSE 'tag' END,
+        CASE WHEN mode = 'text' THEN opens AND name = 'head' WHEN quote = '' AND c = '>' THEN FALSE ELSE head END,
+        CASE WHEN mode = 'text' OR quote <> '' THEN '' WHEN c IN ('"', '''') AND prev = '=' THEN c ELSE '' END,
+        CASE WHEN mode = 'text' OR (quote = '' AND c = '>') THEN '<' WHEN quote <> '' THEN quote WHEN c IN ('"', '''', '=') THEN c ELSE coalesce(nullif(right(regexp_replace(run, '[{WHITE_SQL}]+', '', 'g'), 1), ''), prev) END,
+        CASE WHEN mode = 'text' THEN CASE WHEN c NOT IN ('<', '&') THEN run WHEN c = '&' THEN coalesce(sign, CASE WHEN named THEN '' ELSE '&' END) WHEN opens THEN CASE WHEN ltrim(name, '/') IN ({blocks}, '!', '?') THEN ' ' ELSE '' END ELSE '<' END
+          WHEN quote = '' AND c = '>' AND skips THEN ' ' ELSE '' END,
+        CASE WHEN mode = 'text' AND c = '&' AND sign IS NULL AND named THEN 1 ELSE 0 END
+      FROM (SELECT *, CASE WHEN ref <> '' THEN {entity_sql("ref")} END AS sign, ref <> '' AND substr(ref, 2, 1) <> '#' AS named, c = '<' AND name <> '' AS opens, head AND regexp_matches(rest, '(?is)^..*{head}') AS skips
+        FROM (SELECT w.*, substr(html, i, 1) AS c, substr(html, i) AS rest, regexp_extract(substr(html, i), CASE WHEN mode = 'text' THEN '^[^<&]+' ELSE '^[^>="'']+' END) AS run,
+          regexp_extract(substr(html, i, 34), '^&(#[0-9A-Za-z]{{0,31}}|[0-9A-Za-z]{{1,32}});') AS ref, lower(regexp_extract(substr(html, i + 1, 40), '^(?:[!?]|/?{name})')) AS name
+          FROM walk w JOIN seen ON seen.id = w.id WHERE i <= length(html)))),
+    visible AS (SELECT id, string_agg(put, '' ORDER BY i) AS t, sum(unknown)::BIGINT AS unknown FROM walk GROUP BY id)"""
+
+
+@query(f", {visible_sql('SELECT page_id AS id, html FROM odd_pages')}, w AS (SELECT id AS page_id, unknown, {words_sql('t')} AS words FROM visible) SELECT page_id, len(words) AS n_words, sha256(array_to_string(words, ' ')) AS sha256, unknown AS unknown_entities FROM w", "odd_pages")
+def visible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a reader sees of each page, and how many entities of it are unknown."""
+    w = mail.pages(spark, sf_dir).select("page_id", markup.visible_words(F.col("html")).alias("words"), markup.unknown_entities(F.col("html")).alias("unknown"))
+    return w.select("page_id", F.size("words").cast("long").alias("n_words"), F.sha2(F.array_join("words", " "), 256).alias("sha256"), F.col("unknown").cast("long").alias("unknown_entities"))
 
 
-VISIBLE_SQL = decoded_sql(rf"regexp_replace(regexp_replace({HTML_SQL}, '{texts.BLOCK_TAGS}', ' ', 'g'), '<[^>]*>', '', 'g')")
+NESTED = 5
 
 
-@query(rf"WITH v AS (SELECT page_id, {VISIBLE_SQL} AS t FROM pages), w AS (SELECT page_id, list_filter(regexp_split_to_array(t, '[{WHITE_SQL}]+'), lambda x: x <> '') AS words FROM v) SELECT page_id, len(words) AS n_words, sha256(array_to_string(words, ' ')) AS sha256 FROM w")
-def visible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = mail.table(spark, sf_dir, "pages").select("page_id", texts.visible_text(F.col("html")).alias("t"))
-    w = p.select("page_id", F.filter(F.split("t", f"[{names.WHITE}]+"), lambda x: x != "").alias("words"))
-    return w.select("page_id", F.size("words").cast("long").alias("n_words"), F.sha2(F.array_join("words", " "), 256).alias("sha256"))
+@query(
+    rf""", t AS (SELECT page_id, unnest(regexp_extract_all(html, '</?[A-Za-z][A-Za-z0-9:-]*[^>]*>?')) AS t, generate_subscripts(regexp_extract_all(html, '</?[A-Za-z][A-Za-z0-9:-]*[^>]*>?'), 1) AS i FROM odd_pages),
+    n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i, starts_with(t, '</') AS closing, lower(regexp_extract(t, '[A-Za-z][A-Za-z0-9:-]*')) AS name FROM t WHERE starts_with(t, '</') OR lower(regexp_extract(t, '[A-Za-z][A-Za-z0-9:-]*')) NOT IN ({", ".join(f"'{v}'" for v in markup.VOID)})),
+    s AS (SELECT page_id, 0::BIGINT AS i, '/' AS stack FROM odd_pages UNION ALL
+      SELECT s.page_id, n.i, CASE WHEN closing THEN CASE WHEN contains(stack, '/' || name || '/') THEN substr(stack, 1, length(stack) - strpos(reverse(stack), reverse('/' || name || '/')) - length(name)) ELSE stack END
+        ELSE regexp_replace(stack, CASE name WHEN 'p' THEN '/(p/)+$' WHEN 'li' THEN '/(li/)+$' WHEN 'dt' THEN '/((dt|dd)/)+$' WHEN 'dd' THEN '/((dt|dd)/)+$' WHEN 'td' THEN '/((td|th)/)+$' WHEN 'th' THEN '/((td|th)/)+$' WHEN 'tr' THEN '/((tr|td|th)/)+$' WHEN 'option' THEN '/(option/)+$' ELSE '^never$' END, '/') || name || '/' END
+      FROM s JOIN n ON n.page_id = s.page_id AND n.i = s.i + 1)
+    SELECT page_id, max(length(stack) - length(replace(stack, '/', '')) - 1)::INT AS deepest, max(length(stack) - length(replace(stack, '/', '')) - 1) > {NESTED} AS refused FROM s GROUP BY page_id""",
+    "odd_pages",
+)
+def html_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How deep the elements of each page lie, and whether that is more than NESTED."""
+    return mail.pages(spark, sf_dir).select("page_id", markup.nesting(F.col("html")).alias("deepest"), (markup.nesting(F.col("html"), NESTED) > NESTED).alias("refused"))
 
 
 @query(
-    rf""", a AS (SELECT page_id AS k, unnest(regexp_extract_all(html, '[\p{{L}}\p{{N}}]+')) AS word FROM pages), b AS (SELECT page_id AS k, unnest(regexp_extract_all({VISIBLE_SQL}, '[\p{{L}}\p{{N}}]+')) AS word FROM pages),
+    rf""", {visible_sql("SELECT page_id AS id, html FROM odd_pages")}, a AS (SELECT page_id AS k, unnest(regexp_extract_all(html, '[\p{{L}}\p{{N}}]+')) AS word FROM odd_pages), b AS (SELECT id AS k, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+')) AS word FROM visible),
     ca AS (SELECT k, word, count(*) AS a FROM a GROUP BY 1, 2), cb AS (SELECT k, word, count(*) AS b FROM b GROUP BY 1, 2),
     j AS (SELECT coalesce(ca.k, cb.k) AS k, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM ca FULL JOIN cb ON ca.k = cb.k AND ca.word = cb.word)
-    SELECT k AS page_id, sum(least(a, b))::BIGINT AS matched, sum(greatest(a - b, 0))::BIGINT AS missing, sum(greatest(b - a, 0))::BIGINT AS extra FROM j GROUP BY k""".replace(", a AS", "WITH a AS", 1)
+    SELECT k AS page_id, sum(least(a, b))::BIGINT AS matched, sum(greatest(a - b, 0))::BIGINT AS missing, sum(greatest(b - a, 0))::BIGINT AS extra FROM j GROUP BY k""",
+    "odd_pages",
 )
 def word_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a page's source against those of its visible text."""
-    p = mail.table(spark, sf_dir, "pages")
+    p = mail.pages(spark, sf_dir)
     words = lambda c: p.select("page_id", F.explode(texts.alphanumeric_words(c)).alias("word"))
-    return compare.word_difference(words(F.col("html")), words(texts.visible_text(F.col("html"))), "page_id")
+    return compare.word_difference(words(F.col("html")), words(markup.visible_text(F.col("html"))), "page_id")
 
 
 AGREE_SQL = r"""CASE WHEN a = b THEN 'identical' WHEN replace(replace(a, chr(13) || chr(10), chr(10)), chr(13), chr(10)) = replace(replace(b, chr(13) || chr(10), chr(10)), chr(13), chr(10)) THEN 'newlines_differ'
@@ -633,17 +680,29 @@ def attachment_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.staged(mail.attachments(spark, sf_dir)).groupBy(codes.method_label(F.col("method")).alias("label"), "reason", "status").agg(F.count("*").alias("n"))
 
 
-@query(
-    """, st AS (SELECT message_id, lower(content_id) AS cid, method IN (1, 5) AND size IS NOT NULL AND NOT (method = 1 AND size = 0) AS good FROM attachments WHERE content_id IS NOT NULL),
-    f AS (SELECT message_id, cid, count(*) AS n, count(*) FILTER (good) AS g FROM st GROUP BY 1, 2), r AS (SELECT l_orderkey AS message_id, lower('IMG' || (l_partkey % 50)::VARCHAR || '@x') AS cid FROM lineitem)
-    SELECT CASE WHEN n IS NULL THEN 'no_attachment' WHEN g = 0 THEN 'not_extracted' WHEN g > 1 THEN 'ambiguous' ELSE 'rewritten' END AS outcome, count(*) AS n FROM (SELECT f.n, f.g FROM r LEFT JOIN f ON f.message_id = r.message_id AND f.cid = r.cid) GROUP BY 1""",
-    "attachments",
-)
+LINKS_SQL = rf"""st AS (SELECT message_id, lower(content_id) AS key, coalesce(long_name, short_name, 'attachment-' || ord::VARCHAR) AS file, coalesce(method IN (1, 5) AND size IS NOT NULL AND NOT (method = 1 AND size = 0), FALSE) AS good FROM attachments WHERE content_id IS NOT NULL),
+    f AS (SELECT message_id, key, count(*) FILTER (good) AS g, min(file) FILTER (good) AS file FROM st GROUP BY 1, 2),
+    s AS (SELECT message_id, unnest(string_split(markdown, '](')) AS part, generate_subscripts(string_split(markdown, ']('), 1) AS i FROM linked_texts),
+    r AS (SELECT *, i > 1 AND regexp_matches(part, '^<?[cC][iI][dD]:') AS is_link, regexp_extract(part, '^(<?)....([^)>\s]*)', 2) AS cid, CASE WHEN starts_with(part, '<') THEN regexp_extract(part, '^<....[^)>\s]*>?') ELSE regexp_extract(part, '^....[^)>\s]*') END AS written FROM s),
+    k AS (SELECT *, CASE WHEN is_link THEN lower(CASE WHEN contains(cid, '@%') THEN cid ELSE url_decode(cid) END) END AS key FROM r),
+    o AS (SELECT k.*, f.file, CASE WHEN NOT is_link THEN NULL WHEN g IS NULL THEN 'no_attachment' WHEN g = 0 THEN 'not_extracted' WHEN g > 1 THEN 'ambiguous' ELSE 'rewritten' END AS outcome FROM k LEFT JOIN f ON f.message_id = k.message_id AND f.key = k.key)"""
+
+
+@query(f", {LINKS_SQL} SELECT outcome, count(*) AS n FROM o WHERE is_link GROUP BY 1", "attachments", "linked_texts")
 def content_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links to content ids, read out of Markdown, resolved against the attachments of the message."""
-    md = F.concat(F.lit("see [a](cid:IMG"), (F.col("l_partkey") % 50).cast("string"), F.lit("@x) and [b](http://x)"))
-    refs = mail.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.explode(texts.cid_links(md)).alias("cid"))
-    return compare.resolved_links(refs, archive.staged(mail.attachments(spark, sf_dir)))
+    """Links to content ids, read out of Markdown, by what they come to against the attachments of the message."""
+    refs = mail.linked_texts(spark, sf_dir).select("message_id", F.explode(markup.content_links(F.col("markdown"))).alias("l")).select("message_id", "l.pos", "l.cid")
+    return links.resolved(refs, mail.named_attachments(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    f""", {LINKS_SQL} SELECT message_id, string_agg(CASE WHEN i > 1 THEN '](' ELSE '' END || CASE WHEN outcome = 'rewritten' THEN 'attachments/' || replace(replace(replace(url_encode(file), '+', '%20'), '*', '%2A'), '%7E', '~') || substr(part, length(written) + 1) ELSE part END, '' ORDER BY i) AS markdown,
+    count(*) FILTER (is_link) AS links, count(DISTINCT lower(cid)) FILTER (is_link) AS distinct_ids, count(*) FILTER (outcome = 'rewritten') AS rewritten, count(*) FILTER (outcome = 'no_attachment') AS no_attachment, count(*) FILTER (outcome = 'not_extracted') AS not_extracted, count(*) FILTER (outcome = 'ambiguous') AS ambiguous FROM o GROUP BY 1""",
+    "attachments", "linked_texts",
+)
+def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with their links to content ids pointing to the attachments' files."""
+    return links.rewritten(mail.linked_texts(spark, sf_dir), mail.named_attachments(spark, sf_dir))
 
 
 # Numbering, plans, rendering
@@ -767,7 +826,8 @@ def message_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.message_markdown(mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir))
 
 
-SHOWN_SQL = rf"""b AS (SELECT message_id, CASE WHEN NOT {blank_sql("native_html")} THEN {VISIBLE_SQL.replace("(html,", "(native_html,")} END AS md, CASE WHEN {blank_sql("native_html")} AND NOT {blank_sql("plain_text")} THEN plain_text END AS txt FROM bodies),
+SHOWN_SQL = rf"""{visible_sql("SELECT message_id AS id, native_html AS html FROM bodies WHERE NOT " + blank_sql("native_html"))},
+    b AS (SELECT message_id, t AS md, CASE WHEN {blank_sql("native_html")} AND NOT {blank_sql("plain_text")} THEN plain_text END AS txt FROM bodies LEFT JOIN visible ON id = message_id),
     n AS (SELECT message_id, md IS NOT NULL AS is_md, regexp_replace(regexp_replace(replace(replace(md, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\n+', ''), '[{WHITE_SQL}]+$', '') AS md, regexp_replace(replace(replace(txt, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n+$', '') AS txt FROM b),
     f AS (SELECT *, repeat('`', greatest(coalesce(list_max(list_transform(regexp_extract_all(txt, '`+'), lambda x: length(x))), 0), 2)::INT + 1) AS fence FROM n)"""
 BODY_SQL = "CASE WHEN is_md THEN CASE WHEN md <> '' THEN chr(10) || md || chr(10) ELSE '' END WHEN txt IS NOT NULL THEN chr(10) || fence || 'text' || chr(10) || txt || chr(10) || fence || chr(10) ELSE '' END"
@@ -894,24 +954,25 @@ MD_SQL = "'# T' || chr(10) || '- item ![i](x) [link](http://y) \\*z\\* <http://q
 
 
 @query(
-    rf"""WITH m AS (SELECT conv_id, turn, {MD_SQL} AS md FROM conversations), t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<([a-z]+:[^>\s]+)>', '\1', 'g'), '\\([\\`*_{{}}\[\]()#+.!|<>-])', '\1', 'g') AS txt FROM m)
-    SELECT conv_id, turn, sha256(txt) AS sha256, len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}} '))) AS headings, len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^[ \t]*(?:[*+-]|[0-9]+[.)]) '))) AS items,
+    rf"""WITH m AS (SELECT conv_id, turn, {MD_SQL} AS md FROM conversations), t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(md, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\\([!-/:-@\[-`{{-~])', '\1', 'g') AS txt FROM m),
+    w AS (SELECT *, list_transform({words_sql("txt")}, lambda w: CASE WHEN regexp_matches(w, '^<(.*://.*|mailto:.*)>$') THEN substr(w, 2, length(w) - 2) ELSE w END) AS words FROM t)
+    SELECT conv_id, turn, sha256(array_to_string(words, ' ')) AS sha256, len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}} '))) AS headings, len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^[ \t]*(?:[*+-]|[0-9]+[.)]) '))) AS items,
     len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^>'))) AS quotes, len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^[ \t]*\|'))) AS "rows", len(list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^(?:-{{3,}}|\*{{3,}})$'))) AS rules,
-    len(list_filter(regexp_split_to_array(txt, '[{WHITE_SQL}]+'), lambda x: regexp_matches(x, '^(?:[#>|:=+-]+|[0-9]+[.)])$'))) AS syntax FROM t"""
+    len(list_filter(words, lambda x: regexp_matches(x, '^(?:[#>|:=+-]+|[0-9]{{1,9}}[.)])$'))) AS syntax FROM w"""
 )
 def markdown_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of Markdown as its reader sees them, lines by kind, and words that only its marks make."""
     md = F.concat(F.lit("# T\n- item ![i](x) [link](http://y) \\*z\\* <http://q.r>\n> "), F.coalesce("text", F.lit("")), F.lit("\n| a | b |\n---"))
-    c = mail.table(spark, sf_dir, "conversations").select("conv_id", "turn", md.alias("md")).withColumn("txt", texts.markdown_text(F.col("md")))
+    c = mail.table(spark, sf_dir, "conversations").select("conv_id", "turn", md.alias("md")).withColumn("words", markup.markdown_words(F.col("md")))
     kinds = texts.line_classes(F.col("md"))
-    syntax = F.size(F.filter(F.split("txt", f"[{names.WHITE}]+"), texts.is_syntax)).cast("long")
-    return c.select("conv_id", "turn", F.sha2("txt", 256).alias("sha256"), *(kinds[k].cast("long").alias(k) for k in ("headings", "items", "quotes", "rows", "rules")), syntax.alias("syntax"))
+    syntax = F.size(F.filter("words", texts.is_syntax)).cast("long")
+    return c.select("conv_id", "turn", F.sha2(F.array_join("words", " "), 256).alias("sha256"), *(kinds[k].cast("long").alias(k) for k in ("headings", "items", "quotes", "rows", "rules")), syntax.alias("syntax"))
 
 
 @query()
 def content_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each page's visible text against those of its Markdown text, in order: matched, missing, extra, steps without a resync."""
-    visible = texts.visible_text(F.col("html"))
-    p = mail.table(spark, sf_dir, "pages").select("page_id", texts.plain_words(visible).alias("a"), texts.plain_words(texts.markdown_text(visible)).alias("b"))
+    p = mail.pages(spark, sf_dir).select("page_id", markup.visible_words(F.col("html")).alias("a"), markup.markdown_words(markup.visible_text(F.col("html"))).alias("b"))
     return p.select("page_id", F.size("a").alias("n_visible"), F.size("b").alias("n_markdown"), texts.word_alignment("a", "b").alias("w")).select("page_id", "n_visible", "n_markdown", "w.*")
 
 

@@ -69,6 +69,14 @@ def attachments(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     )
 
 
+def named_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments with what became of them and the file their data goes to."""
+    from postmill.operators import archive
+
+    a = archive.staged(attachments(spark, sf_dir))
+    return a.withColumn("file", archive.attachment_name(F.col("long_name"), F.col("short_name"), F.col("ord")))
+
+
 #: Attachments that are messages hold NEST - 1 messages at most, one within the other.
 NEST = 6
 
@@ -124,6 +132,33 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(p, "message_id", "left").select("message_id", F.when(F.col("message_id") % 8 == 0, "  ").otherwise(F.col("plain_text")).alias("plain_text"), "native_html")
 
 
+#: What pages end in, by turn: what real pages have and invented ones lack. Fixed values.
+PAGE_ENDS = (
+    "", "<p>5 < 6 and 7 > 2 end</p>", """<a title="x > y">link</a> <a title=it's>it's</a>""", "<head><meta>gone</head>body", "<head>never closed &unknown; &lt;b&gt; &#x41;&#0;&#xZZ; & &;&copy&copy;",
+    """<?php echo ">" ?><!DOCTYPE x = "a>b"> soft­hyphen zero​width ͏""", "<td><tr><p>one<p>two</div><br/>x<h1y>z</h1y>&yuml;<", "<div><ul><li>a<li>b<table><tr><td>c<td>d<tr><td>e</table></ul>f</div>g</p>", 'a<b c = "unclosed > quote',
+)
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages, each with one of PAGE_ENDS: page_id, html."""
+    end = F.element_at(F.array(*map(F.lit, PAGE_ENDS)), (F.col("page_id") % len(PAGE_ENDS) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", end).alias("html"))
+
+
+#: Links that messages have, by turn; {} is a content id's number. Fixed values.
+LINK_FORMS = ("[a](cid:Img{}@x)", "![b](<CID:img{}%40x>)", '[c](cid:IMG{}@x "t")', "![d](cid:img{}@%)", "[e](http://cid:x)", "![f](cid:)", "[g](<cid:Img{}@x)")
+
+
+def linked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown of messages, a sentence for each line item, with links to content ids, some of attachments of the message: message_id, markdown."""
+    li = table(spark, sf_dir, "lineitem")
+    form = F.element_at(F.array(*map(F.lit, LINK_FORMS)), ((F.col("l_partkey") + F.col("l_linenumber")) % len(LINK_FORMS) + 1).cast("int"))
+    number = F.when(F.col("l_quantity") % 3 < 2, F.col("l_partkey") % 50).otherwise(F.col("l_suppkey") % 50).cast("string")
+    line = F.concat(F.lit("see "), F.replace(form, F.lit("{}"), number), F.lit(" and é](x.\n"))
+    rows = li.groupBy(F.col("l_orderkey").alias("message_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).alias("rows"))
+    return rows.select("message_id", F.array_join(F.transform("rows", lambda r: r["line"]), "").alias("markdown"))
+
+
 #: Names that containers use, by turn. Fixed values.
 ENTRY_NAMES = (
     "__properties_version1.0", "__nameid_version1.0", "__substg1.0_3001001F", "__substg1.0_370E001E-00000002", "__substg1.0_12G4001F",
@@ -179,7 +214,7 @@ TICKS_SQL = "(epoch_us({0}) // 1000000) * 10000000 + 116444736000000000"
 
 
 def _list(values) -> str:
-    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values) + "]"
 
 
 VIEWS = {
@@ -228,6 +263,10 @@ SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 8 <> 7 AND o_orderkey %
     "bodies": """
 SELECT d.doc_id AS message_id, CASE WHEN d.doc_id % 8 = 0 THEN '  ' ELSE d.text END AS plain_text,
   CASE WHEN p.page_id % 6 = 0 THEN ' ' || chr(9) || chr(10) ELSE p.html END AS native_html FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id""",
+    "odd_pages": f"""
+SELECT page_id, html || ({_list(PAGE_ENDS)})[page_id % {len(PAGE_ENDS)} + 1] AS html FROM pages""",
+    "linked_texts": f"""
+SELECT l_orderkey AS message_id, string_agg('see ' || replace(({_list(LINK_FORMS)})[(l_partkey + l_linenumber) % {len(LINK_FORMS)} + 1], '{{}}', (CASE WHEN l_quantity % 3 < 2 THEN l_partkey % 50 ELSE l_suppkey % 50 END)::VARCHAR) || ' and é](x.' || chr(10), '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS markdown FROM lineitem GROUP BY 1""",
     "entries": f"""
 SELECT l_orderkey AS file, l_linenumber AS ord, ({_list(ENTRY_PARENTS)})[l_suppkey % {len(ENTRY_PARENTS)} + 1] || '/' || ({_list(ENTRY_NAMES)})[l_partkey % {len(ENTRY_NAMES)} + 1] AS path,
   ({_list(ENTRY_NAMES)})[l_partkey % {len(ENTRY_NAMES)} + 1] AS name, ({_list(ENTRY_PARENTS)})[l_suppkey % {len(ENTRY_PARENTS)} + 1] AS parent,
@@ -246,4 +285,4 @@ SELECT CASE WHEN doc_id % 13 = 0 THEN 'extra/' || rel ELSE rel END AS rel, CASE
 
 def sql(query: str, *views: str) -> str:
     """A query over the named entities as one statement."""
-    return "WITH " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views) + ("," if query.lstrip().startswith(",") else "\n") + query.lstrip().removeprefix(",")
+    return "WITH RECURSIVE " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views) + ("," if query.lstrip().startswith(",") else "\n") + query.lstrip().removeprefix(",")
