@@ -7,9 +7,11 @@ the bounds are the counts themselves (the floor or the ceiling of rows / shards)
 Only counts by arc (the stretch of ring before a virtual node: shards x VNODES numbers, however many rows there are) reach
 the driver, which fills the shards arc by arc: rows of an arc that fit stay, then the rest of each arc continues clockwise. The
 plan comes back as (arc, from rank, to rank, shard, first slot), again bounded, and a join by arc gives every row its shard and
-slot. Texts are read once, for a narrow table of the rows' hashes; it also says which task read a row. Where an arc is large,
-by the number of rows or by a cluster of equal ones, it is cut into lanes by these tasks: ranks are counted within the lanes of
-LANE rows or so, and the lanes' sums put them in a row.
+slot. Texts are read once, for a narrow table of the rows' hashes in which equal rows are one class with a count.
+
+A row's rank in its arc is its place by hash (then by doc_id, checksum, size), so it follows from the rows alone, however they are
+read. It is counted in lanes, stretches of the range of hashes of LANE rows or so, whose sums are put in a row; a class of more
+than LANE rows is expanded in pieces of as many.
 
 Defined results: a null text counts as empty; rows are placed by a hash of doc_id, text checksum and size, so rows without
 doc_id are spread as well; repeated rows get slots of their own; columns other than doc_id and text are ignored.
@@ -27,7 +29,7 @@ from postmill.llm.common import mix, stash, table
 
 SHARDS = 16
 VNODES = 128
-#: Rows of a lane.
+#: Rows of a lane: how much of an arc is ranked, and of a class expanded, in one task.
 LANE = 50_000
 PLAN = "arc int, low long, high long, shard int, first_slot long"
 
@@ -85,19 +87,23 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: f
     def arc_of(h: pd.Series) -> pd.Series:
         return pd.Series((np.searchsorted(positions, h.to_numpy()) % len(positions)).astype(np.int32))
 
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size"))
-    rows = stash(rows.withColumn("arc", arc_of("h")).withColumn("task", F.spark_partition_id()), "hashes")
-    by_task = stash(rows.groupBy("arc", "task").agg(F.count("*").alias("n")), "arcs")
-    counts = {r.arc: r.n for r in by_task.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # shards x vnodes numbers at most
-    lanes = -(-max(counts.values(), default=1) // lane)
-    cut = lambda df: df.withColumn("lane", F.pmod("task", F.lit(lanes)))
-    before = F.sum("n").over(W.partitionBy("arc").orderBy("lane").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    offsets = cut(by_task).groupBy("arc", "lane").agg(F.sum("n").alias("n")).select("arc", "lane", before.alias("before"))
+    row = ["h", "doc_id", "text_crc32", "size"]
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")).groupBy(row).agg(F.count("*").alias("n"))
+    rows = stash(rows.withColumn("arc", arc_of("h")), "hashes")
+    sums = rows.groupBy("arc").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()  # shards x vnodes rows at most
+    counts = {r.arc: r.n for r in sums}
+    bits = max(1, (sum(counts.values()) // lane).bit_length())  # lanes are ranges of hashes, 2 ** bits of them
+    rows = rows.withColumn("lane", F.shiftright("h", 64 - bits))
+    upto = lambda keys, order: F.sum("n").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    offsets = rows.groupBy("arc", "lane").agg(F.sum("n").alias("n")).select("arc", "lane", upto(["arc"], ["lane"]).alias("before"))
     plan = pd.DataFrame(fill(counts, shards, vnodes, slack), columns=["arc", "low", "high", "shard", "first_slot"])
     pieces = spark.createDataFrame(plan, PLAN) if len(plan) else spark.createDataFrame([], PLAN)
-    ranked = cut(rows).withColumn("rank", F.row_number().over(W.partitionBy("arc", "lane").orderBy("h", "doc_id", "text_crc32", "size")) - 1)
-    ranked = ranked.join(offsets, ["arc", "lane"]).withColumn("rank", F.col("rank") + F.col("before"))
-    placed = ranked.join(F.broadcast(pieces), (ranked.arc == pieces.arc) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    ranked = rows.withColumn("inside", upto(["arc", "lane"], row)).join(offsets, ["arc", "lane"]).withColumn("first", F.col("before") + F.col("inside"))
+    parts = ranked.withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 1) div {lane})")))
+    if max((r.most for r in sums), default=0) > lane:
+        parts = parts.repartition("h", "part")
+    each = parts.withColumn("rank", F.explode(F.expr(f"sequence(first + part * {lane}, first + least(n, (part + 1) * {lane}) - 1)")))
+    placed = each.join(F.broadcast(pieces), (each.arc == pieces.arc) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("low")).alias("slot"))
 
 

@@ -82,6 +82,24 @@ def test_large_arcs_are_cut_into_lanes(spark, lane):
     assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(50)) for s in range(16))
 
 
+def keys_of(spark, rows):
+    df = spark.createDataFrame([(r.doc_id, r.text_crc32, r.size) for r in rows], "doc_id long, c long, s long")
+    return np.array([k.h for k in df.selectExpr("xxhash64(doc_id, c, s) as h").collect()])
+
+
+def test_placement_follows_from_the_rows_alone(spark):
+    """However the rows are read and whatever a lane holds, and it is the walk on the ring."""
+    df = documents(spark, [*((1, "same") for _ in range(120)), *((None, None) for _ in range(70)), *((i, f"text {i}") for i in range(100, 1300))])
+    want = None
+    for parts, lane in ((3, 1), (7, 7), (5, 50_000), (1, 40)):
+        rows = sorted(sharding.assign(df.repartition(parts), 16, lane=lane).collect(), key=lambda r: (r.shard, r.slot))
+        assert want is None or rows == want
+        want = rows
+    walk = walked(keys_of(spark, want), 16, sharding.VNODES, 0.0)
+    by_row = lambda of: Counter((r.doc_id, of(i)) for i, r in enumerate(want))  # noqa: E731  equal rows may change places
+    assert by_row(lambda i: want[i].shard) == by_row(lambda i: walk[i])
+
+
 def test_movement_without_slack(spark):
     """Exact bounds pass overflow on from shard to shard, so more rows move than the new shard takes; the ring still keeps most."""
     df = documents(spark, [(i, f"t{i}") for i in range(4000)])
@@ -92,8 +110,7 @@ def test_movement_without_slack(spark):
 
 def test_query(spark, sf_dir):
     rows = sharding.op8_sharding(spark, sf_dir).collect()
-    keys = spark.createDataFrame([(r.doc_id, r.text_crc32, r.size) for r in rows], "doc_id long, c long, s long").selectExpr("xxhash64(doc_id, c, s) as h").collect()
-    walk = walked(np.array([k.h for k in keys]), sharding.SHARDS, sharding.VNODES, 0.0)
+    walk = walked(keys_of(spark, rows), sharding.SHARDS, sharding.VNODES, 0.0)
     assert [walk[i] for i in range(len(rows))] == [r.shard for r in rows]
     assert {r.law for r in rows} == {"rows"} and all(r.grown_shard is None for r in rows)
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
