@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import codes, markup, names, texts
-from postmill.operators import archive, census, compare, export, links, sink
+from postmill.operators import archive, census, compare, export, links, payloads, sink
 from postmill.operators.numbering import positions
 from postmill.plans import planner
 from postmill.sources import mail
@@ -617,6 +617,21 @@ def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.tree_hash(mail.manifest(spark, sf_dir))
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id, text, strlen(text)::BIGINT AS size, CASE WHEN doc_id % 11 = 0 THEN strlen(coalesce(text, '')) + 1 WHEN doc_id % 7 <> 0 THEN strlen(coalesce(text, '')) END AS length FROM documents),
+    o AS (SELECT *, CASE WHEN doc_id % 13 = 0 OR text IS NULL THEN 'data_stream_missing' WHEN doc_id % 19 = 0 OR (doc_id % 17 = 0 AND size > {2 * mail.PAYLOAD_CHUNK}) THEN 'data_read_failed' WHEN length <> CASE WHEN doc_id % 17 = 0 THEN least(size, {mail.PAYLOAD_CHUNK}) ELSE size END THEN 'data_length_mismatch' ELSE 'hashed' END AS outcome FROM d)
+    SELECT doc_id, outcome, CASE WHEN outcome = 'hashed' THEN CASE WHEN doc_id % 17 = 0 THEN least(size, {mail.PAYLOAD_CHUNK}) ELSE size END END::BIGINT AS size,
+    CASE WHEN outcome = 'hashed' THEN CASE WHEN doc_id % 17 = 0 AND size > {mail.PAYLOAD_CHUNK} THEN 'cut' ELSE sha256(text) END END AS sha256 FROM o"""
+)
+def payload_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads in chunks, read, measured against their declared lengths and hashed; a hash of one that was cut where nothing tells is named so."""
+    chunks, declared = mail.payload_chunks(spark, sf_dir)
+    texts_ = mail.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("whole"))
+    found = payloads.checked(chunks, declared, "doc_id").join(texts_, "doc_id")
+    cut = (F.col("doc_id") % 17 == 0) & (F.col("whole") > mail.PAYLOAD_CHUNK)
+    return found.select("doc_id", "outcome", "size", F.when(F.col("sha256").isNotNull() & cut, "cut").otherwise(F.col("sha256")).alias("sha256"))
+
+
 OUTCOME_SQL = "CASE WHEN b.in_b IS NULL THEN 'only_left' WHEN a.in_a IS NULL THEN 'only_right' WHEN a.v IS NULL AND b.v IS NULL THEN 'both_absent' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'equal' WHEN a.v IS NULL OR b.v IS NULL THEN 'one_absent' ELSE 'different' END"
 
 

@@ -132,6 +132,23 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(p, "message_id", "left").select("message_id", F.when(F.col("message_id") % 8 == 0, "  ").otherwise(F.col("plain_text")).alias("plain_text"), "native_html")
 
 
+#: Characters of a chunk of a document's payload.
+PAYLOAD_CHUNK = 500
+
+
+def payload_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts of documents as payloads in chunks (doc_id, chunk, data) and their declared lengths (doc_id, length): some have no stream,
+    lack a chunk, have one that couldn't be read, or are longer than declared."""
+    from postmill.operators import payloads
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    cut = payloads.chunks(d.where(k % 13 != 0), "text", "doc_id", size=PAYLOAD_CHUNK)
+    chunks = cut.where((k % 17 != 0) | (F.col("chunk") != 1)).withColumn("data", F.when((k % 19 != 0) | (F.col("chunk") != 0), F.col("data")))
+    length = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return chunks, d.select("doc_id", F.when(k % 11 == 0, length + 1).when(k % 7 != 0, length).alias("length"))
+
+
 #: What pages end in, by turn: what real pages have and invented ones lack. Fixed values.
 PAGE_ENDS = (
     "", "<p>5 < 6 and 7 > 2 end</p>", """<a title="x > y">link</a> <a title=it's>it's</a>""", "<head><meta>gone</head>body", "<head>never closed &unknown; &lt;b&gt; &#x41;&#0;&#xZZ; & &;&copy&copy;",

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this driver has written, until they are released.
+WRITTEN: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where none is set a local one will do in one process, as in tests; on a cluster it wouldn't."""
@@ -20,5 +23,15 @@ def scratch_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str, *by: str) -> DataFrame:
     """df as a table in the scratch folder, in folders of their own for the values of some columns, so that filters on these read no more."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that this driver has written so far, once results that read them are written themselves. Returns how many."""
+    n = 0
+    while WRITTEN:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        n += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return n

@@ -4,10 +4,11 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from postmill.__main__ import main
 from postmill.functions import texts
-from postmill.operators import archive, export, sink
+from postmill.operators import archive, export, payloads, sink
 from postmill.plans import planner
 from postmill.sources import containers
 from postmill.streaming import manifest
@@ -26,7 +27,7 @@ def test_export_is_repeatable_and_owned(spark, tmp_path):
     with pytest.raises(sink.Refused, match="refused_needs_consent"):
         sink.export(files(spark, a__b="z", c="y"), root, "s1")
     changed = sink.export(files(spark, a__b="z", c="y"), root, "s1", consent=True)
-    assert changed["replace"] == 1 and {(r.rel, bytes(r.content)) for r in sink.read(spark, root).collect()} == {("a/b", b"z"), ("c", b"y")}
+    assert changed["replace"] == 1 and {(r.rel, bytes(r.content)) for r in payloads.whole(sink.read(spark, root), "rel").collect()} == {("a/b", b"z"), ("c", b"y")}
     with pytest.raises(sink.Refused, match="refused_target_source_mismatch"):
         sink.export(files(spark, c="y"), root, "s2")
 
@@ -53,20 +54,143 @@ def test_an_empty_folder_is_free_and_a_hidden_file_is_somebodys(spark, tmp_path)
 def test_a_target_that_can_not_be_read_is_left_alone(spark, tmp_path, monkeypatch):
     root = f"{tmp_path}/out"
     sink.export(files(spark, c="y"), root, "s")
-    (tmp_path / "out" / sink.MARKER).rename(tmp_path / "marker")
-    (tmp_path / "out" / sink.MARKER).write_text("{}")  # a file where Spark would read a folder
+    (tmp_path / "out" / sink.MARKERS).rename(tmp_path / "marker")
+    (tmp_path / "out" / sink.MARKERS).write_text("{}")  # a file where Spark would read a folder
     assert sink.state(spark, root, "s") == "not_owned"
-    monkeypatch.setattr(sink, "marker", lambda *a: 1 / 0)
+    monkeypatch.setattr(sink, "log", lambda *a: 1 / 0)
     assert sink.state(spark, root, "s") == "not_owned"
     with pytest.raises(sink.Refused, match="refused_target_not_owned"):
         sink.export(files(spark, c="y"), root, "s")
 
 
-def test_an_incomplete_archive_is_written_anew(spark, tmp_path):
+def held(spark, root):
+    found = sink.read(spark, root)
+    return None if found is None else {r.rel: bytes(r.content).decode() for r in payloads.whole(found, "rel").collect()}
+
+
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["claimed", "written", "checked", "committed"])
+@pytest.mark.parametrize("older", [False, True])
+def test_a_crash_at_any_step_leaves_a_whole_archive(spark, tmp_path, monkeypatch, step, older):
+    root = f"{tmp_path}/out"
+    if older:
+        sink.export(files(spark, c="old"), root, "s")
+
+    def crash(at):
+        if at == step:
+            monkeypatch.setattr(sink.Store, "remove", lambda *a: None)  # nothing is tidied up
+            raise Crash
+
+    with pytest.raises(Crash):
+        sink.export(files(spark, c="new"), root, "s", consent=True, on=crash)
+    monkeypatch.undo()
+    assert held(spark, root) == ({"c": "new"} if step == "committed" else {"c": "old"} if older else None)
+    assert sink.state(spark, root, "s") == "owned" and sink.state(spark, root, "t") == "other_source"
+    assert sink.export(files(spark, c="next"), root, "s", consent=True)["written"]
+    assert held(spark, root) == {"c": "next"}
+    names = [x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith(".")]
+    assert len(names) == 2 and len([x for x in (tmp_path / "out" / sink.MARKERS).iterdir() if sink.MARKER.fullmatch(x.name)]) == 2
+
+
+def test_a_marker_cut_off_counts_for_nothing(spark, tmp_path):
+    root = f"{tmp_path}/out"
+    sink.export(files(spark, c="old"), root, "s")
+    (tmp_path / "out" / sink.MARKERS / "00000002.claim").write_text('{"tool": "postm')
+    (tmp_path / "out" / sink.MARKERS / "00000002.commit").write_text("")
+    assert held(spark, root) == {"c": "old"} and sink.state(spark, root, "s") == "owned"
+    assert sink.export(files(spark, c="new"), root, "s", consent=True)["written"] and held(spark, root) == {"c": "new"}
+
+
+def test_of_two_runs_at_once_one_is_refused(spark, tmp_path):
     root = f"{tmp_path}/out"
-    sink.put_marker(spark, root, "s", None, "incomplete")
-    assert sink.state(spark, root, "s") == "owned" and sink.read(spark, root) is None
-    assert sink.export(files(spark, c="y"), root, "s")["written"]
+    sink.export(files(spark, c="old"), root, "s")
+    for step, winner in (("claimed", "second"), ("written", "second"), ("checked", "second")):
+        run = lambda at, step=step: sink.export(files(spark, c=f"{step} second"), root, "s", consent=True) if at == step else None
+        with pytest.raises(sink.Refused, match="refused_other_run"):
+            sink.export(files(spark, c=f"{step} first"), root, "s", consent=True, on=run)
+        assert held(spark, root) == {"c": f"{step} {winner}"}
+    late = []
+
+    def begin(at):  # the other claims a number before this one commits, and comes to its own commit after it
+        if at == "committed":
+            return
+        late.append(at)
+
+    assert sink.export(files(spark, c="last"), root, "s", consent=True, on=begin)["written"] and late == ["claimed", "written", "checked"]
+    store = sink.Store(spark, root)
+    assert not store.create("{}", sink.MARKERS, f"{sink.taken(store):08}.claim") and held(spark, root) == {"c": "last"}
+
+
+def test_a_refused_run_leaves_nothing(spark, tmp_path):
+    root = f"{tmp_path}/out"
+    twice = files(spark, c="x").union(files(spark, c="y"))
+    with pytest.raises(sink.Refused, match="refused_path_repeated"):
+        sink.export(twice, root, "s")
+    assert sink.state(spark, root, "s") in ("absent", "empty")
+    sink.export(files(spark, c="x"), root, "s")
+    before = sorted(x.name for x in (tmp_path / "out").rglob("*"))
+    with pytest.raises(sink.Refused, match="refused_needs_consent"):
+        sink.export(files(spark, c="y"), root, "s")
+    assert sorted(x.name for x in (tmp_path / "out").rglob("*")) == before
+
+
+class Moody:
+    """Fails a number of times."""
+
+    def __init__(self, error, n):
+        self.error, self.n, self.calls = error, n, 0
+
+    def __call__(self):
+        self.calls += 1
+        if self.calls <= self.n:
+            raise self.error
+        return "done"
+
+
+def test_passing_errors_are_tried_again(spark, tmp_path, monkeypatch):
+    try:
+        sink.Store(spark, str(tmp_path)).text("none")
+    except Exception as e:
+        missing = e
+    waits = []
+    with pytest.raises(type(missing)):
+        sink.tried(Moody(missing, 9), pause=waits.append)
+    assert waits == []  # what isn't there won't come
+    monkeypatch.setattr(sink, "LASTING", ())
+    assert sink.tried(Moody(missing, 4), pause=waits.append) == "done" and waits == [sink.PAUSE * k for k in (1, 2, 3, 4)]
+    again = Moody(missing, 9)
+    with pytest.raises(type(missing)):
+        sink.tried(again, pause=waits.append)
+    assert again.calls == sink.TRIES
+
+
+def test_files_of_any_size_go_in_chunks(spark, tmp_path):
+    root, data = f"{tmp_path}/out", bytes(range(256)) * 4096
+    big = payloads.chunks(spark.createDataFrame([("big", data), ("none", b"")], "rel string, content binary"), "content", "rel", size=1000)
+    assert sink.export(big, root, "s")["create"] == 2
+    assert {r.rel: bytes(r.content) for r in payloads.whole(sink.read(spark, root), "rel").collect()} == {"big": data, "none": b""}
+    assert not sink.export(files(spark, big="", none="").where("false").union(spark.createDataFrame([("big", data), ("none", b"")], "rel string, content binary")), root, "s")["written"]
+
+
+def test_digests_follow_the_chunks(spark):
+    data = bytes(i * 7 % 251 for i in range(300_000))
+    rows = spark.createDataFrame([(1, "a", data), (1, "b", b""), (2, "a", b"x" * 100), (3, "a", None), (4, "a", b"0123456789")], "id long, name string, content binary")
+    parts = payloads.chunks(rows, "content", "id", "name", size=10)
+    assert parts.count() == 30_000 + 1 + 10 + 1
+    assert {(r.id, r.name): bytes(r.content) for r in payloads.whole(parts, "id", "name").collect()} == {(1, "a"): data, (1, "b"): b"", (2, "a"): b"x" * 100, (4, "a"): b"0123456789"}
+    want = {(1, "a"): data, (1, "b"): b"", (2, "a"): b"x" * 100, (4, "a"): b"0123456789"}
+    for batch in (1, 7, 64):
+        got = {(r.id, r.name): (r.size, r.sha256, r.read) for r in payloads.digests(parts.repartition(5), "id", "name", batch=batch).collect()}
+        assert got == {k: (len(v), hashlib.sha256(v).hexdigest(), True) for k, v in want.items()}
+    bad = parts.where("not (id = 1 and name = 'a' and chunk = 29000)").union(parts.where("id = 2 and chunk = 3")).withColumn("data", F.expr("if(id = 4, null, data)"))
+    declared = spark.createDataFrame([(1, "a", 300_000), (1, "b", 0), (2, "a", 100), (3, "a", 0), (4, "a", 10), (5, "a", None)], "id long, name string, length long")
+    assert {(r.id, r.name): r.outcome for r in payloads.checked(bad, declared, "id", "name").collect()} == {(1, "a"): "data_read_failed", (1, "b"): "hashed", (2, "a"): "data_read_failed", (3, "a"): "data_stream_missing", (4, "a"): "data_read_failed", (5, "a"): "data_stream_missing"}
+    lengths = spark.createDataFrame([(1, "a", 299_999), (1, "b", None)], "id long, name string, length long")
+    assert {r.name: (r.outcome, r.size) for r in payloads.checked(parts, lengths, "id", "name").collect()} == {"a": ("data_length_mismatch", None), "b": ("hashed", 0)}
+    assert payloads.digests(parts.limit(0), "id", "name").count() == 0
 
 
 def test_a_planned_archive_is_written(spark, tmp_path):
@@ -85,7 +209,7 @@ def test_a_planned_archive_is_written(spark, tmp_path):
     payloads = spark.createDataFrame([(10, 1, bytearray(b"abc"))], "message_id long, position long, content binary")
     files_ = export.archive_files(plan, archive.folder_record(folders, messages), documents, payloads=payloads)
     assert sink.export(files_, f"{tmp_path}/out", "box")["create"] == 6
-    got = {r.rel: bytes(r.content).decode() for r in sink.read(spark, f"{tmp_path}/out").collect()}
+    got = held(spark, f"{tmp_path}/out")
     assert set(got) == {"Inbox/folder.json", "Inbox/a-b/folder.json", "Inbox/a-b/Hi_ all (02)/message.md", "Inbox/a-b/hi_ all/message.md", "Inbox/a-b/Hi_ all (02)/attachments/f.txt", "Inbox/a-b/Hi_ all (02)/attachments/inner/message.md"}
     assert got["Inbox/a-b/Hi_ all (02)/message.md"] == (
         "# Hi: all\n\n- **From:** `` A `x` <a@x> ``\n- **To:** `(unknown)`, `B`\n- **Bcc:** `c@x`\n- **Date:** 1601-01-01T00:00:00Z\n- **Importance:** high\n\n````text\ntext with ``` in it\n````\n"
