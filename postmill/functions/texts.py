@@ -36,8 +36,9 @@ def newlines(c: Column) -> Column:
 
 
 def one_line(c: Column) -> Column:
-    """Control characters gone, runs of white space one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0E-\x1F\x7F]", ""), f"[{WHITE}]+", " "), "^ | $", "")
+    """Control characters gone, runs of white space one space, none at the ends. Most texts need nothing done, which one look tells."""
+    changes = has(c, rf"[\x00-\x1F\x7F]|[{WHITE}][{WHITE}]|[{WHITE}&&[^ ]]|^ | \z")
+    return F.when(changes, F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0E-\x1F\x7F]", ""), f"[{WHITE}]+", " "), "^ | $", "")).otherwise(c)
 
 
 def title(c: Column) -> Column:
@@ -57,13 +58,19 @@ def fence(c: Column) -> Column:
 def code_span(c: Column) -> Column:
     ticks = F.repeat(F.lit("`"), longest_backticks(c) + 1)
     pad = F.when(F.startswith(c, F.lit("`")) | F.endswith(c, F.lit("`")), " ").otherwise("")
-    return F.concat(ticks, pad, c, pad, ticks)
+    return F.when(F.contains(c, F.lit("`")), F.concat(ticks, pad, c, pad, ticks)).otherwise(F.concat(F.lit("`"), c, F.lit("`")))
 
 
 def address_text(display: Column, kind: Column, email: Column, smtp: Column) -> Column:
     """Name and address; an address of another kind than SMTP is shown only by its SMTP address."""
-    address = F.coalesce(smtp, F.when(F.coalesce(upper_ascii(kind), F.lit("SMTP")) == "SMTP", email))
-    name = one_line(display)
+    return named_address(one_line(display), shown_address(kind, email, smtp))
+
+
+def shown_address(kind: Column, email: Column, smtp: Column) -> Column:
+    return F.coalesce(smtp, F.when(F.coalesce(upper_ascii(kind), F.lit("SMTP")) == "SMTP", email))
+
+
+def named_address(name: Column, address: Column) -> Column:
     return F.when(name.isNotNull() & address.isNotNull() & (name != address), F.concat(name, F.lit(" <"), address, F.lit(">"))).otherwise(F.coalesce(address, name))
 
 

@@ -40,10 +40,13 @@ IMPORTANCE, SENSITIVITY = {0: "low", 1: None, 2: "high"}, {0: None, 1: "personal
 FOUR = ("display_name", "address_type", "email_address", "smtp_address")
 
 
-def address_of(prefix: str = "") -> Column:
-    """The text of an address as a code span; null where all its fields are."""
+def with_address(rows: DataFrame, out: str, prefix: str = "") -> DataFrame:
+    """rows with the text of an address as a code span, null where all its fields are. It is made in columns of its own, one after
+    the other, so that no expression stands in another several times."""
     four = [F.col(prefix + c) for c in FOUR]
-    return F.when(F.coalesce(*four).isNotNull(), texts.code_span(F.coalesce(texts.address_text(*four), F.lit("(unknown)"))))
+    steps = rows.withColumns({"_name": texts.one_line(four[0]), "_address": texts.shown_address(*four[1:])})
+    steps = steps.withColumn("_text", F.coalesce(texts.named_address(F.col("_name"), F.col("_address")), F.when(F.coalesce(*four).isNotNull(), "(unknown)")))
+    return steps.withColumn(out, texts.code_span(F.col("_text"))).drop("_name", "_address", "_text")
 
 
 def header_lines(sender: Column, represented: Column, to: Column, cc: Column, bcc: Column, date: Column, importance: Column, sensitivity: Column) -> Column:
@@ -64,9 +67,8 @@ def header_lines(sender: Column, represented: Column, to: Column, cc: Column, bc
 
 def listed(recipients: DataFrame) -> DataFrame:
     """Recipients of a message as code spans, by kind, in the order of their rows: one row a message, as its head shows them all."""
-    kind = codes.recipient_kind(F.col("raw_type"))
-    text = F.coalesce(address_of(), F.lit("`(unknown)`"))
-    rows = recipients.select("message_id", kind.alias("kind"), F.struct("ord", text.alias("text")).alias("r")).where("kind is not null")
+    known = recipients.withColumn("kind", codes.recipient_kind(F.col("raw_type"))).where("kind is not null")
+    rows = with_address(known, "text").select("message_id", "kind", F.struct("ord", F.coalesce("text", F.lit("`(unknown)`")).alias("text")).alias("r"))
     of = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("r")))), lambda x: x["text"]), ", ").alias(f"{k}_text")
     return rows.groupBy("message_id").agg(of("to"), of("cc"), of("bcc"), F.count("*").alias("n_listed"))
 
@@ -77,7 +79,7 @@ def message_markdown(messages: DataFrame, senders: DataFrame, recipients: DataFr
     bodies (message_id, markdown, plain_text): Markdown stands as it is, without blank lines around it; plain text stands in a fence
     longer than any run of backticks in it. Without either a message is its head; how says whether those that bodies lacks stay."""
     date = codes.filetime_text(F.coalesce("submit_ft", "delivery_ft"))
-    people = senders.select("message_id", address_of("sender_").alias("sender"), address_of("represented_").alias("represented"))
+    people = with_address(with_address(senders, "sender", "sender_"), "represented", "represented_").select("message_id", "sender", "represented")
     both = messages.join(people, "message_id", "left").join(listed(recipients), "message_id", "left")
     lines = header_lines(F.col("sender"), F.col("represented"), F.col("to_text"), F.col("cc_text"), F.col("bcc_text"), date, F.col("importance"), F.col("sensitivity"))
     head = F.concat(F.lit("# "), texts.title(F.col("subject")), F.lit("\n"), F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise(""))
@@ -126,18 +128,69 @@ def body_record(bodies: DataFrame) -> DataFrame:
     return bodies.select("message_id", F.struct(shown.alias("source"), steps.alias("preprocessing"), originals.alias("originals")).alias("body"), (html.isNotNull() & (shown != "native_html")).alias("fell_back"))
 
 
+def attachment_records(staged_attachments: DataFrame) -> DataFrame:
+    """(message_id, records, lost): the attachments of each message in order, what became of each and why, and how many aren't there."""
+    name = attachment_name(F.col("long_name"), F.col("short_name"), F.col("ord"))
+    kept = lambda c: F.when(F.col("status") == "extracted", c)
+    one = F.struct(
+        F.col("ord").cast("long").alias("position"), name.alias("name"), codes.method_label(F.col("method")).alias("method"), F.col("method").cast("long").alias("method_code"), "content_id", "status", "reason",
+        kept(name).alias("file"), kept(F.col("size")).alias("bytes"),
+    )
+    return staged_attachments.groupBy("message_id").agg(F.array_sort(F.collect_list(one)).alias("records"), F.count_if(F.col("status") != "extracted").alias("lost"))
+
+
 def message_metadata(messages: DataFrame, senders: DataFrame, recipients: DataFrame, bodies: DataFrame, staged_attachments: DataFrame) -> DataFrame:
-    """(message_id, json) of messages with bodies: the whole record. Its status is always partial, with the reasons that hold."""
-    n = staged_attachments.groupBy("message_id").agg(F.count("*").alias("attachments"), F.count_if(F.col("status") != "extracted").alias("not_extracted"))
-    both = messages.join(body_record(bodies), "message_id").join(envelope_record(messages, senders, recipients), "message_id").join(n, "message_id", "left").na.fill(0, ["attachments", "not_extracted"])
-    reasons = F.array_compact(F.array(F.lit("other_properties_not_preserved"), F.when(F.col("not_extracted") > 0, "attachments_not_extracted"), F.when(F.col("fell_back"), "formatted_bodies_not_converted")))
+    """(message_id, json): the whole record of every message, those without a body too. Its status is always partial, with the reasons that hold."""
+    none = F.struct(F.lit("none").alias("source"), F.array().cast("array<string>").alias("preprocessing"), F.array().cast("array<struct<file: string, bytes: bigint, sha256: string, note: string>>").alias("originals"))
+    n = attachment_records(staged_attachments)
+    both = messages.join(body_record(bodies), "message_id", "left").join(envelope_record(messages, senders, recipients), "message_id").join(n, "message_id", "left").na.fill(0, ["lost"]).na.fill(False, ["fell_back"])
+    reasons = F.array_compact(F.array(F.lit("other_properties_not_preserved"), F.when(F.col("lost") > 0, "attachments_not_extracted"), F.when(F.col("fell_back"), "formatted_bodies_not_converted")))
     record = F.struct(
-        F.lit(1).alias("schema_version"), F.lit("message").alias("kind"), "subject", "internet_message_id", F.coalesce("delivery_ft", "submit_ft").alias("time_filetime"), "body", "envelope",
-        "attachments", F.col("not_extracted").alias("attachments_not_extracted"), F.lit("partial").alias("status"), reasons.alias("status_reasons"),
+        F.lit(1).alias("schema_version"), F.lit("message").alias("kind"), "subject", "internet_message_id", F.coalesce("delivery_ft", "submit_ft").alias("time_filetime"), F.coalesce("body", none).alias("body"), "envelope",
+        F.coalesce("records", F.array().cast(n.schema["records"].dataType)).alias("attachments"), F.col("lost").alias("attachments_not_extracted"), F.lit("partial").alias("status"), reasons.alias("status_reasons"),
     )
     return both.select("message_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
 
+#: Embedded messages within embedded messages that are written whole; the next is only recorded, what lies in it is not.
+NESTING = 3
+
+
+def embedded(messages: DataFrame, attachments: DataFrame, most: int = NESTING) -> DataFrame:
+    """(root_id, message_id, depth): the messages that are attachments (inner_id), in the messages that are not, from level to level
+    down to the first one beyond `most`."""
+    inner = attachments.where("inner_id is not null").select("message_id", "inner_id")
+    inside = inner.select(F.col("inner_id").alias("message_id")).distinct()
+    level = messages.select("message_id").join(inside, "message_id", "left_anti").select(F.col("message_id").alias("root_id"), "message_id")
+    out = None
+    for depth in range(1, most + 2):
+        level = level.join(inner, "message_id").select("root_id", F.col("inner_id").alias("message_id"))
+        rows = level.select("root_id", "message_id", F.lit(depth).alias("depth"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def embedded_files(messages: DataFrame, attachments: DataFrame, most: int = NESTING) -> DataFrame:
+    """(root_id, message_id, depth, name, content): message.md and metadata.json of each embedded message; of one beyond the cap only
+    a record of what is known of it. messages: (message_id, subject, delivery_ft, submit_ft)."""
+    at = embedded(messages, attachments, most).join(messages, "message_id")
+    head = F.concat(F.lit("# "), texts.title(F.col("subject")), F.lit("\n"))
+    found = at.select("message_id", "depth").join(attachments, "message_id")
+    records = attachment_records(staged(found.where(F.col("depth") <= most), F.col("depth"), most))
+    count = found.where(F.col("depth") > most).groupBy("message_id").agg(F.count("*").alias("lost"))
+    whole = at.where(F.col("depth") <= most).join(records, "message_id", "left").na.fill(0, ["lost"])
+    reasons = F.array_compact(F.array(F.lit("other_properties_not_preserved"), F.when(F.col("lost") > 0, "attachments_not_extracted")))
+    record = F.struct(
+        F.lit(1).alias("schema_version"), F.lit("embedded_message").alias("kind"), "subject", F.coalesce("delivery_ft", "submit_ft").alias("time_filetime"),
+        F.coalesce("records", F.array().cast(records.schema["records"].dataType)).alias("attachments"), F.col("lost").alias("attachments_not_extracted"), F.lit("partial").alias("status"), reasons.alias("status_reasons"),
+    )
+    capped = F.struct(F.lit(1).alias("schema_version"), F.lit("embedded_message").alias("kind"), "subject", F.col("lost").alias("attachments_not_extracted"), F.lit("partial").alias("status"), F.array(F.lit("embedded_depth_capped")).alias("status_reasons"))
+    json = lambda r: F.to_json(r, {"ignoreNullFields": "false"})
+    both = F.explode(F.array(F.struct(F.lit("message.md").alias("name"), head.alias("content")), F.struct(F.lit("metadata.json").alias("name"), json(record).alias("content")))).alias("f")
+    only = at.where(F.col("depth") > most).join(count, "message_id", "left").na.fill(0, ["lost"])
+    return whole.select("root_id", "message_id", "depth", both).select("root_id", "message_id", "depth", "f.*").unionByName(only.select("root_id", "message_id", "depth", F.lit("metadata.json").alias("name"), json(capped).alias("content")))
+
+
 def folder_record(folders: DataFrame, messages: DataFrame) -> DataFrame:
     """JSON of each folder: its name, parent and what is in it."""
     inside = messages.groupBy("folder_id").agg(F.count("*").alias("messages"))

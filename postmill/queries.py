@@ -848,10 +848,10 @@ SHOWN_SQL = rf"""{visible_sql("SELECT message_id AS id, native_html AS html FROM
 BODY_SQL = "CASE WHEN is_md THEN CASE WHEN md <> '' THEN chr(10) || md || chr(10) ELSE '' END WHEN txt IS NOT NULL THEN chr(10) || fence || 'text' || chr(10) || txt || chr(10) || fence || chr(10) ELSE '' END"
 
 
-@query(f", {HEAD_SQL}, {SHOWN_SQL} SELECT hd.message_id, head || {BODY_SQL} AS markdown FROM hd JOIN f ON f.message_id = hd.message_id", "messages", "senders", "recipients", "bodies")
+@query(f", {HEAD_SQL}, {SHOWN_SQL} SELECT hd.message_id, head || coalesce({BODY_SQL}, '') AS markdown FROM hd LEFT JOIN f ON f.message_id = hd.message_id", "messages", "senders", "recipients", "bodies")
 def message_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents of the messages that have bodies: head and body."""
-    return archive.message_markdown(mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir), archive.shown_bodies(mail.bodies(spark, sf_dir)))
+    """Whole documents of all messages: head, and body where there is one."""
+    return archive.message_markdown(mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir), archive.shown_bodies(mail.bodies(spark, sf_dir)), "left")
 
 
 @query(
@@ -878,20 +878,38 @@ STEPS_SQL = "list_filter([" + ", ".join(f"CASE WHEN len(list_filter(hidden, lamb
 @query(
     rf""", {PEOPLE_SQL}, r AS (SELECT message_id, list({{'kind': {KIND_SQL}, {", ".join(f"'{c}': {c}" for c in archive.FOUR)}}} ORDER BY ord, {KIND_SQL} NULLS FIRST, {", ".join(f"{c} NULLS FIRST" for c in archive.FOUR)}) FILTER ({KIND_SQL} IS NOT NULL) AS recipients, count(*) FILTER ({KIND_SQL} IS NULL) AS unlisted FROM recipients GROUP BY 1),
     b AS (SELECT *, CASE WHEN NOT {blank_sql("native_html")} THEN 'native_html' WHEN NOT {blank_sql("plain_text")} THEN 'plain_text' ELSE 'none' END AS source, regexp_extract_all(native_html, '(?is)<!--.*?(?:-->|$)|<style[>/\s].*?(?:</style>|$)|<script[>/\s].*?(?:</script>|$)|<title[>/\s].*?(?:</title>|$)') AS hidden FROM bodies),
-    a AS (SELECT message_id, count(*) AS n, count(*) FILTER (NOT coalesce(method IN (1, 5) AND size IS NOT NULL AND NOT (method = 1 AND size = 0), FALSE)) AS lost FROM attachments GROUP BY 1)
+    st AS (SELECT *, {METHOD_SQL} AS label, CASE WHEN method IS NULL THEN 'method_unreadable' WHEN method = 0 THEN 'method_none' WHEN method IN (2, 3, 4) THEN 'by_reference' WHEN method = 6 THEN 'ole_object' WHEN method = 5 AND size IS NULL THEN 'embedded_message_unreadable' WHEN method = 1 AND size IS NULL THEN 'data_read_failed' WHEN method = 1 AND size = 0 THEN 'data_stream_missing' WHEN method NOT IN (1, 5) THEN 'method_unrecognized' END AS reason, coalesce(long_name, short_name, 'attachment-' || ord::VARCHAR) AS n FROM attachments),
+    a AS (SELECT message_id, count(reason) AS lost, list({{'position': ord::BIGINT, 'name': n, 'method': label, 'method_code': method::BIGINT, 'content_id': content_id, 'status': CASE WHEN reason IS NULL THEN 'extracted' WHEN reason IN ('data_read_failed', 'data_stream_missing') THEN 'failed' ELSE 'not_extracted' END, 'reason': reason,
+      'file': CASE WHEN reason IS NULL THEN n END, 'bytes': CASE WHEN reason IS NULL THEN size END}} ORDER BY ord, n, label, method NULLS FIRST, content_id NULLS FIRST, reason NULLS FIRST, size NULLS FIRST) AS records FROM st GROUP BY 1)
     SELECT m.message_id, to_json({{'schema_version': 1, 'kind': 'message', 'subject': subject, 'internet_message_id': internet_message_id, 'time_filetime': coalesce(delivery_ft, submit_ft),
-      'body': {{'source': source, 'preprocessing': CASE WHEN source = 'native_html' THEN {STEPS_SQL} ELSE [] END, 'originals': list_filter([CASE WHEN native_html <> '' THEN {{'file': 'body.html', 'bytes': strlen(native_html), 'sha256': sha256(native_html), 'note': 'as_stored'}} END, CASE WHEN plain_text <> '' THEN {{'file': 'body.txt', 'bytes': strlen(plain_text), 'sha256': sha256(plain_text), 'note': NULL}} END], lambda x: x IS NOT NULL)}},
+      'body': {{'source': coalesce(source, 'none'), 'preprocessing': CASE WHEN source = 'native_html' THEN {STEPS_SQL} ELSE []::VARCHAR[] END, 'originals': list_filter([CASE WHEN native_html <> '' THEN {{'file': 'body.html', 'bytes': strlen(native_html), 'sha256': sha256(native_html), 'note': 'as_stored'}} END, CASE WHEN plain_text <> '' THEN {{'file': 'body.txt', 'bytes': strlen(plain_text), 'sha256': sha256(plain_text), 'note': NULL}} END], lambda x: x IS NOT NULL)}},
       'envelope': {{'sender': CASE WHEN coalesce({", ".join("sender_" + c for c in archive.FOUR)}) IS NOT NULL THEN {_four_sql("sender_")} END, 'sent_representing': CASE WHEN represented_display_name IS NOT NULL THEN {_four_sql("represented_")} END, 'recipients': coalesce(recipients, []), 'recipients_unlisted': coalesce(unlisted, 0),
         'submit_time_filetime': submit_ft, 'delivery_time_filetime': delivery_ft, 'date_utc': {DATE_SQL}, 'importance': importance, 'sensitivity': sensitivity}},
-      'attachments': coalesce(a.n, 0), 'attachments_not_extracted': coalesce(lost, 0), 'status': 'partial', 'status_reasons': list_filter(['other_properties_not_preserved', CASE WHEN lost > 0 THEN 'attachments_not_extracted' END, CASE WHEN native_html IS NOT NULL AND source <> 'native_html' THEN 'formatted_bodies_not_converted' END], lambda x: x IS NOT NULL)}})::VARCHAR AS json
-    FROM messages m JOIN b ON b.message_id = m.message_id LEFT JOIN p ON p.message_id = m.message_id LEFT JOIN r ON r.message_id = m.message_id LEFT JOIN a ON a.message_id = m.message_id""",
+      'attachments': coalesce(records, []), 'attachments_not_extracted': coalesce(lost, 0), 'status': 'partial', 'status_reasons': list_filter(['other_properties_not_preserved', CASE WHEN lost > 0 THEN 'attachments_not_extracted' END, CASE WHEN native_html IS NOT NULL AND source <> 'native_html' THEN 'formatted_bodies_not_converted' END], lambda x: x IS NOT NULL)}})::VARCHAR AS json
+    FROM messages m LEFT JOIN b ON b.message_id = m.message_id LEFT JOIN p ON p.message_id = m.message_id LEFT JOIN r ON r.message_id = m.message_id LEFT JOIN a ON a.message_id = m.message_id""",
     "messages", "senders", "recipients", "bodies", "attachments",
 )
 def message_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole records of the messages that have bodies: body, envelope, attachments, status and reasons."""
+    """Whole records of all messages: body, envelope, every attachment, status and reasons."""
     return archive.message_metadata(mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir), mail.bodies(spark, sf_dir), archive.staged(mail.attachments(spark, sf_dir)))
 
 
+@query(
+    f""", k AS (SELECT message_id AS root_id, slot, flag, most, unnest(range(1, {archive.NESTING + 2})) AS k FROM inner_messages), d AS (SELECT *, slot - k AS message_id, k AS depth FROM k WHERE k <= most),
+    a AS (SELECT *, list_concat([{{'position': 1::BIGINT, 'name': 'note.txt', 'method': 'by_value', 'method_code': 1::BIGINT, 'content_id': NULL::VARCHAR, 'status': 'extracted', 'reason': NULL::VARCHAR, 'file': 'note.txt', 'bytes': k}}], CASE WHEN k < most THEN [{{'position': 2::BIGINT, 'name': 'attachment-2', 'method': 'embedded_message', 'method_code': 5::BIGINT, 'content_id': NULL::VARCHAR,
+      'status': CASE WHEN k < {archive.NESTING} THEN 'extracted' ELSE 'not_extracted' END, 'reason': CASE WHEN k >= {archive.NESTING} THEN 'embedded_depth_capped' END, 'file': CASE WHEN k < {archive.NESTING} THEN 'attachment-2' END, 'bytes': CASE WHEN k < {archive.NESTING} THEN k END}}] ELSE [] END) AS records, (k < most AND k >= {archive.NESTING})::BIGINT AS lost FROM d)
+    SELECT root_id, message_id, depth::INT AS depth, 'message.md' AS name, '# FW: ' || flag || chr(10) AS content FROM a WHERE depth <= {archive.NESTING}
+    UNION ALL SELECT root_id, message_id, depth::INT, 'metadata.json', to_json({{'schema_version': 1, 'kind': 'embedded_message', 'subject': 'FW: ' || flag, 'time_filetime': NULL::BIGINT, 'attachments': records, 'attachments_not_extracted': lost, 'status': 'partial',
+      'status_reasons': CASE WHEN lost > 0 THEN ['other_properties_not_preserved', 'attachments_not_extracted'] ELSE ['other_properties_not_preserved'] END}})::VARCHAR FROM a WHERE depth <= {archive.NESTING}
+    UNION ALL SELECT root_id, message_id, depth::INT, 'metadata.json', to_json({{'schema_version': 1, 'kind': 'embedded_message', 'subject': 'FW: ' || flag, 'attachments_not_extracted': CASE WHEN k < most THEN 2 ELSE 1 END, 'status': 'partial', 'status_reasons': ['embedded_depth_capped']}})::VARCHAR FROM a WHERE depth > {archive.NESTING}""",
+    "inner_messages",
+)
+def embedded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written of messages within messages: documents and records to the depth of nesting, and one of what lies beyond."""
+    _, messages, attachments = mail.planned(spark, sf_dir)
+    return archive.embedded_files(messages, attachments.withColumn("content_id", F.lit(None).cast("string")))
+
+
 @query(
     """, st AS (SELECT message_id, CASE WHEN method IN (1, 5) AND size IS NOT NULL AND NOT (method = 1 AND size = 0) THEN 'e' WHEN method = 1 THEN 'f' ELSE 'n' END AS s FROM attachments),
     c AS (SELECT message_id, count(*) FILTER (s = 'e') AS e, count(*) FILTER (s = 'n') AS n, count(*) FILTER (s = 'f') AS f FROM st GROUP BY 1),
