@@ -292,7 +292,11 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR, bl
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
 
-        found.append(texts.mapInArrow(run, SCHEMA))
+        part = texts.mapInArrow(run, SCHEMA)
+        if blocks > 1:  # one block at a time: its result is written and its broadcast goes before the next
+            part = stash(part, "found")
+            held.destroy()
+        found.append(part)
     return reduce(DataFrame.union, found)
 
 

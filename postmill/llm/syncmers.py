@@ -1,12 +1,13 @@
 r"""Document fingerprints from closed syncmers, with DataFrame expressions only.
 
-A text is cut into tokens (runs of non-space characters, long runs into pieces of PIECE characters), each with a 64-bit
-hash. A window of K tokens is an anchor when the smallest of its token hashes (the inner substrings, one token long) stands
-at its first or last place. Whether a window is an anchor depends on its own tokens alone, so an edit changes only the
-anchors it touches, at least one of any K - 1 windows in a row is one, and equal passages have equal anchors wherever they
-stand. This holds for texts with spaces. Long runs are cut by position from their start, so inside a run without spaces (Chinese,
-Japanese, Thai, base64, minified text) a character put in front changes all later tokens of the run, and equal passages at
-different offsets modulo PIECE share no anchors. The fingerprint lists the anchors in order as position:hash (tokens, 8 hex digits), so that matches can be aligned.
+A text is cut into tokens, each with a 64-bit hash: runs of non-space characters, those of more than RUN characters (Chinese,
+Japanese, Thai, base64, minified text) into pieces by their content: a piece ends after a character whose hash together with the next
+one's is lower than that of its neighbours. A window of K tokens is an anchor when the smallest of its token hashes (the inner
+substrings, one token long) stands at its first or last place. Whether a window is an anchor depends on its own tokens alone,
+where a piece ends on four characters, so an edit changes only the anchors it touches, at least one of any K - 1 windows in a row
+is one, and equal passages have equal anchors wherever they stand, but for a piece at either end. A run of one character repeated
+has no such places and is one token. What an edit makes a run longer or shorter than RUN is cut anew as a whole.
+The fingerprint lists the anchors in order as position:hash (tokens, 8 hex digits), so that matches can be aligned.
 Likeness is the share of common anchor hashes: twice the common ones over the distinct ones of both.
 
 Defined results: a null text counts as empty and has an empty fingerprint; a text of fewer than K tokens has one anchor,
@@ -26,15 +27,36 @@ from pyspark.sql import functions as F
 from postmill.llm.common import table
 
 K = 5
-PIECE = 12
-TOKEN = r"[^\x20\x09-\x0D]{1,%d}" % PIECE
+#: Most characters of a run that is one token whatever its content.
+RUN = 32
+TOKEN = r"[^\x20\x09-\x0D]+"
 #: Documents of a stretch of ids, which is ordered in one task, and most stretches (their bounds are a literal of the plan).
 STRETCH, MOST_STRETCHES = 500, 10_000
 LOW = 0xFFFFFFFF
 
 
+def let(value: Column, then) -> Column:
+    """then(value), value being worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def piece_hashes(run: Column) -> Column:
+    """Hashes of the pieces of a run, cut where the hash of two characters is a local minimum."""
+
+    def pieces(chars, pairs):
+        inner = F.filter(F.sequence(F.lit(1), F.size(pairs) - 2), lambda i: (F.get(pairs, i) < F.get(pairs, i - 1)) & (F.get(pairs, i) < F.get(pairs, i + 1)))
+        starts = F.concat(F.array(F.lit(0)), F.transform(inner, lambda i: i + 1))
+        end = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(chars))
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.xxhash64(F.slice(chars, at + 1, end(s, k) - at))))
+
+    pair = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.xxhash64(F.get(c, i), F.get(c, i + 1)))
+    return let(F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0)), lambda c: let(pair(c), lambda p: pieces(c, p)))
+
+
 def token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    runs = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    long_too = F.flatten(F.transform(runs, lambda t: F.when(F.char_length(t) <= RUN, F.array(F.xxhash64(t))).otherwise(piece_hashes(t))))
+    return F.when(F.rlike(text, F.lit(rf"[^\x20\x09-\x0D]{{{RUN + 1}}}")), long_too).otherwise(F.transform(runs, lambda t: F.xxhash64(t)))
 
 
 def anchors(hashes: Column, k: int = K) -> Column:

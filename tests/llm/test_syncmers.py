@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -12,9 +13,25 @@ def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
 
+def chained_text(chars):
+    seed = 42
+    for c in chars:
+        seed = xxhash.xxh64_intdigest(c.encode(), seed)
+    return signed(seed)
+
+
+def token_by_hand(run):
+    """Hashes of a run's pieces: itself, or cut where two characters' hash is below both neighbours'."""
+    if len(run) <= syncmers.RUN:
+        return [chained_text([run])]
+    pairs = [chained_text(run[i : i + 2]) for i in range(len(run) - 1)]
+    starts = [0, *(i + 1 for i in range(1, len(pairs) - 1) if pairs[i] < pairs[i - 1] and pairs[i] < pairs[i + 1])]
+    return [chained_text(run[a:b]) for a, b in zip(starts, [*starts[1:], len(run)], strict=True)]
+
+
 def anchors_by_hand(text, k=syncmers.K):
     """(position, 32 bits of hash) of the windows whose smallest token hash is their first or last."""
-    h = [signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in re.findall(r"[^\x20\x09-\x0D]{1,12}", text or "")]
+    h = [x for t in re.findall(r"[^\x20\x09-\x0D]+", text or "") for x in token_by_hand(t)]
 
     def chained(values):
         seed = 42
@@ -71,6 +88,17 @@ def test_anchors_keep_within_reach_of_an_edit(spark):
     assert max(y - x for x, y in zip(places, places[1:], strict=False)) <= syncmers.K - 1
 
 
+def test_passages_move_inside_a_run_without_spaces(spark, tmp_path):
+    rng = random.Random(8)
+    run = "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(900))
+    texts = [(1, run), (2, "字" + run), (3, run[300:600] + run), (4, run[100:400]), (5, "".join(rng.choice("ab") for _ in range(5000)))]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    prints = {r.doc_id: {x.split(":")[1] for x in r.fingerprint.split()} for r in syncmers.op10_fingerprints(spark, str(tmp_path)).collect()}
+    assert prints[1] == {f"{h:08x}" for _, h in anchors_by_hand(run)} and len(prints[1]) > 60
+    assert len(prints[1] & prints[2]) >= len(prints[1]) - 2 and len(prints[1] - prints[3]) <= 2
+    assert len(prints[4] - prints[1]) <= 4 and len(prints[4] & prints[1]) >= len(prints[4]) - 4
+
+
 def test_query(spark, sf_dir):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = {r[0]: r for r in expected(texts)}
