@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import codecs
-import struct
 import zlib
 
 import pandas as pd
@@ -171,21 +170,30 @@ def property_entries(data: Column, header: Column) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), entry)).otherwise(F.array().cast("array<struct<property_type:int,property_id:int,flags:bigint,tail:binary>>"))
 
 
-#: struct format of the fixed-length types. Fixed values.
-FORMATS = {2: "<h", 3: "<i", 4: "<f", 5: "<d", 6: "<q", 7: "<d", 10: "<I", 11: "<?", 20: "<q", 64: "<q"}
+def signed(hexa: Column, bits: int) -> Column:
+    """Whole number of a big-endian hex text, two's complement."""
+    n = F.conv(hexa, 16, -10).cast("long")
+    return n if bits == 64 else F.when(n >= 1 << (bits - 1), n - (1 << bits)).otherwise(n)
 
 
-@F.pandas_udf(T.StructType([T.StructField("as_long", T.LongType()), T.StructField("as_double", T.DoubleType())]))
-def fixed_value(kind: pd.Series, tail: pd.Series) -> pd.DataFrame:
-    """The value of a fixed-length property from its 8 bytes: integers, times, errors and truth values as long, others as double."""
-    longs, doubles = [], []
-    for k, t in zip(kind, tail, strict=True):
-        f = FORMATS.get(k)
-        v = None if f is None or t is None or len(t) != 8 else struct.unpack_from(f, t)[0]
-        real = k in (4, 5, 7)
-        longs.append(None if v is None or real else int(v))
-        doubles.append(v if real else None)
-    return pd.DataFrame({"as_long": pd.array(longs, dtype="Int64"), "as_double": doubles})
+def real(bits: Column, fraction: int, exponent: int) -> Column:
+    """Double that the bits of an IEEE number stand for, given the sizes of its fraction and its exponent."""
+    bias, top = (1 << (exponent - 1)) - 1, (1 << exponent) - 1
+    e = F.shiftright(bits, fraction).bitwiseAND(F.lit(top))
+    m = bits.bitwiseAND(F.lit((1 << fraction) - 1)).cast("double") / float(1 << fraction)
+    sign = F.when(F.shiftright(bits, fraction + exponent).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
+    finite = F.when(e == 0, m * F.pow(F.lit(2.0), F.lit(float(1 - bias)))).otherwise((m + 1.0) * F.pow(F.lit(2.0), (e - bias).cast("double")))
+    return F.when(e < top, sign * finite).when(m == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+
+
+def fixed_value(kind: Column, tail: Column) -> Column:
+    """The value of a fixed-length property from its 8 bytes as struct(as_long, as_double): integers, times, errors and truth values
+    as long, others as double; null for other types and other lengths."""
+    big = lambda n: F.array_join(F.reverse(F.split(F.hex(F.substring(tail, 1, n)), "(?<=\\G..)(?!$)")), "")
+    as_long = F.when(kind == 2, signed(big(2), 16)).when(kind == 3, signed(big(4), 32)).when(kind == 10, F.conv(big(4), 16, 10).cast("long")).when(kind == 11, (big(1) != "00").cast("long")).when(kind.isin(6, 20, 64), signed(big(8), 64))
+    as_double = F.when(kind == 4, real(F.conv(big(4), 16, 10).cast("long"), 23, 8)).when(kind.isin(5, 7), real(signed(big(8), 64), 52, 11))
+    whole = F.octet_length(tail) == 8
+    return F.struct(F.when(whole, as_long).alias("as_long"), F.when(whole, as_double).alias("as_double"))
 
 
 def valid_boolean(tail: Column) -> Column:
@@ -273,17 +281,24 @@ def decoded(data: pd.Series, page: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "replaced", "status"]).astype({"replaced": "Int32"})
 
 
-@F.pandas_udf(T.StringType())
-def utf16_text(data: pd.Series) -> pd.Series:
-    """UTF-16LE bytes as text; an odd last byte is dropped, a lone surrogate gives null."""
+def utf16_text(data: Column) -> Column:
+    """UTF-16LE bytes as text; an odd last byte is dropped, a surrogate that lacks its other half gives null."""
+    even = F.substr(data, F.lit(1), F.octet_length(data) - F.octet_length(data) % 2)
+    sound = has(F.hex(even), "^(?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])*+$")
+    return F.when(sound, F.decode(F.when(sound, even), "UTF-16LE"))
+
+
+def string_at(data: Column, offset: Column) -> Column:
+    """Text at an offset (from 0) of a stream of strings, each four bytes of its length in bytes and then UTF-16LE; null where the stream
+    ends before it, where the length is odd, or where it is no text."""
+    size = little_endian(data, (offset + 1).cast("int"), 4)
+    inside = (offset + 4 <= F.octet_length(data)) & (offset + 4 + size <= F.octet_length(data)) & (size % 2 == 0)
+    return F.when(inside, utf16_text(F.substr(data, (offset + 5).cast("int"), F.when(inside, size).otherwise(0).cast("int"))))
 
-    def one(d):
-        try:
-            return bytes(d[: len(d) // 2 * 2]).decode("utf-16-le")
-        except UnicodeDecodeError:
-            return None
 
-    return data.map(one, na_action="ignore")
+def little(value: Column, size: int) -> Column:
+    """Hex of a whole number, not negative, in so many bytes, least significant first."""
+    return F.array_join(F.reverse(F.split(F.lpad(F.hex(value.cast("long")), 2 * size, "0"), "(?<=\\G..)(?!$)")), "")
 
 
 def is_hidden_directory_address(kind: Column, smtp: Column) -> Column:

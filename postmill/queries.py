@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import codes, markup, names, texts
-from postmill.operators import archive, census, compare, export, links, payloads, sink
+from postmill.operators import archive, census, compare, export, links, payloads, sink, structure
 from postmill.operators.numbering import positions
+from postmill.operators.report import lines
 from postmill.plans import planner
 from postmill.sources import mail
 from postmill.sources.mail import sql
@@ -170,6 +171,37 @@ def structural_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census.gates(mail.entries(spark, sf_dir), mail.properties(spark, sf_dir))
 
 
+STORED_SQL = f"""WITH b AS (SELECT l_orderkey AS file, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, l_quantity::BIGINT % 10 AS q, ({mail._list(mail.STORED_TYPES)})[l_partkey % {len(mail.STORED_TYPES)} + 1] AS kind, l_linenumber % 3 = 0 AND l_partkey % {len(mail.STORED_TYPES)} <> 11 AS named,
+      l_linenumber < 5 AS outer_, length('Part ' || l_partkey::VARCHAR) AS n FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1),
+    rr AS (SELECT *, NOT (outer_ AND (file % 29 = 1 OR file % 37 = 3)) AS readable FROM b), g AS (SELECT file, outer_, count(*) AS n FROM b GROUP BY 1, 2), v AS (SELECT * FROM rr WHERE readable),
+    s AS (SELECT count(*) FILTER (outer_ AND file % 29 = 1) AS short, count(*) FILTER (outer_ AND file % 23 = 0 AND file % 29 <> 1 AND file % 37 <> 3) AS left_over, count(*) FILTER (outer_ AND file % 29 <> 1 AND file % 37 = 3) AS unread FROM g),
+    h AS (SELECT *, kind IN (31, 30, 72, 258) AS holds, kind IN (31, 30, 72, 258) AND q <> 0 AS found FROM v), t AS (SELECT *, found AND supp % 6 = 0 AS differs, file % 4 = 1 AS foreign_ FROM h),
+    x AS (SELECT *, CASE WHEN found AND kind = 31 AND q = 2 THEN NULL WHEN found AND kind = 31 THEN n + 3 WHEN found AND kind = 30 AND q = 4 THEN n WHEN found AND kind = 30 AND NOT foreign_ AND q = 3 THEN n + 3 WHEN found AND kind = 30 AND NOT foreign_ THEN n + 2 END AS chars,
+      1 + (file + line) % 5 AS guid, (file + line) % 2 = 1 AS is_string FROM t)"""
+
+
+@query(
+    STORED_SQL + ", " + lines_sql(
+        f"""SELECT (SELECT short FROM s) AS properties_stream_too_short_for_header_total, (SELECT left_over FROM s) AS properties_stream_trailing_bytes_total, (SELECT count(DISTINCT file) FROM b WHERE file % 31 = 2) AS properties_stream_unexpected_scope_total, (SELECT unread FROM s) AS properties_stream_read_errors,
+        count(*) FILTER (kind = 13 AND NOT outer_ AND supp % 9 = 0) AS attach_data_object_size_sentinel_mismatches,
+        count(*) FILTER (kind = 13 AND NOT outer_ AND supp % 2 = 1) - (SELECT count(*) FROM b WHERE kind = 13 AND NOT outer_ AND supp % 4 = 1) AS attach_data_object_reserved_vs_embedded_object_storage_gap,
+        count(*) FILTER (kind = 13 AND NOT outer_ AND supp % 2 = 0) - (SELECT count(*) FROM b WHERE kind = 13 AND NOT outer_ AND supp % 4 <> 1) AS attach_data_object_reserved_vs_custom_object_storage_gap,
+        count(*) FILTER (kind = 11 AND supp % 5 = 0) AS fixed_boolean_invalid_encoding_total, count(*) FILTER ((kind = 4 AND supp % 7 = 0) OR (kind = 5 AND supp % 7 = 1)) AS fixed_float_non_finite_total, count(*) FILTER (holds AND q = 0) AS variable_value_stream_missing_total,
+        count(*) FILTER (differs) AS variable_value_size_mismatch_total, count(*) FILTER (found AND kind = 31 AND q = 1) AS variable_value_odd_utf16_length_total, count(*) FILTER (found AND kind = 31 AND q = 2) AS variable_unicode_decode_errors_total,
+        2 * count(*) FILTER (found AND kind = 30 AND q = 3 AND NOT foreign_) AS variable_string8_undefined_byte_total, count(*) FILTER (found AND kind = 30 AND q <> 4 AND foreign_) AS variable_string8_unsupported_codepage_total,
+        count(*) FILTER (found AND kind = 72 AND q = 5) AS variable_clsid_wrong_length_total, count(*) FILTER (named AND guid = 5) AS named_properties_guid_out_of_range_total, count(*) FILTER (named AND is_string AND line = 3 AND file % 19 = 0) AS named_properties_string_decode_errors_total,
+        count(*) FILTER (named AND line = 6 AND file % 17 = 0) AS named_properties_index_mismatch_total, count(*) AS entries_read,
+        sum(CASE kind WHEN 2 THEN CASE WHEN supp % 65536 >= 32768 THEN supp % 65536 - 65536 ELSE supp % 65536 END WHEN 3 THEN part WHEN 20 THEN file * 1000003 WHEN 64 THEN file * 1000003 END)::BIGINT AS whole_numbers,
+        sum(CASE WHEN kind = 4 AND supp % 7 <> 0 THEN 6 WHEN kind = 5 AND supp % 7 <> 1 THEN -9 END)::BIGINT AS halves, sum(chars)::BIGINT AS text_characters, count(*) FILTER (found AND kind = 30 AND q = 4 AND foreign_) AS variable_string8_ascii_under_unsupported_codepage_total,
+        sum(CASE WHEN named AND is_string AND NOT (line = 3 AND file % 19 = 0) THEN 6 END)::BIGINT AS named_characters FROM x""",
+        *structure.GATES, "entries_read", "whole_numbers", "halves", "text_characters", "variable_string8_ascii_under_unsupported_codepage_total", "named_characters",
+    ).replace("u.value FROM", "u.value, u.value = 0 AS holds FROM")
+)
+def container_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers checked from their bytes: what must be 0 in sound ones, and sums of what was decoded."""
+    return lines(structure.checks(*mail.containers(spark, sf_dir))).withColumn("holds", F.col("value") == 0)
+
+
 SOURCE_SQL = """SELECT * FROM (SELECT count(*) AS messages, count(*) FILTER (coalesce(delivery_ft, submit_ft) IS NULL) AS without_time, count(*) FILTER (delivery_ft IS NULL AND submit_ft IS NOT NULL) AS from_submit, count(*) FILTER (internet_message_id IS NULL) AS without_id FROM messages),
         (SELECT count(*) AS folders, max(depth) AS deepest, count(*) FILTER (parent_id IS NULL) AS roots FROM folders),
         (SELECT count(*) AS attachments, count(*) FILTER (method = 1) AS by_value, count(*) FILTER (method = 5) AS embedded, count(*) FILTER (coalesce(long_name, short_name) IS NULL) AS nameless FROM attachments)"""
@@ -1030,8 +1062,6 @@ def _part_sql(at: int, source: str, keys: tuple[str, ...]) -> str:
 )
 def dry_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything an export would do, counted and not written: the source, the plan, its gates, what stands at the target."""
-    from postmill.operators.report import lines
-
     m, f, a = mail.messages(spark, sf_dir), mail.folders(spark, sf_dir), mail.attachments(spark, sf_dir)
     gates = planned_with_gates(spark, sf_dir)[1]
     preflight_ = compare.decision(compare.preflight(mail.manifest(spark, sf_dir), mail.target(spark, sf_dir))).drop("decision")

@@ -59,8 +59,33 @@ def test_decoded(spark, page, data, text, replaced):
 
 
 def test_utf16(spark):
-    data = ["aé".encode("utf-16-le") + b"x", b"\x00\xd8", b"", None]
-    assert [r[0] for r in spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, d binary").orderBy("i").select(codes.utf16_text("d")).collect()] == ["aé", None, "", None]
+    data = ["aé".encode("utf-16-le") + b"x", b"\x00\xd8", b"", None, "x\U0001f600y".encode("utf-16-le"), b"\x00\xdc\x41\x00", b"\x00\xd8\x00\xd8\x00\xdc", "\uffff\ue000\ud7ff".encode("utf-16-le"), "long ü".encode("utf-16-le") * 9000]
+    want = ["aé", None, "", None, "x\U0001f600y", None, None, "\uffff\ue000\ud7ff", "long ü" * 9000]
+    assert [r[0] for r in spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, d binary").orderBy("i").select(codes.utf16_text(F.col("d"))).collect()] == want
+
+
+def test_fixed_values(spark):
+    import math
+    import struct
+
+    cases = [(2, struct.pack("<h6x", v), v) for v in (0, 1, -1, -32768, 32767)] + [(3, struct.pack("<i4x", v), v) for v in (0, -5, 2**31 - 1, -(2**31))] + [(10, struct.pack("<I4x", v), v) for v in (0, 2**32 - 1)]
+    cases += [(t, struct.pack("<q", v), v) for t in (6, 20, 64) for v in (0, -1, 2**63 - 1, -(2**63), 133000000000000000)] + [(11, bytes([v]) + b"\0" * 7, int(v > 0)) for v in (0, 1, 2)]
+    reals = (0.0, 1.5, -2.25, 1e-310, 5e-324, 1.7976931348623157e308, -0.1, math.inf, -math.inf, math.nan, math.pi)
+    cases += [(t, struct.pack("<d", v), v) for t in (5, 7) for v in reals] + [(4, struct.pack("<f4x", v), struct.unpack("<f", struct.pack("<f", v))[0]) for v in (0.0, 1.5, -2.25, 1e-40, 3.4e38, math.inf, math.nan, 0.1)]
+    cases += [(31, b"\0" * 8, None), (3, b"abc", None), (3, None, None), (None, b"\0" * 8, None)]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t, _) in enumerate(cases)], "i int, k int, t binary")
+    for r in df.select("i", codes.fixed_value(F.col("k"), F.col("t")).alias("v")).collect():
+        kind, want, got = cases[r.i][0], cases[r.i][2], r.v.as_double if cases[r.i][0] in (4, 5, 7) else r.v.as_long
+        assert got == want or isinstance(want, float) and math.isnan(want) and math.isnan(got), (kind, want, got)
+        assert r.v.as_long is None or r.v.as_double is None
+
+
+def test_strings_at_offsets(spark):
+    one = lambda t: len(t.encode("utf-16-le")).to_bytes(4, "little") + t.encode("utf-16-le")
+    data = one("aé") + one("\U0001f600") + b"\x03\0\0\0abc" + one("") + b"\x02\0\0\0\0\xd8" + b"\xff\xff\xff\xff" + b"\x08\0\0\0x\0"
+    offsets = {0: "aé", 8: "\U0001f600", 16: None, 23: "", 27: None, 33: None, 37: None, 100: None, 40: None, 41: None, 2: None}
+    rows = spark.createDataFrame([(data, k) for k in offsets] + [(None, 0)], "d binary, k long").select("k", "d", codes.string_at(F.col("d"), F.col("k")).alias("t")).collect()
+    assert {r.k: r.t for r in rows if r.d is not None} == offsets and [r.t for r in rows if r.d is None] == [None]
 
 
 def test_property_entries(spark):
@@ -68,7 +93,7 @@ def test_property_entries(spark):
 
     entry = struct.pack("<HHIq", 64, 0x0E06, 6, 133000000000000000) + struct.pack("<HHIi4x", 3, 0x3705, 6, -5)
     df = spark.createDataFrame([(b"\0" * 32 + entry + b"rest",), (b"",)], "d binary")
-    found = df.select(F.explode(codes.property_entries(F.col("d"), F.lit(32))).alias("e")).select("e.*", codes.fixed_value("e.property_type", "e.tail").alias("v")).collect()
+    found = df.select(F.explode(codes.property_entries(F.col("d"), F.lit(32))).alias("e")).select("e.*", codes.fixed_value(F.col("e.property_type"), F.col("e.tail")).alias("v")).collect()
     assert [(r.property_type, r.property_id, r.flags, r.v.as_long) for r in found] == [(64, 0x0E06, 6, 133000000000000000), (3, 0x3705, 6, -5)]
 
 
