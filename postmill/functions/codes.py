@@ -5,11 +5,11 @@ from __future__ import annotations
 import codecs
 import zlib
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.functions.contained import contained
 from postmill.functions.names import has, upper_ascii
 
 #: Attachment methods 0 to 6 and recipient types. Fixed values.
@@ -254,31 +254,28 @@ def password_checksum(password: bytes) -> int:
     return zlib.crc32(password, 0xFFFFFFFF) ^ 0xFFFFFFFF
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("replaced", T.IntegerType()), T.StructField("status", T.StringType())]))
-def decoded(data: pd.Series, page: pd.Series) -> pd.DataFrame:
+def decode_counted(data: bytes, page: int) -> tuple[str | None, int, str]:
     """Bytes under a code page: text, how many bytes had no meaning, and text, ascii (page unknown, bytes plain) or unsupported."""
     lost = 0
 
     def count(e: UnicodeError):
         nonlocal lost
         lost += e.end - e.start
-        return "�", e.end
+        return "\uFFFD", e.end
 
     codecs.register_error("postmill-count", count)
-    rows = []
-    for d, p in zip(data, page, strict=True):
-        lost = 0
-        codec = None if p is None or pd.isna(p) else CODECS.get(int(p))
-        if d is None:
-            rows.append((None, None, None))
-        elif codec:
-            text = bytes(d).decode(codec, "postmill-count")
-            rows.append((text, lost, "text"))
-        elif bytes(d).isascii():
-            rows.append((bytes(d).decode("ascii"), 0, "ascii"))
-        else:
-            rows.append((None, 0, "unsupported"))
-    return pd.DataFrame(rows, columns=["text", "replaced", "status"]).astype({"replaced": "Int32"})
+    codec = CODECS.get(int(page))
+    if codec:
+        return bytes(data).decode(codec, "postmill-count"), lost, "text"
+    return (bytes(data).decode("ascii"), 0, "ascii") if bytes(data).isascii() else (None, 0, "unsupported")
+
+
+_decoded = contained(decode_counted, {"text": T.StringType(), "replaced": T.IntegerType(), "status": T.StringType()})
+
+
+def decoded(data: Column, page: Column) -> Column:
+    """struct(text, replaced, status, failed) of bytes under a code page; an unknown page, null too, knows plain ASCII only."""
+    return _decoded(data, F.coalesce(page, F.lit(-1)))
 
 
 def utf16_text(data: Column) -> Column:

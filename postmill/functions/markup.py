@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.functions import texts
+from postmill.functions.contained import contained
 from postmill.functions.names import WHITE, has, lower_ascii
 
 NAME_END = r"(?![A-Za-z0-9:_.\-])"
@@ -168,14 +168,12 @@ def unwrapped(text: str) -> str:
     return re.sub(r"\\([!-/:-@\[-`{-~])|\\\n", lambda m: m[1] or " ", "".join(out))
 
 
-@F.pandas_udf(T.StringType())
-def without_links(s: pd.Series) -> pd.Series:
-    return s.map(unwrapped, na_action="ignore")
+without_links = contained(lambda text: (unwrapped(text),), {"text": T.StringType()})
 
 
 def markdown_text(md: Column) -> Column:
     """Markdown as its text."""
-    return F.when(has(md, r"\]\(|\\"), without_links(md)).otherwise(md)
+    return F.when(has(md, r"\]\(|\\"), without_links(md)["text"]).otherwise(md)
 
 
 def markdown_words(md: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.functions.contained import contained
 from postmill.functions.names import WHITE, has, lower_ascii, upper_ascii
 
 #: Fixed values.
@@ -174,9 +175,7 @@ def align(a: list[str], b: list[str], reach: int = 64) -> tuple[int, int, int]:
     return compared(a, b, reach)[:3]
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("matched", "missing", "extra", "unresynced")]))
-def word_alignment(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([compared(list(a), list(b)) if a is not None and b is not None else (None,) * 4 for a, b in zip(left, right, strict=True)], columns=["matched", "missing", "extra", "unresynced"]).astype("Int32")
+word_alignment = contained(lambda a, b: compared(list(a), list(b)), {n: T.IntegerType() for n in ("matched", "missing", "extra", "unresynced")})
 
 
 PADDING_RUN = r"[\x{034F}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF} \x{A0}]*(?:[\x{034F}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}][ \x{A0}]*){8}[\x{034F}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF} \x{A0}]*"

@@ -28,3 +28,11 @@ def archive_files(entries: DataFrame, folders: DataFrame, documents: DataFrame,
         held = payloads.select(F.col("message_id").alias("of"), F.col("position").alias("at"), F.col("content").cast("binary").alias("content"))
         out = out.unionByName(at.where("kind = 'attachment'").join(held, (F.col("parent") == F.col("of")) & (F.col("source_id") == F.col("at"))).select(F.col("path").alias("rel"), "content"))
     return out
+
+
+def lacking(entries: DataFrame, folders: DataFrame, documents: DataFrame) -> DataFrame:
+    """(folders, messages): how many planned folders have no record, and planned messages, embedded ones above the cap too, no document.
+    An archive with any would lack what its plan promises."""
+    whole = entries.where(~F.array_contains("flags", "depth_capped"))
+    count = lambda rows, key, name, *kinds: whole.where(F.col("kind").isin(*kinds)).join(rows.select(F.col(key).alias("source_id")), "source_id", "left_anti").agg(F.count("*").alias(name))
+    return count(folders, "folder_id", "folders", "folder").crossJoin(count(documents, "message_id", "messages", "message", "embedded_message"))  # one row each

@@ -24,7 +24,7 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators import compare, payloads
@@ -169,7 +169,7 @@ def clean(store: Store, number: int, part: str) -> None:
 
 def export(files: DataFrame, root: str, source: str, consent: bool = False, over_budget: bool = False, on: Callable[[str], None] = lambda step: None) -> dict:
     """Write files as the archive of source at root: (rel, content), or (rel, chunk, data) for those of any size. Returns the
-    preflight's counts and the tree's hash.
+    preflight's counts, the tree's hash, and the bytes and chunks that were written.
 
     Raises Refused for a target of somebody else, of another source, one that would change without consent, a plan over budget, two
     files of one path, or a run beside this one. The files are computed once. Where they equal what the archive holds, the log stays
@@ -190,7 +190,9 @@ def export(files: DataFrame, root: str, source: str, consent: bool = False, over
     done = False
     try:
         cut = files if "chunk" in files.columns else payloads.chunks(files, "content", "rel")
-        cut.select("rel", "chunk", "data").write.parquet(f"{root}/{part}")
+        seen = Observation()  # counted by the tasks that write, so that it costs no second pass
+        measured = cut.select("rel", "chunk", "data").observe(seen, F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes"), F.count("*").alias("chunks"))
+        measured.write.parquet(f"{root}/{part}")
         on("written")
         written = spark.read.parquet(f"{root}/{part}")
         sizes = payloads.digests(written, "rel")
@@ -201,7 +203,7 @@ def export(files: DataFrame, root: str, source: str, consent: bool = False, over
         counts = compare.decision(compare.preflight(planned, before.withColumn("is_file", F.lit(True))), consent, found).first().asDict()
         if counts["decision"] != "go":
             raise Refused(counts["decision"])
-        tree = compare.tree_hash(planned).first().asDict()
+        tree = compare.tree_hash(planned).first().asDict() | seen.get
         if base and not counts["create"] + counts["replace"] + counts["unknown"]:
             return counts | {"written": False, **tree}
         on("checked")

@@ -56,7 +56,7 @@ def directory_limit(parent_units: Column, tail: Column, policy: Policy = Policy(
 
 
 def natural_names(folders: DataFrame, messages: DataFrame, attachments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The entities with `natural`, struct(name, flags): the names they would have with all the room there is."""
+    """The entities with `natural`, struct(name, flags, key): the names they would have with all the room there is, and what they collide by."""
     f = names.cleaned(folders, "name", "(unnamed folder)", "natural")
     m = names.cleaned(messages.withColumn("_raw", F.coalesce("subject", F.lit(""))), "_raw", "(no subject)", "natural").drop("_raw")
     raw = attachments.withColumn("_raw", F.coalesce(attachment_name(F.col("long_name"), F.col("short_name"), F.col("ord")), F.lit("")))
@@ -66,7 +66,8 @@ def natural_names(folders: DataFrame, messages: DataFrame, attachments: DataFram
         F.when(special, F.concat(F.lit("_"), "natural.name")).otherwise(F.col("natural.name")).alias("name"),
         F.when(special, F.concat("natural.flags", F.array(F.lit("special_name_protected")))).otherwise(F.col("natural.flags")).alias("flags"),
     )
-    return f, m, a.withColumn("natural", kept).drop("_raw")
+    keyed = lambda df: df.withColumn("natural", F.col("natural").withField("key", names.collision_key(F.col("natural.name"))))
+    return keyed(f), keyed(m), keyed(a.withColumn("natural", kept).drop("_raw"))
 
 
 def nestings(messages: DataFrame, attachments: DataFrame, most: int) -> list[DataFrame]:
@@ -137,7 +138,7 @@ def folder_tails(folders: DataFrame, messages: DataFrame, tails: DataFrame) -> D
 def numbered(items: DataFrame, reserved: list[str]) -> DataFrame:
     """(parent, id, stem, ext, kind_rank, time, ord) with final name and number: the first of equal names stays bare, others get
     the next number whose name is free. Reserved names count as a first member. A group's numbers are as wide as its largest."""
-    keyed = items.withColumn("key", names.collision_key(F.concat("stem", "ext")))
+    keyed = items if "key" in items.columns else items.withColumn("key", names.collision_key(F.concat("stem", "ext")))
     group = W.partitionBy("parent", "key")
     phantom = F.col("key").isin([r.lower() for r in reserved]).cast("int")
     place = F.row_number().over(group.orderBy("kind_rank", F.col("time").asc_nulls_last(), "ord", "id")) + phantom
@@ -145,17 +146,17 @@ def numbered(items: DataFrame, reserved: list[str]) -> DataFrame:
     # A name that looks like another group's numbered name may take a number from it.
     looks = ranked.select("parent", F.regexp_replace("key", NUMBER, "$1").alias("base"), F.col("key").alias("held")).where("base <> held").distinct()
     claims = looks.groupBy("parent", F.col("base").alias("key")).agg(F.count("*").alias("claims"))
-    contested = stash(claims.join(ranked.where("size > 1").select("parent", "key", "size").distinct(), ["parent", "key"]), "contested")
+    contested = claims.join(ranked.where("size > 1").select("parent", "key", "size").distinct(), ["parent", "key"])
     if contested.isEmpty():
         given = ranked.withColumn("given", F.lit(None).cast("long")).withColumn("width", F.lit(None).cast("int"))
     else:
-        given = ranked.join(contested_numbers(ranked, contested), ["parent", "id", "kind_rank"], "left")
+        given = ranked.join(contested_numbers(ranked, stash(contested, "contested")), ["parent", "id", "kind_rank"], "left")
     number = F.coalesce("given", F.when(F.col("place") > 1, F.col("place")))
     width = F.coalesce("width", names.suffix_width(F.col("size")))
     final = F.concat(F.regexp_replace("stem", " +$", ""), names.suffix(F.col("number"), width), F.col("ext"))
     out = given.withColumn("number", number)
     has = F.col("number").isNotNull()
-    return out.select(*items.columns, "key", F.when(has, final).otherwise(F.concat("stem", "ext")).alias("final"), "number", F.when(has, width + 3).otherwise(0).alias("suffix_units"))
+    return out.select(*(c for c in items.columns if c != "key"), "key", F.when(has, final).otherwise(F.concat("stem", "ext")).alias("final"), "number", F.when(has, width + 3).otherwise(0).alias("suffix_units"))
 
 
 #: The number of a numbered name's key, in front of its extension.
@@ -184,16 +185,18 @@ def assigned(items: DataFrame, reserved: list[str]) -> DataFrame:
     """Items (parent, id, kind_rank, is_file, natural, time, ord, most, floor) with their final names and flags: shortened, then numbered.
     Where a directory needs wider numbers than were kept free, its names are shortened a little more."""
 
+    name, is_file = F.col("natural.name"), F.col("is_file")
+    rows = items.withColumn("whole", F.when(is_file, names.stem(name)).otherwise(name)).withColumn("ext", F.when(is_file, names.extension(name)).otherwise(""))
+    rows = stash(rows.withColumn("reserve", F.lit(RESERVE)), "items")
+
     def attempt(rows: DataFrame) -> DataFrame:
-        name = F.col("natural.name")
-        is_file = F.col("is_file")
-        stem, ext = F.when(is_file, names.stem(name)).otherwise(name), F.when(is_file, names.extension(name)).otherwise("")
-        s = rows.withColumn("whole", stem).withColumn("ext", ext)
         most = F.greatest(F.col("most") - F.col("reserve") - names.units(F.col("ext")), F.least(F.col("floor"), names.units(F.col("whole"))))
-        s = s.withColumn("stem", names.shortened(F.col("whole"), most))
-        return numbered(s, reserved)
+        sized = rows.withColumn("room", most)
+        fits = names.units(F.col("whole")) <= F.col("room")  # nearly all: they keep their names, and the keys made once
+        kept = sized.where(fits).withColumn("stem", F.col("whole")).withColumn("key", F.col("natural.key"))
+        cut = sized.where(~fits).withColumn("stem", names.shortened(F.col("whole"), F.col("room")))
+        return numbered(kept.unionByName(cut.withColumn("key", names.collision_key(F.concat("stem", "ext")))), reserved)
 
-    rows = items.withColumn("reserve", F.lit(RESERVE))
     out = attempt(rows)
     wide = out.groupBy("parent").agg(F.max("suffix_units").alias("need")).where(F.col("need") > RESERVE)
     if not wide.isEmpty():

@@ -12,6 +12,7 @@ from postmill.operators.report import lines
 from postmill.plans import planner
 from postmill.sources import mail
 from postmill.sources.mail import sql
+from postmill.sources.scratch import stash
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -900,6 +901,23 @@ def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.manifest_of(export.archive_files(planner.plan(f, m, a), archive.folder_record(f, whole), documents))
 
 
+def write_archive(spark: SparkSession, sf_dir: str, root: str, consent: bool = False) -> dict:
+    """Write the whole archive of some tables to root: folders, messages with their records and originals, embedded messages. A plan that
+    promises what nothing is written for is refused before anything is."""
+    f, m, a = mail.planned(spark, sf_dir)
+    whole, people, named, bodies = mail.messages(spark, sf_dir), mail.senders(spark, sf_dir), mail.recipients(spark, sf_dir), mail.bodies(spark, sf_dir)
+    entries, folders = planner.plan(f, m, a), archive.folder_record(f, whole)
+    documents = stash(archive.message_markdown(whole, people, named, archive.shown_bodies(bodies), "left"), "documents")
+    inner = stash(archive.embedded_files(m, a.withColumn("content_id", F.lit(None).cast("string"))), "embedded")
+    lost = export.lacking(entries, folders, documents.select("message_id").unionByName(inner.where("name = 'message.md'").select("message_id"))).first()
+    if lost.folders or lost.messages:
+        raise sink.Refused("refused_archive_incomplete")
+    records = archive.message_metadata(whole, people, named, bodies, archive.staged(mail.attachments(spark, sf_dir)))
+    kept = bodies.select("message_id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("content")) for n, c in (("body.html", "native_html"), ("body.txt", "plain_text"))))).alias("k")).select("message_id", "k.*").where("content <> ''")
+    files = export.archive_files(entries, folders, documents, records, kept.unionByName(inner.select("message_id", "name", "content")))
+    return sink.export(files, root, sf_dir, consent, not entries.where(planner.over_budget(entries)).isEmpty())
+
+
 def _four_sql(p: str) -> str:
     return "{" + ", ".join(f"'{c}': {p}{c}" for c in archive.FOUR) + "}"
 

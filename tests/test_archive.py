@@ -252,3 +252,20 @@ def test_command_line(spark, sf_dir, capsys):
 def test_pretty_json(spark):
     got = spark.createDataFrame([('{"b":1,"a":["é"]}',)], "j string").select(texts.pretty("j").alias("p")).first().p
     assert got == json.dumps({"b": 1, "a": ["é"]}, indent=2, ensure_ascii=False) + "\n"
+
+
+def test_the_command_line_writes_an_archive(spark, sf_dir, tmp_path, capsys):
+    root = f"{tmp_path}/out"
+    assert main(["export", sf_dir, "--to", root]) == 0
+    told = dict(line.split("=", 1) for line in capsys.readouterr().out.splitlines() if "=" in line)
+    assert told["written"] == "True" and int(told["create"]) == int(told["files"]) > 1500 and int(told["bytes"]) > 100_000
+    names = {r.rel.rsplit("/", 1)[1] for r in sink.read(spark, root).select("rel").collect()}
+    assert {"folder.json", "message.md", "metadata.json", "body.html", "body.txt"} <= names
+    assert main(["export", sf_dir, "--to", root]) == 0 and "written=False" in capsys.readouterr().out
+    assert main(["export", "/nowhere", "--to", root]) == 2
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "x").write_text("x")
+    assert main(["export", sf_dir, "--to", f"{tmp_path}/mine"]) == 1 and "refused=refused_target_not_owned" in capsys.readouterr().err
+    for wrong in (["export", sf_dir], ["inventory", sf_dir, "--to", root], ["export", sf_dir, "--consent"]):
+        with pytest.raises(SystemExit):
+            main(wrong)

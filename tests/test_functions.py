@@ -54,7 +54,7 @@ def test_filetimes(spark):
 
 @pytest.mark.parametrize("page,data,text,replaced", [(1252, b"caf\xe9 \x81", "café �", 1), (932, "日本".encode("cp932"), "日本", 0), (65001, b"a\xff\xfeb", "a��b", 2), (99999, b"plain", "plain", 0), (99999, b"\xff", None, 0)])
 def test_decoded(spark, page, data, text, replaced):
-    r = spark.createDataFrame([(data, page)], "d binary, p int").select(codes.decoded("d", "p").alias("x")).first().x
+    r = spark.createDataFrame([(data, page)], "d binary, p int").select(codes.decoded(F.col("d"), F.col("p")).alias("x")).first().x
     assert r.text == text and r.replaced == replaced
 
 
@@ -177,3 +177,15 @@ def test_entities(spark):
     got = {r.v: r.d for r in spark.createDataFrame([(k,) for k in cases], "v string").select("v", markup.visible_text(F.col("v")).alias("d")).collect()}
     assert got == cases
     assert len(texts.ENTITIES) == 96 + 47
+
+
+def test_a_row_that_fails_is_labelled_and_the_others_go_on(spark):
+    from pyspark.sql import types as T
+
+    from postmill.functions.contained import contained
+
+    run = contained(lambda n: (10 // n,), {"v": T.IntegerType()})
+    rows = spark.createDataFrame([(n,) for n in (1, 2, 0, None, 5)], "n int").select("n", run("n").alias("r")).collect()
+    assert {r.n: (r.r.v, r.r.failed) for r in rows} == {1: (10, None), 2: (5, None), 0: (None, "ZeroDivisionError"), None: (None, None), 5: (2, None)}
+    r = spark.createDataFrame([(["a", "b"], ["a"], bytes([0x81, 0x41]), 1252)], "a array<string>, b array<string>, d binary, p int").select(texts.word_alignment("a", "b").alias("w"), codes.decoded(F.col("d"), F.col("p")).alias("d")).first()
+    assert tuple(r.w) == (1, 1, 0, 0, None) and tuple(r.d) == ("\uFFFDA", 1, "text", None)
