@@ -62,3 +62,48 @@ def test_query(spark, sf_dir):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+
+
+def forward_by_hand(model, text):
+    """The score of one text, token by token and neuron by neuron."""
+    vectors, net = model
+    words = quality.TOKEN.findall(text or "")
+    rows = []
+    for i, w in enumerate(words):
+        known = quality.REPEAT if w in words[max(0, i - quality.NEAR) : i] else w if w in vectors.places else quality.shape(w)
+        rows.append(vectors.rows[vectors.places[known]].astype(float))
+    usual, n = vectors.usual.astype(float), len(words)
+
+    def mean(part):
+        return (sum(part, np.zeros_like(usual)) + quality.SMOOTH * usual) / (len(part) + quality.SMOOTH)
+
+    thirds = [rows[n * k // 3 : n * (k + 1) // 3] for k in range(3)]
+    x = np.concatenate([mean(rows), *map(mean, thirds)]) if n else np.tile(usual, 4)
+    z = [(a - m) / s for a, m, s in zip(x, net.mean, net.scale, strict=True)]
+    hidden = [np.tanh(sum(a * w for a, w in zip(z, net.w1[:, j], strict=True)) + net.b1[j]) for j in range(len(net.b1))]
+    logit = sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2
+    return 1 / (1 + np.exp(-logit / net.temperature))
+
+
+def test_scores_of_the_given_table(spark):
+    """Held-out labels are told apart well, and scores are those of a forward pass written out."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    label_table = quality.quality_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality.fit(docs, label_table)
+    scored = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for i in sorted(scored)[::40]:
+        assert abs(forward_by_hand(model, scored[i].text) - scored[i].score) < 1e-4, i
+    held = [(scored[r.doc_id].score, r.label) for r in label_table.collect() if r.doc_id in scored and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    good, bad = np.array([s for s, y in held if y]), np.array([s for s, y in held if not y])
+    assert len(good) > 20 and len(bad) > 5 and (good[:, None] > bad).mean() > 0.95
+
+
+def test_a_very_long_text(spark):
+    """Longer than a row that may be fitted on: it is scored whole, and fits nothing."""
+    texts, labels = labelled(200)
+    long = " ".join(t for _, t in texts) * 12
+    df = documents(spark, [*texts, (1000, long), (1001, long + " tail")])
+    model = quality.fit(df, spark.createDataFrame([*labels, (1000, 0), (1001, 0)], "doc_id long, label int"), chars=1_000_000)
+    scores = {r.doc_id: r.score for r in quality.score(df.where("doc_id >= 1000"), model).collect()}
+    assert len(long) > 1_000_000 and abs(scores[1000] - forward_by_hand(model, long)) < 1e-3 and abs(scores[1000] - scores[1001]) < 0.01
