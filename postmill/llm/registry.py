@@ -19,6 +19,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
+    "op2_lm_scoring": lm.OP2_SQL,
     "op5_jaccard_join": jaccard.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op11_search": search.OP11_SQL,
