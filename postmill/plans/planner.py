@@ -342,3 +342,9 @@ def counters(entries: DataFrame) -> DataFrame:
         F.max(names.units(F.element_at("components", -1))).alias("max_component_units"), F.max(F.size("components")).alias("max_depth"),
     )
     return rest.crossJoin(of_groups)  # one row each
+
+
+def in_path_order(entries: DataFrame) -> DataFrame:
+    """entries in the order of their paths, component by component, whichever parts they are written in: parts are ranges of paths and
+    sorted, so a reader merges them in the order of their numbers without a sort."""
+    return entries.repartitionByRange("components").sortWithinPartitions("components")
