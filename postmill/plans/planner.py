@@ -344,7 +344,7 @@ def counters(entries: DataFrame) -> DataFrame:
     return rest.crossJoin(of_groups)  # one row each
 
 
-def in_path_order(entries: DataFrame) -> DataFrame:
+def in_path_order(entries: DataFrame, parts: int | None = None) -> DataFrame:
     """entries in the order of their paths, component by component, whichever parts they are written in: parts are ranges of paths and
     sorted, so a reader merges them in the order of their numbers without a sort."""
-    return entries.repartitionByRange("components").sortWithinPartitions("components")
+    return entries.repartitionByRange(*([parts] if parts else []), "components").sortWithinPartitions("components")
