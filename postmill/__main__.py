@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.mode == "dry-run":
             found = queries.dry_run_report(spark, args.tables)
         else:
-            found = queries.QUERIES[{"inventory": "message_census", "structure": "structural_gates", "gates": "container_gates", "envelope": "envelope_tally"}[args.mode]](spark, args.tables)
+            found = queries.QUERIES[{"inventory": "message_census", "structure": "structural_gates", "gates": "container_gates", "envelope": "envelope_report"}[args.mode]](spark, args.tables)
         rows = found.orderBy("ord").collect()
     except Refused as e:  # the label tells nothing of any content
         print(f"refused={e}", file=sys.stderr)

@@ -162,6 +162,52 @@ def envelope_tally(recipients: DataFrame, messages: DataFrame) -> DataFrame:
     return lines(r.crossJoin(m))
 
 
+#: Columns of a recipient table that a reader uses, by the fields they fill. Fixed values.
+TABLE_COLUMNS = {"type": "raw_type", "display_name": "display_name", "address_type": "address_type", "email_address": "email_address", "smtp_address": "smtp_address", "row_id": "row_id"}
+#: The lines of the envelope's report in order. Fixed values.
+ENVELOPE_LINES = (
+    "messages", "sender_present", "sender_missing", "sent_representing_present", "submit_time_present", "delivery_time_present", "importance_present", "sensitivity_present", "conversation_topic_present", "conversation_index_present",
+    "transport_headers_present", "exchange_without_smtp", "recipient_tables_absent", *(f"recipient_tables_without_{c}_column" for c in TABLE_COLUMNS), "recipient_rows", "recipient_rows_unreadable", "recipients_listed", "recipients_to",
+    "recipients_cc", "recipients_bcc", "recipients_unlisted", "recipients_unlisted_originator", "recipients_unlisted_other_type", "recipients_unlisted_type_unreadable", "recipient_order_in_row_id_order",
+    "recipient_order_differs_from_row_id", "recipient_order_unverifiable", "recipient_rows_unaccounted",
+)
+
+
+def as_read(recipients: DataFrame, tables: DataFrame) -> DataFrame:
+    """Recipients as a reader sees them: none of an absent table, no field whose column a table lacks, none at all of an unreadable row."""
+    r = recipients.join(tables, "message_id").where("present")
+    return r.withColumns({field: F.when(F.col("readable") & ~F.array_contains("lacks", column), F.col(field)) for column, field in TABLE_COLUMNS.items()})
+
+
+def envelope_report(messages: DataFrame, senders: DataFrame, tables: DataFrame, recipients: DataFrame) -> DataFrame:
+    """All lines of the envelope's report. messages with conversation_topic, conversation_index and transport_headers; tables (message_id,
+    present, lacks): whether a message has a recipient table and which columns that lacks; recipients with readable."""
+    n, has = F.count_if, lambda c: F.count(c)
+    of_messages = counted(
+        messages, messages=F.count("*"), submit_time_present=has("submit_ft"), delivery_time_present=has("delivery_ft"), importance_present=has("importance"), sensitivity_present=has("sensitivity"),
+        conversation_topic_present=has("conversation_topic"), conversation_index_present=has("conversation_index"), transport_headers_present=has("transport_headers"),
+    )
+    four = lambda p: F.coalesce(*(F.col(p + c) for c in ("display_name", "address_type", "email_address", "smtp_address"))).isNotNull()
+    hidden = lambda p: codes.is_hidden_directory_address(F.col(p + "address_type"), F.col(p + "smtp_address"))
+    of_senders = counted(senders, sender_present=n(four("sender_")), sent_representing_present=n(four("represented_")), hidden_senders=n(hidden("sender_")))
+    of_tables = counted(tables, recipient_tables_absent=n(~F.col("present")), **{f"recipient_tables_without_{c}_column": n(F.col("present") & F.array_contains("lacks", c)) for c in TABLE_COLUMNS})
+    rows = as_read(recipients, tables)
+    kind, raw = codes.recipient_kind(F.col("raw_type")), F.col("raw_type")
+    of_rows = counted(
+        rows, recipient_rows=F.count("*"), recipient_rows_unreadable=n(~F.col("readable")), recipients_to=n(kind == "to"), recipients_cc=n(kind == "cc"), recipients_bcc=n(kind == "bcc"), hidden_recipients=n(kind.isNotNull() & hidden("")),
+        recipients_unlisted_originator=n(codes.is_originator(raw)), recipients_unlisted_other_type=n(kind.isNull() & raw.isNotNull() & ~codes.is_originator(raw)), recipients_unlisted_type_unreadable=n(raw.isNull()),
+    )
+    order = row_order(rows).groupBy().pivot("row_order", ["in_order", "differs", "unverifiable"]).agg(F.sum("n"))
+    both = of_messages.crossJoin(of_senders).crossJoin(of_tables).crossJoin(of_rows).crossJoin(order)  # one row each
+    listed = F.col("recipients_to") + F.col("recipients_cc") + F.col("recipients_bcc")
+    unlisted = F.col("recipients_unlisted_originator") + F.col("recipients_unlisted_other_type") + F.col("recipients_unlisted_type_unreadable")
+    derived = {
+        "sender_missing": F.greatest(F.col("messages") - F.col("sender_present"), F.lit(0)), "exchange_without_smtp": F.col("hidden_senders") + F.col("hidden_recipients"), "recipients_listed": listed, "recipients_unlisted": unlisted,
+        "recipient_order_in_row_id_order": F.col("in_order"), "recipient_order_differs_from_row_id": F.col("differs"), "recipient_order_unverifiable": F.col("unverifiable"), "recipient_rows_unaccounted": F.abs(F.col("recipient_rows") - listed - unlisted),
+    }
+    return lines(both.withColumns(derived).select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ENVELOPE_LINES)))
+
+
 def selected(bodies: DataFrame, failed: Column) -> DataFrame:
     """Which body of a message is shown: native HTML that isn't blank (unless its conversion failed), else plain text that isn't,
     else none; and what was lost."""

@@ -244,6 +244,33 @@ def envelope_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+LACKS_SQL = {"type": 47, "display_name": 53, "address_type": 59, "email_address": 61, "smtp_address": 67, "row_id": 31}
+
+
+@query(
+    f""", p AS (SELECT r.message_id, ord, message_id % 43 <> 0 AS present, coalesce((row_id + ord) % 19 <> 0, TRUE) AS readable, raw_type AS t0, row_id AS i0, address_type AS a0, smtp_address AS s0 FROM recipients r),
+    q AS (SELECT message_id, ord, readable, CASE WHEN readable AND message_id % 47 <> 0 THEN t0 END AS raw_type, CASE WHEN readable AND message_id % 31 <> 0 THEN i0 END AS row_id, CASE WHEN readable AND message_id % 59 <> 0 THEN a0 END AS address_type, CASE WHEN readable AND message_id % 67 <> 0 THEN s0 END AS smtp_address FROM p WHERE present),
+    k AS (SELECT *, {KIND_SQL} AS kind FROM q), l AS (SELECT *, lag(row_id) OVER (PARTITION BY message_id ORDER BY ord, coalesce(row_id, -1)) AS before FROM q),
+    o AS (SELECT CASE WHEN bool_or(row_id IS NULL) THEN 'unverifiable' WHEN bool_or(coalesce(before > row_id, FALSE)) THEN 'differs' ELSE 'in_order' END AS w FROM l GROUP BY message_id HAVING count(*) >= 2), """
+    + lines_sql(
+        f"""SELECT *, recipients_to + recipients_cc + recipients_bcc AS recipients_listed, recipients_unlisted_originator + recipients_unlisted_other_type + recipients_unlisted_type_unreadable AS recipients_unlisted, messages - sender_present AS sender_missing, h1 + h2 AS exchange_without_smtp,
+          recipient_rows - recipients_to - recipients_cc - recipients_bcc - recipients_unlisted_originator - recipients_unlisted_other_type - recipients_unlisted_type_unreadable AS recipient_rows_unaccounted FROM
+        (SELECT count(*) AS messages, count(submit_ft) AS submit_time_present, count(delivery_ft) AS delivery_time_present, count(importance) AS importance_present, count(sensitivity) AS sensitivity_present, count(*) FILTER (message_id % 3 <> 1 AND subject IS NOT NULL) AS conversation_topic_present,
+          count(*) FILTER (message_id % 4 <> 2) AS conversation_index_present, count(*) FILTER (message_id % 5 = 3) AS transport_headers_present, count(*) FILTER (message_id % 43 = 0) AS recipient_tables_absent,
+          {", ".join(f"count(*) FILTER (message_id % 43 <> 0 AND message_id % {n} = 0) AS recipient_tables_without_{c}_column" for c, n in LACKS_SQL.items())} FROM messages),
+        (SELECT count(*) FILTER (coalesce(sender_display_name, sender_address_type, sender_email_address, sender_smtp_address) IS NOT NULL) AS sender_present, count(represented_display_name) AS sent_representing_present, count(*) FILTER (upper(sender_address_type) = 'EX' AND sender_smtp_address IS NULL) AS h1 FROM senders),
+        (SELECT count(*) AS recipient_rows, count(*) FILTER (NOT readable) AS recipient_rows_unreadable, count(*) FILTER (kind = 'to') AS recipients_to, count(*) FILTER (kind = 'cc') AS recipients_cc, count(*) FILTER (kind = 'bcc') AS recipients_bcc, count(*) FILTER (kind IS NOT NULL AND upper(address_type) = 'EX' AND smtp_address IS NULL) AS h2,
+          count(*) FILTER ({BARE_SQL} = 0) AS recipients_unlisted_originator, count(*) FILTER (kind IS NULL AND {BARE_SQL} <> 0) AS recipients_unlisted_other_type, count(*) FILTER (raw_type IS NULL) AS recipients_unlisted_type_unreadable FROM k),
+        (SELECT count(*) FILTER (w = 'in_order') AS recipient_order_in_row_id_order, count(*) FILTER (w = 'differs') AS recipient_order_differs_from_row_id, count(*) FILTER (w = 'unverifiable') AS recipient_order_unverifiable FROM o)""",
+        *census.ENVELOPE_LINES,
+    ),
+    "messages", "senders", "recipients",
+)
+def envelope_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of what messages say of their senders, recipients, times and tables."""
+    return census.envelope_report(*mail.envelopes(spark, sf_dir))
+
+
 def blank_sql(c: str) -> str:
     return f"({c} IS NULL OR NOT regexp_matches({c}, '[^{WHITE_SQL}]'))"
 

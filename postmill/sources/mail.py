@@ -125,6 +125,17 @@ def senders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def envelopes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Messages with the fields of a conversation, senders, recipient tables (message_id, present, lacks) and recipients with readable: some
+    messages have no table, some tables lack columns, some rows can't be read."""
+    k = F.col("message_id")
+    m = messages(spark, sf_dir).withColumns({"conversation_topic": F.when(k % 3 != 1, F.col("subject")), "conversation_index": F.when(k % 4 != 2, F.hex(k)), "transport_headers": F.when(k % 5 == 3, "Received: x")})
+    lack = ((47, "type"), (53, "display_name"), (59, "address_type"), (61, "email_address"), (67, "smtp_address"), (31, "row_id"))
+    tables = m.select("message_id", (k % 43 != 0).alias("present"), F.array_compact(F.array(*(F.when(k % n == 0, c) for n, c in lack))).alias("lacks"))
+    r = recipients(spark, sf_dir).withColumn("readable", F.coalesce((F.col("row_id") + F.col("ord")) % 19 != 0, F.lit(True)))
+    return m, senders(spark, sf_dir), tables, r
+
+
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as messages: plain text, and the page of the same id as native HTML (blank for some)."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), F.col("text").alias("plain_text"))
