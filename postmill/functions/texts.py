@@ -181,10 +181,31 @@ word_alignment = contained(lambda a, b: compared(list(a), list(b)), {n: T.Intege
 PADDING_RUN = r"[\x{034F}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF} \x{A0}]*(?:[\x{034F}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}][ \x{A0}]*){8}[\x{034F}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF} \x{A0}]*"
 
 
-def without_padding(md: Column) -> Column:
-    """Runs with eight invisible characters or more become a space between texts, and nothing at the ends of a line."""
-    t = F.regexp_replace(md, rf"(?<=\S){PADDING_RUN}(?=\S)", " ")
-    return F.regexp_replace(t, PADDING_RUN, "")
+def without_padding(md: Column) -> tuple[Column, Column]:
+    """Text without invisible padding, and how many runs of it were taken out. A run with eight invisible characters or more becomes a
+    space between texts, and nothing at the ends of a line. A line that held nothing else goes, and of the blank lines after it, up to
+    the next text, those that would follow a blank line or stand first; every other line stays as it was."""
+    beside = rf"[^{WHITE}\x{{034F}}\x{{AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]"  # so that a run is taken whole
+    inner = F.regexp_replace(F.regexp_replace(md, rf"(?<={beside}){PADDING_RUN}(?={beside})", " "), PADDING_RUN, "")
+    before, after = F.split(md, "\n", -1), F.split(inner, "\n", -1)
+    # d: dropped, b: blank as it was, t: text
+    kind = lambda was, now: F.when(~is_blank(now), "t").when(has(was, PADDING_RUN), "d").otherwise("b")
+    kinds = F.zip_with(before, after, kind)
+
+    def step(state, k):
+        first = (state["text"]) & ~state["blank"]
+        keeps = (k == "t") | (k == "b") & (~state["dropped"] | first)
+        is_text = k == "t"
+        return F.struct(
+            F.concat(state["keeps"], F.when(keeps, "1").otherwise("0")).alias("keeps"), (state["text"] | is_text).alias("text"),
+            F.when(is_text, False).otherwise(state["dropped"] | (k == "d")).alias("dropped"), F.when(is_text, False).otherwise(state["blank"] | (k == "b")).alias("blank"),
+        )
+
+    start = F.struct(F.lit("").alias("keeps"), F.lit(False).alias("text"), F.lit(False).alias("dropped"), F.lit(False).alias("blank"))
+    keeps = F.aggregate(kinds, start, step, lambda s: F.split(s["keeps"], "(?<=.)"))
+    both = F.filter(F.arrays_zip(after.alias("line"), F.slice(keeps, F.lit(1), F.size(after)).alias("keep")), lambda x: x["keep"] == "1")
+    padded = has(md, PADDING_RUN)
+    return F.when(padded, F.array_join(F.transform(both, lambda x: x["line"]), "\n")).otherwise(md), F.when(padded, F.regexp_count(md, F.lit(PADDING_RUN))).otherwise(0)
 
 
 def is_syntax(word: Column) -> Column:

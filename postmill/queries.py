@@ -588,6 +588,27 @@ def visible_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("page_id", F.size("words").cast("long").alias("n_words"), F.sha2(F.array_join("words", " "), 256).alias("sha256"), F.col("unknown").cast("long").alias("unknown_entities"))
 
 
+PAD = "​ " * 8
+#: What the documents' lines end in, so that padding stands within lines, at their ends and on lines of its own. Fixed values.
+PADDED = "\n" + PAD + "\n\n  \n" + "x" + PAD + "y " + PAD + "\n\n" + PAD + "\n" + PAD + "\n\n ​​ \n"
+PADS_SQL = "(?:͏|­|​|‌|‍|⁠|﻿)"
+BESIDE_SQL = "[^" + WHITE_SQL + PADS_SQL[3:-1].replace("|", "") + "]"
+
+
+@query(
+    rf"""WITH p AS (SELECT doc_id, replace('{PAD}' || chr(10) || chr(10) || coalesce(text, ''), chr(10), '{PADDED}') AS md FROM documents), l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS l, generate_subscripts(string_split(md, chr(10)), 1) AS i FROM p),
+    r AS (SELECT *, regexp_replace(regexp_replace(l, '({BESIDE_SQL})[ \x{{A0}}]*(?:{PADS_SQL}[ \x{{A0}}]*){{8,}}({BESIDE_SQL})', '\1 \2', 'g'), '[ \x{{A0}}]*(?:{PADS_SQL}[ \x{{A0}}]*){{8,}}', '', 'g') AS c, len(regexp_extract_all(l, '[ \x{{A0}}]*(?:{PADS_SQL}[ \x{{A0}}]*){{8,}}')) AS n FROM l),
+    k AS (SELECT *, CASE WHEN regexp_matches(c, '[^{WHITE_SQL}]') THEN 't' WHEN n > 0 THEN 'd' ELSE 'b' END AS k FROM r), g AS (SELECT *, count(*) FILTER (k = 't') OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM k),
+    f AS (SELECT *, count(*) FILTER (k = 'd') OVER w AS drops, count(*) FILTER (k = 'b') OVER w AS blanks FROM g WINDOW w AS (PARTITION BY doc_id, gap ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT doc_id, sha256(coalesce(string_agg(c, chr(10) ORDER BY i) FILTER (k = 't' OR (k = 'b' AND (drops = 0 OR (gap > 0 AND blanks = 0)))), '')) AS sha256, sum(n)::INT AS runs FROM f GROUP BY doc_id"""
+)
+def padding_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with padding put into their lines, and taken out again."""
+    md = F.replace(F.concat(F.lit(PAD + "\n\n"), F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit(PADDED))
+    clean, runs = texts.without_padding(F.col("md"))
+    return mail.table(spark, sf_dir, "documents").select("doc_id", md.alias("md")).select("doc_id", F.sha2(clean, 256).alias("sha256"), runs.alias("runs"))
+
+
 NESTED = 5
 
 

@@ -122,7 +122,7 @@ def test_preprocessing(spark):
 
 def test_padding(spark):
     runs = ["a" + "‌ " * 9 + "b", "­" * 8, "e‍" * 3, "x " + "﻿" * 7 + "y"]
-    assert [r[0] for r in column(spark, runs).orderBy("i").select(texts.without_padding(F.col("v"))).collect()] == ["a b", "", "e‍" * 3, "x " + "﻿" * 7 + "y"]
+    assert [r[0] for r in column(spark, runs).orderBy("i").select(texts.without_padding(F.col("v"))[0]).collect()] == ["a b", "", "e‍" * 3, "x " + "﻿" * 7 + "y"]
 
 
 @settings(max_examples=150, deadline=None)
@@ -189,3 +189,43 @@ def test_a_row_that_fails_is_labelled_and_the_others_go_on(spark):
     assert {r.n: (r.r.v, r.r.failed) for r in rows} == {1: (10, None), 2: (5, None), 0: (None, "ZeroDivisionError"), None: (None, None), 5: (2, None)}
     r = spark.createDataFrame([(["a", "b"], ["a"], bytes([0x81, 0x41]), 1252)], "a array<string>, b array<string>, d binary, p int").select(texts.word_alignment("a", "b").alias("w"), codes.decoded(F.col("d"), F.col("p")).alias("d")).first()
     assert tuple(r.w) == (1, 1, 0, 0, None) and tuple(r.d) == ("\uFFFDA", 1, "text", None)
+
+
+def padding_by_hand(text):
+    invisible, pads = set("\u034f\xad\u200b\u200c\u200d\u2060\ufeff"), set(" \xa0")
+    lines, runs, dropped = [], 0, False
+    for line in text.split("\n"):
+        out, removed, i = "", 0, 0
+        while i < len(line):
+            j = i
+            while j < len(line) and line[j] in invisible | pads:
+                j += 1
+            if j > i and sum(c in invisible for c in line[i:j]) >= 8:
+                removed += 1
+                if out and not out[-1].isspace() and j < len(line) and not line[j].isspace():
+                    out += " "
+            else:
+                j = max(j, i + 1)
+                out += line[i:j]
+            i = j
+        runs += removed
+        if removed and not out.strip():
+            dropped = True
+            continue
+        if removed or line.strip():
+            dropped = False
+        elif dropped and (not lines or not lines[-1].strip()):
+            continue
+        lines.append(out)
+    return "\n".join(lines), runs
+
+
+def test_padding_over_lines(spark):
+    import random
+
+    rng = random.Random(9)
+    parts = ["\n", "\n", "a", " ", "\u200b" * 8, "\u200b \xad" * 5, "\ufeff", "\t", "\xa0", "b c", "\n\n", "\u2060 " * 9]
+    cases = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 16))) for _ in range(800)] + ["", "\n", "x"]
+    got = spark.createDataFrame(list(enumerate(cases)), "i int, m string").select("i", texts.without_padding(F.col("m"))[0].alias("t"), texts.without_padding(F.col("m"))[1].alias("n")).collect()
+    for r in got:
+        assert (r.t, r.n) == padding_by_hand(cases[r.i]), repr(cases[r.i])
