@@ -187,10 +187,9 @@ def without_padding(md: Column) -> tuple[Column, Column]:
     the next text, those that would follow a blank line or stand first; every other line stays as it was."""
     beside = rf"[^{WHITE}\x{{034F}}\x{{AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]"  # so that a run is taken whole
     inner = F.regexp_replace(F.regexp_replace(md, rf"(?<={beside}){PADDING_RUN}(?={beside})", " "), PADDING_RUN, "")
-    before, after = F.split(md, "\n", -1), F.split(inner, "\n", -1)
+    before = F.split(md, "\n", -1)
     # d: dropped, b: blank as it was, t: text
     kind = lambda was, now: F.when(~is_blank(now), "t").when(has(was, PADDING_RUN), "d").otherwise("b")
-    kinds = F.zip_with(before, after, kind)
 
     def step(state, k):
         first = (state["text"]) & ~state["blank"]
@@ -202,10 +201,15 @@ def without_padding(md: Column) -> tuple[Column, Column]:
         )
 
     start = F.struct(F.lit("").alias("keeps"), F.lit(False).alias("text"), F.lit(False).alias("dropped"), F.lit(False).alias("blank"))
-    keeps = F.aggregate(kinds, start, step, lambda s: F.split(s["keeps"], "(?<=.)"))
-    both = F.filter(F.arrays_zip(after.alias("line"), F.slice(keeps, F.lit(1), F.size(after)).alias("keep")), lambda x: x["keep"] == "1")
+
+
+    def kept(after):
+        keeps = F.aggregate(F.zip_with(before, after, kind), start, step, lambda s: F.split(s["keeps"], "(?<=.)"))
+        return F.array_join(F.filter(F.zip_with(after, keeps, lambda line, keep: F.when(keep == "1", line)), lambda x: x.isNotNull()), "\n")
+
+    once = F.get(F.transform(F.array(F.split(inner, "\n", -1)), kept), 0)  # the lines are made once
     padded = has(md, PADDING_RUN)
-    return F.when(padded, F.array_join(F.transform(both, lambda x: x["line"]), "\n")).otherwise(md), F.when(padded, F.regexp_count(md, F.lit(PADDING_RUN))).otherwise(0)
+    return F.when(padded, once).otherwise(md), F.when(padded, F.regexp_count(md, F.lit(PADDING_RUN))).otherwise(0)
 
 
 def is_syntax(word: Column) -> Column:
