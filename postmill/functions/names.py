@@ -55,12 +55,17 @@ def is_device(stem: Column) -> Column:
     return has(upper_ascii(F.regexp_replace(stem, " +$", "")), DEVICE)
 
 
-def cleaned(df: DataFrame, column: str, fallback: str, out: str = "safe") -> DataFrame:
-    """Adds out, struct(name, flags): the column as one legal path component, and the labels of what was done to it."""
+def is_plain(c: Column) -> Column:
+    """Whether a text is ASCII, which NFC leaves as it is; null too."""
+    return F.coalesce(~has(c, r"[^\x00-\x7F]"), F.lit(True))
+
+
+def cleaned(df: DataFrame, column: str, fallback: str, out: str = "safe", plain: bool = False) -> DataFrame:
+    """Adds out, struct(name, flags): the column as one legal path component, and the labels of what was done to it. plain: all are ASCII."""
     c = F.col(column)
     bare = F.regexp_replace(F.regexp_replace(c, f"[{INVISIBLE}]", ""), f"[{CONTROL}]", "")
     mapped = F.translate(bare, f"~{RESERVED}/\\", "_" * (1 + len(RESERVED)) + "--")
-    steps = df.withColumn("_collapsed", F.regexp_replace(nfc(mapped), f"[{WHITE}]+", " "))
+    steps = df.withColumn("_collapsed", F.regexp_replace(mapped if plain else nfc(mapped), f"[{WHITE}]+", " "))
     steps = steps.withColumn("_trimmed", F.regexp_replace(F.regexp_replace("_collapsed", "^ +", ""), "[. ]+$", ""))
     t = F.col("_trimmed")
     stem, rest = F.regexp_extract(t, r"^[^.]*", 0), F.regexp_extract(t, r"^[^.]*(.*)$", 1)
@@ -95,9 +100,9 @@ def stem(c: Column) -> Column:
     return F.left(c, F.char_length(c) - F.char_length(extension(c)))
 
 
-def collision_key(c: Column) -> Column:
-    """Equal for names that a file system may take for one another."""
-    return nfc(F.lower(nfc(c)))
+def collision_key(c: Column, plain: bool = False) -> Column:
+    """Equal for names that a file system may take for one another. plain: all are ASCII."""
+    return F.lower(c) if plain else nfc(F.lower(nfc(c)))
 
 
 def suffix_width(size: Column) -> Column:

@@ -57,17 +57,27 @@ def directory_limit(parent_units: Column, tail: Column, policy: Policy = Policy(
 
 def natural_names(folders: DataFrame, messages: DataFrame, attachments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The entities with `natural`, struct(name, flags, key): the names they would have with all the room there is, and what they collide by."""
-    f = names.cleaned(folders, "name", "(unnamed folder)", "natural")
-    m = names.cleaned(messages.withColumn("_raw", F.coalesce("subject", F.lit(""))), "_raw", "(no subject)", "natural").drop("_raw")
-    raw = attachments.withColumn("_raw", F.coalesce(attachment_name(F.col("long_name"), F.col("short_name"), F.col("ord")), F.lit("")))
-    a = names.cleaned(raw, "_raw", "attachment", "natural")
-    special = names.is_special(F.col("natural.name"))
-    kept = F.struct(
-        F.when(special, F.concat(F.lit("_"), "natural.name")).otherwise(F.col("natural.name")).alias("name"),
-        F.when(special, F.concat("natural.flags", F.array(F.lit("special_name_protected")))).otherwise(F.col("natural.flags")).alias("flags"),
-    )
-    keyed = lambda df: df.withColumn("natural", F.col("natural").withField("key", names.collision_key(F.col("natural.name"))))
-    return keyed(f), keyed(m), keyed(a.withColumn("natural", kept).drop("_raw"))
+
+    def named(rows: DataFrame, raw: Column, fallback: str, protect: bool = False) -> DataFrame:
+        def one(part: DataFrame, plain: bool) -> DataFrame:
+            part = names.cleaned(part, "_raw", fallback, "natural", plain)
+            if protect:
+                special = names.is_special(F.col("natural.name"))
+                kept = F.struct(
+                    F.when(special, F.concat(F.lit("_"), "natural.name")).otherwise(F.col("natural.name")).alias("name"),
+                    F.when(special, F.concat("natural.flags", F.array(F.lit("special_name_protected")))).otherwise(F.col("natural.flags")).alias("flags"),
+                )
+                part = part.withColumn("natural", kept)
+            return part.withColumn("natural", F.col("natural").withField("key", names.collision_key(F.col("natural.name"), plain))).drop("_raw")
+
+        rows = rows.withColumn("_raw", raw)
+        plain = names.is_plain(F.col("_raw"))  # most names are, and these stay out of Python
+        return one(rows.where(plain), True).unionByName(one(rows.where(~plain), False))
+
+    f = named(folders, F.col("name"), "(unnamed folder)")
+    m = named(messages, F.coalesce("subject", F.lit("")), "(no subject)")
+    a = named(attachments, F.coalesce(attachment_name(F.col("long_name"), F.col("short_name"), F.col("ord")), F.lit("")), "attachment", True)
+    return f, m, a
 
 
 def nestings(messages: DataFrame, attachments: DataFrame, most: int) -> list[DataFrame]:
@@ -228,8 +238,8 @@ def plan(folders: DataFrame, messages: DataFrame, attachments: DataFrame, policy
     """Entries (kind, source_id, parent, components, path_units, worst_units, flags, original, base): folders, messages, attachments
     by position in their message, embedded messages. Parents are folders, or messages of what is in them; base is the key before
     numbering. attachments may have inner_id, the message that an attachment is; such messages lie nowhere else."""
-    f, m, a = natural_names(folders, messages, embedding(messages, attachments))
-    f, m, a = stash(f, "natural"), stash(m, "natural"), stash(positioned(a), "natural")
+    placed_files = stash(positioned(embedding(messages, attachments)), "positioned")
+    f, m, a = (stash(x, "natural") for x in natural_names(folders, messages, placed_files))
     parts = nestings(m, a, policy.nesting)
     tails = stash(message_tails(m, a, parts), "tails")
     places = leveled(f)
