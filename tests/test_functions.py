@@ -229,3 +229,12 @@ def test_padding_over_lines(spark):
     got = spark.createDataFrame(list(enumerate(cases)), "i int, m string").select("i", texts.without_padding(F.col("m"))[0].alias("t"), texts.without_padding(F.col("m"))[1].alias("n")).collect()
     for r in got:
         assert (r.t, r.n) == padding_by_hand(cases[r.i]), repr(cases[r.i])
+
+
+def test_entries_at_one_place_stand_in_the_order_of_their_values(spark):
+    from postmill import queries
+
+    rows = [(1, 5, 3, i, v) for i in (0x3FFD, 0x0017) for v in (30, 10, 20)] + [(1, 5, 64, 0x0E06, v) for v in (7, 9, 8)]
+    for order in (rows, rows[::-1]):
+        got = queries.first_and_last(spark.createDataFrame(order, "file long, ord int, property_type int, property_id int, value long").coalesce(1)).first()
+        assert (got.page_first, got.importance_last, got.delivery_last) == (10, 30, 9)
