@@ -6,6 +6,8 @@ place; values meet their entries by one join on (file, path), the streams of nam
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,12 @@ def named(rows: DataFrame, streams: DataFrame) -> DataFrame:
     return n.select("file", "property_id", which.alias("set_kind"), is_string.alias("is_string"), F.when(is_string, codes.string_at(F.col("strings"), F.col("id"))).alias("text"), (index != F.col("property_id") - 0x8000).alias("index_differs"))
 
 
+def checksum(c: Column) -> Column:
+    """Sum of 64-bit numbers modulo 2^64, signed: the sum itself as long as it fits, which that of many large values doesn't."""
+    low = F.pmod(F.sum(c.cast("decimal(20,0)")), F.lit(Decimal(1 << 64)))
+    return F.when(low >= F.lit(Decimal(1 << 63)), low - F.lit(Decimal(1 << 64))).otherwise(low).cast("long")
+
+
 def checks(streams: DataFrame, pages: DataFrame, storages: DataFrame) -> DataFrame:
     """GATES and what was read beside them, one row. storages: (file, shape), the embedded objects' storages, message or custom."""
     rows = stash(property_rows(streams), "properties")
@@ -86,7 +94,7 @@ def checks(streams: DataFrame, pages: DataFrame, storages: DataFrame) -> DataFra
     of_rows = counted(
         rows.withColumn("v", fixed), attach_data_object_size_sentinel_mismatches=n(attached & (size != SENTINEL)), as_message=n(attached & (reserved == 1)), as_storage=n(attached & (reserved == 4)),
         fixed_boolean_invalid_encoding_total=n((F.col("property_type") == 11) & ~codes.valid_boolean(F.col("tail"))), fixed_float_non_finite_total=n(odd(F.col("v.as_double"))), entries_read=F.count("*"),
-        whole_numbers=F.sum(F.when(F.col("property_type").isin(2, 3, 20, 64), F.col("v.as_long"))), halves=F.sum(F.when(~odd(F.col("v.as_double")), F.col("v.as_double") * 4)).cast("long"),
+        whole_numbers=checksum(F.when(F.col("property_type").isin(2, 3, 20, 64), F.col("v.as_long"))), halves=F.sum(F.when(~odd(F.col("v.as_double")), F.col("v.as_double") * 4)).cast("long"),
     )
     shapes = counted(storages, messages=n(F.col("shape") == "message"), customs=n(F.col("shape") == "custom"))
     of_values = counted(

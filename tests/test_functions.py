@@ -238,3 +238,11 @@ def test_entries_at_one_place_stand_in_the_order_of_their_values(spark):
     for order in (rows, rows[::-1]):
         got = queries.first_and_last(spark.createDataFrame(order, "file long, ord int, property_type int, property_id int, value long").coalesce(1)).first()
         assert (got.page_first, got.importance_last, got.delivery_last) == (10, 30, 9)
+
+
+def test_checksum_of_numbers_whose_sum_is_no_64_bit_number(spark):
+    from postmill.operators.structure import checksum
+
+    for values in ([2**62, 2**62, 5], [2**63 - 1] * 3, [-(2**63)] * 3, [1, 2, -7], [-(2**63), -1]):
+        want = (sum(values) + 2**63) % 2**64 - 2**63
+        assert spark.createDataFrame([(v,) for v in values], "v long").agg(checksum(F.col("v"))).first()[0] == want
