@@ -229,7 +229,7 @@ def entry_id(uid: Column, node: Column) -> Column:
 
 def filetime_text(ticks: Column) -> Column:
     """UTC time of a FILETIME to the second; null before 1601 and after 9999."""
-    seconds = F.floor(ticks / F.lit(10_000_000).cast("decimal(20,0)")).cast("long")
+    seconds = F.call_function("div", ticks, F.lit(10_000_000).cast("long"))
     days, rest = F.floor(seconds / 86400).cast("int"), F.pmod(seconds, F.lit(86400))
     day = F.date_format(F.date_add(F.lit("1601-01-01").cast("date"), days), "yyyy-MM-dd")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")

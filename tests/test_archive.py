@@ -269,3 +269,17 @@ def test_the_command_line_writes_an_archive(spark, sf_dir, tmp_path, capsys):
     for wrong in (["export", sf_dir], ["inventory", sf_dir, "--to", root], ["export", sf_dir, "--consent"]):
         with pytest.raises(SystemExit):
             main(wrong)
+
+
+def test_the_texts_of_a_message_are_made_once(spark):
+    """What stands in a document several times (date, fence) is an expression that is evaluated once a message."""
+    m = spark.createDataFrame([(1, "s", 116444736000000000, None, 2, 3)], "message_id long, subject string, submit_ft long, delivery_ft long, importance int, sensitivity int")
+    fields = ", ".join(f"{p}_{c} string" for p in ("sender", "represented") for c in archive.FOUR)
+    people = spark.createDataFrame([(1, "Ann", "SMTP", "a@b", None, None, None, None, None)], f"message_id long, {fields}")
+    to = spark.createDataFrame([(1, 1, 1, "Bo", None, None, None)], "message_id long, ord int, raw_type long, " + ", ".join(f"{c} string" for c in archive.FOUR))
+    body = spark.createDataFrame([(1, None, "a ``` b\r\n")], "message_id long, markdown string, plain_text string")
+    out = archive.message_markdown(m, people, to, body)
+    want = "# s\n\n- **From:** `Ann <a@b>`\n- **To:** `Bo`\n- **Date:** 1970-01-01T00:00:00Z\n- **Importance:** high\n- **Sensitivity:** company confidential\n\n````text\na ``` b\n````\n"
+    assert out.first().markdown == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("yyyy-MM-dd") == 1 and "array(" not in plan.split("Join")[0]
