@@ -98,10 +98,10 @@ CID_LINK = rf"(\]\()(?:<{CONTENT_ID}>?+|{CONTENT_ID})"
 def content_links(md: Column) -> Column:
     """Array of (pos, before, written, cid) of the cid: destinations in order: the text between the destination before and this one,
     the destination as written, its content id. What follows the last one is content_rest. Texts and destinations join to the whole."""
-    found = F.regexp_extract_all(md, F.lit(CID_LINK), F.lit(0))
-    between = F.split(md, CID_LINK, -1)
-    one = lambda w, i: F.struct(i.alias("pos"), F.concat(F.get(between, i), F.lit("](")).alias("before"), F.substr(w, F.lit(3)).alias("written"), F.regexp_extract(w, r"^\]\(<?.{4}([^>]*)>?$", 1).alias("cid"))
-    return F.transform(found, one)
+    found = F.regexp_extract_all(md, F.lit(CID_LINK), F.lit(0)).alias("found")
+    pairs = F.arrays_zip(F.split(md, CID_LINK, -1).alias("between"), found)  # the text is cut once, not once a link; the last piece has no link
+    one = lambda p, i: F.struct(i.alias("pos"), F.concat(p["between"], F.lit("](")).alias("before"), F.substr(p["found"], F.lit(3)).alias("written"), F.regexp_extract(p["found"], r"^\]\(<?.{4}([^>]*)>?$", 1).alias("cid"))
+    return F.transform(F.filter(pairs, lambda p: p["found"].isNotNull()), one)
 
 
 def has_content_link(md: Column) -> Column:

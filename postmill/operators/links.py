@@ -35,10 +35,10 @@ def rewritten(documents: DataFrame, attachments: DataFrame) -> DataFrame:
     count = lambda o: F.count_if(F.col("outcome") == o).alias(o)
     answers = resolved(refs, attachments).withColumn("link", F.when(F.col("outcome") == "rewritten", link)).groupBy("message_id").agg(
         F.count("*").alias("links"), F.size(F.collect_set(F.lower("cid"))).cast("long").alias("distinct_ids"), *map(count, OUTCOMES),
-        F.map_from_entries(F.collect_list(F.when(F.col("link").isNotNull(), F.struct("pos", "link")))).alias("to"),
+        F.array_sort(F.collect_list(F.struct("pos", "link"))).alias("to"),  # one for each link, so that the two lists go side by side
     )
-    piece = lambda l: F.concat(l["before"], F.coalesce(F.try_element_at(F.col("to"), l["pos"]), l["written"]))
-    text = F.concat(F.array_join(F.transform("found", piece), ""), markup.content_rest(F.col("markdown")))
+    piece = lambda l, answer: F.concat(l["before"], F.coalesce(answer["link"], l["written"]))
+    text = F.concat(F.array_join(F.zip_with("found", "to", piece), ""), markup.content_rest(F.col("markdown")))
     done = found.join(answers, "message_id").select("message_id", text.alias("markdown"), "links", "distinct_ids", *OUTCOMES)
     none = documents.where(~linked).select("message_id", "markdown", *(F.lit(0).cast("long").alias(c) for c in ("links", "distinct_ids", *OUTCOMES)))
     return done.unionByName(none)
