@@ -9,6 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from postmill.functions import codes, markup, names, texts
+from postmill.operators import census
+from postmill.sources import scratch
 
 NAMES = ["NUL", "con.txt", "a/b:c", "folder.json", "...", "  ", "é", "é", "z" * 200, "report.pdf", "COM1.x", "lpt¹", "a\x01b​c~d", " x . ", "", "\U0001f600" * 40]
 
@@ -246,3 +248,27 @@ def test_checksum_of_numbers_whose_sum_is_no_64_bit_number(spark):
     for values in ([2**62, 2**62, 5], [2**63 - 1] * 3, [-(2**63)] * 3, [1, 2, -7], [-(2**63), -1]):
         want = (sum(values) + 2**63) % 2**64 - 2**63
         assert spark.createDataFrame([(v,) for v in values], "v long").agg(checksum(F.col("v"))).first()[0] == want
+
+
+def test_texts_are_dealt_out_by_their_bytes(spark):
+    """Few parts of many bytes become as many tasks as the bytes take, for functions that are expensive and for batches that go to Python."""
+    rows = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    held = scratch.dealt(rows, F.col("text"), 100_000).groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text"))).collect()
+    assert len(held) == 41 and max(r[1] for r in held) <= 200_000 and sum(r[1] for r in held) == 4_000_000
+    assert scratch.dealt(rows.limit(0), F.col("text")).count() == 0
+
+
+def test_padded_texts_of_many_spaces_and_runs(spark):
+    """Long runs of spaces, runs beside one another's lines and texts without any: as by hand."""
+    pad = "\u200b" * 8
+    cases = [" " * 20_000 + "a", ("a" + pad + "b\n") * 300, ("\n" + pad) * 300 + "\n\na\n\n", "\n \n" + pad + "\n\na\n" + pad + "\n\n\nb\n\n" + pad + "\n\n", "", " " + pad[:7] + " a"]
+    got = column(spark, cases).orderBy("i").select(*texts.without_padding(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [padding_by_hand(c) for c in cases]
+
+
+def test_recipients_are_ordered_in_parts_of_a_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(census, "parts", lambda df: 16)
+    r = spark.range(4000).select((F.col("id") % 2000).alias("message_id"), (F.col("id") % 5).cast("int").alias("ord"), *(F.lit(1).cast("long").alias(c) for c in ("raw_type", "row_id")), *(F.lit("x").alias(c) for c in ("display_name", "address_type", "email_address", "smtp_address")), F.lit(True).alias("readable"))
+    t = spark.range(2000).select(F.col("id").alias("message_id"), F.lit(True).alias("present"), F.array().cast("array<string>").alias("lacks"))
+    assert census.as_read(r, t).select(F.spark_partition_id().alias("p")).distinct().count() == 16  # the session has 4
+    assert census.row_order(r).collect()[0]["n"] == 2000
