@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import markup, texts
+from postmill.sources.scratch import stash
 
 #: What a cid: link may come to. Fixed values.
 OUTCOMES = ("rewritten", "no_attachment", "not_extracted", "ambiguous")
@@ -29,7 +30,8 @@ def rewritten(documents: DataFrame, attachments: DataFrame) -> DataFrame:
     Only places and ids of links go through the join with the attachments; the text meets the answers once, in order, and messages
     without links don't take part in it. What isn't resolved stays as written. A destination within a destination isn't one."""
     linked = F.coalesce(markup.has_content_link(F.col("markdown")), F.lit(False))
-    found = documents.where(linked).select("message_id", "markdown", markup.content_links(F.col("markdown")).alias("found"))
+    md = F.col("markdown")
+    found = stash(documents.where(linked).select("message_id", markup.content_links(md).alias("found"), markup.content_rest(md).alias("rest")), "found")  # read twice
     refs = found.select("message_id", F.explode("found").alias("l")).select("message_id", "l.pos", "l.cid")
     link = F.concat(F.lit("attachments/"), texts.link(F.col("file")))
     count = lambda o: F.count_if(F.col("outcome") == o).alias(o)
@@ -38,7 +40,7 @@ def rewritten(documents: DataFrame, attachments: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", "link"))).alias("to"),  # one for each link, so that the two lists go side by side
     )
     piece = lambda l, answer: F.concat(l["before"], F.coalesce(answer["link"], l["written"]))
-    text = F.concat(F.array_join(F.zip_with("found", "to", piece), ""), markup.content_rest(F.col("markdown")))
+    text = F.concat(F.array_join(F.zip_with("found", "to", piece), ""), "rest")
     done = found.join(answers, "message_id").select("message_id", text.alias("markdown"), "links", "distinct_ids", *OUTCOMES)
     none = documents.where(~linked).select("message_id", "markdown", *(F.lit(0).cast("long").alias(c) for c in ("links", "distinct_ids", *OUTCOMES)))
     return done.unionByName(none)
