@@ -1,17 +1,21 @@
-r"""URL filters: listed rules first, then association rules that Spark's FP-growth mines from labelled URLs.
+r"""URL filters: listed rules first, then association rules that FP-growth mines from labelled URLs.
 
 The tokens of a URL are its scheme, each suffix of its host, its path segments (numbers as one token) and its query keys.
-FP-growth runs over the labelled URLs with the label as one more token; rules "tokens -> block" stay when their support and
-confidence reach the parameters and the confidence lies MIN_Z standard errors above the label's own share, which any share
-leaves room for. Of rules for the same label the longer goes unless it is more confident. The rules are held in an inverted
+FP-growth runs over the labelled URLs, with counts of all and of those to be blocked; rules "tokens -> block" stay when their
+support and confidence reach the parameters and the confidence lies MIN_Z standard errors above the label's own share, which any
+share leaves room for. Of rules for the same label the longer goes unless it is more confident. The rules are held in an inverted
 index, each under its rarest token; a URL fits a rule when it has all of the rule's tokens.
 
-What keeps the mining small, without changing the supports of the sets that are mined:
+The patterns grow level by level, from the rarest token to the most frequent: a table holds the conditional pattern base of every
+set that grows (the distinct beginnings of its URLs with their counts), and one grouping makes those of all sets of one token more.
+So no tree lies in one task's memory, and all frequent tokens of a URL take part. No rule is lost by what doesn't grow:
 - of tokens that stand in exactly the same labelled URLs one speaks for all, the longest;
-- a longer suffix of a host implies the shorter ones, so a URL is handed over once for each of its frequent suffixes and once
-  without any, and sets with one of these marks are read: no set has two suffixes;
-- of the other frequent tokens of one URL those MINED that tell most about the label take part (a parameter of the fitting; all
-  URLs are matched by all their tokens).
+- a set that as many URLs have as one of its parts says what the part says, and so do all sets that hold it (a longer suffix of a
+  host implies the shorter ones, so no set has two; tokens that imply each other in a chain make no sets at all);
+- a set whose URLs are all to be blocked can't be made more confident, nor one that fewer URLs to be blocked have than a rule needs.
+Spark's own FP-growth lists every frequent set, 2^20 for a chain of 20 tokens. What grows here is as many as there are different
+choices of URLs that frequent tokens make, which is exponential too where many of them stand independently in the same URLs; that
+costs time and disk.
 
 Two sources teach rules, each by itself: the labels of the pages, and the list, whose verdicts on the pages it decides are labels as
 well; so neither drowns the other, and the column taught says which one a page's rule comes from (labels first where both do).
@@ -23,10 +27,9 @@ no rules are mined and the default verdict stands; columns other than page_id an
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, floor
 
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import stash, table
@@ -34,10 +37,8 @@ from postmill.llm.common import stash, table
 #: (verdict, host, path prefix). Fixed values of the query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_Z, MINED, HOST = 0.002, 20, 0.8, 4.0, 10, 253
-#: Neither can be a token, as tokens end in something.
-LABEL, NO_HOST = "block=", "host="
-#: Most rows (some numbers each) of matched token sets, and of rules, that are broadcast.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_Z, HOST = 0.002, 20, 0.8, 4.0, 253
+#: Most rows (some numbers each) of matched token sets, of rules, and of mined sets that are broadcast.
 BROADCAST_ROWS = 200_000
 RULE_COLUMNS = "rule long, names array<string>, items array<long>, rare long, confidence double, support double"
 
@@ -81,46 +82,69 @@ def numbers(names: Column) -> Column:
 
 
 def frequent_tokens(labelled: DataFrame, rows: DataFrame, least: int) -> DataFrame:
-    """(token, name, n, b): tokens of `least` labelled URLs and more, one for those that stand in the same ones; n URLs have it, b of
-    them are to be blocked. Sums of the URLs' hashes tell which tokens stand in the same ones."""
+    """(token, name, n, b, rank): tokens of `least` URLs to be blocked and more, one for those that stand in the same URLs; n URLs have
+    it, b of them are to be blocked, the most frequent has rank 1. Sums of the URLs' hashes tell which tokens stand in the same ones."""
     each = rows.select(F.xxhash64("id").cast("decimal(20,0)").alias("row"), "block", F.explode("items").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("block").alias("b"), F.sum("row").alias("same")).where(F.col("n") >= least)
+    counts = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("block").alias("b"), F.sum("row").alias("same")).where(F.col("b") >= least)
     words = labelled.select(F.explode("tokens").alias("name")).distinct().select("name", F.xxhash64("name").alias("token"))
     named = counts.join(words, "token").groupBy("token", "n", "b", "same").agg(F.min("name").alias("name"))
     longest = F.max(F.struct(F.char_length("name").alias("size"), "name", "token")).alias("best")
-    return named.groupBy("n", "b", "same").agg(longest).select("best.token", "best.name", "n", "b")
+    known = named.groupBy("n", "b", "same").agg(longest).select("best.token", "best.name", "n", "b")
+    return known.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "name")))  # a few tokens a URL over the least share
 
 
-def mine(labelled: DataFrame, support: float = MIN_SUPPORT, count: int = MIN_COUNT, confidence: float = MIN_CONFIDENCE, z: float = MIN_Z, most: int = MINED) -> DataFrame:
+def small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def deeper(bases: DataFrame, grow: DataFrame, rows: int) -> DataFrame:
+    """(set, prefix, n, b), the conditional pattern bases of sets, to those of the sets in `grow`, which have one token more. Of a
+    prefix only tokens that the set can grow by itself are left, as all parts of a set that grows do."""
+    more = grow.groupBy(F.slice("set", 1, F.size("set") - 1).alias("set")).agg(F.collect_list(F.element_at("set", -1)).alias("by"))
+    kept = bases.join(small(more, rows), "set").select("set", F.sort_array(F.array_intersect("prefix", "by")).alias("kept"), "n", "b")
+    each = kept.select("set", "kept", "n", "b", F.posexplode("kept").alias("at", "rank")).where("at > 0")
+    return each.groupBy(F.concat("set", F.array("rank")).alias("set"), F.slice("kept", 1, F.col("at")).alias("prefix")).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+
+
+def grown(bases: DataFrame, grow: DataFrame, rows: int, least: int, told: Column) -> DataFrame:
+    """(set, n, b, top): the sets of one token more that `least` URLs to be blocked have, and fewer URLs than each of their parts has.
+    top: the best confidence of a rule among the parts."""
+    counts = bases.select("set", F.explode("prefix").alias("rank"), "n", "b").groupBy(F.concat("set", F.array("rank")).alias("set")).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    less = counts.where(F.col("b") >= least).select("set", "n", "b", F.explode("set").alias("rank")).select("set", "n", "b", F.array_remove("set", F.col("rank")).alias("part"))
+    parts = grow.select(F.col("set").alias("part"), F.col("n").alias("of"), F.greatest("top", told).alias("top"))
+    both = less.join(small(parts, rows), "part").where("of > n")
+    return both.groupBy("set", "n", "b").agg(F.count("*").alias("parts"), F.max("top").alias("top")).where(F.col("parts") == F.size("set")).drop("parts")
+
+
+def mine(labelled: DataFrame, support: float = MIN_SUPPORT, count: int = MIN_COUNT, confidence: float = MIN_CONFIDENCE, z: float = MIN_Z) -> DataFrame:
     """(tokens array<string>, block boolean) to the kept rules: names and hashes of their tokens, the rarest of these, confidence,
     support. Frequent means a share of `support` and at least `count` URLs."""
     spark = labelled.sparkSession
     rows = stash(labelled.select(F.monotonically_increasing_id().alias("id"), numbers(F.col("tokens")).alias("items"), "block"), "labelled")
     n, base = rows.agg(F.count("*"), F.avg(F.col("block").cast("int"))).first()
-    least = max(count, ceil(support * n))
     if n < count or not base:
         return spark.createDataFrame([], RULE_COLUMNS)
+    # with b URLs to be blocked no set lies further above the label's share than one that has no others: (1 - base)^2 >= z^2 base (1 - base) / b
+    least = max(count, ceil(support * n), floor(z * z * base / (1 - base)) if base < 1 else 0)
     known = stash(frequent_tokens(labelled, rows, least), "tokens")
-    is_host = F.startswith("name", F.lit("host="))
-    telling = F.abs(F.col("b") / F.col("n") - base) * F.sqrt("n")
-    each = rows.select("id", "block", F.explode("items").alias("token")).join(known.select("token", "name", is_host.alias("is_host"), telling.alias("telling")), "token")
-    of = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct((-F.col("telling")).alias("order"), "name"))))  # noqa: E731  bounded by a URL's tokens
-    picked = each.groupBy("id", "block").agg(F.transform(F.slice(of(~F.col("is_host")), 1, most), lambda x: x["name"]).alias("others"), F.transform(of(F.col("is_host")), lambda x: x["name"]).alias("hosts"))
-    once = picked.select("others", "block", F.explode(F.concat("hosts", F.array(F.lit(NO_HOST)))).alias("host"))
-    baskets = stash(once.select(F.concat("others", F.array("host"), F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items")), "baskets")
-    many = baskets.count()
-    if not many:
-        return spark.createDataFrame([], RULE_COLUMNS)
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / many, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
-    sets = model.freqItemsets.where(F.size(F.filter("items", lambda t: F.startswith(t, F.lit("host=")))) == 1)
-    body = F.array_sort(F.array_except("items", F.array(F.lit(LABEL), F.lit(NO_HOST))))
-    marked = F.array_contains("items", LABEL)
-    pairs = sets.groupBy(body.alias("names")).agg(F.max(F.when(~marked, F.col("freq"))).alias("n"), F.max(F.when(marked, F.col("freq"))).alias("b")).where("size(names) > 0 and b is not null")
+    ranks = rows.select("id", "block", F.explode("items").alias("token")).join(known.select("token", "rank"), "token")
+    urls = ranks.groupBy("id", "block").agg(F.sort_array(F.collect_list("rank")).alias("prefix"))  # bounded by a URL's tokens
+    nothing = F.array().cast("array<int>")
+    bases = stash(urls.groupBy("prefix").agg(F.count("*").alias("n"), F.count_if("block").alias("b")).select(nothing.alias("set"), "prefix", "n", "b"), "bases")
+    sets = known.select(F.array("rank").alias("set"), "n", "b", F.lit(0.0).alias("top"))
     sure = F.col("b") / F.col("n")
     good = (sure >= confidence) & (sure - base >= z * F.sqrt(F.lit(base * (1 - base)) / F.col("n")))
-    rules = pairs.where(good).select(F.xxhash64("names").alias("rule"), "names", F.transform("names", lambda t: F.xxhash64(t)).alias("items"), sure.alias("confidence"), (F.col("b") / n).alias("support"))
-    rare = rules.select("rule", F.explode("items").alias("token")).join(known.select("token", "n"), "token").groupBy("rule").agg(F.min_by("token", F.struct("n", "token")).alias("rare"))
-    return without_implied(stash(rules.join(rare, "rule"), "rules"))
+    told = F.when(good, sure)
+    rules = sets.where(good)
+    while many := (grow := sets.where((F.col("b") < F.col("n")) & (F.col("n") < n))).count():
+        bases = stash(deeper(bases, grow, many), "bases")
+        sets = stash(grown(bases, grow, many, least, told), "sets")
+        rules = rules.unionByName(sets.where(good & (sure > F.col("top"))))
+    named = rules.select("set", "n", "b", F.explode("set").alias("rank")).join(known.select("rank", "name", "token", F.col("n").alias("of")), "rank")
+    names = F.array_sort(F.collect_list("name")).alias("names")
+    named = named.groupBy("set", "n", "b").agg(names, F.min_by("token", F.struct("of", "token")).alias("rare"))
+    items = F.transform("names", lambda t: F.xxhash64(t)).alias("items")
+    return without_implied(stash(named.select(F.xxhash64("names").alias("rule"), "names", items, "rare", sure.alias("confidence"), (F.col("b") / n).alias("support")), "rules"))
 
 
 def without_implied(rules: DataFrame) -> DataFrame:

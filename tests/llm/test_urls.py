@@ -96,6 +96,49 @@ def test_mined_rules_judge_like_all_rules(spark):
     assert all(best(got, token_set(u)) == best(want, token_set(u)) for u, _ in rows)
 
 
+def test_rules_of_tokens_that_tell_little_by_themselves_among_many(spark):
+    """40 keys in a chain tell more than u and v, which tell only together: no token of a URL is left out, though the chain's keys make 2^40 sets."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(3000):
+        depth, u, v = rng.randint(0, 40), rng.random() < 0.3, rng.random() < 0.3
+        keys = [f"t{j}" for j in range(depth)] + ["u"] * u + ["v"] * v
+        rows.append((token_set("http://x.net/p?" + "&".join(keys)), rng.random() < (0.95 if u and v else 0.15 + 0.02 * depth)))
+    limits = {"count": 20, "confidence": 0.6, "z": 3.0}
+    got = {frozenset(r.names): r.confidence for r in urls.mine(spark.createDataFrame([(sorted(s), b) for s, b in rows], "tokens array<string>, block boolean"), support=0.0, **limits).collect()}
+    base, want = sum(b for _, b in rows) / len(rows), {}
+    for last in [None, *range(40)]:
+        for pair in ((), ("key=u",), ("key=v",), ("key=u", "key=v")):
+            body = frozenset(pair if last is None else (*pair, f"key=t{last}"))
+            hit = [b for s, b in rows if body <= s]
+            if sum(hit) >= limits["count"] and sum(hit) / len(hit) >= limits["confidence"] and sum(hit) / len(hit) - base >= limits["z"] * (base * (1 - base) / len(hit)) ** 0.5:
+                want[body] = sum(hit) / len(hit)
+    assert frozenset(("key=u", "key=v")) in got and any(len(r) == 3 for r in got)
+    for s, _ in rows:
+        assert max((c for r, c in got.items() if r <= s), default=0) == max((c for r, c in want.items() if r <= s), default=0)
+
+
+def test_many_tokens_that_stand_apart_mine_like_all_sets(spark):
+    """13 keys that stand independently in the URLs: all sets of them, tried one by one."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        keys = [f"k{j}" for j in range(13) if rng.random() < 0.75]
+        rows.append(("http://x.net/?" + "&".join(keys), rng.random() < (0.9 if {"k1", "k2", "k3"} <= set(keys) else 0.2)))
+    limits = {"count": 20, "confidence": 0.6, "z": 2.0}
+    df = spark.createDataFrame([(sorted(token_set(u)), b) for u, b in rows], "tokens array<string>, block boolean")
+    got = {frozenset(r.names): r.confidence for r in urls.mine(df, support=0.0, **limits).collect()}
+    sets, tokens, want = [(token_set(u), b) for u, b in rows], [f"key=k{j}" for j in range(13)], {}
+    base = sum(b for _, b in sets) / len(sets)
+    for size in range(1, 14):
+        for body in map(frozenset, combinations(tokens, size)):
+            hit = [b for s, b in sets if body <= s]
+            if sum(hit) >= limits["count"] and sum(hit) / len(hit) >= limits["confidence"] and sum(hit) / len(hit) - base >= limits["z"] * (base * (1 - base) / len(hit)) ** 0.5:
+                want[body] = sum(hit) / len(hit)
+    improving = {r: c for r, c in want.items() if not any(q < r and d >= c for q, d in want.items())}
+    assert len(want) > 20 and got == improving
+
+
 def test_deep_hosts_paths_and_long_urls_mine_quickly(spark):
     host, path = ".".join(f"l{i}" for i in range(30)), "/".join(f"p{i}x" for i in range(30))
     rows = [(i, f"http://{host}.net/{path}/{i}?" + "&".join(f"k{j}=1" for j in range(i % 25))) for i in range(100)] + [(i, f"http://other{i}.net/q") for i in range(100, 200)]
