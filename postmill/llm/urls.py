@@ -12,7 +12,8 @@ So no tree lies in one task's memory, and all frequent tokens of a URL take part
 - of tokens that stand in exactly the same labelled URLs one speaks for all, the longest;
 - a set that as many URLs have as one of its parts says what the part says, and so do all sets that hold it (a longer suffix of a
   host implies the shorter ones, so no set has two; tokens that imply each other in a chain make no sets at all);
-- a set whose URLs are all to be blocked can't be made more confident, nor one that fewer URLs to be blocked have than a rule needs.
+- a set whose URLs are all to be blocked can't be made more confident;
+- a set that fewer URLs to be blocked have than a rule needs is in no set that makes a rule.
 Spark's own FP-growth lists every frequent set, 2^20 for a chain of 20 tokens. What grows here is as many as there are different
 choices of URLs that frequent tokens make, which is exponential too where many of them stand independently in the same URLs; that
 costs time and disk.
@@ -90,7 +91,7 @@ def frequent_tokens(labelled: DataFrame, rows: DataFrame, least: int) -> DataFra
     named = counts.join(words, "token").groupBy("token", "n", "b", "same").agg(F.min("name").alias("name"))
     longest = F.max(F.struct(F.char_length("name").alias("size"), "name", "token")).alias("best")
     known = named.groupBy("n", "b", "same").agg(longest).select("best.token", "best.name", "n", "b")
-    return known.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "name")))  # a few tokens a URL over the least share
+    return known.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "name")))  # these are at most a URL's tokens, on average, over `support`
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
