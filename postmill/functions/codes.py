@@ -105,19 +105,14 @@ def name_mismatch(kind: Column, is_stream: Column) -> Column:
     return F.when(stream & ~is_stream, "stream_name_is_storage").when(storage & is_stream, "storage_name_is_stream")
 
 
-def scope(path: Column) -> Column:
-    """The nearest storage of a path that gives its entries a scope."""
+#: The last storage of a path, above its last part, that gives a scope, by how its name starts; and the scopes. Fixed values.
+SCOPE = r"(?s)^(?:.*/)?(__substg1\.0_3701000D(?=/)|__nameid_version1\.0(?=/)|__recip_version1\.0_#|__attach_version1\.0_#)[^/]*/"
+SCOPES = {"__substg1.0_3701000D": "embedded_message", "__nameid_version1.0": "named_properties", "__recip_version1.0_#": "recipient", "__attach_version1.0_#": "attachment", "": "message"}
 
-    def step(acc, part):
-        return (
-            F.when(part == "__substg1.0_3701000D", "embedded_message")
-            .when(F.startswith(part, F.lit("__recip_version1.0_#")), "recipient")
-            .when(F.startswith(part, F.lit("__attach_version1.0_#")), "attachment")
-            .when(part == "__nameid_version1.0", "named_properties")
-            .otherwise(acc)
-        )
 
-    return F.aggregate(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), F.lit("message"), step)
+def scope(path: Column) -> Column:
+    """The nearest storage of a path that gives its entries a scope."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in SCOPES.items() for x in pair)), F.regexp_extract(path, SCOPE, 1))
 
 
 def ancestry(path: Column) -> Column:
@@ -149,11 +144,27 @@ def header_length(where: Column) -> Column:
     return out
 
 
+def nibbles(n: Column) -> Column:
+    """A 64-bit number whose hex digits have changed places in each byte."""
+    low = F.lit(0x0F0F0F0F0F0F0F0F)
+    return F.shiftleft(n.bitwiseAND(low), 4).bitwiseOR(F.shiftright(n, 4).bitwiseAND(low))
+
+
+def word(data: Column) -> Column:
+    """The little-endian number of up to 8 bytes, signed where it is 8; null for none. Digits are read backwards and then swapped in
+    each byte by arithmetic, as cutting a text into bytes costs many times as much."""
+    return nibbles(F.conv(F.reverse(F.hex(data)), 16, -10).cast("long"))
+
+
 def little_endian(data: Column, start: int | Column, size: int) -> Column:
     """Unsigned integer of up to 7 bytes at a position (from 1) of a binary."""
     at = F.lit(start) if isinstance(start, int) else start
-    pairs = F.split(F.hex(F.substr(data, at, F.lit(size))), "(?<=\\G..)(?!$)")
-    return F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).cast("long")
+    return word(F.substr(data, at, F.lit(size)))
+
+
+def bits(number: Column, at: int, size: int) -> Column:
+    """Unsigned number of some bits of a word, from the least significant on."""
+    return F.shiftrightunsigned(number, at).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
 
 
 def property_entries(data: Column, header: Column) -> Column:
@@ -170,10 +181,10 @@ def property_entries(data: Column, header: Column) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), entry)).otherwise(F.array().cast("array<struct<property_type:int,property_id:int,flags:bigint,tail:binary>>"))
 
 
-def signed(hexa: Column, bits: int) -> Column:
-    """Whole number of a big-endian hex text, two's complement."""
-    n = F.conv(hexa, 16, -10).cast("long")
-    return n if bits == 64 else F.when(n >= 1 << (bits - 1), n - (1 << bits)).otherwise(n)
+def signed(number: Column, size: int) -> Column:
+    """The lowest bits of a word as a whole number, two's complement."""
+    n = bits(number, 0, size)
+    return F.when(n >= 1 << (size - 1), n - (1 << size)).otherwise(n)
 
 
 def real(bits: Column, fraction: int, exponent: int) -> Column:
@@ -186,18 +197,22 @@ def real(bits: Column, fraction: int, exponent: int) -> Column:
     return F.when(e < top, sign * finite).when(m == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
 
 
+def fixed_word(kind: Column, number: Column) -> Column:
+    """The value of a fixed-length property from the word of its 8 bytes as struct(as_long, as_double): integers, times, errors and truth
+    values as long, others as double; null for other types."""
+    as_long = F.when(kind == 2, signed(number, 16)).when(kind == 3, signed(number, 32)).when(kind == 10, bits(number, 0, 32)).when(kind == 11, (bits(number, 0, 8) != 0).cast("long")).when(kind.isin(6, 20, 64), number)
+    as_double = F.when(kind == 4, real(bits(number, 0, 32), 23, 8)).when(kind.isin(5, 7), real(number, 52, 11))
+    return F.struct(as_long.alias("as_long"), as_double.alias("as_double"))
+
+
 def fixed_value(kind: Column, tail: Column) -> Column:
-    """The value of a fixed-length property from its 8 bytes as struct(as_long, as_double): integers, times, errors and truth values
-    as long, others as double; null for other types and other lengths."""
-    big = lambda n: F.array_join(F.reverse(F.split(F.hex(F.substring(tail, 1, n)), "(?<=\\G..)(?!$)")), "")
-    as_long = F.when(kind == 2, signed(big(2), 16)).when(kind == 3, signed(big(4), 32)).when(kind == 10, F.conv(big(4), 16, 10).cast("long")).when(kind == 11, (big(1) != "00").cast("long")).when(kind.isin(6, 20, 64), signed(big(8), 64))
-    as_double = F.when(kind == 4, real(F.conv(big(4), 16, 10).cast("long"), 23, 8)).when(kind.isin(5, 7), real(signed(big(8), 64), 52, 11))
-    whole = F.octet_length(tail) == 8
-    return F.struct(F.when(whole, as_long).alias("as_long"), F.when(whole, as_double).alias("as_double"))
+    """fixed_word of a property's 8 bytes; null for other lengths."""
+    return fixed_word(kind, F.when(F.octet_length(tail) == 8, word(tail)))
 
 
-def valid_boolean(tail: Column) -> Column:
-    return F.hex(tail).isin("0000000000000000", "0100000000000000")
+def valid_boolean(number: Column) -> Column:
+    """Whether the word of a property's 8 bytes is a truth value."""
+    return number.isin(0, 1)
 
 
 def stream_path(parent: Column, property_id: Column, kind: Column) -> Column:
@@ -285,17 +300,21 @@ def utf16_text(data: Column) -> Column:
     return F.when(sound, F.decode(F.when(sound, even), "UTF-16LE"))
 
 
+def piece_at(data: Column, offset: Column, size: Column) -> Column:
+    """The bytes that follow four bytes of their length, `size`, at an offset (from 0); null where the stream ends before or the length is odd."""
+    inside = (offset + 4 <= F.octet_length(data)) & (offset + 4 + size <= F.octet_length(data)) & (size % 2 == 0)
+    return F.when(inside, F.substr(data, (offset + 5).cast("int"), F.when(inside, size).otherwise(0).cast("int")))
+
+
 def string_at(data: Column, offset: Column) -> Column:
     """Text at an offset (from 0) of a stream of strings, each four bytes of its length in bytes and then UTF-16LE; null where the stream
     ends before it, where the length is odd, or where it is no text."""
-    size = little_endian(data, (offset + 1).cast("int"), 4)
-    inside = (offset + 4 <= F.octet_length(data)) & (offset + 4 + size <= F.octet_length(data)) & (size % 2 == 0)
-    return F.when(inside, utf16_text(F.substr(data, (offset + 5).cast("int"), F.when(inside, size).otherwise(0).cast("int"))))
+    return utf16_text(piece_at(data, offset, little_endian(data, (offset + 1).cast("int"), 4)))
 
 
 def little(value: Column, size: int) -> Column:
     """Hex of a whole number, not negative, in so many bytes, least significant first."""
-    return F.array_join(F.reverse(F.split(F.lpad(F.hex(value.cast("long")), 2 * size, "0"), "(?<=\\G..)(?!$)")), "")
+    return F.reverse(F.lpad(F.hex(nibbles(value.cast("long"))), 2 * size, "0"))
 
 
 def is_hidden_directory_address(kind: Column, smtp: Column) -> Column:
