@@ -272,3 +272,15 @@ def test_recipients_are_ordered_in_parts_of_a_bounded_size(spark, monkeypatch):
     t = spark.range(2000).select(F.col("id").alias("message_id"), F.lit(True).alias("present"), F.array().cast("array<string>").alias("lacks"))
     assert census.as_read(r, t).select(F.spark_partition_id().alias("p")).distinct().count() == 16  # the session has 4
     assert census.row_order(r).collect()[0]["n"] == 2000
+
+
+def test_extensions_and_legal_names_by_the_patterns_they_stand_for(spark, monkeypatch):
+    odd = ["", ".", "..", "..a", ".a", "a.", "a.b", "a.b.c", "a.b c", "a. b", "a\n.b\n", "é.ü", "a.\U0001f600", *(f"a.{'x' * n}" for n in (15, 16, 17)), "a.\U0001f600" + "x" * 14, "a.\U0001f600" + "x" * 15]
+    odd += [f"{a}{chr(c)}{b}" for c in range(1, 128) for a in ("", "a") for b in ("", "b")] + ["a" * 255, "a" * 256, "con", "Con .x", "a  b", "aux.txt", "com1", "com", "desktop.ini", " "]
+    df = column(spark, odd)
+    e = F.regexp_extract("v", r"(?s)^.+(\.[^. ]+)$", 1)
+    assert df.where(names.extension(F.col("v")) != F.when(names.units(e) <= 17, e).otherwise("")).count() == 0
+    quick = names.is_legal(F.col("v"))
+    monkeypatch.setattr(names, "is_simple", lambda c: F.lit(False))
+    assert df.where(quick != names.is_legal(F.col("v"))).count() == 0
+    assert "CASE WHEN" in str(quick)  # simple names pass one pattern, not all
